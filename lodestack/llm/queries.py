@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import decontam, licenses, linededup, simhash
-from lodestack.llm.shared import table
+from lodestack.llm import bytebpe, decontam, grams, licenses, linededup, piecebpe, simhash
+from lodestack.llm.shared import new_path, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +22,20 @@ def query(sql: str | None = None):
     return register
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, which every machine has."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query()
+def op3_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "token-ids")
+    bytebpe.write_ids(table(spark, sf_dir, "documents"), out, vocabulary("byte_bpe_50k.json"), end=2)
+    return bytebpe.positions(bytebpe.read_ids(spark, out))
+
+
 @query()
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
@@ -48,6 +62,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams.bounded_batches(spark)
+    path = vocabulary("piece_bpe_32k.model")
+    coded = table(spark, sf_dir, "documents").select("doc_id", piecebpe.encode(F.col("text"), path).alias("ids"))
+    said = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    decoded = F.sha2(piecebpe.decode(F.col("ids"), path), 256)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), said.alias("ids_sha256"), decoded.alias("decoded_sha256"))
+
+
 @query()
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
