@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestack.llm import decontam, linededup, simhash
+from lodestack.llm import decontam, grams, linededup, piecebpe, simhash, toxicity
+from lodestack.llm.queries import vocabulary
 from lodestack.llm.shared import new_path, table
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents hold stay in one of them."""
     return linededup.dedup_lines(docs)
@@ -23,13 +30,23 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """documents' columns, ids (with the end id) and decoded: the text that the ids give back."""
+    grams.bounded_batches(spark)
+    path = vocabulary("piece_bpe_32k.model")
+    coded = docs.drop("ids", "decoded").withColumn("ids", piecebpe.encode(F.col("text"), path))
+    return coded.withColumn("decoded", piecebpe.decode(F.col("ids"), path))
+
+
 STAGES = [
+    ("toxicity", toxicity_filter),
     ("line_dedup", line_dedup),
     ("simhash_near_dedup", simhash_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("sentencepiece_encoding", sentencepiece_encoding),
 ]
 
-#: Models and fingerprints are beyond SQL; tests hold the stages against brute force.
+#: A trained model, fingerprints and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bytebpe, decontam, grams, licenses, linededup, piecebpe, simhash
+from lodestack.llm import bytebpe, decontam, grams, licenses, linededup, piecebpe, simhash, toxicity
 from lodestack.llm.shared import new_path, table
 
 QUERIES: dict = {}
@@ -62,6 +62,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams.bounded_batches(spark)
