@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bytebpe, decontam, grams, licenses, linededup, piecebpe, simhash, toxicity
+from lodestack.llm import bytebpe, decontam, grams, licenses, linededup, piecebpe, simhash, toxicity, warc
 from lodestack.llm.shared import new_path, table
 
 QUERIES: dict = {}
@@ -29,6 +29,19 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("""
+WITH p AS (SELECT page_id, sha1(encode(coalesce(html, ''))) AS payload_digest, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM k
+""")
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "warc")
+    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), out)
+    return warc.page_report(warc.read_archives(spark, out))
+
+
 @query()
 def op3_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "token-ids")

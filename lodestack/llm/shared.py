@@ -31,3 +31,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and read from the shared folder from here on, so that lost executors cost nothing before it."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read again; its size is then known to joins."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
