@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bytebpe, decontam, grams, licenses, linededup, piecebpe, simhash, toxicity, warc
+from lodestack.llm import bytebpe, chat, decontam, grams, licenses, linededup, piecebpe, simhash, toxicity, warc
 from lodestack.llm.shared import new_path, table
 
 QUERIES: dict = {}
@@ -29,6 +29,25 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query(r"""
+WITH t AS (SELECT conv_id, turn, coalesce(nullif(trim(role, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ''), 'unknown') AS speaker, coalesce(text, '') AS words FROM conversations),
+n AS (SELECT *, CAST(floor(turn / 64) AS BIGINT) AS chunk, CASE WHEN turn IS NULL THEN substr(md5(speaker || words), 1, 2) ELSE '' END AS slice FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, chunk, slice ORDER BY turn, speaker, words) AS rn FROM n),
+v AS (SELECT r.*, CAST(floor((rn - 1) / 256) AS BIGINT) AS part, p.speaker AS perspective, r.speaker = p.speaker AS own,
+    '<|im_start|>' || CASE WHEN r.speaker = 'system' THEN 'system' WHEN r.speaker = p.speaker THEN 'assistant'
+      ELSE 'user name=' || regexp_replace(r.speaker, '[\x00-\x20<>|]+', '_', 'g') END || chr(10) AS head,
+    regexp_replace(words, '<\|(im_start|im_end)\|>', '< |\1| >', 'g') || '<|im_end|>' AS body
+  FROM r JOIN (SELECT DISTINCT conv_id, speaker FROM t WHERE speaker <> 'system') p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, chunk, slice, part ORDER BY rn) - length(body) - 1 AS start FROM v)
+SELECT conv_id, perspective, chunk, slice, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
+  coalesce(string_agg(start || '+' || length(body), ' ' ORDER BY rn) FILTER (WHERE own), '') AS mask
+FROM o GROUP BY conv_id, perspective, chunk, slice, part
+""")
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat.rotate(table(spark, sf_dir, "conversations"))
+    return views.select(*views.columns[:-1], F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), " ").alias("mask"))
+
+
 @query("""
 WITH p AS (SELECT page_id, sha1(encode(coalesce(html, ''))) AS payload_digest, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
 k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM p)
