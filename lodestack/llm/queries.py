@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bytebpe, chat, decontam, grams, licenses, linededup, piecebpe, simhash, toxicity, warc
+from lodestack.llm import bytebpe, chat, chroma, decontam, grams, licenses, linededup, piecebpe, simhash, toxicity, warc
 from lodestack.llm.shared import new_path, table
 
 QUERIES: dict = {}
@@ -113,3 +113,13 @@ def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query()
+def op10_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 'member': vec_id and its class_id; rows 'match': a class (vec_id) at an offset of a query's class (class_id)."""
+    vectors = table(spark, sf_dir, "embeddings")
+    members, matches = chroma.align(chroma.recordings_of(vectors, "vec_id", chroma.play(F.col("embedding"))), F.col("id") % 100 == 0)
+    members = members.select(F.lit("member").alias("kind"), F.col("id").alias("vec_id"), "class_id")
+    matches = matches.select(F.lit("match").alias("kind"), F.col("class_id").alias("vec_id"), F.col("query_class").alias("class_id"), "offset", "overlap", "bit_errors")
+    return members.unionByName(matches, allowMissingColumns=True)
