@@ -28,7 +28,7 @@ _PRIME = np.uint64(0x100000001B3)
 def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word's n-grams of bytes, with < and > around it, and of the whole word; and their counts."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     padded = np.frombuffer(b"".join(b"<%s>" % w for w in words), np.uint8).astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words])
     ends = np.cumsum(sizes)
@@ -47,7 +47,7 @@ def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owners.append(np.arange(len(words)))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return (flat.mix(np.concatenate(hashes))[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(owner, minlength=len(words))
+    return (flat.mix(np.concatenate(hashes))[order] % np.uint64(BUCKETS)).astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 def passage_means(scores: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +110,8 @@ def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed:
     """A model of the texts' labels: bucket vectors and the softmax, trained jointly by gradient descent.
 
     Passages are drawn at random first. Then each text gives its most toxic passage under the model so
-    far, and a random one if its label is 0. Without texts of both labels every text scores 0.1.
+    far, and a random one if its label is 0. clean_rows: how many rows the texts of label 0 stand for,
+    when the threshold is set. Without texts of both labels every text scores 0.1.
     """
     y = np.array(toxic, np.int64)
     if len(set(toxic)) < 2:
@@ -122,10 +123,14 @@ def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed:
         raw = flat.LOWER[np.frombuffer(text.encode(), np.uint8)]
         starts, ends = flat.bounds(flat.ALNUM[raw], np.array([0, len(raw)]))
         said = raw.tobytes()
-        seen += [index.setdefault(said[a:b], len(index)) for a, b in zip(starts.tolist(), ends.tolist())]
-        upto.append(len(seen))
-    word, upto = np.array(seen, np.int64), np.array(upto)
-    buckets, counts = gram_buckets(list(index))
+        seen.append(np.array([index.setdefault(said[a:b], len(index)) for a, b in zip(starts.tolist(), ends.tolist())], np.int32))
+        upto.append(upto[-1] + len(starts))
+    word, upto = np.concatenate(seen), np.array(upto)
+    words = list(index)
+    del index, seen
+    parts = [gram_buckets(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+    buckets, counts = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int32)]) for k in (0, 1))
+    del words, parts
     at = np.cumsum(counts) - counts
     n = np.diff(upto)
     vectors = rng.uniform(-1e-3, 1e-3, (BUCKETS, WIDTH)).astype(np.float32)  # next to nothing for n-grams that are never met
@@ -160,7 +165,8 @@ def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed:
 
     def best_passages() -> tuple[np.ndarray, np.ndarray]:
         weights = vectors @ (soft[1] - soft[0])
-        return passage_means(np.add.reduceat(weights[buckets], at)[word] / counts[word], upto)
+        scores = np.concatenate([np.add.reduceat(weights[buckets[at[i] : at[i] + counts[i : i + 50_000].sum()]], at[i : i + 50_000] - at[i]) for i in range(0, len(at), 50_000)]) / counts
+        return passage_means(scores[word], upto)
 
     anywhere = lambda rows: upto[rows] + rng.integers(0, np.maximum(1, n[rows] - PASSAGE + 1))
     for epoch in range(EPOCHS):
