@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.frames import cut
 from lodestack.functions import paths
+from lodestack.functions.match import contained
 from lodestack.operators.catalog import graph_terms, node_type
 from lodestack.operators.score import path_cost, path_types
 from lodestack.operators.select import consumes_contract
@@ -65,21 +66,18 @@ def contains_edges(items: DataFrame, symbols: DataFrame) -> DataFrame:
 def reference_edges(items: DataFrame) -> DataFrame:
     """Contracts that constrain schemas and templates, workflows that consume them, other items that depend on them.
 
-    An edge stands where a text holds a term of the target. Spark broadcasts the targets' terms where they
-    are few, by its own measure.
+    An edge stands where a text holds a term of the target; workflows that read what contracts define
+    consume all of them. Texts meet only the terms that they hold, and those meet their targets by equality.
     """
-    rows = items.withColumns({"_n": node_type("path", "artifact_type"), "_low": F.lower("content")})
-    targets = rows.where("_n in ('artifact_schema_template', 'artifact_contract')").select(F.col("path").alias("_to"), F.col("_n").alias("_kind"), graph_terms("path").alias("_terms"))
-    said = F.exists("_terms", lambda t: F.contains(F.col("_low"), t))
+    rows = items.select("path", node_type("path", "artifact_type").alias("_n"), F.col("artifact_type").isin("contract", "workflow").alias("_own"), F.lower("content").alias("_low"))
+    targets = items.select(F.col("path").alias("_to"), node_type("path", "artifact_type").alias("_kind"), F.explode(graph_terms("path")).alias("term")).where("_kind in ('artifact_schema_template', 'artifact_contract')")
+    met = contained(rows.where("_n is null or _n <> 'artifact_schema_template'"), "_low", targets).join(targets, "term").drop("term")
+    readers = rows.where("_n = 'artifact_workflow'").where(consumes_contract("_low")).select("path", "_n", "_own")
+    met = met.unionByName(readers.crossJoin(targets.select("_to", "_kind").distinct())).where("path <> _to")
     template = F.col("_kind") == "artifact_schema_template"
-    case = (
-        F.when((F.col("_n") == "artifact_contract") & template & said, "constrains")
-        .when((F.col("_n") == "artifact_workflow") & (said | consumes_contract("content")), "consumes")
-        .when(~F.col("artifact_type").isin("contract", "workflow") & template & said, "depends_on")
-    )
-    met = rows.join(targets, (F.col("path") != F.col("_to")) & case.isNotNull()).withColumn("edge_type", case)
+    case = F.when((F.col("_n") == "artifact_contract") & template, "constrains").when(F.col("_n") == "artifact_workflow", "consumes").when(~F.col("_own") & template, "depends_on")
     own = F.when(F.col("_n").isNotNull(), F.concat_ws(":", "_n", "path")).otherwise(_id("file", "path"))
-    return met.select(own.alias("src"), F.concat_ws(":", "_kind", "_to").alias("dst"), "edge_type")
+    return met.withColumn("edge_type", case).where("edge_type is not null").select(own.alias("src"), F.concat_ws(":", "_kind", "_to").alias("dst"), "edge_type").distinct()
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -2,5 +2,464 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestack.frames import table
+from lodestack.functions import paths, text
+from lodestack.functions.text import words
+from lodestack.operators import catalog, extract, graph, pack, report, score, select, terms
+from lodestack.plans import sql
+from lodestack.sources.corpus import documents_corpus
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+LANES = {"task": ["docs", "src1", "overview"], "contract": [*terms.CONTRACT_TERMS, "docs"], "code": terms.CODE_TERMS}
+TERMS = ["the", "that", "schema", "en"]
+TOP = 8
+INCLUDE, EXCLUDE = ["schemas/*_1?0.json", "docs/en", "./README_9.md", "no/such"], ["*_110.json", "docs/en/d_15.md", "gone*"]
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_corpus(table(spark, sf_dir, "documents"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.catalog(corpus(spark, sf_dir))
+
+
+@query(f"WITH {sql.CORPUS} SELECT path, {sql.NAME} AS name, {sql.SUFFIX} AS suffix, {sql.STEM} AS stem, {sql.FILE_TYPE} AS file_type FROM corpus")
+def classify_file_type(spark, sf_dir):
+    return corpus(spark, sf_dir).select("path", paths.name("path").alias("name"), paths.suffix("path").alias("suffix"), paths.stem("path").alias("stem"), catalog.file_type("path").alias("file_type"))
+
+
+@query(f"WITH {sql.CATALOG} SELECT path, artifact_type, {sql.of_kind(2)} AS context_layer, {sql.of_kind(0)} AS base_priority, {sql.of_kind(1)} AS base_score, n_tokens FROM items")
+def classify_artifact(spark, sf_dir):
+    return items(spark, sf_dir).select("path", "artifact_type", "context_layer", "base_priority", catalog.of_kind("artifact_type", 1).alias("base_score"), "n_tokens")
+
+
+@query(f"WITH {sql.CORPUS} SELECT path FROM corpus WHERE NOT {sql.EXCLUDED}")
+def exclude_filter(spark, sf_dir):
+    return corpus(spark, sf_dir).where(~catalog.excluded("path")).select("path")
+
+
+@query(f"WITH {sql.CORPUS} SELECT count(*) AS n_items, 0::BIGINT AS n_binary, count(*) FILTER (WHERE {sql.EXCLUDED}) AS n_excluded, count(*) FILTER (WHERE NOT {sql.EXCLUDED}) AS n_candidates FROM corpus")
+def scan_summary(spark, sf_dir):
+    return catalog.scan_summary(corpus(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, {sql.tokens('text')} AS n_tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens("text").alias("n_tokens"))
+
+
+@query(f"SELECT lang, count(*) AS n, CAST(sum({sql.units('text')}) AS BIGINT) AS units, CAST(ceil(sum({sql.units('text')}) / 4.0) AS BIGINT) AS n_tokens FROM documents GROUP BY lang")
+def token_budget_by_lang(spark, sf_dir):
+    units = F.sum(text.quarter_units("text"))
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), units.alias("units"), F.ceil(units / 4).alias("n_tokens"))
+
+
+@query("SELECT doc_id, left(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), 200) AS start, right(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), 200) AS ending FROM documents")
+def slice_head_ascii(spark, sf_dir):
+    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    return table(spark, sf_dir, "documents").select("doc_id", text.slice_head(ascii_only, 50).alias("start"), text.slice_tail(ascii_only, 50).alias("ending"))
+
+
+_fit = "length(list_filter(range(1, 201), lambda n: length(left({0}, n)) = n AND n + 3 * length(regexp_replace(left({0}, n), '[\\x00-\\x7F]', '', 'g')) <= 200))"
+
+
+@query(f"SELECT doc_id, left(text, {_fit.format('left(text, 200)')}) AS start, right(text, {_fit.format('reverse(right(text, 200))')}) AS ending FROM documents")
+def slice_head_mixed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.slice_head("text", 50).alias("start"), text.slice_tail("text", 50).alias("ending"))
+
+
+@query(f"SELECT DISTINCT conv_id, unnest({sql.query_terms('text')}) AS term FROM conversations")
+def query_terms(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", F.explode(text.query_terms("text")).alias("term")).distinct()
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT unnest({sql.query_terms('text')}) AS term FROM conversations), b AS (SELECT DISTINCT unnest({sql.query_terms('text')}) AS term FROM benchmark)
+SELECT coalesce(a.term, b.term) AS term, a.term IS NOT NULL AS in_conversations, b.term IS NOT NULL AS in_benchmark FROM a FULL JOIN b ON a.term = b.term
+""")
+def lane_union(spark, sf_dir):
+    of = lambda name, mark: table(spark, sf_dir, name).select(F.explode(text.query_terms("text")).alias("term"), F.lit(mark).alias("lane"))
+    both = of("conversations", 0).union(of("benchmark", 1)).groupBy("term")
+    return both.agg(F.bool_or(F.col("lane") == 0).alias("in_conversations"), F.bool_or(F.col("lane") == 1).alias("in_benchmark"))
+
+
+@query(f"WITH {sql.CATALOG}, {sql.scored(LANES)} SELECT path, array_to_string(task_hits, ' ') AS task_hits, array_to_string(contract_hits, ' ') AS contract_hits, array_to_string(code_hits, ' ') AS code_hits, array_to_string(hits, ' ') AS hits FROM hit")
+def path_term_hits(spark, sf_dir):
+    rows = score.scored(items(spark, sf_dir), LANES)
+    return rows.select("path", *(F.array_join(c, " ").alias(c) for c in ("task_hits", "contract_hits", "code_hits", "hits")))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per conversation: the first user turn is its topic, the others are its questions."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("said"))
+    none = F.array().cast("array<string>")
+    empty = {c: none for c in ("focus_points", "must_include", "mentioned_paths", "known_routes", "blockers", "output_requirements")}
+    return rows.select("conv_id", F.get("said", F.lit(0)).alias("topic"), F.lit("").alias("goal"), F.lit("").alias("background"), F.slice("said", F.lit(2), F.size("said")).alias("questions")).withColumns(empty)
+
+
+_hay = "lower(array_to_string(list_transform(said, lambda s: s), ' '))"
+
+
+@query(f"""
+WITH s AS (SELECT conv_id, list(text ORDER BY turn) AS said FROM conversations WHERE role = 'user' GROUP BY conv_id),
+t AS (SELECT conv_id, said, list_distinct(list_filter(flatten(list_transform(said, lambda x: {sql.query_terms('x')})), lambda x: x IS NOT NULL)) AS task FROM s)
+SELECT conv_id, len(task) AS n_terms, CASE WHEN {sql.any_of(_hay, terms.CODE_FOCUS)} THEN 'full_bundle'
+  WHEN NOT {sql.any_of(_hay, terms.CONTRACT_FOCUS)} AND len(task) <= {terms.FEW_TERMS} THEN 'brief_only' ELSE 'brief_plus_contract' END AS retrieval_gate FROM t
+""")
+def gate_decision(spark, sf_dir):
+    return terms.gate(tasks(spark, sf_dir)).select("conv_id", F.size("task").cast("bigint").alias("n_terms"), "retrieval_gate")
+
+
+@query(f"WITH {sql.CATALOG}, {sql.scored(LANES)} SELECT path, artifact_type, score, base_priority FROM ranked WHERE NOT {sql.EXCLUDED} ORDER BY score DESC, base_priority, path LIMIT {TOP}")
+def score_rank_topk(spark, sf_dir):
+    rows = score.scored(items(spark, sf_dir).where(~catalog.excluded("path")), LANES)
+    return select.best(rows, TOP).select("path", "artifact_type", "score", "base_priority")
+
+
+def imports_by_id(rows: DataFrame) -> DataFrame:
+    """Edges for the test: item n imports item n + 1 and item n + 2."""
+    return rows.select(F.col("path").alias("src"), F.explode(F.array(F.col("ord") + 1, F.col("ord") + 2)).alias("ord")).join(rows.select("ord", F.col("path").alias("dst")), "ord").select("src", "dst")
+
+
+_consumes = sql.any_of("lower(content)", select.CONSUMES)
+
+
+@query(f"""
+WITH {sql.CATALOG}, {sql.scored(LANES)},
+first AS (SELECT *, row_number() OVER (ORDER BY score DESC, base_priority, path) AS place FROM ranked QUALIFY place <= 40),
+direct AS (SELECT b.path, arg_min('A direct dependency of ' || f.path || '.', f.place) AS reason FROM first f JOIN items b ON b.ord IN (f.ord + 1, f.ord + 2) WHERE f.artifact_type = 'workflow' GROUP BY b.path),
+readers AS (SELECT path, 'It reads what contracts define.' AS reason FROM items WHERE artifact_type IN ('workflow', 'selection_logic', 'code_snippet') AND {_consumes} AND EXISTS (SELECT 1 FROM first WHERE artifact_type = 'contract')),
+promoted AS (SELECT * FROM direct UNION ALL SELECT * FROM readers WHERE path NOT IN (SELECT path FROM direct)),
+again AS (SELECT r.path, r.artifact_type, r.score + CASE WHEN p.path IS NULL THEN 0 ELSE 180 END AS score, r.base_priority, p.reason AS why FROM ranked r LEFT JOIN promoted p ON r.path = p.path)
+SELECT path, artifact_type, score, why FROM again ORDER BY score DESC, base_priority, path LIMIT 60
+""")
+def two_pass_promotion(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    ranked = score.scored(rows, LANES)
+    first = select.best(ranked, 40).withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "base_priority", "path"))).select("path", "artifact_type", "ord")
+    why = select.promotions(first, rows, imports_by_id(rows)).withColumnRenamed("reason", "why")
+    again = score.scored(rows.join(why, "path", "left"), LANES, reason="why")
+    return select.best(again, 60).select("path", "artifact_type", "score", "why")
+
+
+@query(f"WITH {sql.CATALOG}, {sql.scored(LANES)} SELECT path, score FROM ranked ORDER BY score DESC, base_priority, path LIMIT {select.DROPPED} OFFSET {TOP}")
+def dropped_report(spark, sf_dir):
+    return select.dropped(score.scored(items(spark, sf_dir), LANES), TOP).select("path", "score")
+
+
+_patterns = {"schemas/*_1?0.json": "regexp_full_match(path, 'schemas/.*_1.0\\.json')", "docs/en": "(path = 'docs/en' OR starts_with(path, 'docs/en/'))", "./README_9.md": "path = 'README_9.md'", "no/such": "path = 'no/such'", "*_110.json": "regexp_full_match(path, '.*_110\\.json')", "docs/en/d_15.md": "path = 'docs/en/d_15.md'", "gone*": "regexp_full_match(path, 'gone.*')"}
+
+
+def _resolved(patterns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{p}' AS pattern, {i} AS ord, path FROM (SELECT 1) LEFT JOIN corpus ON {_patterns[p]}" for i, p in enumerate(patterns))
+
+
+@query(f"WITH {sql.CORPUS} {_resolved(INCLUDE)}")
+def glob_resolve(spark, sf_dir):
+    return select.resolve_patterns(corpus(spark, sf_dir).select("path"), INCLUDE).select("pattern", "ord", "path")
+
+
+@query(f"""
+WITH {sql.CORPUS}, t AS (SELECT page_id, unnest(regexp_extract_all(url || ' docs/en/d_' || page_id || '.md mod_' || (page_id * 10 + 4) || '.py x/workflow.py', '[A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9_]+')) AS token FROM pages WHERE page_id < 200),
+k AS (SELECT path, {sql.NAME} AS name FROM corpus)
+SELECT DISTINCT k.path FROM t JOIN k ON t.token = k.path OR regexp_extract(t.token, '([^/]*)$', 1) = k.name AND (t.token <> k.path)
+""")
+def mentioned_paths(spark, sf_dir):
+    said = F.concat("url", F.lit(" docs/en/d_"), "page_id", F.lit(".md mod_"), F.col("page_id") * 10 + 4, F.lit(".py x/workflow.py"))
+    texts = table(spark, sf_dir, "pages").where("page_id < 200").select(F.col("page_id").alias("ord"), said.alias("text"))
+    return select.mentioned_paths(texts, corpus(spark, sf_dir)).select("path")
+
+
+@query(f"""
+WITH {sql.CORPUS}, i AS ({_resolved(INCLUDE)}), e AS ({_resolved(EXCLUDE)})
+SELECT 'kept' AS kind, path AS what FROM (SELECT path FROM i WHERE path IS NOT NULL GROUP BY path) WHERE path NOT IN (SELECT path FROM e WHERE path IS NOT NULL)
+UNION ALL SELECT 'include_without_match', pattern FROM i WHERE path IS NULL UNION ALL SELECT 'exclude_without_match', pattern FROM e WHERE path IS NULL
+UNION ALL SELECT 'included_and_excluded', path FROM i WHERE path IN (SELECT path FROM e WHERE path IS NOT NULL)
+""")
+def include_minus_exclude(spark, sf_dir):
+    kept, notes = select.include_minus_exclude(corpus(spark, sf_dir).select("path"), INCLUDE, EXCLUDE)
+    return kept.select(F.lit("kept").alias("kind"), F.col("path").alias("what")).unionByName(notes)
+
+
+@query("SELECT doc_id FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id")
+def labels_minus_toxic(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return labels.where("quality = 1").select("doc_id").distinct().join(labels.where("toxic = 1"), "doc_id", "left_anti")
+
+
+@query(f"WITH {sql.CATALOG} SELECT path, {sql.anchor_score('path', 'left(content, 160)', TERMS)} AS priority FROM items")
+def anchor_score(spark, sf_dir):
+    return items(spark, sf_dir).select("path", text.anchor_score("path", "artifact_type", words(TERMS), F.left("content", F.lit(160))).alias("priority"))
+
+
+def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
+HEADING = r"regexp_extract(top, '^#{1,6}\s+(.*\S)\s*$', 1)"
+
+
+@query(rf"""
+WITH d AS (SELECT conv_id, string_agg('# ' || role || ' ' || turn || chr(10) || text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id),
+l AS (SELECT conv_id, generate_subscripts(string_split(content, chr(10)), 1) AS pos, unnest(string_split(content, chr(10))) AS line FROM d),
+s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}\s+.*\S\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS seg FROM l),
+b AS (SELECT conv_id, seg, {sql.strip("string_agg(line, chr(10) ORDER BY pos)")} AS text, arg_min(line, pos) AS top, {sql.strip("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT regexp_matches(line, '^#{1,6}.*')), '')")} AS body FROM s GROUP BY conv_id, seg),
+t AS (SELECT *, {sql.strip(HEADING)} AS anchor FROM b)
+SELECT conv_id || '.md' AS path, CAST(seg AS BIGINT) AS seg, anchor, text, anchor || ': ' || {sql.first_sentence("CASE WHEN body <> '' THEN body ELSE anchor END")} AS summary,
+  {sql.anchor_score('anchor', 'left(body, 160)', TERMS, "'supporting_context'")} AS priority, {sql.strip('top')} AS snippet FROM t
+""")
+def markdown_sections(spark, sf_dir):
+    rows = _lined(spark, sf_dir).withColumn("piece", F.concat(F.lit("# "), "role", F.lit(" "), "turn", F.lit("\n"), "text"))
+    content = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "piece"))), lambda s: s["piece"]), "\n")
+    docs = rows.groupBy("conv_id").agg(content.alias("content")).select(F.concat("conv_id", F.lit(".md")).alias("path"), F.lit("supporting_context").alias("artifact_type"), "content")
+    return extract.sections(docs, words(TERMS))
+
+
+_toml = "'name = ' || p_name || chr(10) || '[' || p_brand || ']' || chr(10) || 'size = ' || p_size || chr(10) || '[[type]]' || chr(10) || p_type"
+_yaml = "'# part' || chr(10) || 'name: ' || p_name || chr(10) || '  inner: 1' || chr(10) || '\"policy\": ' || p_brand || chr(10) || '- item' || chr(10) || 'size: ' || p_size"
+
+
+def _block_sql(content: str, end: str, start: str, keep: str, anchor: str, config: bool) -> str:
+    bonus = f" + CASE WHEN anchor IN ({sql.texts(extract.CONFIG_KEYS)}) THEN {extract.CONFIG_BONUS} ELSE 0 END" if config else ""
+    return f"""
+WITH d AS (SELECT p_partkey || '{end}' AS path, {content} AS content FROM part),
+l AS (SELECT path, generate_subscripts(string_split(content, chr(10)), 1) AS pos, unnest(string_split(content, chr(10))) AS line FROM d),
+s AS (SELECT *, sum(CASE WHEN {start} THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos) AS seg FROM l),
+b AS (SELECT path, seg, trim(string_agg(line, chr(10) ORDER BY pos)) AS text, trim(arg_min(line, pos)) AS top FROM s GROUP BY path, seg),
+t AS (SELECT *, {anchor} AS anchor FROM b WHERE {keep})
+SELECT path, CAST(seg AS BIGINT) AS seg, anchor, text, anchor || ': ' || {sql.first_sentence('text')} AS summary,
+  {sql.anchor_score('anchor', 'left(text, 160)', TERMS, "'contract'")}{bonus} AS priority, top AS snippet FROM t"""
+
+
+def _parts(spark: SparkSession, sf_dir: str, content: str, end: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.concat("p_partkey", F.lit(end)).alias("path"), F.lit("contract").alias("artifact_type"), F.expr(content.replace("chr(10)", "'\\n'")).alias("content"))
+
+
+@query(_block_sql(_toml, ".toml", "line LIKE '[%]'", "true", "CASE WHEN seg = 0 THEN '<root>' ELSE trim(top, '[]') END", False))
+def toml_blocks(spark, sf_dir):
+    return extract.toml_blocks(_parts(spark, sf_dir, _toml, ".toml"), words(TERMS))
+
+
+@query(_block_sql(_yaml, ".yaml", "contains(line, ':') AND line NOT LIKE ' %'", "seg > 0", "trim(trim(string_split(top, ':')[1]), '\"''')", True))
+def yaml_blocks(spark, sf_dir):
+    return extract.yaml_blocks(_parts(spark, sf_dir, _yaml, ".yaml"), words(TERMS))
+
+
+@query("WITH k AS (SELECT event_id, unnest(json_keys(props)) AS anchor, props FROM events) SELECT event_id || '.json' AS path, anchor, '{' || chr(10) || '  \"' || anchor || '\": ' || (props ->> anchor) || chr(10) || '}' AS text FROM k")
+def json_key_blocks(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.concat("event_id", F.lit(".json")).alias("path"), F.lit("contract").alias("artifact_type"), F.col("props").alias("content"))
+    return extract.segments(rows, words(TERMS)).select("path", "anchor", "text")
+
+
+@query(f"SELECT doc_id, {sql.first_sentence('text')} AS sentence, {sql.clip('text', 240)} AS clipped FROM documents")
+def first_sentence_and_clip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.first_sentence("text").alias("sentence"), text.clip("text", 240).alias("clipped"))
+
+
+_up = f"list_concat(['.'], list_transform(range(1, len({sql.PARTS})), lambda i: array_to_string(({sql.PARTS})[1:i], '/')))"
+
+
+@query(f"""
+WITH {sql.CATALOG}, a AS (SELECT path, {_up} AS up FROM items),
+e AS (SELECT DISTINCT 'dir:' || up[i] AS src, 'dir:' || up[i + 1] AS dst FROM (SELECT up, unnest(range(1, len(up))) AS i FROM a)
+  UNION ALL SELECT 'dir:' || up[-1], 'file:' || path FROM a
+  UNION ALL SELECT 'file:' || path, CASE artifact_type WHEN 'workflow' THEN 'artifact_workflow:' ELSE 'artifact_schema_template:' END || path FROM items WHERE artifact_type IN ('workflow', 'contract'))
+SELECT least(src, dst) AS src, greatest(src, dst) AS dst, 'contains' AS edge_type FROM e
+""")
+def contains_edges(spark, sf_dir):
+    none = spark.createDataFrame([], "path string, symbol string")
+    return graph.undirected(graph.contains_edges(items(spark, sf_dir), none))
+
+
+@query(f"WITH {sql.CATALOG}, a AS (SELECT DISTINCT unnest({_up}) AS dir FROM items), k AS (SELECT 'dir' AS node_type, count(*) AS n FROM a UNION ALL SELECT 'file', count(*) FROM items UNION ALL SELECT 'artifact_workflow', count(*) FILTER (WHERE artifact_type = 'workflow') FROM items UNION ALL SELECT 'artifact_schema_template', count(*) FILTER (WHERE artifact_type = 'contract') FROM items UNION ALL SELECT unnest(['artifact_contract', 'symbol', 'task_state_anchor']), 0) SELECT * FROM k")
+def node_counts(spark, sf_dir):
+    found = graph.nodes(items(spark, sf_dir), spark.createDataFrame([], "path string, symbol string"))
+    return graph.type_counts(found, "node_type", graph.NODE_TYPES).select("node_type", "n")
+
+
+@query("""
+WITH e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'imports' AS t FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM customer
+  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'depends_on' FROM orders WHERE o_orderkey % 10 = 0),
+r0 AS (SELECT 'r0' AS node, 0 AS distance, 0 AS cost), r1 AS (SELECT dst AS node, 1 AS distance, 2 AS cost FROM r0 JOIN e ON e.src = r0.node),
+r2 AS (SELECT dst AS node, 1 AS distance, 2 AS cost FROM r1 JOIN e ON e.src = r1.node), r3 AS (SELECT dst AS node, 2 AS distance, 4 AS cost FROM r2 JOIN e ON e.src = r2.node)
+SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3
+""")
+def graph_bfs_2hop(spark, sf_dir):
+    edge = lambda name, a, b, kind: table(spark, sf_dir, name).select(F.concat(F.lit(a[0]), a[1]).alias("src"), F.concat(F.lit(b[0]), b[1]).alias("dst"), F.lit(kind).alias("edge_type"))
+    edges = edge("nation", ("r", "n_regionkey"), ("n", "n_nationkey"), "imports").union(edge("customer", ("n", "c_nationkey"), ("c", "c_custkey"), "contains"))
+    edges = edges.union(edge("orders", ("c", "o_custkey"), ("o", "o_orderkey"), "depends_on").where("cast(substring(dst, 2) as bigint) % 10 = 0"))
+    start = spark.createDataFrame([("r0", "direct_path")], "node string, reason string")
+    return graph.search(edges, start, 2).select("node", "distance", "cost")
+
+
+@query("""
+WITH m AS (SELECT lower(replace(t, ' ', '.')) AS module, min(p_partkey) AS k FROM (SELECT p_type AS t, p_partkey FROM part UNION ALL SELECT string_split(p_type, ' ')[1], p_partkey FROM part) GROUP BY 1),
+i AS (SELECT p_partkey, lower(replace(p_type, ' ', '.')) || '.x' AS w FROM part),
+j AS (SELECT p_partkey, m.module, row_number() OVER (PARTITION BY p_partkey ORDER BY length(m.module) DESC) AS n FROM i JOIN m ON starts_with(i.w, m.module || '.'))
+SELECT DISTINCT 'part/' || p_partkey AS src, 'module/' || module AS dst FROM j WHERE n = 1
+""")
+def import_prefix_join(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    dotted = F.lower(F.translate("p_type", " ", "."))
+    modules = part.select(F.explode(F.array(dotted, F.substring_index(dotted, ".", 1))).alias("module")).distinct().select("module", F.concat(F.lit("module/"), "module").alias("path"))
+    wanted = part.select(F.concat(F.lit("part/"), "p_partkey").alias("path"), F.array(F.concat(dotted, F.lit(".x"))).alias("wanted"))
+    return graph.resolve_imports(wanted, modules)
+
+
+_schema_terms = "[lower(path), lower({0}), replace(lower({1}), '.', '_'), replace(lower({1}), '.', '')]".format(sql.NAME, sql.STEM)
+
+
+@query(f"""
+WITH {sql.CATALOG}, w AS (SELECT *, lower(content || CASE WHEN ord % 7 = 2 THEN ' schemas/' || source || '_' || (ord - 2) || '.json' ELSE '' END) AS low FROM items),
+t AS (SELECT path AS target, {_schema_terms} AS terms FROM items WHERE artifact_type = 'contract')
+SELECT least(src, dst) AS src, greatest(src, dst) AS dst, edge_type FROM (
+  SELECT CASE artifact_type WHEN 'workflow' THEN 'artifact_workflow:' ELSE 'file:' END || path AS src, 'artifact_schema_template:' || target AS dst, CASE artifact_type WHEN 'workflow' THEN 'consumes' ELSE 'depends_on' END AS edge_type
+  FROM w JOIN t ON w.path <> t.target AND w.artifact_type <> 'contract' AND (len(list_filter(t.terms, lambda x: length(x) >= 3 AND contains(w.low, x))) > 0 OR artifact_type = 'workflow' AND {sql.any_of('w.low', select.CONSUMES)}))
+""")
+def reference_edges(spark, sf_dir):
+    more = F.when(F.col("ord") % 7 == 2, F.concat(F.lit(" schemas/"), "source", F.lit("_"), F.col("ord") - 2, F.lit(".json"))).otherwise("")
+    return graph.undirected(graph.reference_edges(items(spark, sf_dir).withColumn("content", F.concat("content", more))))
+
+
+@query()
+def greedy_pack_first_fit(spark, sf_dir):
+    segs = items(spark, sf_dir).select(F.col("source").alias("path"), F.col("ord").cast("int").alias("seg"), F.col("path").alias("anchor"), F.left("content", F.lit(400)).alias("text"), (F.col("n_tokens") % 97).cast("int").alias("priority"))
+    return pack.greedy(segs, 600).select("path", F.size("anchors").alias("n"), text.estimate_tokens("excerpt").alias("n_tokens"), F.array_join("anchors", " ").alias("anchors"))
+
+
+_origin = "CASE ord % 11 WHEN 0 THEN 'must_include' WHEN 1 THEN 'mentioned' ELSE 'auto' END"
+
+
+@query(f"""
+WITH {sql.CATALOG}, o AS (SELECT *, {_origin} AS origin, {sql.units('content')} AS units FROM items),
+f AS (SELECT *, origin <> 'must_include' AND artifact_type <> 'contract' AS free FROM o),
+r AS (SELECT *, sum(units) OVER (PARTITION BY source) AS total, coalesce(sum(units) OVER (PARTITION BY source ORDER BY CASE WHEN free THEN 0 ELSE 1 END, CASE origin WHEN 'auto' THEN 0 WHEN 'mentioned' THEN 1 ELSE 2 END, {sql.DROP_ORDER}, n_tokens DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
+SELECT source, path, free AND ceil((total - before) / 4.0) > 20000 AS dropped FROM r
+""")
+def drop_until_fit(spark, sf_dir):
+    rows = items(spark, sf_dir).withColumns({"origin": F.expr(_origin), "units": text.quarter_units("content")})
+    return pack.drop_until_fit(rows, ["source"], 20000).select("source", "path", "dropped")
+
+
+@query(f"""
+WITH RECURSIVE b AS (SELECT doc_id, 0 AS k, greatest({pack.FLOOR}, {sql.tokens('text')}) AS budget FROM documents
+  UNION ALL SELECT doc_id, k + 1, greatest({pack.FLOOR}, budget - greatest(1, budget // {pack.SHRINK})) FROM b WHERE budget > {pack.FLOOR})
+SELECT doc_id, k, budget FROM b
+""")
+def budget_sequence(spark, sf_dir):
+    """Every document's budgets, from its own size down."""
+    start = F.greatest(F.lit(pack.FLOOR).cast("bigint"), text.estimate_tokens("text"))
+    less = lambda b: F.greatest(F.lit(pack.FLOOR).cast("bigint"), b - F.greatest(F.lit(1).cast("bigint"), F.floor(b / pack.SHRINK)))
+    grow = lambda a, _: F.when(F.element_at(a, -1) > pack.FLOOR, F.concat(a, F.array(less(F.element_at(a, -1))))).otherwise(a)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.array(start), grow).alias("budgets"))
+    return rows.select("doc_id", F.posexplode("budgets").alias("k", "budget"))
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made-up selection: what stands for a packed bundle per language."""
+    marks = {"included": F.col("ord") % 5 != 3, "promoted": F.col("ord") % 4 == 0, "priority": (F.col("ord") % 3).cast("int"), "fallback": F.col("ord") % 9 == 0, "explained": F.col("ord") % 2 == 0}
+    rows = items(spark, sf_dir).withColumns(marks)
+    more = {"strategy": extract.strategy("path"), "compaction": F.when(F.col("ord") % 6 == 0, "typed_digest_compaction").otherwise("none"), "anchors": F.when(F.col("ord") % 8 > 0, F.array("lang", F.col("ord").cast("string"))).otherwise(F.array().cast("array<string>"))}
+    return rows.withColumns(more)
+
+
+_strategy = f"CASE WHEN lower({sql.SUFFIX}) = '.py' THEN 'symbol_extract' WHEN lower({sql.SUFFIX}) IN ('.md', '.rst') THEN 'section_extract' WHEN lower({sql.SUFFIX}) IN ('.json', '.yaml', '.yml', '.toml') THEN 'key_block_extract' ELSE 'full_text' END"
+_chosen = f"chosen AS (SELECT *, ord % 5 <> 3 AS included, ord % 4 = 0 AS promoted, ord % 3 AS priority, ord % 9 = 0 AS fallback, ord % 2 = 0 AS explained, {_strategy} AS strategy, CASE WHEN ord % 6 = 0 THEN 'typed_digest_compaction' ELSE 'none' END AS compaction, CASE WHEN ord % 8 > 0 THEN [lang, ord::VARCHAR] ELSE []::VARCHAR[] END AS anchors FROM items)"
+_group = "CASE WHEN NOT included THEN 'attachments' WHEN artifact_type IN ('contract', 'workflow') THEN artifact_type WHEN artifact_type IN ('selection_logic', 'code_snippet') THEN 'code' ELSE 'supporting' END"
+
+
+@query(f"""
+WITH {sql.CATALOG}, {_chosen}, g AS (SELECT *, {_group} AS bundle_group FROM chosen),
+k AS (SELECT *, CASE bundle_group WHEN 'contract' THEN CASE WHEN contains(lower(path), 'schema') THEN 0 WHEN contains(lower(path), 'template') THEN 1 WHEN regexp_matches(lower(path), 'policy|status|manifest|openai|skill') THEN 2 ELSE 3 END
+  WHEN 'workflow' THEN CASE WHEN contains(lower(path), 'confirm') THEN 0 WHEN regexp_matches(lower(path), 'preview|prepare|workflow') THEN 1 ELSE 2 END
+  WHEN 'code' THEN CASE WHEN promoted THEN 0 ELSE 1 END WHEN 'supporting' THEN CASE WHEN regexp_matches(lower(path), 'problem|overview|research') THEN 0 ELSE 1 END ELSE 0 END AS a,
+  CASE bundle_group WHEN 'code' THEN CASE WHEN artifact_type = 'selection_logic' THEN 0 ELSE 1 END WHEN 'attachments' THEN 0 ELSE priority END AS b FROM g)
+SELECT path, bundle_group, row_number() OVER (PARTITION BY bundle_group ORDER BY a, b, path) AS place FROM k
+""")
+def bundle_groups(spark, sf_dir):
+    return report.grouped(_selected(spark, sf_dir)).select("path", "bundle_group", F.col("place").cast("bigint").alias("place"))
+
+
+_n = "count(*) FILTER (WHERE included)"
+_pct = lambda cond: f"CAST(round_even(100.0 * count(*) FILTER (WHERE included AND {cond}) / greatest({_n}, 1), 0) AS INTEGER)"
+_shaped = f"strategy IN ({sql.texts(report.STRUCTURED)})"
+
+
+@query(f"""
+WITH {sql.CATALOG}, {_chosen}
+SELECT lang, count(*) FILTER (WHERE included AND artifact_type = 'contract') AS contract_coverage, count(*) FILTER (WHERE included AND artifact_type = 'workflow') AS workflow_coverage,
+  {_pct(_shaped + " AND compaction = 'none'")} AS structured_extract_ratio, {_pct('fallback')} AS fallback_ratio,
+  bool_and(NOT (included AND len(anchors) = 0 AND ({_shaped} OR compaction = 'typed_digest_compaction' AND artifact_type <> 'contract'))) AS anchor_fidelity,
+  CASE WHEN {_n} = 0 THEN 100 ELSE {_pct('explained')} END AS explanation_coverage, true AS budget_compliance, true AS bundle_order_valid
+FROM chosen GROUP BY lang
+""")
+def quality_metrics(spark, sf_dir):
+    return report.quality(_selected(spark, sf_dir), F.lit(10), F.lit(20), ["lang"])
+
+
+@query(f"WITH {sql.CATALOG}, {_chosen}, l AS (SELECT CASE WHEN NOT included THEN 'attachments' WHEN artifact_type = 'contract' THEN 'stable_contract' ELSE 'evidence' END AS layer FROM chosen) SELECT layer, count(*) AS n FROM l GROUP BY layer UNION ALL SELECT 'dynamic_task', 0")
+def layer_counts(spark, sf_dir):
+    return report.layer_counts(_selected(spark, sf_dir))
+
+
+@query(f"""
+WITH {sql.CATALOG}, {_chosen}, a AS (SELECT source, ord, generate_subscripts(anchors, 1) AS pos, unnest(anchors) AS anchor FROM chosen WHERE included),
+f AS (SELECT source, anchor, min(ord * 10 + pos) AS k FROM a GROUP BY source, anchor), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k) AS n FROM f)
+SELECT source, string_agg(anchor, ' ' ORDER BY n) AS anchors FROM r WHERE n <= {report.ANCHORS} GROUP BY source
+""")
+def top_anchors(spark, sf_dir):
+    return report.top_anchors(_selected(spark, sf_dir), ["source"]).select("source", F.array_join("anchors", " ").alias("anchors"))
+
+
+_trimmed = "list_filter(list_transform(list(' ' || left(text, 3) || chr(9) ORDER BY turn), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '')"
+
+
+@query(f"WITH t AS (SELECT conv_id, {_trimmed} AS v FROM conversations GROUP BY conv_id) SELECT conv_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '|') AS said FROM t")
+def ordered_dedupe(spark, sf_dir):
+    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: F.concat(F.lit(" "), F.left(s["text"], F.lit(3)), F.lit("\t")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("v")).select("conv_id", F.array_join(text.dedupe("v"), "|").alias("said"))
+
+
+@query(f"SELECT page_id, array_to_string(list_filter({sql.array(pack.SCHEMA_TOKENS)}, lambda t: contains(html || ' status preview', t)), ' ') AS tokens FROM pages")
+def critical_tokens(spark, sf_dir):
+    found = pack.critical_tokens(F.lit("schemas/x.json"), F.concat("html", F.lit(" status preview")))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, " ").alias("tokens"))
+
+
+@query("SELECT doc_id, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(trim(left(text, 90))), '[^A-Za-z0-9\\x{4e00}-\\x{9fff}]+', '_', 'g'), '^_+|_+$', '', 'g'), 40), '_+$', ''), ''), 'bundle') AS slug FROM documents")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.left("text", F.lit(90))).alias("slug"))
+
+
+@query()
+def python_ast_segments(spark, sf_dir):
+    """Generated sources, one per part: segments of their symbols."""
+    code = "'import os\\n\\nclass P' || p_partkey || ':\\n    def size(self):\\n        return ' || p_size || '\\n\\ndef make():\\n    ''Makes it.''\\n    return P' || p_partkey || '()\\n'"
+    return extract.segments(_parts(spark, sf_dir, code, ".py"), words(TERMS))
+
+
+@query()
+def excerpt_ladder(spark, sf_dir):
+    rows = pack.excerpts(items(spark, sf_dir).select("path", "content", "artifact_type"), words(TERMS), 120)
+    return rows.select("path", "excerpt.strategy", "excerpt.compaction", "excerpt.method", "excerpt.truncated", text.estimate_tokens("excerpt.text").alias("n_tokens"), F.size("excerpt.anchors").alias("n_anchors"))
+
+
+@query(f"WITH {sql.CATALOG}, {_chosen} SELECT path, file_type, artifact_type, {sql.of_kind(2)} AS context_layer, included, priority::INTEGER AS priority, n_tokens, array_to_string(anchors, ' ') AS anchors FROM chosen")
+def manifest_projection(spark, sf_dir):
+    return _selected(spark, sf_dir).select("path", "file_type", "artifact_type", "context_layer", "included", "priority", "n_tokens", F.array_join("anchors", " ").alias("anchors"))
