@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import grams
+from lodestack.llm.shared import packed
 
 #: Words of the shortest tile.
 MIN_MATCH = 5
@@ -64,11 +65,12 @@ def benchmark_tiles(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_
     items under min_match words, which have no tile. Rows that repeat keys and text count once; a
     null key stays null. Reordered passages count, as tiles may stand anywhere in the document.
     """
-    spark, k = docs.sparkSession, min_match
-    grams.bounded_batches(spark)
-    keys = [*keys, "__copy"] if "__copy" not in keys else list(keys)
-    if "__copy" not in docs.columns:
-        docs = docs.select(*keys[:-1], F.xxhash64("text").alias("__copy"), "text")
+    own = docs.select(*keys, F.xxhash64("text").alias("__copy"), "text")
+    return _tiles_in(own, benchmark, min_match, threshold, [*keys, "__copy"]).drop("__copy")
+
+
+def _tiles_in(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float, keys: list[str]) -> DataFrame:
+    grams.bounded_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
     said = F.arrow_udf(_item_grams(k), "struct<n:int,g:array<struct<h:bigint,tpos:int,words:string>>>")
     known = items.select(F.col("item_id").alias("tid"), said("text").alias("_g")).select("tid", F.col("_g.n").alias("size"), F.explode("_g.g").alias("_s")).select("_s.h", "tid", "size", "_s.tpos", "_s.words")
@@ -107,8 +109,8 @@ def _item_grams(k: int):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that hold enough of an item; all columns stay. See benchmark_tiles for odd inputs."""
-    keyed = docs.withColumn("__copy", F.xxhash64("text"))
-    leaks = benchmark_tiles(keyed.select("doc_id", "__copy", "text"), benchmark, min_match, threshold, ("doc_id", "__copy"))
+    keyed = packed(docs, "doc_id", "text", F.xxhash64("text").alias("__copy"))
+    leaks = _tiles_in(keyed.drop("row"), benchmark, min_match, threshold, ["doc_id", "__copy"])
     leaks = leaks.select(F.col("doc_id").alias("__leak"), F.col("__copy").alias("__leak_copy")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__leak")) & (F.col("__copy") == F.col("__leak_copy"))
-    return keyed.join(leaks.hint("shuffle_hash"), same, "left_anti").drop("__copy")
+    return keyed.join(leaks.hint("shuffle_hash"), same, "left_anti").select("row.*")

@@ -35,7 +35,7 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > len(_tables.get("p", ())):
+    if "p" not in _tables or n > len(_tables["p"]):
         size = max(n, PIECE_BYTES + 1)
         for key, base in (("p", _BASE), ("q", _BASE_INV)):
             steps = np.full(size, base, np.uint64)

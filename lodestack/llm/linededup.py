@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.llm.shared import packed
+
 #: Code points of the shortest key that counts, and documents that must hold it.
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Slices of a line's documents. A line that a third of all rows hold is then sorted in so many parts.
@@ -79,11 +81,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     take no part and keep all lines. Rows that repeat a doc_id are one document to the counts, and
     each loses its own lines.
     """
-    names = docs.columns
-    out = apply_bitmaps(docs, keep_bitmaps(docs)).withColumn("text", F.when(F.col("text").isNotNull(), F.col("__kept")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*names)
+    own = packed(docs, "doc_id", "text")
+    out = apply_bitmaps(own, keep_bitmaps(own))
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("__kept"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length(new["text"]).cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

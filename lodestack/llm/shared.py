@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +39,8 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def packed(docs: DataFrame, *columns) -> DataFrame:
+    """Some columns of docs, and all of them as the struct row, so that no name of theirs meets one that an operator adds."""
+    return docs.select(*columns, F.struct("*").alias("row"))

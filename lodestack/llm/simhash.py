@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import flat, grams
 from lodestack.llm.components import components
-from lodestack.llm.shared import cut
+from lodestack.llm.shared import cut, packed
 
 SHINGLE, MAX_BITS = 3, 2
 #: Fingerprints that share one signature are compared pairwise up to so many; beyond it their one-bit neighbours are joined.
@@ -104,4 +104,4 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """docs with one document of each group of near-duplicates, that with the smallest doc_id, and all rows without a doc_id."""
     found = near_duplicates(docs, k).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy_of")).distinct()
-    return docs.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("__copy_of"), "left_anti")
+    return packed(docs, "doc_id").join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("__copy_of"), "left_anti").select("row.*")
