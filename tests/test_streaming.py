@@ -1,0 +1,19 @@
+"""A stream of items is classified as a table of them is, and a restart adds nothing twice."""
+
+from lodestack.operators.catalog import catalog, excluded
+from lodestack.streaming import write_catalog
+
+SCHEMA = "path string, content string"
+
+
+def test_a_stream_gives_the_catalog_of_its_items(spark, tmp_path):
+    rows = [("a/workflow.py", "x"), ("docs/b.md", "é"), ("data/c.csv", "no"), ("schemas/d.json", None)]
+    folder = str(tmp_path / "in")
+    for k, row in enumerate(rows):
+        spark.createDataFrame([row], SCHEMA).write.mode("append").parquet(folder)
+        if k % 2:
+            stream = spark.readStream.schema(SCHEMA).parquet(folder)
+            write_catalog(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    whole = catalog(spark.createDataFrame(rows, SCHEMA)).where(~excluded("path"))
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, whole.collect()))
+    assert whole.count() == 3
