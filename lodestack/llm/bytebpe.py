@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +12,12 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import flat, grams
 from lodestack.llm.shared import cut
-from lodestack.llm.spantable import SpanTable, lists
+from lodestack.llm.spantable import SpanTable, kept, lists
 
 #: Rows between two entries of an ORC row index, and bytes of a stripe.
 ROW_INDEX_STRIDE, STRIPE_BYTES = 1000, 16 << 20
 
 
-@lru_cache(2)
 def _table(path: str) -> SpanTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
@@ -79,7 +77,7 @@ def encode_array(texts: pa.Array, path: str, end: int | None) -> pa.Array:
     out = [pa.array([], pa.list_(pa.int32()))]
     for _, _, data, offsets in flat.pieces(texts):
         starts = cut_points(data, offsets)
-        numbers, counts = _table(path).values(data, starts, np.append(starts[1:], len(data)))
+        numbers, counts = kept(("bytebpe", path), lambda: _table(path)).values(data, starts, np.append(starts[1:], len(data)))
         ids, cuts = lists(numbers, counts, np.searchsorted(starts, offsets), end)
         out.append(flat.list_array(ids, cuts))
     return pa.concat_arrays(out)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestack.llm import flat
-from lodestack.llm.spantable import SpanTable, lists
+from lodestack.llm.spantable import SpanTable, kept, lists
 
 NONE = np.iinfo(np.int32).max
 #: The mark that stands for a space in pieces.
@@ -190,9 +189,8 @@ class Model:
         return pa.array(out, pa.string())
 
 
-@lru_cache(2)
 def model(path: str) -> Model:
-    return Model(path)
+    return kept(("piecebpe", path), lambda: Model(path))
 
 
 def encode(text: Column, path: str, end: bool = True) -> Column:

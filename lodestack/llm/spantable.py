@@ -10,11 +10,22 @@ import xxhash
 from lodestack.llm import flat
 
 #: Different spans that one worker remembers; others are worked out wherever they are met.
-REMEMBERED = 3 << 19
+REMEMBERED = 5 << 17
 #: Spans over so many bytes are hashed whole by XXH64, shorter ones by the rolling hash.
 LONG = 256
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """make()'s result, kept in this worker until another key is asked for: workers live on from stage to stage, and so would what they hold."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 class SpanTable:
     """values(data, starts, ends): the numbers of every span, one after the other, and how many each has.
 
@@ -25,7 +36,7 @@ class SpanTable:
         self.work, self.dtype = work, dtype
         self.n = self.kept = 0  # rows in use, and those that can be found again
         self.keys = np.zeros(1 << 16, np.uint64)  # open addressing: a hash, and its row where one is kept
-        self.rows = np.full(1 << 16, -1, np.int64)
+        self.rows = np.full(1 << 16, -1, np.int32)
         self.flat = np.zeros(1 << 12, self.dtype)
         self.cuts = np.zeros(1 << 10, np.int64)  # where each row's numbers start, and the end of the last
 
@@ -70,8 +81,10 @@ class SpanTable:
         if 2 * self.n > len(self.keys):
             kept = self.rows >= 0
             old = self.keys[kept], self.rows[kept]
-            size = 1 << (4 * self.n - 1).bit_length()
-            self.keys, self.rows = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
+            size = 2 * len(self.keys)
+            while size < 2 * self.n:
+                size *= 2
+            self.keys, self.rows = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
             self._put(*old)
         self._put(hashes, np.arange(n, self.n))
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import flat, grams
-from lodestack.llm.spantable import SpanTable
+from lodestack.llm.shared import packed
+from lodestack.llm.spantable import SpanTable, kept
 
 #: Labelled rows that a model is fitted on, of each label, and bytes of the longest text among them.
 SAMPLE_PER_LABEL, SAMPLE_BYTES = 4000, 20_000
@@ -88,10 +89,7 @@ class Model:
 
     def scores(self, texts: pa.Array) -> pa.Array:
         """Probability of the toxic class, of each text's most toxic passage; a text without a word scores 0."""
-        table = _tables.get(self.name)
-        if table is None:
-            _tables.clear()
-            table = _tables[self.name] = SpanTable(self.word_scores, np.float32)
+        table = kept(("toxicity", self.name), lambda: SpanTable(self.word_scores, np.float32))
         out = np.full(len(texts), -np.inf)
         for low, high, data, offsets in flat.pieces(texts):
             data = flat.LOWER[data]
@@ -103,9 +101,6 @@ class Model:
             return pa.array(1 / (1 + np.exp(-(out + self.shift))))
 
 
-_tables: dict[str, SpanTable] = {}
-
-
 def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed: int = 11) -> Model:
     """A model of the texts' labels: bucket vectors and the softmax, trained jointly by gradient descent.
 
@@ -245,5 +240,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those that score threshold or more; all columns stay."""
-    scored = with_scores(docs.withColumnsRenamed({"score": "__score"}), fit_on(docs, labels)).where(F.col("score") < threshold)
-    return scored.drop("score").withColumnsRenamed({"__score": "score"})
+    return with_scores(packed(docs, "text"), fit_on(docs, labels)).where(F.col("score") < threshold).select("row.*")
