@@ -89,11 +89,15 @@ def toml_blocks(items: DataFrame, terms: Column) -> DataFrame:
     return out.select(*SEGMENT)
 
 
+#: What the parser raises for texts that are no source, among them ones nested too deeply.
+UNREADABLE = (SyntaxError, ValueError, MemoryError, RecursionError)
+
+
 def key_blocks(text: str) -> list[dict]:
     """Keys of a JSON object to a depth of two, deeper under some; each with its value inside its own path."""
     try:
         top = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return []
     found: list[dict] = []
     waiting = [((), top)]
@@ -142,7 +146,7 @@ def python_symbols(text: str) -> list[dict]:
     """Imports, functions, classes and methods of a Python source; of long ones the head and the body in chunks. Nothing if it does not parse."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except UNREADABLE:
         return []
     lines, found = text.splitlines(), []
     named = [n for n in tree.body if isinstance(n, (*FUNCTIONS, ast.ClassDef))]
@@ -176,7 +180,7 @@ def python_facts(text: str) -> dict:
     """Top-level symbols, and of every import the names to try, in order."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except UNREADABLE:
         return {"symbols": [], "imports": []}
     wanted = []
     for n in ast.walk(tree):

@@ -63,20 +63,23 @@ def critical_tokens(path: Column | str, text: Column | str) -> Column:
 
 def count(text: str) -> int:
     """estimate_tokens() for the helpers below."""
-    return (sum(1 if c < "\x80" else 4 for c in text) + 3) // 4
+    return (len(text) + 3 * (len(text) - len(text.encode("ascii", "ignore"))) + 3) // 4
 
 
 def head(text: str, tokens: int) -> str:
+    ahead = text[: 4 * max(tokens, 0)]
+    if ahead.isascii():
+        return ahead
     used = 0
-    for i, c in enumerate(text):
+    for i, c in enumerate(ahead):
         used += 1 if c < "\x80" else 4
         if used > 4 * tokens:
-            return text[:i]
-    return text
+            return ahead[:i]
+    return ahead
 
 
 def tail(text: str, tokens: int) -> str:
-    return head(text[::-1], tokens)[::-1]
+    return head(text[: -4 * max(tokens, 0) - 1 : -1], tokens)[::-1]
 
 
 def ends(text: str, limit: int) -> tuple[str, str]:
