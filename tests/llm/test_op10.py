@@ -46,7 +46,11 @@ def plain(codes, asked):
         if c:
             classes.setdefault(tuple(c), []).append(i)
     named = {min(x for x in ids if x is not None): (c, any(asked(x) for x in ids if x is not None)) for c, ids in classes.items() if set(ids) != {None}}
-    starts = lambda c: [(i, x) for i, x in enumerate(c) if i == 0 or c[i - 1] != x]
+
+    def starts(c):
+        runs = [i for i, x in enumerate(c) if i == 0 or c[i - 1] != x]
+        return [(p, (c[p], c[q], q - p)) for p, q in zip(runs, runs[1:])] or [(0, (c[0], 0, -1))]
+
     out = {}
     for q, (cq, is_asked) in named.items():
         for r, (cr, _) in named.items() if is_asked else ():
