@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.shared import packed
+from lodestack.llm.shared import packed, saved
 
 #: Code points of the shortest key that counts, and documents that must hold it.
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -52,7 +52,8 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     flips is the bitmap of kept lines, compressed to the places where it changes: lines are kept
     before the first, dropped from there to the second, kept from there to the third, and so on.
     """
-    lost = _lines(docs).join(repeated_keys(docs), ["h1", "h2"]).where("doc_id <> keeper")
+    repeated = saved(repeated_keys(docs), "repeated-lines")  # with a shuffle of its own Spark splits the tasks of hot lines
+    lost = _lines(docs).join(repeated, ["h1", "h2"]).where("doc_id <> keeper")
     lost = lost.groupBy("doc_id", "_copy").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     starts = F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) != p - 1))
     ends = F.filter("at", lambda p, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != p + 1))
