@@ -36,10 +36,20 @@ def greedy(segs: DataFrame, limit: int) -> DataFrame:
 
     A fold over each item's own segments; a running sum would stop at the first that does not fit.
     """
+    rows = _taken(segs, limit, [])
+    return rows.where("size(t) > 0").select("path", *_placed())
+
+
+def _placed() -> tuple[Column, Column]:
+    return F.array_join(F.transform("t", lambda s: s["text"]), SEPARATOR).alias("excerpt"), F.transform("t", lambda s: s["anchor"]).alias("anchors")
+
+
+def _taken(segs: DataFrame, limit: int, more: list[Column]) -> DataFrame:
+    """Per path the segments that greedy() takes, as t, and more aggregates."""
     gap = math.ceil(len(SEPARATOR) / 4)
-    rows = segs.withColumns({"text": strip("text")}).where("text <> ''").withColumn("n", estimate_tokens("text"))
-    one = F.struct((-F.col("priority")).alias("p"), "seg", "n", "anchor", "text")
-    rows = rows.groupBy("path").agg(F.sort_array(F.collect_list(one)).alias("ranked"))
+    rows = segs.withColumns({"text": strip("text")}).withColumn("n", estimate_tokens("text"))
+    one = F.when(F.col("text") != "", F.struct((-F.col("priority")).alias("p"), "seg", "n", "anchor", "text"))
+    rows = rows.groupBy("path").agg(F.sort_array(F.collect_list(one)).alias("ranked"), *more)
     empty = F.filter("ranked", lambda s: F.lit(False))
 
     def take(state: Column, s: Column) -> Column:
@@ -49,8 +59,7 @@ def greedy(segs: DataFrame, limit: int) -> DataFrame:
 
     taken = F.aggregate("ranked", F.struct(F.lit(0).cast("bigint").alias("used"), empty.alias("taken")), take, lambda s: s["taken"])
     placed = F.array_sort(F.transform(taken, lambda s: F.struct(s["seg"], s["anchor"], s["text"])))
-    rows = rows.select("path", placed.alias("t")).where("size(t) > 0")
-    return rows.select("path", F.array_join(F.transform("t", lambda s: s["text"]), SEPARATOR).alias("excerpt"), F.transform("t", lambda s: s["anchor"]).alias("anchors"))
+    return rows.withColumn("t", placed)
 
 
 def critical_tokens(path: Column | str, text: Column | str) -> Column:
@@ -185,10 +194,10 @@ def _ladders(
 def excerpts(items: DataFrame, terms: Column, limit: int, segs: DataFrame | None = None) -> DataFrame:
     """items (path, content, artifact_type) with excerpt, the struct of EXCERPT. Segments don't depend on the limit and can be given."""
     segs = segments(items, terms) if segs is None else segs
-    chosen = greedy(segs, limit)
-    own = segs.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seg", "anchor", "summary", "priority", "snippet"))).alias("_segs"))
+    own = F.sort_array(F.collect_list(F.struct("seg", "anchor", "summary", "priority", "snippet"))).alias("_segs")
+    chosen = _taken(segs, limit, [own]).select("path", *(c.alias(n) for c, n in zip(_placed(), ("_structured", "_anchors"))), "_segs")
     text = strip("content")
-    rows = items.join(chosen.withColumnsRenamed({"excerpt": "_structured", "anchors": "_anchors"}), "path", "left").join(own, "path", "left")
+    rows = items.join(chosen, "path", "left")
     critical = F.when(F.col("artifact_type") == "contract", critical_tokens("path", text)).otherwise(F.array().cast("array<string>"))
     made = F.arrow_udf(_ladders, EXCERPT)("path", text, "artifact_type", strategy("path"), "_structured", "_anchors", "_segs", critical, F.lit(limit))
     return rows.withColumn("excerpt", made).drop("_structured", "_anchors", "_segs")
