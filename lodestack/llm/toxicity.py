@@ -128,6 +128,7 @@ def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed:
     del words, parts
     at = np.cumsum(counts) - counts
     n = np.diff(upto)
+    del texts
     vectors = rng.uniform(-1e-3, 1e-3, (BUCKETS, WIDTH)).astype(np.float32)  # next to nothing for n-grams that are never met
     soft, bias = rng.normal(0, 0.5, (2, WIDTH)).astype(np.float32), np.zeros(2, np.float32)
     memory, memory_soft = np.full((BUCKETS, WIDTH), 1e-6, np.float32), np.full((2, WIDTH), 1e-6, np.float32)
@@ -161,7 +162,12 @@ def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed:
     def best_passages() -> tuple[np.ndarray, np.ndarray]:
         weights = vectors @ (soft[1] - soft[0])
         scores = np.concatenate([np.add.reduceat(weights[buckets[at[i] : at[i] + counts[i : i + 50_000].sum()]], at[i : i + 50_000] - at[i]) for i in range(0, len(at), 50_000)]) / counts
-        return passage_means(scores[word], upto)
+        best, start = np.full(len(n), -np.inf), np.full(len(n), -1)
+        for i in range(0, len(n), 250):  # some texts at a time: there is a mean for every place of a passage
+            k = min(i + 250, len(n))
+            best[i:k], start[i:k] = passage_means(scores[word[upto[i] : upto[k]]], upto[i : k + 1] - upto[i])
+            start[i:k] += np.where(start[i:k] >= 0, upto[i], 0)
+        return best, start
 
     anywhere = lambda rows: upto[rows] + rng.integers(0, np.maximum(1, n[rows] - PASSAGE + 1))
     for epoch in range(EPOCHS):
