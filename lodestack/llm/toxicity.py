@@ -101,12 +101,12 @@ class Model:
             return pa.array(1 / (1 + np.exp(-(out + self.shift))))
 
 
-def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed: int = 11) -> Model:
+def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed: int = 11, toxic_rows: int | None = None) -> Model:
     """A model of the texts' labels: bucket vectors and the softmax, trained jointly by gradient descent.
 
     Passages are drawn at random first. Then each text gives its most toxic passage under the model so
-    far, and a random one if its label is 0. clean_rows: how many rows the texts of label 0 stand for,
-    when the threshold is set. Without texts of both labels every text scores 0.1.
+    far, and a random one if its label is 0. clean_rows, toxic_rows: how many rows the texts of label 0
+    and of label 1 stand for, when the threshold is set. Without texts of both labels every text scores 0.1.
     """
     y = np.array(toxic, np.int64)
     if len(set(toxic)) < 2:
@@ -188,7 +188,8 @@ def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed:
     weights = (vectors @ (soft[1] - soft[0])).astype(np.float32)
     best, _ = best_passages()
     held &= n > 0
-    weight = np.where(y == 1, 1.0, (clean_rows or 0) / max(1, (y == 0).sum()) if clean_rows else 1.0)
+    stand_for = [rows / max(1, (y == label).sum()) if rows else 1.0 for label, rows in enumerate((clean_rows, toxic_rows))]
+    weight = np.where(y == 1, stand_for[1], stand_for[0])
     return Model(weights, -_threshold(best[held], y[held], weight[held]))
 
 
@@ -216,15 +217,16 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL
 
     docs: doc_id, text; labels: doc_id, toxic. Repeated labels of a doc_id count as toxic if one does;
     of rows that repeat a doc_id one text is taken. Null labels, ids and texts, and texts over
-    most_bytes bytes, are not learned from.
+    most_bytes bytes, are not learned from. For the threshold each row of the sample stands for as many
+    labels as there are of its kind, so that it follows the labels' shares and not the sample's.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(learned_from(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("_order", F.xxhash64("doc_id"))
-    clean = known.where("toxic = 0").count()
+    counts = {r.toxic: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     rows = known.where("toxic = 1").orderBy("_order").limit(per_label).union(known.where("toxic = 0").orderBy("_order").limit(per_label))
     texts = docs.select("doc_id", "text").where(f"octet_length(text) <= {most_bytes}").join(F.broadcast(rows), "doc_id")
     sample = sorted({r.doc_id: (r.doc_id, r.text, r.toxic) for r in texts.select("doc_id", "text", "toxic").orderBy("doc_id", "text").collect()}.values())
-    return fit([t for _, t, _ in sample], [int(x) for _, _, x in sample], clean)
+    return fit([t for _, t, _ in sample], [int(x) for _, _, x in sample], counts.get(0), toxic_rows=counts.get(1))
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:

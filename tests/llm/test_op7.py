@@ -66,3 +66,19 @@ def test_no_labels_and_empty_tables(spark, tables):
     _, docs, labels = tables
     assert {r.predicted for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_threshold_is_the_same_at_every_size(spark):
+    """Ten times as many labels of either kind, with the same sample, leave the threshold where it is."""
+    half = spark.range(60_000).where(toxicity.learned_from(F.col("id"))).select("id", (F.xxhash64("id") < 0).alias("low")).orderBy("id").collect()
+    low, high = [r.id for r in half if r.low], [r.id for r in half if not r.low]
+    rng = random.Random(5)
+    data = [(d, t, y if rng.random() < 0.8 else 1 - y) for d, (_, t, y) in zip(low, rows(600, seed=8))]  # some labels are wrong
+    bad = sum(y for *_, y in data)
+    more = [(d, int(k < 9 * bad)) for k, d in enumerate(high[: 9 * len(data)])]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in data], "doc_id bigint, text string")
+    few, many = ([(d, y) for d, _, y in data], [*((d, y) for d, _, y in data), *more])
+    models = [toxicity.fit_on(docs, spark.createDataFrame(x, "doc_id bigint, toxic int"), per_label=150) for x in (few, many)]
+    assert min(bad, len(data) - bad) > 150 and np.array_equal(models[0].weights, models[1].weights)
+    assert models[0].shift == models[1].shift
+    assert toxicity.fit(["grobnix ta", "ta no"] * 40, [1, 0] * 40, 40, toxic_rows=40).shift == toxicity.fit(["grobnix ta", "ta no"] * 40, [1, 0] * 40).shift
