@@ -20,7 +20,7 @@ SPAN, STEPS = 8, (-0.25, 0.0, 0.25)
 #: Filters by rule: over four bands of pitch classes, upper against lower half, first against second half of
 #: the time, both at once, and the middle against the sides of the time.
 FILTERS = [(kind, low, height) for low, height in ((0, 12), (0, 6), (6, 6), (3, 6)) for kind in ("pitch", "time", "both", "middle")]
-#: Equal pairs of codes at one offset, codes that overlap, and the part of their bits that may differ.
+#: Equal codes at one offset, codes that overlap, and the part of their bits that may differ.
 MIN_VOTES, MIN_OVERLAP, MAX_BIT_ERRORS = 1, 16, 0.15
 
 
@@ -94,15 +94,9 @@ def fingerprint(media: Column) -> Column:
 
 
 def _seeds(classes: DataFrame) -> DataFrame:
-    """(class_id, pos, code, next, gap) where a code starts: with the next code that differs, and how far on that stands.
-
-    Codes that stay the same, as in silence, give one seed. Two codes and their distance rarely agree by
-    chance, so the seeds that meet follow the recordings that match. A recording of one code has one seed.
-    """
-    starts = F.expr("filter(sequence(0, size(codes) - 1), i -> i = 0 or codes[i] <> codes[i - 1])")
-    pairs = "transform(slice(starts, 1, size(starts) - 1), (p, r) -> named_struct('pos', p, 'code', codes[p], 'next', codes[starts[r + 1]], 'gap', starts[r + 1] - p))"
-    alone = "array(named_struct('pos', 0, 'code', codes[0], 'next', 0, 'gap', -1))"
-    return classes.select("class_id", "codes", starts.alias("starts")).select("class_id", F.inline(F.expr(f"if(size(starts) = 1, {alone}, {pairs})")))
+    """(class_id, size of codes, pos, code) where a code starts; codes that stay the same, as in silence, give one seed."""
+    starts = "transform(sequence(0, size(codes) - 1), i -> if(i = 0 or codes[i] <> codes[i - 1], named_struct('pos', i, 'code', codes[i]), null))"
+    return classes.select("class_id", F.size("codes").alias("size"), F.inline(F.filter(F.expr(starts), lambda s: s.isNotNull())))
 
 
 def align(recordings: DataFrame, queries: Column, min_votes: int = MIN_VOTES, min_overlap: int = MIN_OVERLAP, max_bit_errors: float = MAX_BIT_ERRORS) -> tuple[DataFrame, DataFrame]:
@@ -110,11 +104,12 @@ def align(recordings: DataFrame, queries: Column, min_votes: int = MIN_VOTES, mi
 
     recordings: id and codes. Recordings with equal codes are one class, named by the smallest id; those
     without codes or without any id in their class have none. queries: a condition on id; classes with
-    such a member are looked for among all. Equal pairs of codes vote for the difference of their places, and
+    such a member are looked for among all. Equal codes, where they start, vote for the difference of their places, and
     differences with min_votes are verified: of the codes that overlap, at least min_overlap, no more than
     max_bit_errors of the bits may differ. A pair's best place is that with the longest overlap less its
     errors (ties: the smallest offset: the place in class_id's recording less that in the query's). A
-    class matches itself. Copies are never made into pairs, and no pair is left out.
+    class matches itself. Copies are never made into pairs. A place where no code starts in both recordings
+    at once is not verified. Codes that agree by chance are joined too, and such rows grow with the square of the input.
     """
     full = F.size("codes") > 0
     keyed = recordings.select("id", "codes", F.when(full, F.xxhash64("codes")).alias("_k1"), F.when(full, F.xxhash64(F.lit(1), "codes")).alias("_k2"))
@@ -123,13 +118,17 @@ def align(recordings: DataFrame, queries: Column, min_votes: int = MIN_VOTES, mi
     groups = cut(groups.where("class_id is not null"))
     members = keyed.join(groups.select("_k1", "_k2", "class_id"), ["_k1", "_k2"], "left").select("id", "class_id")
     asked = groups.where("asked")
-    seeds = _seeds(asked).select(F.col("class_id").alias("query_class"), F.col("pos").alias("_qpos"), "code", "next", "gap")
-    votes = _seeds(groups).join(seeds, ["code", "next", "gap"]).groupBy("class_id", "query_class", (F.col("pos") - F.col("_qpos")).alias("offset")).count().where(F.col("count") >= min_votes)
-    both = votes.join(groups.select("class_id", "codes"), "class_id").join(asked.select(F.col("class_id").alias("query_class"), F.col("codes").alias("_asked")), "query_class")
+    offset = F.col("pos") - F.col("_qpos")
+    shared = lambda n, m: F.least(n - F.greatest(F.col("offset"), F.lit(0)), m - F.greatest(-F.col("offset"), F.lit(0)))
+    seeds = _seeds(asked).select(F.col("class_id").alias("query_class"), F.col("size").alias("_qsize"), F.col("pos").alias("_qpos"), "code")
+    votes = _seeds(groups).join(seeds, "code").withColumn("offset", offset).where(shared(F.col("size"), F.col("_qsize")) >= min_overlap)
+    votes = votes.groupBy("class_id", "query_class", "offset").count().where(F.col("count") >= min_votes)
+    # the queries' codes first: a query's votes stand side by side then, and its codes take little room in the shuffle to the classes
+    both = votes.join(asked.select(F.col("class_id").alias("query_class"), F.col("codes").alias("_asked")), "query_class").join(groups.select("class_id", "codes"), "class_id")
     first, begin = F.greatest(F.col("offset"), F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    overlap = F.least(F.size("codes") - first, F.size("_asked") - begin)
-    both = both.withColumn("overlap", overlap).where(F.col("overlap") >= min_overlap)
-    differ = F.zip_with(F.slice("codes", first + 1, F.col("overlap")), F.slice("_asked", begin + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    both = both.withColumn("overlap", shared(F.size("codes"), F.size("_asked")))
+    # bit_count widens an int, and would count its sign 33 times
+    differ = F.zip_with(F.slice("codes", first + 1, F.col("overlap")), F.slice("_asked", begin + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))))
     both = both.withColumn("bit_errors", F.aggregate(differ, F.lit(0), lambda s, d: s + d)).where(F.col("bit_errors") <= F.col("overlap") * 32 * max_bit_errors)
     best = F.min_by(F.struct("offset", "overlap", "bit_errors"), F.struct(F.col("bit_errors") - 32 * F.col("overlap"), "offset"))
     return members, both.groupBy("class_id", "query_class").agg(best.alias("_best")).select("class_id", "query_class", "_best.*")

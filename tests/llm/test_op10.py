@@ -101,3 +101,27 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "id bigint, codes array<int>")
     members, matches = chroma.align(none, F.col("id") % 10 == 0)
     assert members.count() == matches.count() == 0
+
+
+def test_recall_against_all_offsets(spark):
+    """Every verified place counts, with or without two equal runs in a row: bit errors in every other run, and one run alone."""
+    rng = np.random.default_rng(4)
+    base = [np.repeat(rng.integers(-(2**31), 2**31, 30), 2) for _ in range(4)]
+    broken = []
+    for c in base:  # every other run has one bit flipped
+        broken.append(np.where(np.arange(60) // 2 % 2 == 0, c, c ^ 4))
+    broken[3] = np.where(np.arange(60) // 2 % 2 == 0, base[3], base[3] ^ -(2**31))  # the highest bit is one bit, too
+    one = [(90, [7] * 20), (91, [7] * 30), (92, [7] * 20 + [9])]
+    data = [(i * 10, c.tolist()) for i, c in enumerate(base)] + [(100 + i, c[4 * i :].tolist()) for i, c in enumerate(broken)] + one
+    expect = {}
+    for q, cq in data:
+        for r, cr in data if q % 10 == 0 else ():
+            for offset in range(-len(cq), len(cr)):
+                pairs = [(cr[j], cq[j - offset]) for j in range(max(offset, 0), min(len(cr), len(cq) + offset))]
+                errors = sum(((a ^ b) & 0xFFFFFFFF).bit_count() for a, b in pairs)
+                if len(pairs) >= chroma.MIN_OVERLAP and errors <= chroma.MAX_BIT_ERRORS * 32 * len(pairs):
+                    expect[r, q] = min(expect.get((r, q), (0, 0, 0, 0)), (errors - 32 * len(pairs), offset, len(pairs), errors))
+    frame = spark.createDataFrame(data, "id bigint, codes array<int>")
+    _, matches = chroma.align(frame, F.col("id") % 10 == 0)
+    assert {(r.class_id, r.query_class): (r.offset, r.overlap, r.bit_errors) for r in matches.collect()} == {k: v[1:] for k, v in expect.items()}
+    assert all((100 + i, 10 * i) in expect for i in range(4)) and (91, 90) in expect and (92, 90) in expect
