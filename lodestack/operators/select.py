@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import paths
@@ -53,24 +53,21 @@ def include_minus_exclude(items: DataFrame, include: list[str], exclude: list[st
 
 
 def mentioned_paths(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """(path, ord) of items that texts (ord, text) name, in the order of the first mention.
+    """(path, ord) of items that texts (ord, text) name; ord, a struct, sorts by the first mention.
 
     A token that is an item's path names it; the second mention of such a path, and any other token,
-    names all items of its last part. Two equality joins on the tokens of the texts.
+    names all items of its last part. Only the first mention of a path and of a last part meets the items.
     """
     tokens = texts.select(F.col("ord").alias("_text"), F.posexplode(F.regexp_extract_all("text", F.lit(PATH_PATTERN), F.lit(0))).alias("_at", "_raw"))
     tokens = tokens.select("_text", "_at", normal_pattern("_raw").alias("token")).withColumn("base", paths.name("token"))
     known = items.select("path", paths.name("path").alias("base"))
-    whole = tokens.join(known.select("path"), F.col("token") == F.col("path"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("token").orderBy("_text", "_at"))
-    firsts = whole.withColumn("_nth", nth)
-    exact = firsts.where("_nth = 1").select(F.col("token").alias("path"), "_text", "_at", F.lit("").alias("_order"))
+    place = F.struct("_text", "_at")
+    exact = tokens.groupBy("token").agg(F.min(place).alias("_place")).join(known.select(F.col("path").alias("token")), "token", "left_semi")
+    exact = exact.select(F.col("token").alias("path"), "_place._text", "_place._at", F.lit("").alias("_order"))
     # a path that only a later mention of its name has brought in is also a hit by then; the first place counts either way
     loose = tokens.join(exact.select(F.col("path").alias("token"), "_text", "_at"), ["token", "_text", "_at"], "left_anti")
-    loose = loose.join(known, "base").select("path", "_text", "_at", F.col("path").alias("_order"))
-    first = F.min(F.struct("_text", "_at", "_order"))
-    hits = exact.unionByName(loose).groupBy("path").agg(first.alias("_first"))
-    return hits.select("path", F.row_number().over(Window.orderBy("_first", "path")).alias("ord"))
+    loose = loose.groupBy("base").agg(F.min(place).alias("_place")).join(known, "base").select("path", "_place._text", "_place._at", F.col("path").alias("_order"))
+    return exact.unionByName(loose).groupBy("path").agg(F.min(F.struct("_text", "_at", "_order")).alias("ord"))
 
 
 def consumes_contract(content: Column | str) -> Column:

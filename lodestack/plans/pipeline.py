@@ -6,7 +6,7 @@ import json
 import os
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.frames import cut
@@ -64,14 +64,16 @@ def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclus
     included, notes = select.include_minus_exclude(everything.select("path"), list(request.must_include), list(request.must_exclude))
     banned = select.resolve_patterns(everything.select("path"), list(request.must_exclude)).where("path is not null").select("path").distinct()
     said = [request.background, *request.focus_points, *request.questions, *request.known_routes, *request.blockers]
-    named = select.mentioned_paths(spark.createDataFrame(list(enumerate(said)), "ord int, text string"), items.select("path")).select("path", F.col("ord") + 1_000_000)
-    listed = select.resolve_patterns(items.select("path"), list(request.mentioned_paths)).where("path is not null").select("path", "ord")
+    named = select.mentioned_paths(spark.createDataFrame(list(enumerate(said)), "ord int, text string"), items.select("path"))
+    key = lambda kind, *place: F.struct(F.lit(kind).alias("_kind"), *(F.lit(x).cast(t).alias(n) for n, t, x in zip(("_text", "_at", "_order"), ("bigint", "bigint", "string"), place))).alias("ord")
+    named = named.select("path", key(1, F.col("ord._text"), F.col("ord._at"), F.col("ord._order")))
+    listed = select.resolve_patterns(items.select("path"), list(request.mentioned_paths)).where("path is not null").select("path", key(0, F.col("ord"), 0, ""))
     named = listed.union(named).groupBy("path").agg(F.min("ord").alias("ord")).join(banned, "path", "left_anti").join(included, "path", "left_anti")
     if about.retrieval_gate != "full_bundle":
         named = named.join(items.where(F.col("artifact_type").isin(allowed)), "path", "left_semi")
     included, named = cut(included), cut(named)
     room = max(request.max_files - included.count(), 0)
-    mentioned = cut(named.orderBy("ord", "path").limit(room))
+    mentioned = cut(named.orderBy("ord", "path").limit(room).withColumn("ord", F.row_number().over(Window.orderBy("ord", "path"))))
     left = max(room - mentioned.count(), 0)
 
     def ranked(promoted: DataFrame | None) -> DataFrame:

@@ -74,6 +74,25 @@ def test_patterns_and_mentions(spark):
     assert said("nothing", "x.py y.md") == ["a/x.py", "b/x.py", "a/y.md"]
 
 
+def test_mentioned_paths_by_first_mentions(spark):
+    paths = [f"d{i}/x.py" for i in range(20)] + [f"d{i}/y{i}.md" for i in range(20)]
+    items = spark.createDataFrame([(p,) for p in paths], "path string")
+    data = [(k, f"d{k % 7}/x.py of y{k % 5}.md and d9/y9.md on q/x.py" if k > 2 else "d3/y3.md none.txt") for k in range(60)]
+    first = {}
+    for k, said in data:
+        for at, token in enumerate(t for t in said.split() if "." in t):
+            new = token in paths and (token, None) not in first
+            if new:
+                first[token, None] = True
+            for p in [token] if new else [p for p in paths if p.split("/")[-1] == token.split("/")[-1]]:
+                first.setdefault(p, (k, at, "" if new else p))
+    first = {p: v for p, v in first.items() if isinstance(p, str)}
+    got = select.mentioned_paths(spark.createDataFrame(data, "ord int, text string").repartition(5), items)
+    assert {r.path: tuple(r.ord) for r in got.collect()} == first
+    assert [r.path for r in got.orderBy("ord").collect()] == sorted(first, key=first.get)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def body(n):
     return "\n".join(f"    x{i} = {i}" for i in range(n))
 
