@@ -84,7 +84,11 @@ def encode_array(texts: pa.Array, path: str, end: int | None) -> pa.Array:
 
 
 def encode(text: Column, path: str, end: int | None = None) -> Column:
-    """Ids of each whole text (null: empty), and the end id after them."""
+    """Ids of each whole text (null: empty), and the end id after them.
+
+    Rows that repeat a text have equal ids, an empty table gives no rows, other columns are not looked at.
+    A text without white space, however long, is one call of the library.
+    """
     return F.arrow_udf(lambda x: encode_array(x, path, end), "array<int>")(F.coalesce(text, F.lit("")))
 
 
@@ -126,7 +130,10 @@ def positions(rows: DataFrame) -> DataFrame:
     crc = F.arrow_udf(_crc, "bigint")
     at = cut(rows.select("doc_id", "_tie", F.input_file_name().alias("_file"), F.size("ids").cast("bigint").alias("n_tokens"), crc("ids").alias("ids_crc32")))
     sums = at.groupBy("_file").agg(F.sum("n_tokens").alias("_sum"))
-    sums = sums.select("_file", (F.sum("_sum").over(Window.orderBy("_file")) - F.col("_sum")).alias("_before"))  # part-00000 and on, in the ids' order
+    # files are numbered in the ids' order; names alone would sort part-100000 before part-99999
+    number = lambda pattern: F.regexp_extract(F.substring_index("_file", "/", -1), pattern, 1).try_cast("bigint")
+    order = Window.orderBy(number(r"^part-(\d+)"), number(r"c(\d+)\."), "_file")
+    sums = sums.select("_file", (F.sum("_sum").over(order) - F.col("_sum")).alias("_before"))
     inner = F.sum("n_tokens").over(Window.partitionBy("_file").orderBy("doc_id", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at = at.withColumn("_upto", inner - F.col("n_tokens")).join(sums, "_file")
     return at.select("doc_id", (F.col("_before") + F.col("_upto")).alias("start"), "n_tokens", "ids_crc32")

@@ -14,6 +14,44 @@ from lodestack.llm.spantable import SpanTable, kept, lists
 NONE = np.iinfo(np.int32).max
 #: The mark that stands for a space in pieces.
 MARK = "▁"
+#: Characters of a block of a long span: a word has no more rounds of merges than characters.
+BLOCK = 40
+
+
+def _fields(raw: bytes) -> dict[int, object]:
+    """Numbers and bytes of one protobuf message by field; the last of a field counts."""
+    out, at = {}, 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            value, at, shift = value | (byte & 127) << shift, at + 1, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            out[key >> 3] = number()
+        else:
+            size = number() if kind == 2 else 8 if kind == 1 else 4
+            out[key >> 3], at = raw[at : at + size], at + size
+    return out
+
+
+def check_model(proto: bytes) -> None:
+    """Raises unless the model is a BPE one that leaves texts as they are but for a space in front of them."""
+    model = _fields(proto)
+    trainer, normal = _fields(model.get(2, b"")), _fields(model.get(3, b""))
+    # fixed values: the format's field numbers and its defaults
+    kind, table, prefix, squeeze, marks = trainer.get(3, 1), normal.get(2, b""), normal.get(3, 1), normal.get(4, 1), normal.get(5, 1)
+    if kind != 2:
+        raise ValueError("The model is no BPE model")
+    if table or squeeze or not prefix or not marks or trainer.get(24, 0):
+        raise ValueError("The model's normaliser changes texts in ways that are not implemented")
 
 
 class Model:
@@ -23,10 +61,12 @@ class Model:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        check_model(sp.serialized_model_proto())
         self.n, self.end = sp.get_piece_size(), sp.eos_id()
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) for i in range(self.n)]
         pieces = {sp.id_to_piece(i): i for i in range(self.n) if not special[i]}
-        assert not any(sp.is_unused(i) for i in pieces.values())
+        if any(sp.is_unused(i) for i in pieces.values()) or self.end < 0:
+            raise ValueError("Models with unused pieces or without an end id are not implemented")
         chars = sorted({c for p in pieces for c in p})
         beyond = {c: self.n + k for k, c in enumerate(x for x in chars if x not in pieces)}  # stand in pieces, but are none
         self.of_char = np.full(0x110000, -1, np.int32)
@@ -74,19 +114,16 @@ class Model:
         out[near[hit]] = self.rank[self.made[at[hit]]]
         return out
 
-    def merge(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of every span, flat, and how many each has.
+    def _rounds(self, sym: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and symbols of the tokens of words, flat: sym has a symbol per character, starts where each word starts.
 
-        Each round finds every span's best-ranked pair, merges its places from the left where they
-        don't overlap, and closes the gaps; spans without a pair are put aside.
+        Each round finds every word's best-ranked pair, merges its places from the left where they
+        don't overlap, and closes the gaps; words without a pair are put aside.
         """
-        said = [s.decode() for s in spans]
-        sizes = np.fromiter(map(len, said), np.int64, len(said))
-        codes = np.frombuffer("".join(said).replace(" ", MARK).encode("utf-32-le"), np.uint32)
-        word = np.repeat(np.arange(len(said)), sizes)
-        at, sym = np.arange(len(codes)), self.of_char[codes]
-        rank = self._ranks(sym, word)
-        done_at, done_sym = [], []
+        sym = sym.copy()
+        word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(sym))))
+        at, rank = np.arange(len(sym)), self._ranks(sym, word)
+        done_at, done_sym = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         while len(sym):
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             count = np.diff(np.append(first, len(sym)))
@@ -119,12 +156,69 @@ class Model:
                 found = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
                 ok &= self.pair[found] == key
                 rank[side] = np.where(ok, self.rank[self.made[found]], NONE)
-        if not done_at:
-            return np.zeros(0, np.int32), np.zeros(len(said), np.int64)
         at, sym = np.concatenate(done_at), np.concatenate(done_sym)
         order = np.argsort(at, kind="stable")
-        at, sym = at[order], sym[order]
-        of = np.repeat(np.arange(len(said)), sizes)[at]
+        return at[order], sym[order]
+
+    def _holds(self, at: np.ndarray, sym: np.ndarray, right: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Whether the token before each token of right and that token stay two when their characters are merged alone."""
+        key = sym[right - 1].astype(np.int64) * self.size + sym[right]
+        _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
+        low, mid = at[right[one] - 1], at[right[one]]
+        size = np.append(at, len(chars))[right[one] + 1] - low
+        starts = np.cumsum(size) - size
+        tokens, _ = self._rounds(chars[flat.ranges(low, size)], starts)
+        first = np.searchsorted(tokens, starts)
+        two = np.diff(np.append(first, len(tokens))) == 2
+        two[two] = tokens[first[two] + 1] == (starts + mid - low)[two]
+        none = (sym[right - 1] < 0) | (sym[right] < 0)  # characters in no piece
+        return none | two[inverse]
+
+    def _joined(self, at: np.ndarray, sym: np.ndarray, chars: np.ndarray, seams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of whole spans from those of their blocks.
+
+        Two neighbouring strings whose tokens are known have those tokens, too, when they are one string,
+        just if the last token of one and the first of the other stay apart when merged alone: until a
+        first merge over the seam either side goes its own way, and that merge would be made between those
+        two tokens as well. Where they don't stay apart, a few tokens around the seam are merged anew as
+        one string, twice as many each time, and the seams to the left and right of them are looked at.
+        """
+        reach = 2
+        while len(seams):
+            right = np.searchsorted(at, seams)
+            right = right[~self._holds(at, sym, right, chars)]
+            if not len(right):
+                break
+            span = np.searchsorted(bounds, at[right], "right") - 1
+            low = np.maximum(right - reach, np.searchsorted(at, bounds[span]))
+            high = np.minimum(right + reach, np.searchsorted(at, bounds[span + 1]))
+            group = np.flatnonzero(np.concatenate(([True], low[1:] > np.maximum.accumulate(high)[:-1])))
+            low, high = low[group], np.maximum.reduceat(high, group)
+            a, b = at[low], np.append(at, len(chars))[high]
+            starts = np.cumsum(b - a) - (b - a)
+            new_at, new_sym = self._rounds(chars[flat.ranges(a, b - a)], starts)
+            new_at = new_at + (a - starts)[np.searchsorted(starts, new_at, "right") - 1]
+            keep = np.ones(len(at), bool)
+            keep[flat.ranges(low, high - low)] = False
+            at, sym = np.concatenate((at[keep], new_at)), np.concatenate((sym[keep], new_sym))
+            order = np.argsort(at, kind="stable")
+            at, sym = at[order], sym[order]
+            seams = np.setdiff1d(np.concatenate((a, b)), bounds)
+            reach *= 2
+        return at, sym
+
+    def merge(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of every span, flat, and how many each has. Long spans are merged in blocks, so that rounds stay few."""
+        said = [s.decode() for s in spans]
+        sizes = np.fromiter(map(len, said), np.int64, len(said))
+        codes = np.frombuffer("".join(said).replace(" ", MARK).encode("utf-32-le"), np.uint32)
+        chars = self.of_char[codes]
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        blocks = np.maximum(sizes // BLOCK, 1)
+        starts = np.repeat(bounds[:-1], blocks) + BLOCK * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        at, sym = self._rounds(chars, starts[np.repeat(sizes, blocks) > 0])
+        at, sym = self._joined(at, sym, chars, np.setdiff1d(starts, bounds), np.unique(bounds))
+        of = np.searchsorted(bounds, at, "right") - 1
         width = np.ones(len(sym), np.int64)
         odd = np.flatnonzero((sym < 0) | (sym >= self.n))
         if len(odd):  # characters that are no piece: their bytes
@@ -194,10 +288,15 @@ def model(path: str) -> Model:
 
 
 def encode(text: Column, path: str, end: bool = True) -> Column:
-    """Ids of each whole text (null: empty) by the model in path, with its end id if asked for."""
+    """Ids of each whole text (null: empty) by the model in path, with its end id if asked for.
+
+    An empty text has no ids but the end id. Rows that repeat a text have equal ids, an empty table gives no
+    rows, other columns are not looked at. Texts of any length are encoded whole, in time that grows with
+    their length also where they have no spaces or repeat a few characters. See check_model for models.
+    """
     return F.arrow_udf(lambda x: model(path).encode(x, end), "array<int>")(F.coalesce(text, F.lit("")))
 
 
 def decode(ids: Column, path: str) -> Column:
-    """Texts of arrays of ids; a null array gives an empty text."""
+    """Texts of arrays of ids of any length; null and empty arrays give an empty text, ids that the model has not are read as the library reads them."""
     return F.arrow_udf(lambda x: model(path).decode(x), "string")(ids)

@@ -9,8 +9,8 @@ import xxhash
 
 from lodestack.llm import flat
 
-#: Different spans that one worker remembers; others are worked out wherever they are met.
-REMEMBERED = 5 << 17
+#: Different spans that one worker remembers, and bytes of them; others are worked out wherever they are met.
+REMEMBERED, REMEMBERED_BYTES = 5 << 17, 32 << 20
 #: Spans over so many bytes are hashed whole by XXH64, shorter ones by the rolling hash.
 LONG = 256
 
@@ -29,7 +29,8 @@ def kept(key: tuple, make: Callable):
 class SpanTable:
     """values(data, starts, ends): the numbers of every span, one after the other, and how many each has.
 
-    work takes a list of different spans (bytes) and returns their numbers, flat, and the counts.
+    work takes a list of spans (bytes) and returns their numbers, flat, and the counts. Spans are found by
+    hash and taken for equal only if their bytes are.
     """
 
     def __init__(self, work: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype=np.int32):
@@ -39,6 +40,8 @@ class SpanTable:
         self.rows = np.full(1 << 16, -1, np.int32)
         self.flat = np.zeros(1 << 12, self.dtype)
         self.cuts = np.zeros(1 << 10, np.int64)  # where each row's numbers start, and the end of the last
+        self.text = np.zeros(1 << 12, np.uint8)  # the same of each row's bytes
+        self.text_cuts = np.zeros(1 << 10, np.int64)
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The row of every hash, -1 if there is none, and the place where its search ended."""
@@ -65,17 +68,19 @@ class SpanTable:
             rest[one] = False
             hashes, rows = hashes[rest], rows[rest]
 
-    def _add(self, hashes: np.ndarray, spans: list[bytes]) -> None:
+    def _append(self, spans: list[bytes]) -> None:
+        """Rows of spans, from self.n on."""
         numbers, counts = self.work(spans)
-        n, used = self.n, int(self.cuts[self.n])
-        if used + len(numbers) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(used + len(numbers), self.dtype)))
-        self.flat[used : used + len(numbers)] = numbers
-        if n + len(hashes) + 1 > len(self.cuts):
-            self.cuts = np.concatenate((self.cuts, np.zeros(n + len(hashes) + 1, np.int64)))
-        self.cuts[n + 1 : n + len(hashes) + 1] = used + np.cumsum(counts)
-        self.n = n + len(hashes)
-        if self.n > REMEMBERED:
+        raw = np.frombuffer(b"".join(spans), np.uint8)
+        n, more = self.n, len(spans)
+        self.flat, self.cuts = _grown(self.flat, self.cuts, n, numbers, counts)
+        self.text, self.text_cuts = _grown(self.text, self.text_cuts, n, raw, np.fromiter(map(len, spans), np.int64, more))
+        self.n = n + more
+
+    def _add(self, hashes: np.ndarray, spans: list[bytes]) -> None:
+        n = self.n
+        self._append(spans)
+        if self.n > REMEMBERED or self.text_cuts[self.n] > REMEMBERED_BYTES:
             return
         self.kept = self.n
         if 2 * self.n > len(self.keys):
@@ -88,6 +93,17 @@ class SpanTable:
             self._put(*old)
         self._put(hashes, np.arange(n, self.n))
 
+    def _differ(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The spans whose bytes are not those of their rows."""
+        low, size = self.text_cuts[rows], ends - starts
+        other = self.text_cuts[rows + 1] - low != size
+        same = np.flatnonzero(~other)
+        unlike = data[flat.ranges(starts[same], size[same])] != self.text[flat.ranges(low[same], size[same])]
+        if unlike.any():
+            owner = np.repeat(same, size[same])
+            other[owner[unlike]] = True
+        return np.flatnonzero(other)
+
     def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The row of every span in flat and cuts."""
         hashes = flat.span_hashes(data, starts, ends)
@@ -97,11 +113,18 @@ class SpanTable:
         self.n = self.kept
         rows, _ = self._find(hashes)
         miss = np.flatnonzero(rows < 0)
+        of = lambda which: [raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist())]
+        raw = data.tobytes()
         if len(miss):
             unique, first, inverse = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            raw, n, at = data.tobytes(), self.n, miss[first]
-            self._add(unique, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            n = self.n
+            self._add(unique, of(miss[first]))
             rows[miss] = n + inverse
+        odd = self._differ(data, starts, ends, rows)
+        if len(odd):  # other spans of the same hash: worked out here and not remembered
+            n = self.n
+            self._append(of(odd))
+            rows[odd] = np.arange(n, self.n)
         return rows
 
     def values(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +133,18 @@ class SpanTable:
         return self.flat[flat.ranges(self.cuts[rows], counts)], counts
 
 
+def _grown(values: np.ndarray, cuts: np.ndarray, n: int, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values and cuts of n rows with more rows after them."""
+    used = int(cuts[n])
+    if used + len(more) > len(values):
+        values = np.concatenate((values, np.zeros(used + len(more), values.dtype)))
+    values[used : used + len(more)] = more
+    if n + len(counts) + 1 > len(cuts):
+        cuts = np.concatenate((cuts, np.zeros(n + len(counts) + 1, np.int64)))
+    cuts[n + 1 : n + len(counts) + 1] = used + np.cumsum(counts)
+    return values, cuts
+
+
 def lists(numbers: np.ndarray, counts: np.ndarray, first_span: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and offsets per row, where row i has the spans from first_span[i] to first_span[i + 1]; end closes every row."""
     upto = np.concatenate(([0], np.cumsum(counts)))[first_span]

@@ -1,6 +1,7 @@
 """Token ids in ORC and SentencePiece BPE against the libraries themselves."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -42,6 +43,33 @@ def test_pieces_are_the_librarys(spark, rows):
         assert r.ids == expect and r.back == library.decode(expect)
 
 
+def test_long_texts_without_spaces_are_the_librarys_and_take_time_that_grows_with_them():
+    m = piecebpe.Model(vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    long = ["the" * 33000, some([chr(c) for c in range(0x430, 0x450)], 60000), some("abcdefghijklmnopqrstuvwxyz", 100000), "a" * 50001, "-=" * 9000 + "-" * 77, some(["tion", "ing", "inter", "национ"], 8000)]
+    short = [some(rng.choice(["abc", "the", "ing", "aAbB12 ", "абвг", "the ", "中文a", "==--", "aaab", "a😀b"]), rng.randint(1, 500)) for _ in range(500)]
+    start = time.perf_counter()
+    expect = [m.library.encode(t) for t in long]
+    allowed = 1 + 40 * (time.perf_counter() - start)
+    start = time.perf_counter()
+    got = m.encode(pa.array(long), False).to_pylist()
+    assert time.perf_counter() - start < allowed
+    assert got == expect
+    assert m.encode(pa.array(short), False).to_pylist() == [m.library.encode(t) for t in short]
+
+
+def test_other_models_are_refused():
+    def message(*fields):
+        return b"".join(bytes([k << 3 | 2, len(v)]) + v if isinstance(v, bytes) else bytes([k << 3, v]) for k, v in fields)
+
+    good = (2, message((3, 2))), (3, message((4, 0)))
+    piecebpe.check_model(message(*good))
+    for bad in [(good[1],), (good[0],), (good[0], (3, message((4, 0), (2, b"table")))), (good[0], (3, message((4, 0), (3, 0))))]:
+        with pytest.raises(ValueError):
+            piecebpe.check_model(message(*bad))
+
+
 def test_decoding_any_ids():
     m = piecebpe.model(vocabulary("piece_bpe_32k.model"))
     rng = random.Random(2)
@@ -61,6 +89,40 @@ def test_spans_are_worked_out_alike_beyond_the_memory(monkeypatch, remembered):
         assert numbers.astype(np.uint8).tobytes() == b"".join(words) and counts.tolist() == [len(w) for w in words]
 
 
+def test_spans_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(spantable.flat, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    table = spantable.SpanTable(lambda spans: (np.array([s[0] for s in spans], np.int32), np.ones(len(spans), np.int64)))
+    for words in ([b"ab", b"cd", b"ab", b"e"], [b"cd", b"xy", b"f", b"e"]):
+        ends = np.cumsum([len(w) for w in words])
+        numbers, _ = table.values(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends)
+        assert numbers.tolist() == [w[0] for w in words]
+
+
+def test_readers_skip_by_index_and_bloom_filter(spark):
+    """Even ids only: an odd one lies between every index entry's ends, so that only the Bloom filter can leave a row group out."""
+    import pyarrow.orc
+
+    out = new_path(spark, "orc")
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    bytebpe.write_ids(docs, out, vocabulary("byte_bpe_50k.json"), 2, parts=1)
+
+    def rows_read(doc_id):
+        found = bytebpe.read_ids(spark, out, [doc_id])
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        metrics = leaves.apply(0).metrics().get("numOutputRows")
+        return len(rows), metrics.get().value()
+
+    assert rows_read(20_000) == (1, bytebpe.ROW_INDEX_STRIDE)
+    assert rows_read(20_001) == (0, 0)
+    (file,) = [x[5:] if x.startswith("file:") else x for x in spark.read.orc(out).inputFiles()]
+    stored = pyarrow.orc.ORCFile(file)
+    assert stored.row_index_stride == bytebpe.ROW_INDEX_STRIDE and stored.nrows == 20_000
+    # 20,000 rising ids of 8 bytes in run lengths: far less than a byte each
+    assert stored.nstripes == 1 and stored.content_length < 20_000 * 8
+
+
 def test_ids_in_orc(spark, rows):
     from tokenizers import Tokenizer
 
@@ -82,4 +144,4 @@ def test_ids_in_orc(spark, rows):
 def test_empty_table(spark):
     none, out = frame(spark, []), new_path(spark, "orc")
     bytebpe.write_ids(none, out, vocabulary("byte_bpe_50k.json"), 2)
-    assert bytebpe.positions(spark.createDataFrame([], "doc_id bigint, _tie bigint, ids array<int>")).count() == 0
+    assert bytebpe.positions(spark.read.schema("doc_id bigint, _tie bigint, ids array<int>").orc(out)).count() == 0
