@@ -7,12 +7,15 @@ check of the words and all grouping are Spark's.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import flat
+from lodestack.llm.shared import cut
 
 #: The last gram of each document: it keeps documents without a match in the result.
 MARK = -(1 << 63)
@@ -23,12 +26,16 @@ GRAMS = "struct<n_words:int,h:array<bigint>,at:array<int>,until:array<int>>"
 BROADCAST_ROWS = 500_000
 
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 32 << 20
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, unless the session already asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Arrow batches of at most so many rows and BATCH_BYTES, unless the session already asks for fewer."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def _of_piece(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[pa.Array, ...]:
@@ -61,13 +68,41 @@ def grams_of(text: Column, k: int) -> Column:
     return F.arrow_udf(make, GRAMS)(text)
 
 
-def gram_rows(name: object, text: str, k: int) -> list[tuple]:
-    """(hash, name, position, words) of the k-grams of one short text."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    words, starts, ends, _ = flat.word_hashes(raw, np.array([0, len(raw)]))
-    said = [flat.LOWER[raw[s:e]].tobytes().decode() for s, e in zip(starts, ends)]
-    grams = flat.gram_hashes(words, k).view(np.int64)
-    return [(h + (h == MARK), name, i, " ".join(said[i : i + k])) for i, h in enumerate(grams.tolist())]
+def distinct_grams(text: Column, k: int) -> Column:
+    """The different gram hashes of each whole text."""
+
+    def make(column: pa.Array) -> pa.Array:
+        out = [pa.array([], pa.list_(pa.int64()))]
+        for _, _, data, offsets in flat.pieces(column):
+            words, _, _, upto = flat.word_hashes(data, offsets)
+            found = flat.gram_hashes(words, k).view(np.int64)
+            n = np.maximum(np.diff(upto) - k + 1, 0)
+            own = found[flat.ranges(upto[:-1], n)]
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((own, row))
+            own, row = own[order], row[order]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
+            out.append(flat.list_array(own[new], np.searchsorted(row[new], np.arange(len(n) + 1))))
+        return pa.concat_arrays(out)
+
+    return F.arrow_udf(make, "array<bigint>")(F.coalesce(text, F.lit("")))
+
+
+def small_grams(text: Column, k: int) -> Column:
+    """(hash, position, words) of the k-grams of short texts; fewer words have none."""
+
+    def make(texts: pa.Array) -> pa.Array:
+        rows = []
+        for text in texts.to_pylist():
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            words, starts, ends, _ = flat.word_hashes(raw, np.array([0, len(raw)]))
+            said = [flat.LOWER[raw[s:e]].tobytes().decode() for s, e in zip(starts, ends)]
+            found = flat.gram_hashes(words, k).view(np.int64)
+            rows.append([{"h": h + (h == MARK), "tpos": i, "words": " ".join(said[i : i + k])} for i, h in enumerate(found.tolist())])
+        return pa.array(rows, pa.list_(pa.struct([("h", pa.int64()), ("tpos", pa.int32()), ("words", pa.string())])))
+
+    return F.arrow_udf(make, "array<struct<h:bigint,tpos:int,words:string>>")(text)
 
 
 def normal_words(raw: Column) -> Column:
@@ -80,15 +115,26 @@ def join_grams(docs: DataFrame, keys: list[str], text: str, k: int, reference: D
     """Places where a document's k words are a reference's k words.
 
     reference: (h, tid, tpos, words) and its number of rows. Returns keys, n_words, tid, tpos and pos;
-    of each document also one row with a null tid. Equal hashes of other words are left out.
+    of each document also one row with a null tid. Equal hashes of other words are left out. Rows of
+    docs that repeat the keys must repeat the text.
+
+    A reference of up to BROADCAST_ROWS is broadcast, and each gram is checked where it stands. Beyond
+    that only (keys, pos, hash) travel to the reference; what was met goes back to its document.
     """
-    g = docs.select(*keys, F.col(text).cast("binary").alias("_raw"), grams_of(F.coalesce(F.col(text), F.lit("")), k).alias("_g"))
-    g = g.select(*keys, "_raw", F.col("_g.n_words").alias("n_words"), F.col("_g.at").alias("_at"), F.col("_g.until").alias("_until"), F.posexplode("_g.h").alias("pos", "_h"))
-    mark = docs.sparkSession.range(1).select(F.lit(MARK).alias("h"), *(F.lit(None).cast(t).alias(c) for c, t in reference.dtypes if c != "h"))
-    reference = reference.unionByName(mark)
-    if n_reference <= BROADCAST_ROWS:
-        reference = F.broadcast(reference)
-    met = g.join(reference, F.col("_h") == F.col("h"))
+    raw, found = F.col(text).cast("binary").alias("_raw"), grams_of(F.coalesce(F.col(text), F.lit("")), k).alias("_g")
+    g = docs.select(*keys, raw, found).select(*keys, "_raw", F.col("_g.n_words").alias("n_words"), F.col("_g.at").alias("_at"), F.col("_g.until").alias("_until"), F.col("_g.h").alias("_hs"))
     start, end = F.get("_at", F.col("pos")), F.get("_until", F.col("pos"))
     same = normal_words(F.substring(F.col("_raw"), start + 1, end - start)) == F.col("words")
-    return met.where(F.col("tid").isNull() | same).select(*keys, "n_words", "tid", "tpos", "pos")
+    columns = [*keys, "n_words", "tid", "tpos", "pos"]
+    if n_reference <= BROADCAST_ROWS:
+        mark = docs.sparkSession.range(1).select(F.lit(MARK).alias("h"), *(F.lit(None).cast(t).alias(c) for c, t in reference.dtypes if c != "h"))
+        met = g.select("*", F.posexplode("_hs").alias("pos", "_h")).join(F.broadcast(reference.unionByName(mark)), F.col("_h") == F.col("h"))
+        return met.where(F.col("tid").isNull() | same).select(*columns)
+    g = cut(g)
+    met = g.select(*keys, F.posexplode("_hs").alias("pos", "_h")).where(F.col("_h") != MARK).join(reference, F.col("_h") == F.col("h"))
+    met = met.select(*(F.col(c).alias(f"_own_{c}") for c in keys), "tid", "tpos", "words", "pos")
+    own = None
+    for c in keys:
+        own = F.col(c).eqNullSafe(F.col(f"_own_{c}")) & (F.lit(True) if own is None else own)
+    met = g.dropDuplicates(keys).join(met, own).where(same).select(*columns)
+    return met.unionByName(g.select(*keys, "n_words", *(F.lit(None).cast(t).alias(c) for c, t in met.dtypes if c in ("tid", "tpos", "pos"))))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import grams
+from lodestack.llm.shared import saved
 
 K = 3
 
@@ -37,25 +38,38 @@ SLACK = 2
 COVERAGE = 0.6
 
 
-def spans(docs: DataFrame, templates=None, phrases=None, keys=("doc_id",), text: str = "text") -> DataFrame:
+def known_texts(spark: SparkSession, templates: DataFrame | list | None = None, phrases: dict | None = None) -> DataFrame:
+    """(tid, label, text, base) of templates (label, text; a table of any size) and phrases."""
+    phrases = PHRASES if phrases is None else phrases
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(TEMPLATES if templates is None else templates, "label string, text string")
+    rows = templates.select("label", "text", F.lit(False).alias("base"))
+    if phrases:
+        rows = spark.createDataFrame([(label, said, True) for said, label in phrases.items()], "label string, text string, base boolean").union(rows)
+    return rows.where("label is not null and text is not null").distinct().withColumn("tid", F.xxhash64("label", "text", "base"))
+
+
+def spans(docs: DataFrame, templates: DataFrame | list | None = None, phrases: dict | None = None, keys=("doc_id",), text: str = "text") -> DataFrame:
     """One row per merged span: keys, n_words, label, base, start, end, coverage; or a row with a null label.
 
     Grams vote for the diagonal (place in the document less place in the template); neighbouring
     diagonals merge, and a span counts if the grams that it shows, each checked word by word, cover
-    enough of the template. A phrase counts where all its grams stand on one diagonal.
+    enough of the template. A phrase counts where all its grams stand on one diagonal. Templates and
+    phrases under K words have no gram: such a template is never found, such a phrase raises.
     """
-    phrases = PHRASES if phrases is None else phrases
-    known = [(label, words, True) for words, label in phrases.items()] + [(label, words, False) for label, words in (TEMPLATES if templates is None else templates)]
-    rows = [(h, i, pos, words) for i, (_, said, _) in enumerate(known) for h, i, pos, words in grams.gram_rows(i, said, K)]
-    spark = docs.sparkSession
-    reference = spark.createDataFrame(rows, "h bigint, tid int, tpos int, words string")
-    sizes = {i: sum(r[1] == i for r in rows) for i in range(len(known))}
-    about = spark.createDataFrame([(i, label, base, sizes[i]) for i, (label, _, base) in enumerate(known)], "tid int, label string, base boolean, need int")
-    keys = list(keys)
-    met = grams.join_grams(docs, keys, text, K, reference, len(rows))
+    spark, keys = docs.sparkSession, list(keys)
+    for said in PHRASES if phrases is None else phrases:
+        if len(said.split()) < K:
+            raise ValueError(f"A phrase needs {K} words or more: {said!r}")
+    known = known_texts(spark, templates, phrases).select("tid", "label", "base", grams.small_grams(F.col("text"), K).alias("_g"))
+    known = saved(known, "licence-templates")
+    reference = known.select("tid", F.inline("_g")).select("h", "tid", "tpos", "words")
+    n_reference = known.agg(F.coalesce(F.sum(F.size("_g")), F.lit(0))).first()[0]
+    about = known.select("tid", "label", "base", F.size("_g").alias("need"))
+    met = grams.join_grams(docs, keys, text, K, reference, n_reference)
     votes = met.groupBy(*keys, "tid", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.max("n_words").alias("n_words"), F.collect_set("tpos").alias("seen"))
     order = Window.partitionBy(*keys, "tid").orderBy("diagonal")
-    votes = votes.join(F.broadcast(about), "tid", "left")
+    votes = votes.join(F.broadcast(about) if n_reference <= grams.BROADCAST_ROWS else about, "tid", "left")
     gap = F.coalesce(F.col("base"), F.lit(False)) | (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK)
     votes = votes.withColumn("island", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(order))
     merged = votes.groupBy(*keys, "tid", "island").agg(
@@ -66,12 +80,12 @@ def spans(docs: DataFrame, templates=None, phrases=None, keys=("doc_id",), text:
     return merged.withColumn("coverage", F.col("shown") / F.col("need"))
 
 
-def scan_licenses(docs: DataFrame, templates=None, phrases=None) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: DataFrame | list | None = None, phrases: dict | None = None) -> DataFrame:
     """Per document: n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     docs needs doc_id and text; other columns are not read. Null or empty text: no words, no labels
     (''), score 0. Rows that repeat doc_id and text give one row; a null doc_id is a document of its
-    own text. An empty table gives no rows. score: the best coverage of a template, 1 for a phrase.
+    own text. An empty table gives no rows. Texts of any length are scanned whole. score: the best coverage of a template, 1 for a phrase.
     """
     grams.bounded_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_copy"), "text")

@@ -64,7 +64,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with __lines (all), __kept (the text of the kept lines) and __n_dropped added."""
     docs = docs.withColumn("__copy", F.xxhash64("text"))
     bitmaps = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("_copy").alias("__of"), F.col("flips").alias("__flips"))
-    docs = docs.join(bitmaps.hint("shuffle_hash"), (F.col("doc_id") == F.col("__doc")) & (F.col("__copy") == F.col("__of")), "left").drop("__doc", "__of", "__copy")
+    docs = docs.join(bitmaps, (F.col("doc_id") == F.col("__doc")) & (F.col("__copy") == F.col("__of")), "left").drop("__doc", "__of", "__copy")
     docs = docs.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     none = F.array().cast("array<string>")
     before = lambda i: F.coalesce(F.get("__flips", i - 1), F.lit(0))

@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import flat, grams
 from lodestack.llm.components import components
-from lodestack.llm.shared import cut, packed
+from lodestack.llm.shared import cut, packed, saved
 
 SHINGLE, MAX_BITS = 3, 2
-#: Fingerprints that share one signature are compared pairwise up to so many; beyond it their one-bit neighbours are joined.
-SMALL_BUCKET = 12
 
 
 def _hashes(raw: bytes, k: int) -> list[int]:
@@ -52,7 +50,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """(sig, fp): each half with one of its bits left out.
+    """(sig, half, fp): each half with one of its bits left out.
 
     Of two fingerprints that differ in two bits or fewer, one half differs in one bit at most. Such
     halves agree in the variant without that bit.
@@ -60,28 +58,29 @@ def _variants(fps: DataFrame) -> DataFrame:
     half = F.when(F.col("i") < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     fps = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     bit = F.expr("shiftleft(1L, i % 32)")
-    return fps.select((half.bitwiseAND(F.bitwise_not(bit)).bitwiseOR(F.expr("shiftleft(cast(i as bigint), 32)"))).alias("sig"), "fp")
+    sig = half.bitwiseAND(F.bitwise_not(bit)).bitwiseOR(F.expr("shiftleft(cast(i as bigint), 32)"))
+    return fps.select(sig.alias("sig"), F.expr("cast(i div 32 as tinyint)").alias("half"), "fp")
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of fingerprints that differ in MAX_BITS or fewer; enough of them to connect whatever all pairs connect.
-
-    fps: distinct, cheap to read twice. A signature that few share is compared within itself. One
-    that many share, as in a large group of near copies, would make pairs without bound; its
-    fingerprints are linked over the fingerprints one bit away instead: two differ in two bits or
-    fewer just if such a one (or one of them) is within a bit of both, so each takes a link to the
-    smallest around it.
+    """Pairs (a, b) of distinct fingerprints that differ in MAX_BITS or fewer; enough of them to connect whatever all such pairs connect.
+
+    Signatures that more than one fingerprint has name the candidates. Comparing all that share one would
+    make pairs without bound where near copies are many, so they are verified by one more equality: a
+    candidate steps to itself and to each center one bit away in the half that its shared signature leaves
+    open. Two that are linked step to a center in common (where either half differs in a bit they share
+    signatures of both, and step in both), and all that step to one center are linked; each takes a link to
+    the smallest of them. Rows are in proportion to the fingerprints, however many share a signature.
     """
-    variants = _variants(fps)
-    shared = cut(variants.groupBy("sig").count().where("count > 1"))
-    few = variants.join(shared.where(F.col("count") <= SMALL_BUCKET), "sig")
-    few = few.groupBy("sig").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    few = few.select("fps", F.posexplode("fps").alias("at", "a")).select("a", F.explode(F.expr("filter(slice(fps, at + 2, size(fps)), b -> bit_count(a ^ b) <= %d)" % MAX_BITS)).alias("b"))
-    many = variants.join(shared.where(F.col("count") > SMALL_BUCKET), "sig").select("fp").distinct()
-    around = many.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("center"))
-    smallest = around.groupBy("center").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    far = around.join(smallest, "center").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return few.unionByName(far).distinct()
+    variants = _variants(fps).repartition("sig")  # one shuffle for the count and the join
+    shared = variants.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
+    candidates = variants.join(shared.hint("merge"), "sig").groupBy("fp").agg(F.bool_or(F.col("half") == 0).alias("_low"), F.bool_or(F.col("half") == 1).alias("_high"))
+    bits = lambda first: f"transform(sequence({first}, {first + 31}), i -> fp ^ shiftleft(1L, i))"
+    centers = f"concat(array(fp), if(_low, {bits(32)}, array()), if(_high, {bits(0)}, array()))"
+    around = cut(candidates.select("fp", F.explode(F.expr(centers)).alias("center")))
+    smallest = around.groupBy("center").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("center", "a")
+    found = around.join(smallest, "center").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
+    return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -103,5 +102,5 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """docs with one document of each group of near-duplicates, that with the smallest doc_id, and all rows without a doc_id."""
-    found = near_duplicates(docs, k).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy_of")).distinct()
-    return packed(docs, "doc_id").join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("__copy_of"), "left_anti").select("row.*")
+    found = saved(near_duplicates(docs, k).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy_of")).distinct(), "near-copies")
+    return packed(docs, "doc_id").join(found, F.col("doc_id") == F.col("__copy_of"), "left_anti").select("row.*")
