@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm import grams
-from lodestack.llm.shared import cut
+from lodestack.llm import flat, grams
+from lodestack.llm.shared import cut, new_path
+from lodestack.llm.spantable import kept
 
 #: Samples of a frame and from one frame to the next; hertz of the lowest and highest pitch.
 FRAME, HOP, LOWEST, HIGHEST = 512, 128, 55.0, 3520.0
@@ -22,6 +24,12 @@ SPAN, STEPS = 8, (-0.25, 0.0, 0.25)
 FILTERS = [(kind, low, height) for low, height in ((0, 12), (0, 6), (6, 6), (3, 6)) for kind in ("pitch", "time", "both", "middle")]
 #: Equal codes at one offset, codes that overlap, and the part of their bits that may differ.
 MIN_VOTES, MIN_OVERLAP, MAX_BIT_ERRORS = 1, 16, 0.15
+#: Steps of a pitch class's energy from silence to all.
+WHOLE = 1 << 16
+#: Frames transformed at once, and bytes of recordings decoded at once.
+BLOCK_FRAMES, BLOCK_BYTES = 4096, 8 << 20
+#: Codes of the queries that a worker holds at once, and votes (or codes compared) that it holds at once.
+BLOCK_CODES, PAIRS = 4 << 20, 1 << 20
 
 
 def samples_of(media: bytes | None) -> tuple[np.ndarray, int]:
@@ -36,41 +44,60 @@ def samples_of(media: bytes | None) -> tuple[np.ndarray, int]:
         return np.zeros(0, np.float32), 1
 
 
-def chroma(x: np.ndarray, rate: int) -> np.ndarray:
-    """Energy of the twelve pitch classes in every frame, each frame of length 1 or silent."""
-    n = (len(x) - FRAME) // HOP + 1
-    if n <= 0:
-        return np.zeros((0, 12), np.float32)
+def chroma(recordings: list[np.ndarray], rate: int) -> np.ndarray:
+    """Energy of the twelve pitch classes in every frame of recordings of one rate, one after the other; each frame of length 1 or silent."""
+    counts = [max(0, (len(x) - FRAME) // HOP + 1) for x in recordings]
+    out = np.zeros((sum(counts), 12), np.float32)
     hertz = np.fft.rfftfreq(FRAME, 1 / rate)
     used = np.flatnonzero((hertz >= LOWEST) & (hertz <= HIGHEST))
-    classes = np.zeros((len(used), 12), np.float32)
-    classes[np.arange(len(used)), np.rint(12 * np.log2(hertz[used] / 440)).astype(int) % 12] = 1
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    if not len(out) or not len(used):
+        return out
+    pitch = np.rint(12 * np.log2(hertz[used] / 440)).astype(int) % 12
+    used = used[np.argsort(pitch, kind="stable")]
+    classes, first = np.unique(np.sort(pitch), return_index=True)
     window = np.hanning(FRAME).astype(np.float32)
-    out = np.empty((n, 12), np.float32)
-    for low in range(0, n, 2048):  # long recordings a block at a time
-        power = np.abs(np.fft.rfft(frames[low : low + 2048] * window, axis=1)[:, used]) ** 2
-        out[low : low + 2048] = power @ classes
+    held: list[np.ndarray] = []
+    done = n = 0
+
+    def flush() -> None:
+        nonlocal held, done, n
+        if n:
+            found = np.fft.rfft(np.concatenate(held) * window, axis=1)[:, used]
+            out[done : done + n, classes] = np.add.reduceat(found.real**2 + found.imag**2, first, axis=1)
+        held, done, n = [], done + n, 0
+
+    for x, count in zip(recordings, counts):
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] if count else None
+        for low in range(0, count, BLOCK_FRAMES):  # long recordings a block at a time, short ones together
+            held.append(frames[low : low + BLOCK_FRAMES])
+            n += len(held[-1])
+            if n >= BLOCK_FRAMES:
+                flush()
+    flush()
     size = np.sqrt((out**2).sum(1, keepdims=True))
     return np.where(size > 1e-3, out / np.maximum(size, 1e-3), 0)
 
 
 def codes_of(image: np.ndarray) -> np.ndarray:
-    """A packed 32-bit code for every SPAN frames: two Gray-coded bits a filter, from sums over the integral image."""
+    """A packed 32-bit code for every SPAN frames: two Gray-coded bits a filter, from sums over the integral image.
+
+    The image is rounded to whole steps first, so that sums are exact whatever stands before a frame.
+    """
     n = len(image) - SPAN + 1
     if n <= 0:
         return np.zeros(0, np.int32)
-    sums = np.zeros((len(image) + 1, 13))
-    sums[1:, 1:] = image.cumsum(0, dtype=np.float64).cumsum(1)
+    sums = np.zeros((len(image) + 1, 13), np.int64)
+    sums[1:, 1:] = np.rint(image * WHOLE).astype(np.int64).cumsum(0).cumsum(1)
+    sums = np.ascontiguousarray(sums.T)
 
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return sums[t1 : t1 + n, p1] - sums[t0 : t0 + n, p1] - sums[t1 : t1 + n, p0] + sums[t0 : t0 + n, p0]
+        band = sums[p1] - sums[p0]
+        return band[t1 : t1 + n] - band[t0 : t0 + n]
 
     half, quarter = SPAN // 2, SPAN // 4
     out = np.zeros(n, np.uint32)
     for kind, low, height in FILTERS:
         mid, top = low + height // 2, low + height
-        whole = area(0, SPAN, low, top)
         if kind == "pitch":
             a = area(0, SPAN, low, mid)
         elif kind == "time":
@@ -79,24 +106,145 @@ def codes_of(image: np.ndarray) -> np.ndarray:
             a = area(0, half, low, mid) + area(half, SPAN, mid, top)
         else:
             a = area(quarter, SPAN - quarter, low, top)
-        level = np.digitize(np.log((1 + a) / (1 + np.maximum(whole - a, 0))), STEPS).astype(np.uint32)
+        rest = WHOLE + area(0, SPAN, low, top) - a
+        level = np.zeros(n, np.uint32)
+        for step in STEPS:
+            level += WHOLE + a >= rest * np.exp(step)
         out = out << np.uint32(2) | (level ^ level >> np.uint32(1))
     return out.view(np.int32)
 
 
+def codes_of_many(media: list[bytes | None]) -> list[np.ndarray]:
+    """Codes of each WAV recording; all of one rate are worked on together."""
+    read = [samples_of(m) for m in media]
+    out = [np.zeros(0, np.int32)] * len(read)
+    for rate in {r for _, r in read}:
+        own = [i for i, (_, r) in enumerate(read) if r == rate]
+        codes = codes_of(chroma([read[i][0] for i in own], rate))
+        at = 0
+        for i in own:
+            n = max(0, (len(read[i][0]) - FRAME) // HOP + 1)
+            out[i] = codes[at : at + max(0, n - SPAN + 1)]
+            at += n
+    return out
+
+
 def _codes(media: pa.Array) -> pa.Array:
-    return pa.array([codes_of(chroma(*samples_of(m.as_py()))) for m in media], pa.list_(pa.int32()))
+    found, held, size = [], [], 0
+    for m in media:
+        held.append(m.as_py())
+        size += len(held[-1] or b"")
+        if size >= BLOCK_BYTES:
+            found += codes_of_many(held)
+            held, size = [], 0
+    return pa.array(found + codes_of_many(held), pa.list_(pa.int32()))
 
 
 def fingerprint(media: Column) -> Column:
-    """Codes of each WAV recording; none for null, unreadable and too short ones."""
+    """Codes of each WAV recording; none for null, unreadable and too short ones. Recordings of any length are read whole."""
     return F.arrow_udf(_codes, "array<int>")(media)
 
 
-def _seeds(classes: DataFrame) -> DataFrame:
-    """(class_id, size of codes, pos, code) where a code starts; codes that stay the same, as in silence, give one seed."""
-    starts = "transform(sequence(0, size(codes) - 1), i -> if(i = 0 or codes[i] <> codes[i - 1], named_struct('pos', i, 'code', codes[i]), null))"
-    return classes.select("class_id", F.size("codes").alias("size"), F.inline(F.filter(F.expr(starts), lambda s: s.isNotNull())))
+class _Block:
+    """Some queries' codes, and the places where a code starts, sorted by code; codes that stay the same, as in silence, start once."""
+
+    def __init__(self, ids: pa.Array, codes: pa.Array):
+        self.ids, self.cuts, self.codes = ids, codes.offsets.to_numpy().astype(np.int64), codes.values.to_numpy()
+        self.codes = self.codes[self.cuts[0] : self.cuts[-1]]
+        self.cuts -= self.cuts[0]
+        at, self.row = _starts(self.codes, self.cuts)
+        order = np.argsort(self.codes[at], kind="stable")
+        self.seed, self.row = self.codes[at][order], self.row[order].astype(np.int32)
+        self.pos = (at[order] - self.cuts[self.row]).astype(np.int32)
+
+
+def _starts(codes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a code starts, and the rows they stand in."""
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    new[cuts[:-1][np.diff(cuts) > 0]] = True
+    at = np.flatnonzero(new)
+    return at, np.searchsorted(cuts, at, "right") - 1
+
+
+def _verified(block: _Block, codes: np.ndarray, cuts: np.ndarray, row: np.ndarray, query: np.ndarray, offset: np.ndarray, rules: tuple) -> tuple[np.ndarray, ...]:
+    """Of votes (row, query, offset) those that hold: row, query, offset, overlap and bit errors of the best place of each pair."""
+    min_votes, min_overlap, max_bit_errors = rules
+    size, asked = np.diff(cuts)[row], np.diff(block.cuts)[query]
+    overlap = np.minimum(size - np.maximum(offset, 0), asked - np.maximum(-offset, 0))
+    enough = overlap >= min_overlap
+    row, query, offset, overlap = (x[enough] for x in (row, query, offset, overlap))
+    order = np.lexsort((offset, query, row))
+    row, query, offset, overlap = (x[order] for x in (row, query, offset, overlap))
+    new = np.ones(len(row), bool)
+    new[1:] = (np.diff(row) != 0) | (np.diff(query) != 0) | (np.diff(offset) != 0)
+    first = np.flatnonzero(new)
+    first = first[np.diff(np.append(first, len(row))) >= min_votes]  # the histogram of offsets
+    row, query, offset, overlap = (x[first] for x in (row, query, offset, overlap))
+    errors = np.zeros(len(row), np.int64)
+    upto = np.cumsum(overlap)
+    low = 0
+    while low < len(row):
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] - overlap[low] + PAIRS, "right")))
+        some = slice(low, high)
+        mine = codes[flat.ranges((cuts[row] + np.maximum(offset, 0))[some], overlap[some])]
+        theirs = block.codes[flat.ranges((block.cuts[query] + np.maximum(-offset, 0))[some], overlap[some])]
+        errors[some] = np.add.reduceat(np.bitwise_count((mine ^ theirs).view(np.uint32)).astype(np.int64), np.cumsum(overlap[some]) - overlap[some])
+        low = high
+    good = np.flatnonzero(errors <= overlap * 32 * max_bit_errors)
+    row, query, offset, overlap, errors = (x[good] for x in (row, query, offset, overlap, errors))
+    order = np.lexsort((offset, errors - 32 * overlap, query, row))
+    row, query, offset, overlap, errors = (x[order] for x in (row, query, offset, overlap, errors))
+    new = np.ones(len(row), bool)
+    new[1:] = (np.diff(row) != 0) | (np.diff(query) != 0)
+    return tuple(x[new] for x in (row, query, offset, overlap, errors))
+
+
+def _votes(block: _Block, codes: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, query, offset) of equal codes that start in both, all of one row and query at once, about PAIRS at a time."""
+    at, row = _starts(codes, cuts)
+    first, last = np.searchsorted(block.seed, codes[at]), np.searchsorted(block.seed, codes[at], "right")
+    met = first < last
+    at, row, first, n = at[met], row[met], first[met], (last - first)[met]
+    upto = np.cumsum(n)
+    ends = np.searchsorted(row, np.arange(len(cuts) - 1), "right")  # seeds up to each row's end
+    total = np.append(0, upto)[ends]
+    low = 0
+    while low < len(total):
+        before = int(total[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(total, before + PAIRS, "right")))
+        seeds = slice(int(ends[low - 1]) if low else 0, int(ends[high - 1]))
+        parts = -(-(int(total[high - 1]) - before) // (2 * PAIRS))  # more than one only for a single row: some of the queries at a time
+        for part in range(parts):
+            out = []
+            b = seeds.start
+            while b < seeds.stop:
+                a, done = b, int(upto[b] - n[b])
+                b = min(seeds.stop, max(a + 1, int(np.searchsorted(upto, done + 2 * PAIRS, "right"))))
+                spot = flat.ranges(first[a:b], n[a:b])
+                own = np.repeat(np.arange(a, b), n[a:b])
+                if parts > 1:
+                    mine = block.row[spot] % parts == part
+                    spot, own = spot[mine], own[mine]
+                out.append((row[own], block.row[spot].astype(np.int64), at[own] - cuts[row[own]] - block.pos[spot]))
+            yield tuple(np.concatenate(x) for x in zip(*out))
+        low = high
+
+
+def _search(sent, rules: tuple):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = kept(("chroma", sent.value[0]), lambda: _Block(*sent.value[1:]))
+        for batch in batches:
+            lists = batch.column(1)
+            cuts = lists.offsets.to_numpy().astype(np.int64)
+            codes = lists.values.to_numpy()[cuts[0] : cuts[-1]]
+            cuts -= cuts[0]
+            for votes in _votes(block, codes, cuts):
+                row, query, *numbers = _verified(block, codes, cuts, *votes, rules)
+                columns = [batch.column(0).take(pa.array(row)), block.ids.take(pa.array(query)), *(pa.array(x.astype(np.int32)) for x in numbers)]
+                yield pa.RecordBatch.from_arrays(columns, ["class_id", "query_class", "offset", "overlap", "bit_errors"])
+
+    return search
 
 
 def align(recordings: DataFrame, queries: Column, min_votes: int = MIN_VOTES, min_overlap: int = MIN_OVERLAP, max_bit_errors: float = MAX_BIT_ERRORS) -> tuple[DataFrame, DataFrame]:
@@ -104,34 +252,42 @@ def align(recordings: DataFrame, queries: Column, min_votes: int = MIN_VOTES, mi
 
     recordings: id and codes. Recordings with equal codes are one class, named by the smallest id; those
     without codes or without any id in their class have none. queries: a condition on id; classes with
-    such a member are looked for among all. Equal codes, where they start, vote for the difference of their places, and
-    differences with min_votes are verified: of the codes that overlap, at least min_overlap, no more than
-    max_bit_errors of the bits may differ. A pair's best place is that with the longest overlap less its
-    errors (ties: the smallest offset: the place in class_id's recording less that in the query's). A
-    class matches itself. Copies are never made into pairs. A place where no code starts in both recordings
-    at once is not verified. Codes that agree by chance are joined too, and such rows grow with the square of the input.
+    such a member are looked for among all. Equal codes, where they start, vote for the difference of
+    their places; every difference with min_votes is verified: of the codes that overlap, at least
+    min_overlap, no more than max_bit_errors of the bits may differ. A pair's best place is that with the
+    longest overlap less its errors (ties: the smallest offset: the place in class_id's recording less that
+    in the query's). A class matches itself. Copies are never made into pairs. A place where no code starts
+    in both recordings at once is not verified. An empty table, or one without queries, gives no matches.
+
+    The queries are dealt into blocks of about BLOCK_CODES codes, which is what is sent to the workers at
+    once; all recordings are read once for each block and shuffled for none. Votes are counted and verified
+    where they are found, about PAIRS at a time, and only matches are written.
     """
+    spark = recordings.sparkSession
+    grams.bounded_batches(spark)
     full = F.size("codes") > 0
     keyed = recordings.select("id", "codes", F.when(full, F.xxhash64("codes")).alias("_k1"), F.when(full, F.xxhash64(F.lit(1), "codes")).alias("_k2"))
     keyed = cut(keyed)
     groups = keyed.where(full).groupBy("_k1", "_k2").agg(F.min("id").alias("class_id"), F.first("codes").alias("codes"), F.max(F.coalesce(queries, F.lit(False))).alias("asked"))
     groups = cut(groups.where("class_id is not null"))
     members = keyed.join(groups.select("_k1", "_k2", "class_id"), ["_k1", "_k2"], "left").select("id", "class_id")
-    asked = groups.where("asked")
-    offset = F.col("pos") - F.col("_qpos")
-    shared = lambda n, m: F.least(n - F.greatest(F.col("offset"), F.lit(0)), m - F.greatest(-F.col("offset"), F.lit(0)))
-    seeds = _seeds(asked).select(F.col("class_id").alias("query_class"), F.col("size").alias("_qsize"), F.col("pos").alias("_qpos"), "code")
-    votes = _seeds(groups).join(seeds, "code").withColumn("offset", offset).where(shared(F.col("size"), F.col("_qsize")) >= min_overlap)
-    votes = votes.groupBy("class_id", "query_class", "offset").count().where(F.col("count") >= min_votes)
-    # the queries' codes first: a query's votes stand side by side then, and its codes take little room in the shuffle to the classes
-    both = votes.join(asked.select(F.col("class_id").alias("query_class"), F.col("codes").alias("_asked")), "query_class").join(groups.select("class_id", "codes"), "class_id")
-    first, begin = F.greatest(F.col("offset"), F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    both = both.withColumn("overlap", shared(F.size("codes"), F.size("_asked")))
-    # bit_count widens an int, and would count its sign 33 times
-    differ = F.zip_with(F.slice("codes", first + 1, F.col("overlap")), F.slice("_asked", begin + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))))
-    both = both.withColumn("bit_errors", F.aggregate(differ, F.lit(0), lambda s, d: s + d)).where(F.col("bit_errors") <= F.col("overlap") * 32 * max_bit_errors)
-    best = F.min_by(F.struct("offset", "overlap", "bit_errors"), F.struct(F.col("bit_errors") - 32 * F.col("overlap"), "offset"))
-    return members, both.groupBy("class_id", "query_class").agg(best.alias("_best")).select("class_id", "query_class", "_best.*")
+    asked = groups.where("asked").select("class_id", "codes")
+    blocks = -(-(asked.agg(F.sum(F.size("codes"))).first()[0] or 0) // BLOCK_CODES)
+    kind = dict(groups.dtypes)["class_id"]
+    schema = f"class_id {kind}, query_class {kind}, offset int, overlap int, bit_errors int"
+    if not blocks:
+        return members, spark.createDataFrame([], schema)
+    out, written = new_path(spark, "matches"), []
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == b).toArrow()
+        if not len(own):
+            continue
+        sent = spark.sparkContext.broadcast((f"{out}-{b}", *(pa.concat_arrays(own.column(c).chunks) for c in range(2))))
+        found = groups.select("class_id", "codes").mapInArrow(_search(sent, (min_votes, min_overlap, max_bit_errors)), schema)
+        written.append(f"{out}/{b}")
+        found.write.parquet(written[-1])
+        sent.destroy()
+    return members, spark.read.schema(schema).parquet(*written)
 
 
 def melody(values: list | None, rate: int = 4000, note: int = 128) -> bytes | None:

@@ -37,7 +37,8 @@ def media():
 
 @pytest.fixture(scope="module")
 def codes(media):
-    return [(i, chroma.codes_of(chroma.chroma(*chroma.samples_of(m))).tolist()) for i, m in media]
+    """Each recording by itself."""
+    return [(i, chroma.codes_of_many([m])[0].tolist()) for i, m in media]
 
 
 def plain(codes, asked):
@@ -48,8 +49,7 @@ def plain(codes, asked):
     named = {min(x for x in ids if x is not None): (c, any(asked(x) for x in ids if x is not None)) for c, ids in classes.items() if set(ids) != {None}}
 
     def starts(c):
-        runs = [i for i, x in enumerate(c) if i == 0 or c[i - 1] != x]
-        return [(p, (c[p], c[q], q - p)) for p, q in zip(runs, runs[1:])] or [(0, (c[0], 0, -1))]
+        return [(i, x) for i, x in enumerate(c) if i == 0 or c[i - 1] != x]
 
     out = {}
     for q, (cq, is_asked) in named.items():
@@ -69,7 +69,10 @@ def plain(codes, asked):
     return out, named
 
 
-def test_alignment(spark, media, codes):
+@pytest.mark.parametrize("limits", [(4 << 20, 1 << 20), (100, 3)])
+def test_alignment(spark, monkeypatch, media, codes, limits):
+    for name, value in zip(("BLOCK_CODES", "PAIRS"), limits):
+        monkeypatch.setattr(chroma, name, value)
     frame = spark.createDataFrame(media, "vec_id bigint, media binary").withColumn("codes", F.lit("x")).repartition(3)
     found = chroma.recordings_of(frame, "vec_id", F.col("media"))
     assert sorted(((r.id, r.codes) for r in found.collect()), key=str) == sorted(codes, key=str)
@@ -97,6 +100,16 @@ def test_filters_fill_32_bits_and_use_the_integral_image():
         assert int(got[t]) & 0xFFFFFFFF == bits
 
 
+def test_codes_do_not_depend_on_what_stands_beside(media):
+    """Stacked with others of the rate, in any order and in small blocks, a recording has the codes that it has alone."""
+    rows = [m for _, m in media] + [wav(samples(5), rate=8000), wav(samples(6), rate=8000)]
+    alone = [chroma.codes_of_many([m])[0].tolist() for m in rows]
+    assert [c.tolist() for c in chroma.codes_of_many(rows)] == alone
+    assert [c.tolist() for c in chroma.codes_of_many(rows[::-1])] == alone[::-1]
+    long = wav(np.tile(samples(1), 120))
+    assert chroma.codes_of_many([rows[0], long, rows[1]])[1].tolist() == chroma.codes_of_many([long])[0].tolist()
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "id bigint, codes array<int>")
     members, matches = chroma.align(none, F.col("id") % 10 == 0)
