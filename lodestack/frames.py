@@ -1,8 +1,9 @@
-"""Reading tables, and cutting lineage into the folder that a cluster shares."""
+"""Reading tables, cutting lineage into the folder that a cluster shares, and texts in any store that Spark knows."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,9 +12,58 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary one only where none is named and all run on one machine."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not found.isDefined():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestack-"))
+    return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once, kept where lost executors don't matter; loops call it each round."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestack-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read again; its size is then known to joins."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """A new folder; raises if it is there."""
+    store, found = _store(spark, path)
+    if store.exists(found):
+        raise FileExistsError(path)
+    store.mkdirs(found)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, replaced as a whole."""
+    store, found = _store(spark, path)
+    _, draft = _store(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = store.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if store.exists(found):
+        store.delete(found, False)
+    if not store.rename(draft, found):
+        raise OSError(f"{draft} could not be renamed to {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -2,47 +2,46 @@
 
 from __future__ import annotations
 
-import uuid
-
-import ahocorasick
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Terms of one automaton: what is collected and broadcast at once, about 100 MB at most for paths.
-BLOCK_TERMS = 100_000
-
-_built: dict[str, ahocorasick.Automaton] = {}
+from lodestack.frames import saved
 
+#: Between the words of a text.
+_WHITE = r"\s+"
 
-def _finder(sent, name: str):
-    def find(column: pa.Array) -> pa.Array:
-        if name not in _built:
-            _built.clear()
-            machine = ahocorasick.Automaton()
-            for t in sent.value:
-                machine.add_word(t, t)
-            machine.make_automaton()
-            _built[name] = machine
-        return pa.array([sorted({t for _, t in _built[name].iter(x)}) if x else [] for x in column.to_pylist()], pa.list_(pa.string()))
 
-    return find
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.split(text, _WHITE))
 
 
 def contained(texts: DataFrame, content: str, terms: DataFrame) -> DataFrame:
-    """texts' columns but content, and term: each term (column term) once for each row whose content contains it anywhere.
-
-    The terms' automaton goes through each text once, whatever their number; more than BLOCK_TERMS are dealt
-    into blocks by hash, and the texts are read once for each. No text meets a term that it does not hold.
+    """texts' columns but content, and term: each term (column term) once for each different row whose content contains it anywhere.
+
+    A term lies within one word of a text (what stands between white space), or its longest piece
+    without white space does. So the different words of all texts meet the different terms by equality,
+    as their parts of the lengths that terms have; texts meet only the words that were found so, and are
+    read once however many terms there are. Of the terms only their lengths come to the driver, no
+    more than the longest has characters. Terms with white space are looked for in the texts that hold
+    their longest piece. Null texts and empty terms meet nothing; no text meets a term that it does not hold.
     """
-    spark = texts.sparkSession
-    terms = terms.select("term").where("term <> ''").distinct()
-    blocks = -(-terms.count() // BLOCK_TERMS)
     keep = [c for c in texts.columns if c != content]
-    out = None
-    for b in range(blocks):
-        own = [r.term for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()]
-        sent, name = spark.sparkContext.broadcast(own), uuid.uuid4().hex
-        met = texts.select(*keep, F.explode(F.arrow_udf(_finder(sent, name), "array<string>")(content)).alias("term"))
-        out = met if out is None else out.unionByName(met)
-    return texts.select(*keep, F.lit("").alias("term")).limit(0) if out is None else out
+    terms = terms.select("term").where("term <> ''").distinct()
+    piece = F.array_max(F.transform(F.split("term", _WHITE), lambda p: F.struct(F.length(p).alias("n"), p.alias("piece"))))
+    terms = saved(terms.select("term", piece["piece"].alias("_part"), piece["n"].alias("_n")).where("_n > 0"), "terms")
+    lengths = sorted(r[0] for r in terms.select("_n").distinct().collect())
+    none = texts.select(*keep, F.lit("").alias("term")).limit(0)
+    if not lengths:
+        return none
+    words = texts.select(F.explode(_words(F.col(content))).alias("_word")).where(F.length("_word") >= lengths[0]).distinct()
+    start = lambda n: F.sequence(F.lit(1), F.length("_word") - n + 1)
+    at_length = lambda n: F.when(F.length("_word") >= n, F.transform(start(n), lambda i: F.substring(F.col("_word"), i, n))).otherwise(F.array().cast("array<string>"))
+    parts = words.select("_word", F.explode(F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, lengths)), at_length)))).alias("_part"))
+    met = saved(parts.join(terms, "_part").select("_word", "term", (F.col("term") != F.col("_part")).alias("_spaced")), "words-with-terms")
+    plain = texts.select(*keep, F.explode(_words(F.col(content))).alias("_word")).join(met.where("not _spaced").select("_word", "term"), "_word")
+    out = plain.select(*keep, "term")
+    spaced = met.where("_spaced").select("_word", "term")
+    if not spaced.isEmpty():
+        whole = texts.select(*keep, content, F.explode(_words(F.col(content))).alias("_word")).join(spaced, "_word")
+        out = out.unionByName(whole.where(F.contains(F.col(content), F.col("term"))).select(*keep, "term"))
+    return out.distinct()

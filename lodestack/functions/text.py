@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ELLIPSIS = "..."
+#: The first sentence of a text that has none.
+NOTHING = "Nothing is said."
 
 # Words that are no query terms.
 STOP_WORDS = (
@@ -112,7 +114,19 @@ def first_sentence(c: Column | str, most: int = 160) -> Column:
     c = squeeze(c)
     found = strip(F.regexp_extract(c, "^(.{1,%d}?[.!?。；;])" % most, 1))
     cut = F.concat(strip(F.left(c, F.lit(most))), F.when(F.length(c) > most, ELLIPSIS).otherwise(""))
-    return F.when(F.length(c) == 0, "Relevant excerpt.").when(F.length(found) > 0, found).otherwise(cut)
+    return F.when(F.length(c) == 0, NOTHING).when(F.length(found) > 0, found).otherwise(cut)
+
+
+def fitted(c: Column | str, tokens: int) -> Column:
+    """The text on one line, or the start of it that is estimated at so many tokens with ... at its end."""
+    c = squeeze(c)
+    start = F.regexp_replace(slice_head(c, tokens - 1), r"(?U)\s+$", "")
+    return F.when(estimate_tokens(c) <= tokens, c).otherwise(F.concat(start, F.lit(ELLIPSIS)))
+
+
+def brief(c: Column | str, tokens: int) -> Column:
+    """A Markdown text in short: without the marks of its headings, fitted() to so many tokens."""
+    return fitted(F.regexp_replace(col(c), r"(?U)#+\s*", ""), tokens)
 
 
 def dedupe(values: Column | str) -> Column:

@@ -21,8 +21,8 @@ SEED_BONUS = {"direct_path": 160, "contract_anchor": 140, "workflow_anchor": 130
 PATH_BONUS = {"constrains": 55, "consumes": 50, "depends_on": 35, "imports": 20}
 #: Nodes and edges of a path that a report shows.
 SHOWN_NODES, SHOWN_EDGES = 5, 4
-#: Rounds of a search; folders deeper than half of it are not crossed.
-MAX_ROUNDS = 64
+#: A node that stands for all contracts: what reads them as a whole consumes it, and each contract is a member.
+ALL_CONTRACTS, MEMBER = "group:contracts", "member"
 
 
 def _id(kind: str, c: Column | str) -> Column:
@@ -66,23 +66,30 @@ def contains_edges(items: DataFrame, symbols: DataFrame) -> DataFrame:
 def reference_edges(items: DataFrame) -> DataFrame:
     """Contracts that constrain schemas and templates, workflows that consume them, other items that depend on them.
 
-    An edge stands where a text holds a term of the target; workflows that read what contracts define
-    consume all of them. Texts meet only the terms that they hold, and those meet their targets by equality.
+    An edge stands where a text holds a term of the target. Workflows that read what contracts define
+    consume all of them: such a workflow has one edge to ALL_CONTRACTS, and each contract one (of type
+    MEMBER) from it, as pairs of all would grow with the square of the items. Texts meet only the terms
+    that they hold, and those meet their targets by equality.
     """
     rows = items.select("path", node_type("path", "artifact_type").alias("_n"), F.col("artifact_type").isin("contract", "workflow").alias("_own"), F.lower("content").alias("_low"))
     targets = items.select(F.col("path").alias("_to"), node_type("path", "artifact_type").alias("_kind"), F.explode(graph_terms("path")).alias("term")).where("_kind in ('artifact_schema_template', 'artifact_contract')")
-    met = contained(rows.where("_n is null or _n <> 'artifact_schema_template'"), "_low", targets).join(targets, "term").drop("term")
-    readers = rows.where("_n = 'artifact_workflow'").where(consumes_contract("_low")).select("path", "_n", "_own")
-    met = met.unionByName(readers.crossJoin(targets.select("_to", "_kind").distinct())).where("path <> _to")
+    reads = (F.col("_n") == "artifact_workflow") & consumes_contract("_low")
+    some = rows.where("_n is null or _n <> 'artifact_schema_template'").where(~F.coalesce(reads, F.lit(False)))
+    met = contained(some, "_low", targets).join(targets, "term").drop("term").where("path <> _to")
     template = F.col("_kind") == "artifact_schema_template"
     case = F.when((F.col("_n") == "artifact_contract") & template, "constrains").when(F.col("_n") == "artifact_workflow", "consumes").when(~F.col("_own") & template, "depends_on")
     own = F.when(F.col("_n").isNotNull(), F.concat_ws(":", "_n", "path")).otherwise(_id("file", "path"))
-    return met.withColumn("edge_type", case).where("edge_type is not null").select(own.alias("src"), F.concat_ws(":", "_kind", "_to").alias("dst"), "edge_type").distinct()
+    direct = met.withColumn("edge_type", case).where("edge_type is not null").select(own.alias("src"), F.concat_ws(":", "_kind", "_to").alias("dst"), "edge_type").distinct()
+    readers = rows.where(reads).select(F.concat_ws(":", "_n", "path").alias("src"), F.lit(ALL_CONTRACTS).alias("dst"), F.lit("consumes").alias("edge_type"))
+    members = targets.select(F.lit(ALL_CONTRACTS).alias("src"), F.concat_ws(":", "_kind", "_to").alias("dst"), F.lit(MEMBER).alias("edge_type")).distinct()
+    return direct.unionByName(readers).unionByName(members)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Each pair and type once: src <= dst."""
-    return edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "edge_type").distinct()
+    """Each pair and type once: src <= dst. Edges of a group go into it from who consumes it, and out of it to its members."""
+    group = (F.col("src") == ALL_CONTRACTS) | (F.col("dst") == ALL_CONTRACTS)
+    low, high = F.when(group, F.col("src")).otherwise(F.least("src", "dst")), F.when(group, F.col("dst")).otherwise(F.greatest("src", "dst"))
+    return edges.where("src <> dst").select(low.alias("src"), high.alias("dst"), "edge_type").distinct()
 
 
 def build(items: DataFrame, symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,6 +105,14 @@ def type_counts(rows: DataFrame, column: str, kinds: list[str]) -> DataFrame:
     return known.join(rows.groupBy(column).count(), column, "left").select(column, F.coalesce("count", F.lit(0)).cast("bigint").alias("n"), "ord")
 
 
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """Edges of every type, zero included; an edge to a group counts once for each of its members."""
+    into, out = F.col("dst") == ALL_CONTRACTS, F.col("edge_type") == MEMBER
+    sums = edges.agg(F.count_if(into).alias("readers"), F.count_if(out).alias("members")).select(F.lit("consumes").alias("edge_type"), (F.col("readers") * F.col("members")).alias("more"))
+    plain = type_counts(edges.where(~into & ~out), "edge_type", EDGE_TYPES)
+    return plain.join(sums, "edge_type", "left").select("edge_type", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "ord")
+
+
 def seeds(scored: DataFrame, explicit: list[str], symbols: DataFrame, task_text: str) -> DataFrame:
     """(node, reason): items that the request names, items whose kind's lane hits their path, and the first symbol of an item that stands as a word in the text.
 
@@ -118,32 +133,44 @@ def seeds(scored: DataFrame, explicit: list[str], symbols: DataFrame, task_text:
     return items.unionByName(first.select(F.concat_ws(":", F.lit("symbol"), "path", "symbol").alias("node"), F.lit("symbol_anchor").alias("reason")))
 
 
+def _steps(edges: DataFrame) -> DataFrame:
+    """(src, dst, edge_type) in both directions. A group is passed from a consumer to a member or the other way round, through a node for either way."""
+    back, forth = F.lit(f"{ALL_CONTRACTS}<"), F.lit(f"{ALL_CONTRACTS}>")
+    group = (F.col("src") == ALL_CONTRACTS) | (F.col("dst") == ALL_CONTRACTS)
+    plain, groups = edges.where(~group), edges.where(group)
+    into, out = groups.where(F.col("dst") == ALL_CONTRACTS), groups.where(F.col("src") == ALL_CONTRACTS)
+    both = plain.select("src", "dst", "edge_type").union(plain.select("dst", "src", "edge_type"))
+    both = both.union(into.select("src", forth, "edge_type")).union(out.select(forth, "dst", "edge_type"))
+    return both.union(out.select("dst", back, "edge_type")).union(into.select(back, "src", "edge_type"))
+
+
 def search(edges: DataFrame, seeds: DataFrame, hops: int = MAX_HOPS, traverse_dirs: bool = True) -> DataFrame:
     """Best path to every node within so many hops: node, reason, distance, cost, path, edge_types.
 
     contains edges are no hops. traverse_dirs=False leaves out folders, which otherwise bring every item
     within reach of any anchor. A round joins the frontier to the edges by equality and keeps the best path
-    (cost, nodes, path) of each node and number of hops; it ends when no path gets better.
+    (cost, nodes, path) of each node and number of hops; it ends when no path gets better, however many
+    rounds that takes. A group is no node of a path: its consumer and its member follow each other.
     """
     if not traverse_dirs:
         edges = edges.where("not (src like 'dir:%' or dst like 'dir:%')")
-    both = cut(edges.select("src", "dst", "edge_type").union(edges.select("dst", "src", "edge_type")))
+    both = cut(_steps(edges))
     none = F.array().cast("array<string>")
     start = seeds.groupBy("node").agg(F.min("reason").alias("reason"))
     best = start.select("node", F.lit(0).alias("hops"), F.struct(F.lit(0).alias("cost"), F.lit(1).alias("n"), F.array("node").alias("path"), none.alias("types"), "reason").alias("best"))
     frontier = best = cut(best)
-    for _ in range(MAX_ROUNDS):
-        hop = F.col("hops") + (F.col("edge_type") != "contains").cast("int")
+    free, passing = F.col("edge_type").isin("contains", MEMBER), F.startswith("dst", F.lit(ALL_CONTRACTS))
+    while not frontier.isEmpty():
+        hop = F.col("hops") + F.when(free, 0).otherwise(1)
         ahead = frontier.join(both, F.col("node") == F.col("src")).where(hop <= hops)
-        types = F.concat("best.types", F.array("edge_type"))
-        ahead = ahead.select(F.col("dst").alias("node"), hop.alias("hops"), F.struct(path_cost(types).alias("cost"), (F.col("best.n") + 1).alias("n"), F.concat("best.path", F.array("dst")).alias("path"), types.alias("types"), "best.reason").alias("best"))
+        types = F.when(F.col("edge_type") == MEMBER, F.col("best.types")).otherwise(F.concat("best.types", F.array("edge_type")))
+        path = F.when(passing, F.col("best.path")).otherwise(F.concat("best.path", F.array("dst")))
+        ahead = ahead.select(F.col("dst").alias("node"), hop.alias("hops"), F.struct(path_cost(types).alias("cost"), (F.col("best.n") + F.when(passing, 0).otherwise(1)).alias("n"), path.alias("path"), types.alias("types"), "best.reason").alias("best"))
         ahead = ahead.groupBy("node", "hops").agg(F.min("best").alias("best"))
         known = best.select("node", "hops", F.col("best.cost").alias("_known"))
         frontier = cut(ahead.join(known, ["node", "hops"], "left").where("_known is null or best.cost < _known").drop("_known"))
-        if frontier.isEmpty():
-            break
         best = cut(best.unionByName(frontier).groupBy("node", "hops").agg(F.min("best").alias("best")))
-    one = best.groupBy("node").agg(F.min(F.struct("best.cost", F.col("hops").alias("distance"), "best.n", "best.path", "best.types", "best.reason")).alias("b"))
+    one = best.where(~F.startswith("node", F.lit(ALL_CONTRACTS))).groupBy("node").agg(F.min(F.struct("best.cost", F.col("hops").alias("distance"), "best.n", "best.path", "best.types", "best.reason")).alias("b"))
     return one.select("node", "b.reason", "b.distance", "b.cost", "b.path", F.col("b.types").alias("edge_types"))
 
 

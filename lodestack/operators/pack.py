@@ -3,26 +3,34 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.frames import cut
 from lodestack.functions import paths
 from lodestack.functions.text import estimate_tokens, quarter_units, strip, words
 from lodestack.operators.extract import segments, strategy
 
-SEPARATOR, GAP = "\n\n", "\n\n...[truncated for bundle preview]...\n\n"
-HEADER = "Critical contract tokens:"
+SEPARATOR, GAP, REST = "\n\n", "\n\n[... middle left out ...]\n\n", "\n[... rest left out ...]"
+NAMES, SAMPLES = "Names that the contract fixes:", "Samples:"
+#: Samples of a digest at most.
+MOST_SAMPLES = 3
 # Tokens that an excerpt of a contract must keep.
 ALWAYS = "handoff_id preview confirmed archived brief.md bundle.md reply_template.md".split()
 SCHEMA_TOKENS = "handoff_id preview confirmed archived status paths artifacts brief.md bundle.md reply_template.md".split()
-REPLY_TOKENS = ALWAYS + (
-    "schema_version topic mode source_provider source_channel generated_at generated_from reply_template_version language contains_external_sources status".split()
-    + ["## 问题定义", "## 最终结论", "## 推荐路线", "## 备选路线", "## 关键依据", "## 风险与反例", "## 候选论文/资料", "## 建议下一步", "## 仍未解决的问题"]
-)
+REPLY_TOKENS = (
+    "handoff_id preview confirmed archived brief.md bundle.md reply_template.md schema_version topic mode source_provider source_channel generated_at generated_from "
+    "reply_template_version language contains_external_sources status"
+).split() + ["## 问题定义", "## 最终结论", "## 推荐路线", "## 备选路线", "## 关键依据", "## 风险与反例", "## 候选论文/资料", "## 建议下一步", "## 仍未解决的问题"]
+# How a report names what was done to an item.
+DIGEST, PLAIN, EMPTY, FALLBACK = "typed_digest_compaction", "full_text", "empty_text", "head_tail_fallback"
 # The least budget, and the part by which budgets shrink.
 FLOOR, SHRINK = 96, 5
+#: Steps from a budget of 2^31 to FLOOR, and some.
+STEPS = 100
 # The order in which items are dropped.
 DROP_ORIGIN = {"auto": 0, "mentioned": 1, "must_include": 2}
 DROP_KIND = {"supporting_context": 0, "code_snippet": 1, "selection_logic": 2, "workflow": 3, "contract": 4}
@@ -91,97 +99,89 @@ def tail(text: str, tokens: int) -> str:
     return head(text[: -4 * max(tokens, 0) - 1 : -1], tokens)[::-1]
 
 
+def units(text: str) -> int:
+    """quarter_units() for the helpers below; they add up, so a line's cost is known before it is put in."""
+    return len(text) + 3 * (len(text) - len(text.encode("ascii", "ignore")))
+
+
 def ends(text: str, limit: int) -> tuple[str, str]:
-    """The start and the end of a text with a gap between, about 70 % start, and how they were cut."""
-    room = max(limit - count(GAP), 2)
-    first = max(1, room * 7 // 10)
-    last = max(1, room - first)
-    while True:
-        a, b = head(text, first).rstrip(), tail(text, last).lstrip()
-        if count(a + GAP + b) <= limit:
-            return a + GAP + b, f"head_tail_tokens:{count(a)}+{count(b)}"
-        if first == last == 1:
-            mark = "\n...[truncated]"
-            a = head(text, limit - count(mark)).rstrip() + mark if count(mark) < limit else head(mark, limit)
-            return a, f"head_tokens:{count(a)}"
-        if first >= last:
-            first -= 1
-        else:
-            last -= 1
+    """A start of about 70 % and an end of the text with GAP between, as long as fits, and how it was cut."""
+    room = 4 * limit - units(GAP)
+    if room >= 8:
+        first = max(1, room // 4 * 7 // 10)
+        a, b = head(text, first).rstrip(), tail(text, max(1, room // 4 - first)).lstrip()
+        return a + GAP + b, f"head_tail_tokens:{count(a)}+{count(b)}"
+    rest = head(REST, limit)
+    a = head(text, limit - count(rest)).rstrip()
+    return a + rest, f"head_tokens:{count(a)}"
 
 
 def clipped(text: str, limit: int) -> str:
     """The text on one line, its start and ... if that is too long."""
     text = " ".join(text.split())
-    room = limit - 1
-    while count(text) > limit and room > 0:
-        short = head(text, room).rstrip() + "..."
-        if count(short) <= limit:
-            return short
-        room -= 1
-    return text if count(text) <= limit else head("...", limit)
+    return text if count(text) <= limit else head(head(text, limit - 1).rstrip() + "...", limit)
 
 
-def _lines_that_fit(start: str, lines: list[str], limit: int, stop: bool) -> tuple[str, int]:
-    taken = 0
-    for line in lines:
-        if count(f"{start}\n{line}") <= limit:
-            start, taken = f"{start}\n{line}", taken + 1
-        elif stop:
-            break
-    return start, taken
+def filled(start: str, options: list[tuple[str, str]], limit: int) -> tuple[str, list[int]]:
+    """start and the options (heading, line) that fit, each tried once in their order, under their headings; and which were taken.
+
+    A heading comes with the first of its lines, and costs with it.
+    """
+    room, said, taken = 4 * limit - units(start), {}, []
+    for i, (heading, line) in enumerate(options):
+        cost = units(f"\n* {line}") + (0 if heading in said else units(f"\n{heading}"))
+        if cost <= room:
+            room -= cost
+            said.setdefault(heading, []).append(f"* {line}")
+            taken.append(i)
+    return "\n".join([start, *("\n".join([h, *lines]) for h, lines in said.items())]), taken
 
 
 def digest(path: str, kind: str, how: str, segs: list[dict], limit: int, critical: list[str]) -> tuple[str, list[str]]:
-    """Title lines, critical tokens, summaries by priority and up to three snippets, each as far as it fits; and the anchors of the summaries."""
-    title = [f"Typed digest for {path}", f"- artifact_type: {kind}", f"- excerpt_strategy: {how}"]
+    """What an item is, then its critical tokens, summaries by priority and a few samples, each as far as it fits; and the anchors of the summaries."""
     ranked = sorted(segs, key=lambda s: (-s["priority"], s["anchor"]))
-    anchors: list[str] = []
-    kept, points = ([HEADER] if critical else []), ["- key points:"]
-    text = lambda a, k, p: "\n".join([*title, f"- retained anchors: {', '.join(a) or 'none'}", *k, *p])
-    if count(text(anchors, kept, points)) > limit:
-        return text(anchors, kept, points), []
-    for token in critical:
-        if count(text(anchors, [*kept, f"- {token}"], points)) <= limit:
-            kept.append(f"- {token}")
-    for s in ranked:
-        if count(text([*anchors, s["anchor"]], kept, [*points, f"  - {s['summary']}"])) <= limit:
-            anchors.append(s["anchor"])
-            points.append(f"  - {s['summary']}")
-    out = text(anchors, kept, points)
-    snippets = [s["snippet"] for s in ranked if s["snippet"]][:3]
-    if snippets and count(out + "\n- minimal snippets:") <= limit:
-        out, _ = _lines_that_fit(out + "\n- minimal snippets:", [f"  - {s}" for s in snippets], limit, False)
-    return out, anchors
+    samples = [s["snippet"] for s in ranked if s["snippet"]][:MOST_SAMPLES]
+    options = [(NAMES, t) for t in critical] + [("Parts:", s["summary"]) for s in ranked] + [(SAMPLES, t) for t in samples]
+    text, taken = filled(f"{path} in short ({kind}, {how})", options, limit)
+    first = len(critical)
+    return text, [ranked[i - first]["anchor"] for i in taken if first <= i < first + len(ranked)]
 
 
-def ladder(path: str, text: str, kind: str, how: str, structured: str | None, anchors: list[str], segs: list[dict], critical: list[str], limit: int) -> dict:
-    """The first that fits: structured segments, a digest, the whole text, its critical tokens, its start and end."""
-    result = lambda t, cut, method, strategy, a, c, fallback: {
-        "text": t, "truncated": cut, "method": method, "strategy": strategy, "anchors": a, "compaction": c, "fallback": fallback, "kept_tokens": all(x in t for x in critical) if text else False,
-    }
-    if not text:
-        return result("", False, "empty_text", "empty_text", [], "none", False)
-    tokens_only = lambda: _lines_that_fit(f"Typed digest for {path}\n{HEADER}", [f"- {t}" for t in critical], limit, True)[0]
+def names_only(path: str, critical: list[str], limit: int) -> str:
+    return filled(f"{path} in short", [(NAMES, t) for t in critical], limit)[0]
+
+
+def completed(structured: str | None, critical: list[str], limit: int) -> str | None:
+    """The structured excerpt with the critical tokens that it lacks at its end; null if they don't all fit."""
+    lacking = [t for t in critical if t not in (structured or "")]
+    if not structured or not lacking:
+        return structured or None
+    text, taken = filled(structured.rstrip() + "\n", [(NAMES, t) for t in lacking], limit)
+    return text if len(taken) == len(lacking) else None
+
+
+def rungs(path: str, text: str, kind: str, how: str, structured: str | None, anchors: list[str], segs: list[dict], critical: list[str], limit: int) -> Iterator[tuple]:
+    """What stands for a text, the best first: (text, method, strategy, anchors, compaction, fallback)."""
     if segs:
-        missing = [t for t in critical if t not in (structured or "")]
-        if structured and missing:
-            full = f"{structured.rstrip()}\n\n{HEADER}"
-            full, taken = _lines_that_fit(full, [f"- {t}" for t in missing], limit, True) if count(full) <= limit else ("", 0)
-            structured = full if taken == len(missing) else None
-        if structured:
-            return result(structured, structured != text, how, how, anchors, "none", False)
-        short, retained = digest(path, kind, how, segs, limit, critical)
-        if count(short) > limit:
-            short = tokens_only() if critical and count(tokens_only()) <= limit else clipped(short, limit)
-        if count(short) <= limit:
-            return result(short, True, f"typed_digest_compaction:{how}", how, retained, "typed_digest_compaction", False)
-    if count(text) <= limit:
-        return result(text, False, "full_text", "full_text", [], "none", False)
-    if critical and count(tokens_only()) <= limit:
-        return result(tokens_only(), True, "typed_digest_compaction:critical_tokens", how, [], "typed_digest_compaction", False)
+        if whole := completed(structured, critical, limit):
+            yield whole, how, how, anchors, "none", False
+        short, kept = digest(path, kind, how, segs, limit, critical)
+        for t in [short, *([names_only(path, critical, limit)] if critical else []), clipped(short, limit)]:
+            yield t, f"{DIGEST}:{how}", how, kept, DIGEST, False
+    yield text, PLAIN, PLAIN, [], "none", False
+    if critical:
+        yield names_only(path, critical, limit), f"{DIGEST}:critical_tokens", how, [], DIGEST, False
     short, method = ends(text, limit)
-    return result(short, True, method, "head_tail_fallback", [], method.partition(":")[0], True)
+    yield short, method, FALLBACK, [], method.partition(":")[0], True
+
+
+def ladder(path: str, text: str, kind: str, how: str, structured: str | None, anchors: list[str], segs: list[dict], critical: list[str], limit: int) -> dict:
+    """The first rung that fits the limit: structured segments, a digest, the whole text, its critical tokens, its start and end."""
+    if not text:
+        return dict(zip(_ARROW.names, ("", False, EMPTY, EMPTY, [], "none", False, False)))
+    steps = rungs(path, text, kind, how, structured, anchors, segs, critical, limit)
+    said, method, strategy, kept, compaction, fallback = next(r for r in steps if count(r[0]) <= limit)
+    return dict(zip(_ARROW.names, (said, said != text, method, strategy, kept, compaction, fallback, all(t in said for t in critical))))
 
 
 def _ladders(
@@ -211,6 +211,15 @@ def budget_steps(start: int) -> list[int]:
     return out
 
 
+def budgets(start: Column) -> Column:
+    """budget_steps() of a column of budgets up to 2^31, as an array; one of FLOOR or less is the only one."""
+    floor = F.lit(FLOOR).cast("bigint")
+    less = lambda b: F.greatest(floor, b - F.greatest(F.lit(1).cast("bigint"), F.floor(b / SHRINK)))
+    last = lambda a: F.element_at(a, -1)
+    more = lambda a, _: F.when(last(a) > FLOOR, F.concat(a, F.array(less(last(a))))).otherwise(a)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.array(start.cast("bigint")), more)
+
+
 def drop_rank(origin: Column | str = "origin", kind: Column | str = "artifact_type") -> tuple[Column, Column]:
     a, b = F.lit(2), F.lit(5)
     for name, rank in DROP_ORIGIN.items():
@@ -220,42 +229,40 @@ def drop_rank(origin: Column | str = "origin", kind: Column | str = "artifact_ty
     return a, b
 
 
-def drop_until_fit(sized: DataFrame, group: list[str], limit: int, frame_units: int = 0) -> DataFrame:
+def drop_until_fit(sized: DataFrame, group: list[str], limit: int, frame_units: int = 0, note_units: Column | None = None) -> DataFrame:
     """sized (group, path, origin, artifact_type, n_tokens, units) with dropped: the shortest run of items, in the order of dropping, without which the rest fits the limit.
 
-    Included items and contracts stay. Quarter-units add up, so a running sum over each group tells.
+    Included items and contracts stay. Quarter-units add up, so a running sum over each group tells;
+    a group is a bundle, with as many items as a request may select. note_units: what is still said of an item that is dropped.
     """
     free = (F.col("origin") != "must_include") & (F.col("artifact_type") != "contract")
     a, b = drop_rank()
     order = Window.partitionBy(*group).orderBy(F.when(free, 0).otherwise(1), a, b, F.desc("n_tokens"), "path")
-    before = F.coalesce(F.sum("units").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gain = F.col("units") - (F.lit(0) if note_units is None else note_units)
+    before = F.coalesce(F.sum(gain).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("units").over(Window.partitionBy(*group))
     return sized.withColumn("dropped", free & (F.ceil((total - before + frame_units) / 4) > limit))
 
 
-def fit(items: DataFrame, terms: Column, limit: int, per_item: int, block_units: Column, frame_units: int) -> tuple[DataFrame, int]:
-    """Excerpts of the items of one bundle under the first budget at which their blocks fit, and that budget; beyond the last budget items are dropped.
+def fit(items: DataFrame, terms: Column, limit: int, per_item: int, units: Column, frame_units: int, note_units: Column | None = None) -> tuple[DataFrame, int]:
+    """Excerpts of the items of one bundle under the first budget at which all fit, and that budget; beyond the last budget items are dropped.
 
-    The loop that shrinks all budgets in step and then drops one item after another has a closed form:
-    every step's excerpts are made side by side, their units summed, and the first that fits is taken.
-    Selected items are few, so a step is small. block_units: units of an item's block around its excerpt.
+    All budgets shrink in step, so the steps are known (budget_steps); each is one job over the selected
+    items, which are few, and the first that fits is taken. What to drop then needs no loop. units: four
+    times the tokens of what is said of an item with its excerpt; note_units: of one that is dropped.
     """
-    segs = segments(items, terms).cache()
-    try:
-        made = None
-        for step in budget_steps(per_item):
-            budget = excerpts(items, terms, step, segs).withColumn("units", block_units + quarter_units("excerpt.text")).cache()
-            used = budget.agg(F.sum("units")).first()[0] or 0
-            made = budget
-            if math.ceil((used + frame_units) / 4) <= limit:
-                return budget.withColumn("dropped", F.lit(False)), step
-        out = drop_until_fit(made, [], limit, frame_units)
-        left = out.where("not dropped").agg(F.sum("units")).first()[0] or 0
-        if math.ceil((left + frame_units) / 4) > limit:
-            raise ValueError(f"Items that must stay don't fit {limit} tokens")
-        return out, FLOOR
-    finally:
-        segs.unpersist()
+    note = F.lit(0) if note_units is None else note_units
+    segs = cut(segments(items, terms))
+    for step in budget_steps(per_item):
+        made = cut(excerpts(items, terms, step, segs).withColumn("units", units))
+        used = made.agg(F.sum("units")).first()[0] or 0
+        if math.ceil((used + frame_units) / 4) <= limit:
+            return made.withColumn("dropped", F.lit(False)), step
+    out = cut(drop_until_fit(made, [], limit, frame_units, note))
+    left = out.agg(F.sum(F.when(F.col("dropped"), note).otherwise(F.col("units")))).first()[0] or 0
+    if math.ceil((left + frame_units) / 4) > limit:
+        raise ValueError(f"Items that must stay don't fit {limit} tokens")
+    return out, step
 
 
 def language(path: Column | str, compaction: Column | str) -> Column:
@@ -265,4 +272,4 @@ def language(path: Column | str, compaction: Column | str) -> Column:
     out = F.lit("text")
     for e, name in named.items():
         out = F.when(end == e, name).otherwise(out)
-    return F.when(F.col(compaction) == "typed_digest_compaction" if isinstance(compaction, str) else compaction == "typed_digest_compaction", "text").otherwise(out)
+    return F.when((F.col(compaction) if isinstance(compaction, str) else compaction) == DIGEST, "text").otherwise(out)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import bullets, clip, quarter_units
-from lodestack.operators.pack import language
+from lodestack.operators.pack import DIGEST, language
 
 STRUCTURED = ["symbol_extract", "section_extract", "key_block_extract"]
 GROUPS = ["contract", "workflow", "code", "supporting", "attachments"]
@@ -37,12 +37,11 @@ def bundle_rank(group: Column, path: Column, kind: Column, promoted: Column, pri
     return F.struct(first.alias("first"), second.cast("int").alias("second"), path.alias("path"))
 
 
-def grouped(items: DataFrame) -> DataFrame:
-    """items (path, artifact_type, included, promoted, priority) with bundle_group and place: their order within it."""
+def grouped(items: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """items (keys of the bundle, path, artifact_type, included, promoted, priority) with bundle_group and place: their order within it."""
     rows = items.withColumn("bundle_group", bundle_group("artifact_type", "included"))
-    rows = rows.withColumn("_rank", bundle_rank(*(F.col(c) for c in ("bundle_group", "path", "artifact_type", "promoted", "priority"))))
-    sizes = rows.groupBy("bundle_group").agg(F.sort_array(F.collect_list("_rank")).alias("_all"))
-    return rows.join(sizes, "bundle_group").withColumn("place", F.array_position("_all", F.col("_rank"))).drop("_all", "_rank")
+    rank = bundle_rank(*(F.col(c) for c in ("bundle_group", "path", "artifact_type", "promoted", "priority")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "bundle_group").orderBy(rank)))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -55,7 +54,7 @@ def quality(items: DataFrame, tokens: Column, most: Column, keys: list[str] | No
     i = F.col("included")
     n = F.count_if(i)
     anchored = F.size("anchors") > 0
-    lost = i & ~anchored & (F.col("strategy").isin(STRUCTURED) | (F.col("compaction") == "typed_digest_compaction") & (F.col("artifact_type") != "contract"))
+    lost = i & ~anchored & (F.col("strategy").isin(STRUCTURED) | (F.col("compaction") == DIGEST) & (F.col("artifact_type") != "contract"))
     out = items.groupBy(*(keys or [])).agg(
         F.count_if(i & (F.col("artifact_type") == "contract")).alias("contract_coverage"),
         F.count_if(i & (F.col("artifact_type") == "workflow")).alias("workflow_coverage"),
@@ -67,6 +66,29 @@ def quality(items: DataFrame, tokens: Column, most: Column, keys: list[str] | No
     return out.withColumns({"budget_compliance": tokens <= most, "bundle_order_valid": F.lit(True)})
 
 
+#: Columns of an item that a manifest shows, as far as it has them.
+PUBLISHED = (
+    "path file_type artifact_type context_layer origin included promoted priority score reason n_tokens n_included bundle_group place excerpt anchors path_types distance explained graph_selected attachment"
+).split()
+
+
+def published(items: DataFrame) -> DataFrame:
+    """items as a manifest shows them: without their contents and what only orders them."""
+    return items.select(*(c for c in PUBLISHED if c in items.columns))
+
+
+def summary(items: DataFrame) -> DataFrame:
+    """One row of counts and lists over the items of a bundle: included, path, artifact_type, promoted, excerpt."""
+    i, e = F.col("included"), "excerpt."
+    paths = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("path"))))
+    structured = F.col(e + "strategy").isin(STRUCTURED) & (F.col(e + "compaction") == "none")
+    return items.agg(
+        F.count("*").alias("n_selected"), F.count_if(i).alias("n_included"), F.count_if(e + "truncated").alias("n_truncated"),
+        F.count_if(i & structured).alias("n_structured"), F.count_if(i & (F.col(e + "compaction") == DIGEST)).alias("n_digests"), F.count_if(i & F.col(e + "fallback")).alias("n_fallbacks"),
+        paths(i & (F.col("artifact_type") == "contract") & F.col(e + "kept_tokens")).alias("preserved"), paths(i & F.col("promoted")).alias("promoted"),
+    )
+
+
 def layer_counts(items: DataFrame) -> DataFrame:
     """Rows of every layer, zero included; items: included, context_layer."""
     layer = F.when(~F.col("included"), "attachments").when(F.col("context_layer") == "stable_contract", "stable_contract").otherwise("evidence")
@@ -94,9 +116,14 @@ def block(included_tokens: Column | str = "n_included") -> Column:
     )
 
 
-def block_units() -> Column:
-    """Units of a block without its excerpt's text and with tokens of up to ten digits."""
-    return quarter_units(block(F.lit(9_999_999_999))) - quarter_units("excerpt.text")
+def item_text() -> Column:
+    """All that a bundle says of an item: its block, with tokens of up to ten digits, and the notes on it."""
+    return F.concat(block(F.lit(9_999_999_999)), F.lit("\n- "), "path", F.lit(": a digest\n- "), "path", F.lit(": cut by "), "excerpt.method", F.lit("\n"))
+
+
+def left_out() -> Column:
+    """The note on an item that is attached only."""
+    return F.concat("path", F.lit(": attached only"))
 
 
 def bundle_text(items: DataFrame, mode: str, topic: str, goal: str, focus: list[str], risks: list[str]) -> DataFrame:
@@ -105,8 +132,8 @@ def bundle_text(items: DataFrame, mode: str, topic: str, goal: str, focus: list[
     rows = items.where("included").withColumn("_block", block(F.ceil(quarter_units("excerpt.text") / 4)))
     texts = rows.groupBy("bundle_group").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "_block"))), lambda s: s["_block"]), "\n").alias("_text"))
     notes = items.agg(
-        F.sort_array(F.collect_list(F.when(~F.col("included"), F.concat("path", F.lit(": attached only"))))).alias("_left"),
-        F.sort_array(F.collect_list(F.when(F.col("included") & (F.col("excerpt.compaction") == "typed_digest_compaction"), F.concat("path", F.lit(": a digest"))))).alias("_short"),
+        F.sort_array(F.collect_list(F.when(~F.col("included"), left_out()))).alias("_left"),
+        F.sort_array(F.collect_list(F.when(F.col("included") & (F.col("excerpt.compaction") == DIGEST), F.concat("path", F.lit(": a digest"))))).alias("_short"),
         F.sort_array(F.collect_list(F.when(F.col("included") & F.col("excerpt.fallback"), F.concat("path", F.lit(": cut by "), "excerpt.method")))).alias("_cut"),
     )
     sections = spark.createDataFrame([(g, i, t) for i, (g, t) in enumerate(TITLES.items(), 2)], "bundle_group string, ord int, title string").join(texts, "bundle_group", "left")

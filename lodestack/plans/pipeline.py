@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.frames import cut
+from lodestack.frames import cut, make_folder, read_text, write_text
 from lodestack.functions import paths
-from lodestack.functions.text import quarter_units, words
+from lodestack.functions.text import estimate_tokens, quarter_units, words
+from lodestack.functions.tokens import exact_tokens
 from lodestack.operators import extract, graph, pack, report, select, terms
 from lodestack.operators.catalog import GATES, Exclusions, catalog, excluded
 from lodestack.operators.score import graph_bonus, scored
@@ -22,9 +23,30 @@ PER_ITEM = 1200
 STATUS = ("preview", "confirmed")
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """What exact token counts need: a file of ranks that every machine has, and how texts are split. See functions.tokens."""
+
+    ranks: str
+    pattern: str
+    name: str
+
+
+def token_count(request: Request, vocabulary: Vocabulary | None) -> tuple[Callable[[Column], Column], str]:
+    """How texts are counted for a request, and the name of it; a request for exact counts needs a vocabulary."""
+    if not request.require_exact_tokens:
+        return estimate_tokens, "estimate"
+    if vocabulary is None:
+        raise ValueError("The request asks for exact tokens, which need a vocabulary")
+    return (lambda c: exact_tokens(c, vocabulary.ranks, vocabulary.pattern)), vocabulary.name
+
+
 @dataclass
 class Selection:
-    """Chosen items (path, content, kinds, score, reason, origin, promoted, priority, place, paths), those that just missed, warnings, and what was decided."""
+    """Chosen items (path, content, kinds, score, reason, origin, promoted, priority, place, paths), those that just missed, warnings, and what was decided.
+
+    nodes and edges: counts by type. counts: n_items and n_excluded of the corpus.
+    """
 
     items: DataFrame
     dropped: DataFrame
@@ -33,6 +55,9 @@ class Selection:
     gate: str
     all_terms: list[str]
     two_hops: bool
+    nodes: DataFrame
+    edges: DataFrame
+    counts: DataFrame
 
 
 def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclusions(), traverse_dirs: bool = True) -> Selection:
@@ -59,7 +84,8 @@ def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclus
     found, two_hops = near, False
     if about.wants_two_hops or close < 2:
         found = cut(graph.file_paths(graph.search(edges, anchors, 2, traverse_dirs), nodes))
-        two_hops = not found.join(near, "path", "left_anti").isEmpty()
+        reached, before = found.select("path"), near.select("path")
+        two_hops = not reached.exceptAll(before).union(before.exceptAll(reached)).isEmpty()
 
     included, notes = select.include_minus_exclude(everything.select("path"), list(request.must_include), list(request.must_exclude))
     banned = select.resolve_patterns(everything.select("path"), list(request.must_exclude)).where("path is not null").select("path").distinct()
@@ -104,65 +130,78 @@ def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclus
     rows = cut(rows)
     missed = select.dropped(last.where("path_types is not null"), 0, left + select.DROPPED).join(rows, "path", "left_anti").orderBy(F.desc("score"), "base_priority", "path").limit(select.DROPPED)
     shown = graph.explanations(found.join(rows, "path", "left_semi"))
-    return Selection(rows, missed, notes, shown, about.retrieval_gate, list(about.all_terms), two_hops)
+    kinds = graph.type_counts(nodes.select("node_type").union(anchors.select(F.lit("task_state_anchor"))), "node_type", graph.NODE_TYPES)
+    counts = everything.agg(F.count("*").alias("n_items"), F.count_if(excluded("path", rules)).alias("n_excluded"))
+    return Selection(rows, missed, notes, shown, about.retrieval_gate, list(about.all_terms), two_hops, kinds, graph.edge_counts(edges), counts)
+
 
+def bundle(chosen: Selection, request: Request, per_item: int = PER_ITEM, vocabulary: Vocabulary | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items with excerpt, included, bundle_group and place; the bundle's text and its tokens in one row), within the request's tokens.
 
-def bundle(chosen: Selection, request: Request, per_item: int = PER_ITEM) -> tuple[DataFrame, DataFrame]:
-    """(items with excerpt, included, bundle_group and place; the bundle's text in one row), within the request's tokens."""
+    Excerpts are cut by the estimate; blocks and the whole are counted as the request asks. Raises if
+    what must stay does not fit.
+    """
     request = request.normalized()
+    count, _ = token_count(request, vocabulary)
     frame = 4 * 220 + 4 * len(" ".join([request.topic, request.goal[:280], *request.focus_points])) + 4 * sum(len(b) + 4 for b in request.blockers)
     rows = chosen.items.withColumns({"n_included": F.lit(0), "reason": F.coalesce("reason", F.lit(""))})
-    made, _ = pack.fit(rows, words(chosen.all_terms), request.max_bundle_tokens, per_item, report.block_units() + 4 * F.length("path") + 240, frame)
-    made = made.withColumn("included", ~F.col("dropped")).withColumn("n_included", F.when(F.col("included"), F.ceil(quarter_units("excerpt.text") / 4)).otherwise(0))
+    units = quarter_units if count is estimate_tokens else lambda c: 4 * count(c)
+    made, _ = pack.fit(rows, words(chosen.all_terms), request.max_bundle_tokens, per_item, units(report.item_text()), frame, quarter_units(report.left_out()) + 12)
+    made = made.withColumn("included", ~F.col("dropped")).withColumn("n_included", F.when(F.col("included"), count(F.col("excerpt.text"))).otherwise(0))
     made = cut(report.grouped(made))
-    return made, report.bundle_text(made, request.mode, request.topic, request.goal, list(request.focus_points), list(request.blockers))
+    text = report.bundle_text(made, request.mode, request.topic, request.goal, list(request.focus_points), list(request.blockers))
+    text = cut(text.withColumn("tokens", count(F.col("bundle"))))
+    if text.first().tokens > request.max_bundle_tokens:
+        raise ValueError(f"The bundle does not fit {request.max_bundle_tokens} tokens")
+    return made, text
 
 
-def manifest(chosen: Selection, made: DataFrame, request: Request, bundle_id: str, created_at: str, tokens: int) -> dict:
+def manifest(chosen: Selection, made: DataFrame, request: Request, bundle_id: str, created_at: str, tokens: int, counted: str = "estimate", attachments: str = "") -> dict:
     """What was decided and why, ready to be written as JSON. A bundle's items are few."""
     flat = made.select("included", "artifact_type", "context_layer", F.col("excerpt.strategy").alias("strategy"), F.col("excerpt.compaction").alias("compaction"), F.col("excerpt.fallback").alias("fallback"), F.col("excerpt.anchors").alias("anchors"), "explained")
     measures = report.quality(flat, F.lit(tokens), F.lit(request.max_bundle_tokens)).first().asDict()
     layers = {r.layer: r.n for r in report.layer_counts(flat).collect()}
-    files = made.drop("content", "_k", "_o").orderBy("_o", "_k").toJSON().collect()
+    files = report.published(made.withColumn("attachment", F.lit(attachments)).orderBy("_o", "_k")).toJSON().collect()
+    summary = chosen.counts.first().asDict() | report.summary(made).first().asDict()
+    linked = {name: {r[0]: r.n for r in rows.orderBy("ord").collect()} for name, rows in (("nodes", chosen.nodes), ("edges", chosen.edges))}
+    summary |= {
+        "retrieval_gate": chosen.gate, "total_bundle_tokens": tokens, "tokens_counted_by": counted, "max_files_requested": request.max_files, "max_bundle_tokens_requested": request.max_bundle_tokens,
+        "two_hop_triggered": chosen.two_hops, "graph": linked, "bundle_layer_counts": layers, "quality_metrics": measures,
+    }
     return {
         "bundle_id": bundle_id, "created_at": created_at, "status": STATUS[0], "mode": request.mode, "topic": request.topic, "goal": request.goal,
-        "inputs": asdict(request), "files": [json.loads(f) for f in files], "selection_summary": {"retrieval_gate": chosen.gate, "total_bundle_tokens": tokens, "two_hop_triggered": chosen.two_hops, "bundle_layer_counts": layers, "quality_metrics": measures},
+        "inputs": asdict(request), "files": [json.loads(f) for f in files], "selection_summary": summary,
         "explanation": {"per_artifact_paths": [json.loads(x) for x in chosen.explanations.toJSON().collect()], "dropped_candidates": [json.loads(x) for x in chosen.dropped.select("path", "score", "reason").toJSON().collect()]},
         "warnings": [r.asDict() for r in chosen.warnings.collect()],
     }
 
 
-def _write(path: str, text: str) -> None:
-    with open(path + ".tmp", "w", encoding="utf-8", newline="\n") as f:
-        f.write(text)
-    os.replace(path + ".tmp", path)
-
-
-def write_bundle(corpus: DataFrame, request: Request, folder: str, bundle_id: str, created_at: str, rules: Exclusions = Exclusions(), per_item: int = PER_ITEM) -> dict:
-    """Selects, packs and writes bundle.md, manifest.json and the chosen items' texts (attachments, as Parquet) into folder/bundle_id."""
+def write_bundle(
+    corpus: DataFrame, request: Request, folder: str, bundle_id: str, created_at: str, rules: Exclusions = Exclusions(), per_item: int = PER_ITEM, vocabulary: Vocabulary | None = None
+) -> dict:
+    """Selects, packs and writes bundle.md, manifest.json and the chosen items' texts (attachments, as Parquet) into folder/bundle_id, in any store that Spark knows."""
+    spark, out = corpus.sparkSession, f"{folder.rstrip('/')}/{bundle_id}"
     chosen = select_items(corpus, request, rules)
-    made, text = bundle(chosen, request, per_item)
-    said = text.withColumn("tokens", F.ceil(quarter_units("bundle") / 4)).first()
-    out = os.path.join(folder, bundle_id)
-    os.makedirs(out)
-    made.select("path", "content").write.parquet(os.path.join(out, "attachments"))
-    told = manifest(chosen, made, request.normalized(), bundle_id, created_at, said.tokens)
-    _write(os.path.join(out, "bundle.md"), said.bundle)
-    _write(os.path.join(out, "manifest.json"), json.dumps(told, ensure_ascii=False, indent=2) + "\n")
+    made, text = bundle(chosen, request, per_item, vocabulary)
+    said = text.first()
+    make_folder(spark, out)
+    made.select("path", "content").write.parquet(f"{out}/attachments")
+    told = manifest(chosen, made, request.normalized(), bundle_id, created_at, said.tokens, token_count(request, vocabulary)[1], "attachments")
+    write_text(spark, f"{out}/bundle.md", said.bundle)
+    write_text(spark, f"{out}/manifest.json", json.dumps(told, ensure_ascii=False, indent=2) + "\n")
     return told
 
 
-def preview(folder: str, bundle_id: str) -> dict:
+def preview(spark: SparkSession, folder: str, bundle_id: str) -> dict:
     """The manifest of a written bundle, checked against its folder."""
-    with open(os.path.join(folder, bundle_id, "manifest.json"), encoding="utf-8") as f:
-        told = json.load(f)
+    told = json.loads(read_text(spark, f"{folder.rstrip('/')}/{bundle_id}/manifest.json"))
     if told["bundle_id"] != bundle_id:
         raise ValueError(f"The manifest in {bundle_id} is that of {told['bundle_id']}")
     return told
 
 
-def confirm(folder: str, bundle_id: str, at: str) -> dict:
+def confirm(spark: SparkSession, folder: str, bundle_id: str, at: str) -> dict:
     """Marks a bundle as confirmed; again is no change but of the time."""
-    told = preview(folder, bundle_id) | {"status": STATUS[1], "confirmed_at": at}
-    _write(os.path.join(folder, bundle_id, "manifest.json"), json.dumps(told, ensure_ascii=False, indent=2) + "\n")
+    told = preview(spark, folder, bundle_id) | {"status": STATUS[1], "confirmed_at": at}
+    write_text(spark, f"{folder.rstrip('/')}/{bundle_id}/manifest.json", json.dumps(told, ensure_ascii=False, indent=2) + "\n")
     return told

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from lodestack.frames import table
 from lodestack.functions import paths, text
 from lodestack.functions.text import words
 from lodestack.operators import catalog, extract, graph, pack, report, score, select, terms
-from lodestack.plans import sql
+from lodestack.plans import pipeline, sql
+from lodestack.request import Request
 from lodestack.sources.corpus import documents_corpus
 
 QUERIES: dict = {}
@@ -89,16 +92,6 @@ def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", F.explode(text.query_terms("text")).alias("term")).distinct()
 
 
-@query(f"""
-WITH a AS (SELECT DISTINCT unnest({sql.query_terms('text')}) AS term FROM conversations), b AS (SELECT DISTINCT unnest({sql.query_terms('text')}) AS term FROM benchmark)
-SELECT coalesce(a.term, b.term) AS term, a.term IS NOT NULL AS in_conversations, b.term IS NOT NULL AS in_benchmark FROM a FULL JOIN b ON a.term = b.term
-""")
-def lane_union(spark, sf_dir):
-    of = lambda name, mark: table(spark, sf_dir, name).select(F.explode(text.query_terms("text")).alias("term"), F.lit(mark).alias("lane"))
-    both = of("conversations", 0).union(of("benchmark", 1)).groupBy("term")
-    return both.agg(F.bool_or(F.col("lane") == 0).alias("in_conversations"), F.bool_or(F.col("lane") == 1).alias("in_benchmark"))
-
-
 @query(f"WITH {sql.CATALOG}, {sql.scored(LANES)} SELECT path, array_to_string(task_hits, ' ') AS task_hits, array_to_string(contract_hits, ' ') AS contract_hits, array_to_string(code_hits, ' ') AS code_hits, array_to_string(hits, ' ') AS hits FROM hit")
 def path_term_hits(spark, sf_dir):
     rows = score.scored(items(spark, sf_dir), LANES)
@@ -126,6 +119,23 @@ def gate_decision(spark, sf_dir):
     return terms.gate(tasks(spark, sf_dir)).select("conv_id", F.size("task").cast("bigint").alias("n_terms"), "retrieval_gate")
 
 
+_of_all = lambda texts: f"list_distinct(flatten(list_transform({texts}, lambda x: {sql.query_terms('x')})))"
+
+
+@query(f"""
+WITH s AS (SELECT conv_id, list(text ORDER BY turn) AS said, '{terms.CODE_PHRASE}' AS phrase FROM conversations WHERE role = 'user' GROUP BY conv_id),
+t AS (SELECT conv_id, list_distinct(list_concat({_of_all('said')}, {sql.query_terms("''")})) AS task, list_concat({_of_all('said[2:]')}, {sql.query_terms('phrase')}, {sql.array(terms.CODE_TERMS)}) AS code FROM s),
+l AS (SELECT conv_id, 'task' AS lane, task AS terms FROM t UNION ALL SELECT conv_id, 'contract', list_concat(task, {sql.array(terms.CONTRACT_TERMS)}) FROM t
+  UNION ALL SELECT conv_id, 'code', code FROM t UNION ALL SELECT conv_id, 'all_terms', list_concat(task, {sql.array(terms.CONTRACT_TERMS)}, code) FROM t)
+SELECT conv_id, lane, array_to_string(list_sort(list_distinct(terms)), ' ') AS terms FROM l
+""")
+def lane_union(spark, sf_dir):
+    """The lanes of every task, and their union."""
+    rows = terms.lanes(tasks(spark, sf_dir))
+    lanes = F.array(*(F.struct(F.lit(c).alias("lane"), F.array_join(c, " ").alias("terms")) for c in ("task", "contract", "code", "all_terms")))
+    return rows.select("conv_id", F.inline(lanes))
+
+
 @query(f"WITH {sql.CATALOG}, {sql.scored(LANES)} SELECT path, artifact_type, score, base_priority FROM ranked WHERE NOT {sql.EXCLUDED} ORDER BY score DESC, base_priority, path LIMIT {TOP}")
 def score_rank_topk(spark, sf_dir):
     rows = score.scored(items(spark, sf_dir).where(~catalog.excluded("path")), LANES)
@@ -176,13 +186,13 @@ def glob_resolve(spark, sf_dir):
 
 
 @query(f"""
-WITH {sql.CORPUS}, t AS (SELECT page_id, unnest(regexp_extract_all(url || ' docs/en/d_' || page_id || '.md mod_' || (page_id * 10 + 4) || '.py x/workflow.py', '[A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9_]+')) AS token FROM pages WHERE page_id < 200),
+WITH {sql.CORPUS}, t AS (SELECT page_id, unnest(regexp_extract_all(url || ' docs/en/d_' || page_id || '.md mod_' || (page_id * 10 + 4) || '.py x/workflow.py', '[A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9_]+')) AS token FROM pages),
 k AS (SELECT path, {sql.NAME} AS name FROM corpus)
 SELECT DISTINCT k.path FROM t JOIN k ON t.token = k.path OR regexp_extract(t.token, '([^/]*)$', 1) = k.name AND (t.token <> k.path)
 """)
 def mentioned_paths(spark, sf_dir):
     said = F.concat("url", F.lit(" docs/en/d_"), "page_id", F.lit(".md mod_"), F.col("page_id") * 10 + 4, F.lit(".py x/workflow.py"))
-    texts = table(spark, sf_dir, "pages").where("page_id < 200").select(F.col("page_id").alias("ord"), said.alias("text"))
+    texts = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), said.alias("text"))
     return select.mentioned_paths(texts, corpus(spark, sf_dir)).select("path")
 
 
@@ -295,7 +305,7 @@ def node_counts(spark, sf_dir):
 
 @query("""
 WITH e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'imports' AS t FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM customer
-  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'depends_on' FROM orders WHERE o_orderkey % 10 = 0),
+  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'depends_on' FROM orders),
 r0 AS (SELECT 'r0' AS node, 0 AS distance, 0 AS cost), r1 AS (SELECT dst AS node, 1 AS distance, 2 AS cost FROM r0 JOIN e ON e.src = r0.node),
 r2 AS (SELECT dst AS node, 1 AS distance, 2 AS cost FROM r1 JOIN e ON e.src = r1.node), r3 AS (SELECT dst AS node, 2 AS distance, 4 AS cost FROM r2 JOIN e ON e.src = r2.node)
 SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3
@@ -303,7 +313,7 @@ SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL
 def graph_bfs_2hop(spark, sf_dir):
     edge = lambda name, a, b, kind: table(spark, sf_dir, name).select(F.concat(F.lit(a[0]), a[1]).alias("src"), F.concat(F.lit(b[0]), b[1]).alias("dst"), F.lit(kind).alias("edge_type"))
     edges = edge("nation", ("r", "n_regionkey"), ("n", "n_nationkey"), "imports").union(edge("customer", ("n", "c_nationkey"), ("c", "c_custkey"), "contains"))
-    edges = edges.union(edge("orders", ("c", "o_custkey"), ("o", "o_orderkey"), "depends_on").where("cast(substring(dst, 2) as bigint) % 10 = 0"))
+    edges = edges.union(edge("orders", ("c", "o_custkey"), ("o", "o_orderkey"), "depends_on"))
     start = spark.createDataFrame([("r0", "direct_path")], "node string, reason string")
     return graph.search(edges, start, 2).select("node", "distance", "cost")
 
@@ -327,20 +337,36 @@ _schema_terms = "[lower(path), lower({0}), replace(lower({1}), '.', '_'), replac
 
 @query(f"""
 WITH {sql.CATALOG}, w AS (SELECT *, lower(content || CASE WHEN ord % 7 = 2 THEN ' schemas/' || source || '_' || (ord - 2) || '.json' ELSE '' END) AS low FROM items),
-t AS (SELECT path AS target, {_schema_terms} AS terms FROM items WHERE artifact_type = 'contract')
-SELECT least(src, dst) AS src, greatest(src, dst) AS dst, edge_type FROM (
-  SELECT CASE artifact_type WHEN 'workflow' THEN 'artifact_workflow:' ELSE 'file:' END || path AS src, 'artifact_schema_template:' || target AS dst, CASE artifact_type WHEN 'workflow' THEN 'consumes' ELSE 'depends_on' END AS edge_type
-  FROM w JOIN t ON w.path <> t.target AND w.artifact_type <> 'contract' AND (len(list_filter(t.terms, lambda x: length(x) >= 3 AND contains(w.low, x))) > 0 OR artifact_type = 'workflow' AND {sql.any_of('w.low', select.CONSUMES)}))
+r AS (SELECT *, CASE artifact_type WHEN 'workflow' THEN 'artifact_workflow:' ELSE 'file:' END || path AS node, artifact_type = 'workflow' AND {sql.any_of('low', select.CONSUMES)} AS reads FROM w WHERE artifact_type <> 'contract'),
+t AS (SELECT path AS target, 'artifact_schema_template:' || path AS dst, {_schema_terms} AS terms FROM items WHERE artifact_type = 'contract')
+SELECT least(node, dst) AS src, greatest(node, dst) AS dst, CASE artifact_type WHEN 'workflow' THEN 'consumes' ELSE 'depends_on' END AS edge_type
+FROM r JOIN t ON NOT reads AND path <> target AND len(list_filter(terms, lambda x: length(x) >= 3 AND contains(low, x))) > 0
+UNION ALL SELECT node, '{graph.ALL_CONTRACTS}', 'consumes' FROM r WHERE reads UNION ALL SELECT '{graph.ALL_CONTRACTS}', dst, '{graph.MEMBER}' FROM t
 """)
 def reference_edges(spark, sf_dir):
     more = F.when(F.col("ord") % 7 == 2, F.concat(F.lit(" schemas/"), "source", F.lit("_"), F.col("ord") - 2, F.lit(".json"))).otherwise("")
     return graph.undirected(graph.reference_edges(items(spark, sf_dir).withColumn("content", F.concat("content", more))))
 
 
-@query()
+_stripped = sql.strip("line")
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seg, unnest(string_split(text, chr(10))) AS line FROM documents),
+s AS (SELECT doc_id, CAST(seg AS BIGINT) AS seg, {sql.units(_stripped)} AS units, length(line) % 5 AS priority FROM l WHERE {_stripped} <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, seg) AS k FROM s),
+f AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS units, []::BIGINT[] AS taken FROM r
+  UNION ALL SELECT doc_id, k, CASE WHEN fits THEN used + more ELSE used END, CASE WHEN fits THEN units + own ELSE units END, CASE WHEN fits THEN list_append(taken, seg) ELSE taken END FROM (
+    SELECT f.doc_id, r.k, f.used, f.units, f.taken, r.seg, CAST(ceil(r.units / 4.0) AS BIGINT) + CASE WHEN len(f.taken) > 0 THEN 1 ELSE 0 END AS more, r.units + CASE WHEN len(f.taken) > 0 THEN 2 ELSE 0 END AS own, f.used + more <= 600 AS fits
+    FROM f JOIN r ON r.doc_id = f.doc_id AND r.k = f.k + 1)),
+e AS (SELECT doc_id, arg_max(taken, k) AS taken, arg_max(units, k) AS units FROM f GROUP BY doc_id)
+SELECT doc_id, len(taken) AS n, CAST(ceil(units / 4.0) AS BIGINT) AS n_tokens, array_to_string(list_sort(taken), ' ') AS anchors FROM e WHERE len(taken) > 0
+""")
 def greedy_pack_first_fit(spark, sf_dir):
-    segs = items(spark, sf_dir).select(F.col("source").alias("path"), F.col("ord").cast("int").alias("seg"), F.col("path").alias("anchor"), F.left("content", F.lit(400)).alias("text"), (F.col("n_tokens") % 97).cast("int").alias("priority"))
-    return pack.greedy(segs, 600).select("path", F.size("anchors").alias("n"), text.estimate_tokens("excerpt").alias("n_tokens"), F.array_join("anchors", " ").alias("anchors"))
+    """Of each document the lines that are taken, by a made-up priority."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n", -1)).alias("seg", "text"))
+    segs = lines.select("path", "seg", F.col("seg").cast("string").alias("anchor"), "text", (F.length("text") % 5).alias("priority"))
+    return pack.greedy(segs, 600).select(F.col("path").alias("doc_id"), F.size("anchors").cast("bigint").alias("n"), text.estimate_tokens("excerpt").alias("n_tokens"), F.array_join("anchors", " ").alias("anchors"))
 
 
 _origin = "CASE ord % 11 WHEN 0 THEN 'must_include' WHEN 1 THEN 'mentioned' ELSE 'auto' END"
@@ -349,12 +375,13 @@ _origin = "CASE ord % 11 WHEN 0 THEN 'must_include' WHEN 1 THEN 'mentioned' ELSE
 @query(f"""
 WITH {sql.CATALOG}, o AS (SELECT *, {_origin} AS origin, {sql.units('content')} AS units FROM items),
 f AS (SELECT *, origin <> 'must_include' AND artifact_type <> 'contract' AS free FROM o),
-r AS (SELECT *, sum(units) OVER (PARTITION BY source) AS total, coalesce(sum(units) OVER (PARTITION BY source ORDER BY CASE WHEN free THEN 0 ELSE 1 END, CASE origin WHEN 'auto' THEN 0 WHEN 'mentioned' THEN 1 ELSE 2 END, {sql.DROP_ORDER}, n_tokens DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
-SELECT source, path, free AND ceil((total - before) / 4.0) > 20000 AS dropped FROM r
+r AS (SELECT *, sum(units) OVER (PARTITION BY ord // 50) AS total, coalesce(sum(units) OVER (PARTITION BY ord // 50 ORDER BY CASE WHEN free THEN 0 ELSE 1 END, CASE origin WHEN 'auto' THEN 0 WHEN 'mentioned' THEN 1 ELSE 2 END, {sql.DROP_ORDER}, n_tokens DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
+SELECT ord // 50 AS bundle, path, free AND ceil((total - before) / 4.0) > 5000 AS dropped FROM r
 """)
 def drop_until_fit(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumns({"origin": F.expr(_origin), "units": text.quarter_units("content")})
-    return pack.drop_until_fit(rows, ["source"], 20000).select("source", "path", "dropped")
+    """A bundle of every fifty items."""
+    rows = items(spark, sf_dir).withColumns({"origin": F.expr(_origin), "units": text.quarter_units("content"), "bundle": F.expr("ord div 50")})
+    return pack.drop_until_fit(rows, ["bundle"], 5000).select("bundle", "path", "dropped")
 
 
 @query(f"""
@@ -365,10 +392,7 @@ SELECT doc_id, k, budget FROM b
 def budget_sequence(spark, sf_dir):
     """Every document's budgets, from its own size down."""
     start = F.greatest(F.lit(pack.FLOOR).cast("bigint"), text.estimate_tokens("text"))
-    less = lambda b: F.greatest(F.lit(pack.FLOOR).cast("bigint"), b - F.greatest(F.lit(1).cast("bigint"), F.floor(b / pack.SHRINK)))
-    grow = lambda a, _: F.when(F.element_at(a, -1) > pack.FLOOR, F.concat(a, F.array(less(F.element_at(a, -1))))).otherwise(a)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.array(start), grow).alias("budgets"))
-    return rows.select("doc_id", F.posexplode("budgets").alias("k", "budget"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pack.budgets(start)).alias("k", "budget"))
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,12 +451,12 @@ def top_anchors(spark, sf_dir):
     return report.top_anchors(_selected(spark, sf_dir), ["source"]).select("source", F.array_join("anchors", " ").alias("anchors"))
 
 
-_trimmed = "list_filter(list_transform(list(' ' || left(text, 3) || chr(9) ORDER BY turn), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '')"
+_trimmed = "list_filter(list_transform(list(' ' || text || chr(9) ORDER BY turn), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '')"
 
 
 @query(f"WITH t AS (SELECT conv_id, {_trimmed} AS v FROM conversations GROUP BY conv_id) SELECT conv_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '|') AS said FROM t")
 def ordered_dedupe(spark, sf_dir):
-    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: F.concat(F.lit(" "), F.left(s["text"], F.lit(3)), F.lit("\t")))
+    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: F.concat(F.lit(" "), s["text"], F.lit("\t")))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("v")).select("conv_id", F.array_join(text.dedupe("v"), "|").alias("said"))
 
 
@@ -442,15 +466,39 @@ def critical_tokens(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, " ").alias("tokens"))
 
 
-@query("SELECT doc_id, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(trim(left(text, 90))), '[^A-Za-z0-9\\x{4e00}-\\x{9fff}]+', '_', 'g'), '^_+|_+$', '', 'g'), 40), '_+$', ''), ''), 'bundle') AS slug FROM documents")
+_slug = f"regexp_replace(regexp_replace(lower({sql.strip('text')}), '[^A-Za-z0-9\\x{{4e00}}-\\x{{9fff}}]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, coalesce(nullif(regexp_replace(left({_slug}, 40), '_+$', ''), ''), 'bundle') AS slug FROM documents")
 def slugs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.left("text", F.lit(90))).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug("text").alias("slug"))
 
 
-@query()
+_brief = sql.squeeze("regexp_replace(text, '#+\\s*', '', 'g')")
+
+
+@query(f"WITH b AS (SELECT doc_id, {_brief} AS s FROM documents), f AS (SELECT doc_id, s, length(list_filter(range(1, 397), lambda n: length(left(s, n)) = n AND n + 3 * length(regexp_replace(left(s, n), '[\\x00-\\x7F]', '', 'g')) <= 396)) AS n FROM b) SELECT doc_id, CASE WHEN {sql.tokens('s')} <= 100 THEN s ELSE regexp_replace(left(s, n), '{sql.WHITE}+$', '') || '...' END AS brief FROM f")
+def briefs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.brief("text", 100).alias("brief"))
+
+
+_symbols = (
+    ("'<imports>'", "'import os'", "''", "'imports'", "'import os'"),
+    ("'P' || p_partkey", "'class P' || p_partkey || ':' || chr(10) || '    def size(self):' || chr(10) || '        return ' || p_size", "'class P' || p_partkey || ':'", "anchor", "'class P' || p_partkey || ':'"),
+    ("'P' || p_partkey || '.size'", "'def size(self):' || chr(10) || '        return ' || p_size", "'def size(self):'", "anchor", "'def size(self):'"),
+    ("'make'", "'def make():' || chr(10) || '    \"Makes it.\"' || chr(10) || '    return P' || p_partkey || '()'", "'Makes it. Calls: P' || p_partkey || '.'", "anchor", "'def make():'"),
+)
+_rows = " UNION ALL ".join(f"SELECT p_partkey || '.py' AS path, {i} AS seg, {a} AS anchor, {t} AS text, {h} AS hint, {c} AS scored, {n} AS snippet FROM part" for i, (a, t, h, c, n) in enumerate(_symbols))
+
+
+@query(f"""
+WITH r AS ({_rows})
+SELECT path, seg, anchor, text, CASE WHEN seg = 0 THEN 'What the module imports.' ELSE anchor || ': ' || {sql.first_sentence('hint', 120)} END AS summary,
+  {sql.anchor_score('scored', 'hint', TERMS, "'contract'")} AS priority, snippet FROM r
+""")
 def python_ast_segments(spark, sf_dir):
     """Generated sources, one per part: segments of their symbols."""
-    code = "'import os\\n\\nclass P' || p_partkey || ':\\n    def size(self):\\n        return ' || p_size || '\\n\\ndef make():\\n    ''Makes it.''\\n    return P' || p_partkey || '()\\n'"
+    code = "'import os\\n\\nclass P' || p_partkey || ':\\n    def size(self):\\n        return ' || p_size || '\\n\\ndef make():\\n    \"Makes it.\"\\n    return P' || p_partkey || '()\\n'"
     return extract.segments(_parts(spark, sf_dir, code, ".py"), words(TERMS))
 
 
@@ -460,6 +508,76 @@ def excerpt_ladder(spark, sf_dir):
     return rows.select("path", "excerpt.strategy", "excerpt.compaction", "excerpt.method", "excerpt.truncated", text.estimate_tokens("excerpt.text").alias("n_tokens"), F.size("excerpt.anchors").alias("n_anchors"))
 
 
-@query(f"WITH {sql.CATALOG}, {_chosen} SELECT path, file_type, artifact_type, {sql.of_kind(2)} AS context_layer, included, priority::INTEGER AS priority, n_tokens, array_to_string(anchors, ' ') AS anchors FROM chosen")
+@query(f"WITH {sql.CATALOG}, {_chosen} SELECT path, file_type, artifact_type, {sql.of_kind(2)} AS context_layer, included, promoted, priority::INTEGER AS priority, n_tokens, array_to_string(anchors, ' ') AS anchors, explained FROM chosen")
 def manifest_projection(spark, sf_dir):
-    return _selected(spark, sf_dir).select("path", "file_type", "artifact_type", "context_layer", "included", "priority", "n_tokens", F.array_join("anchors", " ").alias("anchors"))
+    return report.published(_selected(spark, sf_dir)).withColumn("anchors", F.array_join("anchors", " "))
+
+
+#: A request over the documents' corpus.
+REQUEST = Request(
+    "review", "Overview of the docs", "Which schema does the workflow read?", focus_points=("schema paths",), questions=("What is in wf_12?",), known_routes=("read templates first",),
+    must_include=("README_9.md", "docs/en"), must_exclude=("docs/en/d_15.md",), mentioned_paths=("conf",), background="See README_19.md and workflow.py", max_files=40,
+)
+_said = " ".join([REQUEST.topic, REQUEST.goal, *REQUEST.focus_points, *REQUEST.questions, *REQUEST.known_routes]).lower()
+
+
+@query(f"""
+WITH {sql.CATALOG}, {sql.scored(LANES)}
+SELECT 'file:' || path AS node, CASE WHEN path IN ({sql.texts([*REQUEST.must_include, *REQUEST.mentioned_paths])}) THEN 'direct_path' WHEN artifact_type = 'contract' THEN 'contract_anchor' WHEN artifact_type = 'workflow' THEN 'workflow_anchor'
+  WHEN artifact_type = 'supporting_context' THEN 'task_anchor' ELSE 'code_anchor' END AS reason FROM hit
+WHERE path IN ({sql.texts([*REQUEST.must_include, *REQUEST.mentioned_paths])}) OR artifact_type = 'contract' AND len(contract_hits) > 0 OR artifact_type = 'workflow' AND len(contract_hits) + len(code_hits) > 0
+  OR artifact_type IN ('selection_logic', 'code_snippet') AND len(code_hits) > 0 OR artifact_type = 'supporting_context' AND len(task_hits) > 0
+UNION ALL SELECT 'symbol:' || path || ':wf_12', 'symbol_anchor' FROM items WHERE artifact_type = 'workflow'
+""")
+def selection_seeds(spark, sf_dir):
+    """Anchors of a request; each workflow has a symbol that the request names after one that it does not."""
+    rows = score.scored(items(spark, sf_dir), LANES)
+    symbols = rows.where("artifact_type = 'workflow'").select("path", F.posexplode(F.array(*map(F.lit, ("wf_1", "wf_12", "workflow")))).alias("ord", "symbol"))
+    return graph.seeds(rows, [*REQUEST.must_include, *REQUEST.mentioned_paths], symbols, _said)
+
+
+_types = {"constrains": 2, "consumes": 3, "depends_on": 5, "imports": 7}
+_gains = " + ".join(
+    f"CASE WHEN ord % {_types[e]} = 0 AND ord % 13 > 1 THEN CASE WHEN artifact_type IN ({sql.texts(kinds)}) THEN {high} ELSE {low} END ELSE 0 END" for e, (high, low, kinds) in score.EDGE_BONUS.items()
+)
+
+
+@query(f"""
+WITH {sql.CATALOG}, g AS (SELECT *, {_gains} AS gained FROM items)
+SELECT path, CASE WHEN ord % 13 = 0 OR ord % 13 > 1 AND ord % 2 > 0 AND ord % 3 > 0 AND ord % 5 > 0 AND ord % 7 > 0 THEN 0 WHEN ord % 13 = 1 THEN CASE artifact_type WHEN 'contract' THEN 70 WHEN 'workflow' THEN 55 ELSE 30 END
+  ELSE CASE artifact_type WHEN 'supporting_context' THEN least(gained, 45) WHEN 'contract' THEN gained + 25 WHEN 'workflow' THEN gained + 20 ELSE gained END END AS bonus FROM g
+""")
+def graph_bonuses(spark, sf_dir):
+    """What made-up paths add to the items' scores: none, an anchor itself, or some kinds of edges."""
+    types = F.array_compact(F.array(*(F.when(F.col("ord") % n == 0, e) for e, n in _types.items())))
+    types = F.when(F.col("ord") % 13 == 0, F.array().cast("array<string>")).when(F.col("ord") % 13 == 1, F.array(F.lit("direct_anchor"))).otherwise(types)
+    return items(spark, sf_dir).select("path", score.graph_bonus(types, F.col("artifact_type")).alias("bonus"))
+
+
+@query("""
+WITH e AS (SELECT 'w' || c_custkey AS src, 'c' || n_nationkey AS dst FROM customer, nation WHERE c_custkey % 50 = 0)
+SELECT 'consumes' AS edge_type, count(*) + (SELECT count(*) FROM orders) AS n FROM e UNION ALL SELECT 'imports', count(*) FROM nation UNION ALL SELECT unnest(['contains', 'constrains', 'depends_on']), 0
+""")
+def edge_type_counts(spark, sf_dir):
+    """Edges by type, where some customers consume all nations as a group."""
+    edge = lambda rows, a, b, kind: rows.select(F.concat_ws("", *a).alias("src"), F.concat_ws("", *b).alias("dst"), F.lit(kind).alias("edge_type"))
+    nation, group = table(spark, sf_dir, "nation"), [F.lit(graph.ALL_CONTRACTS)]
+    edges = edge(nation, [F.lit("r"), "n_regionkey"], [F.lit("n"), "n_nationkey"], "imports").union(edge(nation, group, [F.lit("c"), "n_nationkey"], graph.MEMBER))
+    edges = edges.union(edge(table(spark, sf_dir, "customer").where("c_custkey % 50 = 0"), [F.lit("w"), "c_custkey"], group, "consumes"))
+    edges = edges.union(edge(table(spark, sf_dir, "orders"), [F.lit("c"), "o_custkey"], [F.lit("o"), "o_orderkey"], "consumes"))
+    return graph.edge_counts(edges).select("edge_type", "n")
+
+
+@query()
+def selected_items(spark, sf_dir):
+    """The whole selection of a request over all documents."""
+    chosen = pipeline.select_items(corpus(spark, sf_dir), REQUEST)
+    return chosen.items.select("path", "origin", "artifact_type", "score", "priority", "promoted", "distance", F.array_join("path_types", " ").alias("path_types"))
+
+
+@query()
+def selected_bundle(spark, sf_dir):
+    """The items of a request's bundle with their excerpts' sizes, groups and places."""
+    request = replace(REQUEST, max_bundle_tokens=16000, must_include=("README_9.md",))
+    made, _ = pipeline.bundle(pipeline.select_items(corpus(spark, sf_dir), request), request)
+    return made.select("path", "included", "bundle_group", "place", "n_included", "excerpt.strategy", "excerpt.compaction", "excerpt.method")

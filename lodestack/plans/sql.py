@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.functions.text import FOCUS, OTHER_FOCUS, STOP_WORDS
+from lodestack.functions.text import FOCUS, NOTHING, OTHER_FOCUS, STOP_WORDS
 from lodestack.operators.catalog import CONTRACT_FOLDERS, CONTRACT_NAMES, FILE_TYPES, KINDS, SELECTION_NAMES, WORKFLOW_NAMES, Exclusions
 from lodestack.operators.pack import DROP_KIND
 from lodestack.operators.score import LANE_LIMITS, NAMED
@@ -82,7 +82,7 @@ def clip(c: str, most: int) -> str:
 def first_sentence(c: str, most: int = 160) -> str:
     s = squeeze(c)
     found = strip(f"regexp_extract({s}, '^(.{{1,{most}}}?[.!?。；;])', 1)")
-    return f"CASE WHEN length({s}) = 0 THEN 'Relevant excerpt.' WHEN length({found}) > 0 THEN {found} ELSE {strip(f'left({s}, {most})')} || CASE WHEN length({s}) > {most} THEN '...' ELSE '' END END"
+    return f"CASE WHEN length({s}) = 0 THEN '{NOTHING}' WHEN length({found}) > 0 THEN {found} ELSE {strip(f'left({s}, {most})')} || CASE WHEN length({s}) > {most} THEN '...' ELSE '' END END"
 
 
 def normal_term(c: str) -> str:

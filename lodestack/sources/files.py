@@ -24,7 +24,10 @@ def is_text(start: bytes) -> bool:
 
 
 class FolderSource(DataSource):
-    """spark.read.format("folder").load(root): every regular file under root, which all machines must see."""
+    """spark.read.format("folder").load(root): every regular file under root, which all machines must see.
+
+    A link to a file outside root is an error; links to folders are not followed.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -47,11 +50,17 @@ class _Reader(DataSourceReader):
         self.root, self.skip = root, skip
 
     def partitions(self) -> list[InputPartition]:
-        found = []
+        found, root = [], os.path.realpath(self.root)
         for top, folders, names in os.walk(self.root):
             folders[:] = sorted(f for f in folders if f not in self.skip)  # skipped folders are not even listed
             rel = os.path.relpath(top, self.root)
-            found += [n if rel == "." else f"{rel.replace(os.sep, '/')}/{n}" for n in names if os.path.isfile(os.path.join(top, n))]
+            for n in names:
+                full = os.path.join(top, n)
+                if not os.path.isfile(full):
+                    continue
+                if os.path.commonpath([root, os.path.realpath(full)]) != root:
+                    raise ValueError(f"{full} leads out of {self.root}")
+                found.append(n if rel == "." else f"{rel.replace(os.sep, '/')}/{n}")
         found.sort(key=lambda p: p.split("/"))
         return [_Files(found[i : i + FILES_PER_TASK]) for i in range(0, len(found), FILES_PER_TASK)]
 

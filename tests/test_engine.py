@@ -54,12 +54,14 @@ def test_classification(spark):
     assert values(spark, ["a/__init__.py", "__init__.py", "a/b.py", "a.txt"], t=paths.module("v")) == [("a",), (None,), ("a.b",), (None,)]
 
 
-def test_contained_terms_in_blocks(spark, monkeypatch):
-    texts = spark.createDataFrame([(1, "abcabc"), (2, "xbc"), (3, None), (4, "")], "id int, content string")
-    terms = spark.createDataFrame([("abc",), ("bc",), ("z",), ("",), ("bc",)], "term string")
-    for size in (1, 2, 100):
-        monkeypatch.setattr(match, "BLOCK_TERMS", size)
-        assert sorted(map(tuple, match.contained(texts, "content", terms).collect())) == [(1, "abc"), (1, "bc"), (2, "bc")]
+def test_contained_terms(spark):
+    rng = random.Random(12)
+    rows = [(1, "abcabc"), (2, "xbc"), (3, None), (4, ""), (5, " a  b\tbc\n"), (6, "my file.md is my  file.md"), (2, "xbc")]
+    rows += [(10 + i, "".join(rng.choice("abc .\n漢") for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    said = ["abc", "bc", "z", "", "bc", "my file.md", "a b", "漢", "漢a", "b.c", " ", "abcabcabc" * 20] + ["".join(rng.choice("abc.") for _ in range(rng.randint(1, 4))) for _ in range(20)]
+    texts, terms = spark.createDataFrame(rows, "id int, content string"), spark.createDataFrame([(t,) for t in said], "term string")
+    got = [tuple(r) for r in match.contained(texts, "content", terms).collect()]
+    assert sorted(got) == sorted({(i, t) for i, c in rows for t in said if t.strip() and t in (c or "")})
     assert match.contained(texts, "content", terms.limit(0)).count() == 0
 
 
@@ -168,6 +170,27 @@ def test_search_against_plain_search(spark):
         assert got == plain_search(edges, ["n0", "n1"], limit)
 
 
+def test_search_over_a_group_is_that_over_all_its_pairs(spark):
+    rng = random.Random(11)
+    edges = [e for e in {(f"n{rng.randrange(18)}", f"n{rng.randrange(18)}", rng.choice(["contains", "imports", "depends_on"])) for _ in range(22)} if e[0] != e[1]]
+    readers, members = ["n1", "n5", "w1", "w2"], ["n2", "n9", "m1", "m2"]
+    schema = "src string, dst string, edge_type string"
+    pairs = spark.createDataFrame(edges + [(r, m, "consumes") for r in readers for m in members], schema)
+    group = spark.createDataFrame(edges + [(r, graph.ALL_CONTRACTS, "consumes") for r in readers] + [(graph.ALL_CONTRACTS, m, graph.MEMBER) for m in members], schema)
+    for seeds in (["n0", "w1"], ["m1"]):
+        start = spark.createDataFrame([(x, "direct_path") for x in seeds], "node string, reason string")
+        for limit in (1, 2):
+            rows = lambda e: sorted(map(tuple, graph.search(graph.undirected(e), start, limit).collect()))  # noqa: B023, E731
+            assert rows(group) == rows(pairs)
+    assert {r.edge_type: r.n for r in graph.edge_counts(group).collect()}["consumes"] == 16
+
+
+def test_search_crosses_folders_of_any_depth(spark):
+    chain = [(f"d{i}", f"d{i + 1}", "contains") for i in range(90)]
+    start = spark.createDataFrame([("d0", "direct_path")], "node string, reason string")
+    assert graph.search(spark.createDataFrame(chain, "src string, dst string, edge_type string"), start).count() == 91
+
+
 def test_greedy_against_a_plain_fold(spark):
     rng = random.Random(2)
     segs = [("p%d" % rng.randrange(4), i, f"a{i}", "w" * rng.randrange(0, 90), "", rng.randrange(5), "") for i in range(60)]
@@ -189,11 +212,27 @@ def test_ladder_rungs():
     seg = {"seg": 0, "anchor": "A", "summary": "A: sum", "priority": 40, "snippet": "# A"}
     assert rung(long, 100, segs=[seg])["anchors"] == ["A"] and rung(long, 100, segs=[seg])["compaction"] == "typed_digest_compaction"
     kept = rung(long + "status", 100, "contract", "part", [seg], ["status"])
-    assert kept["text"] == f"part\n\n{pack.HEADER}\n- status" and kept["kept_tokens"]
+    assert kept["text"] == f"part\n\n{pack.NAMES}\n* status" and kept["kept_tokens"]
+    assert f"{pack.NAMES}\n* status" in rung(long, 24, "contract", None, [{**seg, "summary": "A: " + "sum " * 60}], ["status"])["text"]
+
+
+def test_rungs_fit_at_every_limit():
+    rng = random.Random(8)
+    for limit in [*range(1, 60), 96, 300]:
+        text = "".join(rng.choice("ab é漢😀\n") for _ in range(rng.randint(1, 2000)))
+        segs = [{"seg": i, "anchor": f"A{i}", "summary": f"A{i}: " + "é" * rng.randint(0, 40), "priority": rng.randint(0, 9), "snippet": rng.choice(["", "x" * rng.randint(1, 50)])} for i in range(rng.randint(0, 6))]
+        got = pack.ladder("p.md", text, "contract", "section_extract", None, [], segs, ["status", "paths"][: rng.randint(0, 2)], limit)
+        assert pack.count(got["text"]) <= limit, (limit, got)
+        said, method = pack.ends(text, limit)
+        assert pack.count(said) <= limit and method.startswith("head_t")
+        short, taken = pack.filled("start", [("H", s["summary"]) for s in segs], limit)
+        assert not taken or pack.count(short) <= limit
 
 
 def test_budgets_have_a_closed_form(spark):
     assert pack.budget_steps(300)[:3] == [300, 240, 192] and pack.budget_steps(300)[-1] == pack.FLOOR and pack.budget_steps(50) == [50]
+    starts = [50, 96, 97, 300, 4096, 2**31]
+    assert [r.b for r in spark.createDataFrame([(n,) for n in starts], "n bigint").select(pack.budgets(F.col("n")).alias("b")).collect()] == list(map(pack.budget_steps, starts))
     rng = random.Random(6)
     rows = [(f"p{i}", rng.choice(list(pack.DROP_ORIGIN)), rng.choice(list(pack.DROP_KIND)), rng.randrange(500), rng.randrange(1, 2000)) for i in range(40)]
     got = {r.path for r in pack.drop_until_fit(spark.createDataFrame(rows, "path string, origin string, artifact_type string, n_tokens bigint, units bigint"), [], 5000).where("dropped").collect()}
@@ -244,10 +283,54 @@ def test_a_bundle_from_end_to_end(spark, project, tmp_path):
     assert sum(f["excerpt"]["strategy"] in ("symbol_extract", "section_extract", "key_block_extract") for f in told["files"]) == 7
     bundle = (tmp_path / "b1" / "bundle.md").read_text()
     assert pack.count(bundle) == summary["total_bundle_tokens"] and bundle.index("schemas/manifest") < bundle.index("src/workflow.py") < bundle.index("src/selector.py") < bundle.index("### README.md")
-    assert pipeline.preview(str(tmp_path), "b1")["status"] == "preview" and pipeline.confirm(str(tmp_path), "b1", "later")["status"] == "confirmed"
+    assert pipeline.preview(spark, str(tmp_path), "b1")["status"] == "preview" and pipeline.confirm(spark, str(tmp_path), "b1", "later")["status"] == "confirmed"
     assert json.loads((tmp_path / "b1" / "manifest.json").read_text())["confirmed_at"] == "later"
     with pytest.raises(FileExistsError):
         pipeline.write_bundle(corpus, request, str(tmp_path), "b1", "2026")
+    assert (summary["n_selected"], summary["n_structured"], summary["n_digests"], summary["n_fallbacks"]) == (8, 7, 0, 0)
+    assert summary["tokens_counted_by"] == "estimate" and summary["graph"]["nodes"]["task_state_anchor"] > 0 and summary["graph"]["edges"]["contains"] > 10
+    assert {f["attachment"] for f in told["files"]} == {"attachments"} and "content" not in told["files"][0]
+    assert spark.read.parquet(str(tmp_path / "b1" / "attachments")).count() == 8
+
+
+def test_items_are_dropped_where_a_bundle_is_too_long(spark):
+    long = "\n".join(f"# Part {i}\n" + "some words of it, " * 20 for i in range(30))
+    corpus = spark.createDataFrame([(f"docs/d{i}.md", long) for i in range(9)] + [("schemas/s.json", '{"status": 1}'), ("README.md", "# Read\nme")], "path string, content string")
+    request = Request("review", "Docs", "Read the docs of the schema", must_include=("README.md",), max_files=9, max_bundle_tokens=1100, focus_points=("workflow",))
+    chosen = pipeline.select_items(corpus, request)
+    made, text = pipeline.bundle(chosen, request)
+    rows = {r.path: r for r in made.collect()}
+    said = text.first()
+    out = [p for p, r in rows.items() if not r.included]
+    assert out and all(p.startswith("docs/") for p in out) and rows["README.md"].included and rows["schemas/s.json"].included
+    assert said.tokens == pack.count(said.bundle) <= 1100 and all(f"{p}: attached only" in said.bundle for p in out)
+    with pytest.raises(ValueError):
+        pipeline.bundle(chosen, Request("review", "Docs", "Read", must_include=("README.md",), max_bundle_tokens=96), per_item=96)
+
+
+def test_exact_tokens_of_a_bundle(spark, project, tmp_path):
+    import base64
+
+    ranks = tmp_path / "ranks.txt"  # single bytes and a few merges
+    ranks.write_text("\n".join(f"{base64.b64encode(t).decode()} {i}" for i, t in enumerate([bytes([b]) for b in range(256)] + [b"th", b"the", b"in"])))
+    vocabulary = pipeline.Vocabulary(str(ranks), r"\s?\S+|\s+", "bytes")
+    corpus = folder_corpus(spark, project).where("is_text").select("path", "content")
+    request = Request("review", "Shop", "Understand the workflow", must_include=("src/*",), require_exact_tokens=True, max_files=3, max_bundle_tokens=4096)
+    chosen = pipeline.select_items(corpus, request)
+    with pytest.raises(ValueError):
+        pipeline.bundle(chosen, request)
+    _, text = pipeline.bundle(chosen, request, vocabulary=vocabulary)
+    said = text.first()
+    assert len(said.bundle) / 2 < said.tokens <= 4096
+
+
+def test_files_outside_the_root_are_refused(spark, tmp_path):
+    (tmp_path / "root").mkdir(), (tmp_path / "secret.txt").write_text("secret"), (tmp_path / "root" / "ok.txt").write_text("ok")
+    (tmp_path / "root" / "same.txt").symlink_to(tmp_path / "root" / "ok.txt")
+    assert folder_corpus(spark, str(tmp_path / "root")).count() == 2
+    (tmp_path / "root" / "leak.txt").symlink_to(tmp_path / "secret.txt")
+    with pytest.raises(Exception, match="leads out of"):
+        folder_corpus(spark, str(tmp_path / "root")).collect()
 
 
 def test_selection_promotes_and_excludes(spark, project):
