@@ -31,11 +31,19 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents' columns, ids (with the end id) and decoded: the text that the ids give back."""
+    """documents' columns, ids (with the end id) and decoded: the text that the ids give back.
+
+    Where docs has a column of such a name it stays, and the new one has _ before its own, as often as is needed.
+    """
     grams.bounded_batches(spark)
     path = vocabulary("piece_bpe_32k.model")
-    coded = docs.drop("ids", "decoded").withColumn("ids", piecebpe.encode(F.col("text"), path))
-    return coded.withColumn("decoded", piecebpe.decode(F.col("ids"), path))
+    ids, decoded = "ids", "decoded"
+    while ids in docs.columns:
+        ids = "_" + ids
+    while decoded in docs.columns:
+        decoded = "_" + decoded
+    coded = docs.withColumn(ids, piecebpe.encode(F.col("text"), path))
+    return coded.withColumn(decoded, piecebpe.decode(F.col(ids), path))
 
 
 STAGES = [
