@@ -38,8 +38,8 @@ v AS (SELECT r.*, CAST(floor((rn - 1) / 256) AS BIGINT) AS part, p.speaker AS pe
       ELSE 'user name=' || regexp_replace(r.speaker, '[\x00-\x20<>|]+', '_', 'g') END || chr(10) AS head,
     regexp_replace(words, '<\|(im_start|im_end)\|>', '< |\1| >', 'g') || '<|im_end|>' AS body
   FROM r JOIN (SELECT DISTINCT conv_id, speaker FROM t WHERE speaker <> 'system') p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, chunk, slice, part ORDER BY rn) - length(body) - 1 AS start FROM v)
-SELECT conv_id, perspective, chunk, slice, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
+o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY chunk NULLS LAST, slice, part, rn) - length(body) - 1 AS start FROM v)
+SELECT conv_id, perspective, chunk, slice, part, count(*) AS n_turns, CAST(min(start - length(head)) AS BIGINT) AS "offset", string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
   coalesce(string_agg(start || '+' || length(body), ' ' ORDER BY rn) FILTER (WHERE own), '') AS mask
 FROM o GROUP BY conv_id, perspective, chunk, slice, part
 """)

@@ -24,29 +24,32 @@ def rows():
 
 
 def plain(rows):
+    """Every view whole, then cut into its parts."""
     def speaker(role):
         return (role or "").strip(" \t\n\x0b\x0c\r") or "unknown"
 
     groups, people = {}, {}
     for conv, turn, role, text, _ in rows:
         who, text = speaker(role), text or ""
-        key = (conv, None, hashlib.md5((who + text).encode()).hexdigest()[:2]) if turn is None else (conv, turn // 64, "")
-        groups.setdefault(key, []).append((turn or 0, who, text))
+        key = (None, hashlib.md5((who + text).encode()).hexdigest()[:2]) if turn is None else (turn // 64, "")
+        groups.setdefault(conv, {}).setdefault(key, []).append((turn or 0, who, text))
         people.setdefault(conv, set()).add(who)
     out = {}
-    for (conv, chunk, cut), turns in groups.items():
-        turns.sort()
-        for low in range(0, len(turns), 256):
-            for me in people[conv] - {"system"}:
-                text, spans = "", []
-                for _, who, said in turns[low : low + 256]:
-                    role = "system" if who == "system" else "assistant" if who == me else "user name=" + re.sub(r"[\x00-\x20<>|]+", "_", who)
-                    text += f"<|im_start|>{role}\n"
-                    body = re.sub(r"<\|(im_start|im_end)\|>", r"< |\1| >", said) + "<|im_end|>"
-                    if who == me:
-                        spans.append((len(text), len(body)))
-                    text += body + "\n"
-                out[conv, me, chunk, cut, low // 256] = (len(turns[low : low + 256]), text, spans)
+    for conv, chunks in groups.items():
+        for me in people[conv] - {"system"}:
+            view = ""
+            for key in sorted(chunks, key=lambda k: (k[0] is None, k[0] or 0, k[1])):
+                turns = sorted(chunks[key])
+                for low in range(0, len(turns), 256):
+                    offset, spans = len(view), []
+                    for _, who, said in turns[low : low + 256]:
+                        role = "system" if who == "system" else "assistant" if who == me else "user name=" + re.sub(r"[\x00-\x20<>|]+", "_", who)
+                        view += f"<|im_start|>{role}\n"
+                        body = re.sub(r"<\|(im_start|im_end)\|>", r"< |\1| >", said) + "<|im_end|>"
+                        if who == me:
+                            spans.append((len(view), len(body)))
+                        view += body + "\n"
+                    out[conv, me, *key, low // 256] = (len(turns[low : low + 256]), offset, view[offset:], spans)
     return out
 
 
@@ -56,15 +59,23 @@ def got(spark):
 
 
 def test_views_and_masks(got):
-    found = {(r.conv_id, r.perspective, r.chunk, r.slice, r.part): (r.n_turns, r.text, [tuple(s) for s in r.spans]) for r in got}
+    found = {(r.conv_id, r.perspective, r.chunk, r.slice, r.part): (r.n_turns, r.offset, r.text, [tuple(s) for s in r.spans]) for r in got}
     assert len(found) == len(got) and found == plain(rows())
 
 
-def test_masks_cover_the_speakers_words_only(got):
+def test_masks_cover_the_speakers_words_in_the_whole_view(got):
+    views = {}
+    for r in sorted(got, key=lambda r: r.offset):
+        view = views.setdefault((r.conv_id, r.perspective), [])
+        assert r.offset == sum(map(len, view))
+        view.append(r.text)
+        assert r.text.count("<|im_start|>") == r.n_turns == r.text.count("<|im_end|>")
+    whole = {k: "".join(v) for k, v in views.items()}
+    assert max(len(v) for v in views.values()) > 10
     for r in got:
+        text = whole[r.conv_id, r.perspective]
         for start, length in r.spans:
-            assert r.text[:start].endswith("<|im_start|>assistant\n") and r.text[start : start + length].endswith("<|im_end|>")
-        assert r.text.count("<|im_start|>") == r.n_turns == r.text.count("<|im_end|>")
+            assert text[:start].endswith("<|im_start|>assistant\n") and text[start : start + length].endswith("<|im_end|>")
 
 
 def test_empty_table(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestack.llm import decontam, piecebpe, queries, toxicity
-from tests.llm.test_op4_op5_op6_op9 import plain_components, plain_dedup, plain_fingerprint, words
+from tests.llm.test_op4_op5_op6_op9 import plain_components, plain_dedup, plain_fingerprint, plain_tiles, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,28 +55,31 @@ def test_every_query_returns_its_whole_table(spark, documents):
     for name in ("op3_token_ids_orc", "op4_license_scan", "op7_toxicity"):
         assert queries.QUERIES[name](spark, SF).count() == n
     tiles = queries.QUERIES["op5_benchmark_tiling"](spark, SF)
-    assert {r.doc_id for r in tiles.collect()} == {d for d, t in leaks(documents)}
+    assert {tuple(r) for r in tiles.collect()} == leaks(documents)
     found = queries.QUERIES["op10_chroma_fingerprints"](spark, SF)
     assert found.where("kind = 'member'").count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
 
 
-def leaks(documents):
-    """(doc_id, item_id) by greedy tiles over all pairs of a document and an item that share five words."""
-    items = [(i, words(t)) for i, t in duckdb.sql(f"select item_id, text from read_parquet('{SF}/benchmark.parquet')").fetchall()]
+def leaks(documents, benchmark=None):
+    """Rows of benchmark_tiles by plain tiling of all pairs of a document and an item that share five words."""
+    if benchmark is None:
+        benchmark = duckdb.sql(f"select item_id, text from read_parquet('{SF}/benchmark.parquet')").fetchall()
     k, out = decontam.MIN_MATCH, set()
-    index = {}
-    for i, w in items:
+    items, index = [(i, words(t)) for i, t in sorted(set(benchmark))], {}
+    for at, (_, w) in enumerate(items):
         for p in range(len(w) - k + 1):
-            index.setdefault(tuple(w[p : p + k]), []).append((i, p))
+            index.setdefault(tuple(w[p : p + k]), set()).add(at)
     for d, text, *_ in documents:
-        w, seeds = words(text), {}
-        for p in range(len(w) - k + 1):
-            for i, q in index.get(tuple(w[p : p + k]), ()):
-                seeds.setdefault(i, []).append((p, q))
-        for i, own in seeds.items():
-            covered = sum(n for *_, n in decontam.greedy_tiles(own, k))
-            if covered >= decontam.THRESHOLD * len(dict(items)[i]):
-                out.add((d, i))
+        w = words(text)
+        met = [index.get(tuple(w[p : p + k]), ()) for p in range(len(w) - k + 1)]
+        for at in set().union(*met):
+            i, said = items[at]
+            near = [p for p, known in enumerate(met) if at in known]
+            keep = {q for p in near for q in range(p, p + k)}
+            tiles = plain_tiles(said, [x if q in keep else "" for q, x in enumerate(w)] if len(w) < 400 else [w[q] if q in keep else "" for q in range(min(keep), max(keep) + 1)], k)
+            covered = sum(n for *_, n in tiles)
+            if covered >= decontam.THRESHOLD * len(said):
+                out.add((d, i, len(said), covered, len(tiles), covered / len(said)))
     return out
 
 
@@ -99,7 +102,7 @@ def test_pipeline_stages(spark, documents, tmp_path):
             roots = plain_components({r[0]: plain_fingerprint(r[1]) for r in held})
             expect = [r for r in held if roots[r[0]] == r[0]]
         elif name == "benchmark_decontamination":
-            bad = {d for d, _ in leaks(held)}
+            bad = {d for d, *_ in leaks(held)}
             expect = [r for r in held if r[0] not in bad]
         else:
             expect = held
@@ -117,6 +120,7 @@ def test_stages_on_odd_rows(spark):
     odd = spark.createDataFrame(rows, "doc_id bigint, text string, ids string").withColumns({c: F.lit(1) for c in ("score", "fp", "_copy", "__copy", "h1", "pos", "component_id", "_tie")})
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, SF)
-        assert out.count() <= len(rows) and set(odd.columns) - {"ids"} <= set(out.columns), name
+        assert out.count() <= len(rows) and set(odd.columns) <= set(out.columns), name
+        assert dict(out.dtypes)["ids"] == "string"  # the caller's
         assert stage(spark, odd.limit(0), SF).count() == 0
         assert None in {r.doc_id for r in out.collect()} or name == "toxicity"
