@@ -31,14 +31,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select(F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(1), "_key").alias("h2"), "doc_id", "_copy", "pos")
 
 
-def repeated_keys(docs: DataFrame) -> DataFrame:
-    """Line hashes that at least MIN_DOCS documents hold: h1, h2, keeper (the largest doc_id).
+def repeated_keys(lines: DataFrame) -> DataFrame:
+    """Hashes of lines (h1, h2, doc_id, pos) that at least MIN_DOCS documents hold: h1, h2, keeper (the largest doc_id).
 
     Hashes are range-partitioned with a slice of the documents, sorted by document and position, and
     streamed for the first line of each document; what the slices found is added up per hash, in the
     map tasks first.
     """
-    lines = _lines(docs).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("tinyint"))
+    lines = lines.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("tinyint"))
     order = Window.partitionBy("h1", "h2", "slice").orderBy(F.desc("doc_id"), "pos")
     first = ~F.lag("doc_id").over(order).eqNullSafe(F.col("doc_id"))
     firsts = lines.repartitionByRange("h1", "h2", "slice").withColumn("first", first).where("first")
@@ -52,8 +52,9 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     flips is the bitmap of kept lines, compressed to the places where it changes: lines are kept
     before the first, dropped from there to the second, kept from there to the third, and so on.
     """
-    repeated = saved(repeated_keys(docs), "repeated-lines")  # with a shuffle of its own Spark splits the tasks of hot lines
-    lost = _lines(docs).join(repeated, ["h1", "h2"]).where("doc_id <> keeper")
+    lines = saved(_lines(docs), "line-hashes")  # texts are split once for the sample of the ranges, the ranges and the join
+    repeated = saved(repeated_keys(lines), "repeated-lines")  # with a shuffle of its own Spark splits the tasks of hot lines
+    lost = lines.join(repeated, ["h1", "h2"]).where("doc_id <> keeper")
     lost = lost.groupBy("doc_id", "_copy").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     starts = F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) != p - 1))
     ends = F.filter("at", lambda p, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != p + 1))
@@ -63,7 +64,7 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with __lines (all), __kept (the text of the kept lines) and __n_dropped added."""
     docs = docs.withColumn("__copy", F.xxhash64("text"))
-    bitmaps = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("_copy").alias("__of"), F.col("flips").alias("__flips"))
+    bitmaps = saved(bitmaps.select(F.col("doc_id").alias("__doc"), F.col("_copy").alias("__of"), F.col("flips").alias("__flips")), "bitmaps")  # its size is known from here on
     docs = docs.join(bitmaps, (F.col("doc_id") == F.col("__doc")) & (F.col("__copy") == F.col("__of")), "left").drop("__doc", "__of", "__copy")
     docs = docs.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     none = F.array().cast("array<string>")
