@@ -149,56 +149,91 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[dict | None, int, str]:
     return record | {"payload": payload, "payload_bytes": size, "payload_digest": digest}, end + 4, ""
 
 
-def _inflate(raw: memoryview, at: int) -> tuple[bytes | None, int]:
-    """What the gzip member at at holds, its checksum checked, and its end."""
+def _inflate(raw: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """What the gzip member at at holds as far as it inflates, its end, and whether that is all and its checksum is right."""
     press, out, step = zlib.decompressobj(31), [], 1 << 16
     spot = at
-    try:
-        while not press.eof and spot < len(raw):
+    while not press.eof and spot < len(raw):
+        before = press.copy()
+        try:
             out.append(press.decompress(raw[spot : spot + step]))
-            spot += step
-    except zlib.error:
-        return None, at
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), at, False
+            press, step = before, max(1, step >> 8)  # what comes out before the error is kept
+            continue
+        spot += step
     if not press.eof:
-        return None, at
-    return b"".join(out), min(spot, len(raw)) - len(press.unused_data)
+        return b"".join(out), at, False
+    return b"".join(out), min(spot, len(raw)) - len(press.unused_data), True
+
+
+def _plain(raw: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
+    """(start, end, record, reason) of plain bytes: records, and runs without a valid one. After a failure the next version line is searched for."""
+    at, gap, why = 0, None, ""
+    while at < len(raw):
+        record, end, reason = parse_record(raw, at)
+        if record is None:
+            if gap is None:
+                gap, why = at, reason
+            found = raw.find(b"WARC/", at + 1)
+            at = found if found >= 0 else len(raw)
+            continue
+        if gap is not None:
+            yield gap, at, None, why
+            gap = None
+        yield at, end, record, ""
+        at = end
+    if gap is not None:
+        yield gap, len(raw), None, why
 
 
 def salvage(raw: bytes) -> Iterator[dict]:
     """Records of an archive, gzip members or plain, with their byte places; and gaps, the bytes that failed the checks.
 
     After a failure the search goes on, from the next byte, for a gzip magic number or a version line at
-    which a whole valid record stands.
+    which a whole valid record stands. Members that hold several records are searched inside as well: a
+    record that fails there is a gap of kind 'inner gap', with the member's place and the inflated bytes
+    in its reason, and the records around it are kept. Of a member that does not inflate to its end,
+    whole records that pass their own checks are kept too, with the member's start and no end; the
+    member itself is in a gap.
     """
     view, at, gap, why = memoryview(raw), 0, None, ""
     near = {b"\x1f\x8b\x08": -1, b"WARC/": -1}  # the next place of each mark, searched for once
     while at < len(raw):
-        records, end = [], at
+        found, end, reason = [], at, ""
         if raw.startswith(b"\x1f\x8b\x08", at):
-            inside, end = _inflate(view, at)
-            reason, spot = ("", 0) if inside is not None else ("member does not inflate or its checksum differs", 0)
-            while not reason and spot < len(inside):
-                record, spot, reason = parse_record(inside, spot)
-                records.append(record)
+            inside, end, whole = _inflate(view, at)
+            found = list(_plain(inside)) if inside or not whole else []
+            if not whole:
+                reason = "member does not inflate or its checksum differs"
+                for *_, record, _ in found:
+                    if record is not None:
+                        yield record | {"kind": "record", "start": at, "end": None}
+            elif found and all(record is None for *_, record, _ in found):
+                reason = found[0][3]
         elif raw.startswith(b"WARC/", at):
             record, end, reason = parse_record(raw, at)
-            records = [record]
+            found = [(at, end, record, reason)]
         else:
             reason = "neither a member nor a version line"
         if not reason:
             if gap is not None:
                 yield {"kind": "gap", "start": gap, "end": at, "reason": why}
                 gap = None
-            for record in records:
-                yield record | {"kind": "record", "start": at, "end": end}
+            for low, high, record, why in found:
+                if record is None:
+                    yield {"kind": "inner gap", "start": at, "end": end, "reason": f"{why}: bytes {low} to {high} inside the member"}
+                else:
+                    yield record | {"kind": "record", "start": at, "end": end}
             at = end
             continue
         if gap is None:
             gap, why = at, reason
         for mark, place in near.items():
             if place <= at:
-                found = raw.find(mark, at + 1)
-                near[mark] = found if found >= 0 else len(raw)
+                spot = raw.find(mark, at + 1)
+                near[mark] = spot if spot >= 0 else len(raw)
         at = min(near.values())
     if gap is not None:
         yield {"kind": "gap", "start": gap, "end": len(raw), "reason": why}
@@ -219,10 +254,13 @@ def _salvaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record (kind 'record') and per quarantined run of bytes (kind 'gap', with the reason).
+    """A row per record (kind 'record') and per quarantined run of bytes (kinds 'gap' and 'inner gap', with the reason).
 
-    A file is read by one task, which holds it whole, as write_archives() bounds files; see READ_SCHEMA.
+    A file is read by one task, which holds it whole, as write_archives() bounds files (about
+    SEGMENT_BYTES * SEGMENTS); foreign archives should be of a like size; see READ_SCHEMA.
     payload is null for revisits, whose payload_bytes and payload_digest are those of what they refer to.
+    Empty files give no rows, files without any record one gap; records that are repeated are rows of
+    their own. A payload of any length is read whole.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_salvaged, READ_SCHEMA)

@@ -78,10 +78,42 @@ def test_salvage_of_damaged_archives(packed):
         lost = {"cut": set(range(i, 20)), "junk": set()}.get(kind, {i, i + 1} if spot + 7 > starts[i + 1] else {i})
         assert set(found) >= {f"<{k}>" for k in range(20) if k not in lost}
         assert all(r["reason"] for r in got if r["kind"] == "gap")
-        places = sorted({(r["start"], r["end"]) for r in got})
+        places = sorted({(r["start"], r["end"]) for r in got if r["end"] is not None})  # records of broken members are in gaps
         assert places[0][0] == 0 and places[-1][1] == len(bad) and all(a[1] == b[0] for a, b in zip(places, places[1:])) or not bad
 
 
+def test_salvage_inside_members():
+    """A member of many records: one damaged inside, and members that are cut, broken or have a wrong checksum."""
+    parts = records()
+    starts = [sum(map(len, parts[:i])) for i in range(len(parts) + 1)]
+    whole = b"".join(parts)
+    rng = random.Random(2)
+    for i in (0, 7, 19):
+        spot = starts[i + 1] - 8
+        member = gzip.compress(whole[:spot] + b"?" + whole[spot + 1 :])
+        got = list(warc.salvage(b"junk" + member + gzip.compress(parts[3])))
+        assert [r["record_id"] for r in got if r["kind"] == "record"] == [*(f"<{k}>" for k in range(20) if k != i), "<3>"]
+        (inner,) = [r for r in got if r["kind"] == "inner gap"]
+        assert (inner["start"], inner["end"]) == (4, 4 + len(member)) and f"bytes {starts[i]} to {starts[i + 1]}" in inner["reason"]
+        assert [(r["start"], r["end"]) for r in got if r["kind"] == "gap"] == [(0, 4)]
+    member = gzip.compress(whole + rng.randbytes(1 << 18))
+    cut = list(warc.salvage(member[: len(member) // 2]))
+    assert [r["record_id"] for r in cut if r["kind"] == "record"] == [f"<{k}>" for k in range(20)] and cut[0]["end"] is None
+    assert [(r["start"], r["end"]) for r in cut if r["kind"] == "gap"] == [(0, len(member) // 2)]
+    wrong = gzip.compress(whole)[:-8] + bytes(8)
+    assert len([r for r in warc.salvage(wrong) if r["kind"] == "record"]) == 20 and [r["kind"] for r in warc.salvage(wrong)][-1] == "gap"
+
+
+def test_a_very_long_payload(spark):
+    out = new_path(spark, "warc")
+    long = "<p>é words </p>" * 700_000
+    docs = spark.createDataFrame([(1, "u", long), (2, "v", long + "x"), (3, "w", long)], "page_id bigint, url string, html string")
+    warc.write_archives(warc.plan_records(docs), out)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.page_report(warc.read_archives(spark, out)).collect()}
+    size = len(long.encode())
+    assert got == {1: (size, "revisit", 3), 2: (size + 1, "response", None), 3: (size, "response", None)}
+
+
 def test_odd_archives(spark):
     assert list(warc.salvage(b"")) == []
     assert [r["kind"] for r in warc.salvage(b"nothing of use")] == ["gap"]
