@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,14 +16,25 @@ from lodestack.llm.components import components
 from lodestack.llm.shared import cut, packed, saved
 
 SHINGLE, MAX_BITS = 3, 2
+#: Bytes of a text whose words are held at once.
+BLOCK = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _hashes(raw: bytes, k: int) -> list[int]:
-    words = raw.lower().split()  # splits at [\x20\x09-\x0D], lower-cases A-Z
-    if len(words) < k:
-        return [xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else []
+def _hashes(raw: bytes, k: int) -> Iterator[int]:
+    """Hashes of a text's shingles in their order; its words are split BLOCK bytes at a time."""
     hashed, join = xxhash.xxh64_intdigest, b" ".join
-    return [hashed(join(x), 42) for x in zip(*(words[i:] for i in range(k)))]
+    raw = raw.lower()  # A-Z only
+    words, at, many = [], 0, False
+    while at < len(raw):
+        stop = len(raw) if at + BLOCK >= len(raw) else next((m.start() for m in _SPACE.finditer(raw, at + BLOCK)), len(raw))
+        words = words[max(0, len(words) - k + 1) :] + raw[at:stop].split()  # at [\x20\x09-\x0D]
+        at = stop
+        if len(words) >= k:
+            many = True
+            yield from (hashed(join(x), 42) for x in zip(*(words[i:] for i in range(k))))
+    if words and not many:
+        yield hashed(join(words), 42)
 
 
 def fingerprint_array(texts: pa.Array, k: int = SHINGLE) -> pa.Array:
@@ -28,12 +42,12 @@ def fingerprint_array(texts: pa.Array, k: int = SHINGLE) -> pa.Array:
     out = np.zeros(len(texts), np.uint64)
     for low, high, data, offsets in flat.pieces(texts):
         raw, cuts = data.tobytes(), offsets.tolist()
-        rows = [_hashes(raw[a:b], k) for a, b in zip(cuts, cuts[1:])]
+        rows = [np.fromiter(_hashes(raw[a:b], k), np.uint64) for a, b in zip(cuts, cuts[1:])]
         sizes = np.array([len(x) for x in rows])
         full = np.flatnonzero(sizes)
         if not len(full):
             continue
-        flat_hashes = np.fromiter((h for row in rows for h in row), np.uint64, int(sizes.sum()))
+        flat_hashes = np.concatenate(rows)
         ends = np.cumsum(sizes)
         counts = np.zeros((high - low, 64), np.int64)
         for block in range(0, 64, 8):  # a byte of the hashes at a time
