@@ -7,17 +7,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import flat, grams
 from lodestack.llm.shared import packed
 from lodestack.llm.spantable import SpanTable, kept
 
-#: Labelled rows that a model is fitted on, of each label, and bytes of the longest text among them.
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 4000, 20_000
+#: Labelled rows that a model is fitted on, of each label; characters that are taken of a text, and slices of a longer one.
+SAMPLE_PER_LABEL, SAMPLE_CHARS, SLICES = 4000, 20_000, 40
 #: Words of a passage; a text is as toxic as its most toxic passage.
 PASSAGE = 8
+#: A passage that is always the whole text.
+WHOLE = 1 << 40
 SIZES, BUCKETS, WIDTH = (3, 4, 5, 6), 1 << 18, 8
 EPOCHS, BATCH, RATE = 12, 256, 0.3
 #: Rows by whose labels the threshold is set, one in so many; they take no part in the descent.
@@ -51,11 +53,11 @@ def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (flat.mix(np.concatenate(hashes))[order] % np.uint64(BUCKETS)).astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
-def passage_means(scores: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row its highest mean over PASSAGE words (over all, where it has fewer), and the passage's start. No word: -inf, -1."""
+def passage_means(scores: np.ndarray, upto: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its highest mean over passage words (over all, where it has fewer), and the passage's start. No word: -inf, -1."""
     sums = np.concatenate(([0.0], np.cumsum(scores, dtype=np.float64)))
     n = np.diff(upto)
-    width = np.minimum(n, PASSAGE)
+    width = np.minimum(n, passage)
     windows = np.where(n > 0, n - width + 1, 0)
     best, at = np.full(len(n), -np.inf), np.full(len(n), -1)
     full = np.flatnonzero(n)
@@ -78,6 +80,7 @@ class Model:
 
     weights: np.ndarray
     shift: float
+    passage: int = PASSAGE
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,22 +98,23 @@ class Model:
             data = flat.LOWER[data]
             starts, ends = flat.bounds(flat.ALNUM[data], offsets)
             said, _ = table.values(data, starts, ends)
-            best, _ = passage_means(said, np.searchsorted(starts, offsets))
+            best, _ = passage_means(said, np.searchsorted(starts, offsets), self.passage)
             out[low:high] = best
         with np.errstate(over="ignore"):
             return pa.array(1 / (1 + np.exp(-(out + self.shift))))
 
 
-def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed: int = 11, toxic_rows: int | None = None) -> Model:
+def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed: int = 11, toxic_rows: int | None = None, passage: int = PASSAGE) -> Model:
     """A model of the texts' labels: bucket vectors and the softmax, trained jointly by gradient descent.
 
     Passages are drawn at random first. Then each text gives its most toxic passage under the model so
     far, and a random one if its label is 0. clean_rows, toxic_rows: how many rows the texts of label 0
-    and of label 1 stand for, when the threshold is set. Without texts of both labels every text scores 0.1.
+    and of label 1 stand for, when the threshold is set. passage: words of a passage, WHOLE for the mean
+    over a whole text. Without texts of both labels every text scores 0.1.
     """
     y = np.array(toxic, np.int64)
     if len(set(toxic)) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(0.1 / 0.9)))
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(0.1 / 0.9)), passage)
     rng = np.random.default_rng(seed)
     index: dict[bytes, int] = {}
     seen, upto = [], [0]
@@ -137,7 +141,7 @@ def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed:
     learn = np.flatnonzero(~held & (n > 0))
 
     def step(start: np.ndarray, rows: np.ndarray) -> None:
-        size = np.minimum(n[rows], PASSAGE)
+        size = np.minimum(n[rows], passage)
         used, inverse = np.unique(word[flat.ranges(start, size)], return_inverse=True)
         ids = buckets[flat.ranges(at[used], counts[used])]
         first = np.cumsum(counts[used]) - counts[used]
@@ -165,11 +169,11 @@ def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed:
         best, start = np.full(len(n), -np.inf), np.full(len(n), -1)
         for i in range(0, len(n), 250):  # some texts at a time: there is a mean for every place of a passage
             k = min(i + 250, len(n))
-            best[i:k], start[i:k] = passage_means(scores[word[upto[i] : upto[k]]], upto[i : k + 1] - upto[i])
+            best[i:k], start[i:k] = passage_means(scores[word[upto[i] : upto[k]]], upto[i : k + 1] - upto[i], passage)
             start[i:k] += np.where(start[i:k] >= 0, upto[i], 0)
         return best, start
 
-    anywhere = lambda rows: upto[rows] + rng.integers(0, np.maximum(1, n[rows] - PASSAGE + 1))
+    anywhere = lambda rows: upto[rows] + rng.integers(0, np.maximum(1, n[rows] - passage + 1))
     for epoch in range(EPOCHS):
         if epoch < 4:
             rows = np.tile(learn, 6)
@@ -190,7 +194,7 @@ def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed:
     held &= n > 0
     stand_for = [rows / max(1, (y == label).sum()) if rows else 1.0 for label, rows in enumerate((clean_rows, toxic_rows))]
     weight = np.where(y == 1, stand_for[1], stand_for[0])
-    return Model(weights, -_threshold(best[held], y[held], weight[held]))
+    return Model(weights, -_threshold(best[held], y[held], weight[held]), passage)
 
 
 def _threshold(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -212,21 +216,29 @@ def learned_from(doc_id, modulus: int = 5):
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus != 0
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, most_bytes: int = SAMPLE_BYTES) -> Model:
+def sampled(text: Column, most: int = SAMPLE_CHARS) -> Column:
+    """A text of up to most characters, of a longer one SLICES slices of it at even steps from its start to its end."""
+    size = most // SLICES
+    step = (F.char_length(text) - size) / (SLICES - 1)
+    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(text, (1 + F.floor(i * step)).cast("int"), F.lit(size)))
+    return F.when(F.char_length(text) <= most, text).otherwise(F.array_join(slices, " "))
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, most: int = SAMPLE_CHARS, passage: int = PASSAGE) -> Model:
     """A model fitted on the driver to a bounded sample: per_label rows of each label at most, in the order of a hash of doc_id.
 
     docs: doc_id, text; labels: doc_id, toxic. Repeated labels of a doc_id count as toxic if one does;
-    of rows that repeat a doc_id one text is taken. Null labels, ids and texts, and texts over
-    most_bytes bytes, are not learned from. For the threshold each row of the sample stands for as many
+    of rows that repeat a doc_id one text is taken. Null labels, ids and texts are not learned from, texts
+    over most characters by slices (see sampled). For the threshold each row of the sample stands for as many
     labels as there are of its kind, so that it follows the labels' shares and not the sample's.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(learned_from(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("_order", F.xxhash64("doc_id"))
     counts = {r.toxic: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     rows = known.where("toxic = 1").orderBy("_order").limit(per_label).union(known.where("toxic = 0").orderBy("_order").limit(per_label))
-    texts = docs.select("doc_id", "text").where(f"octet_length(text) <= {most_bytes}").join(F.broadcast(rows), "doc_id")
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id").withColumn("text", sampled(F.col("text"), most))
     sample = sorted({r.doc_id: (r.doc_id, r.text, r.toxic) for r in texts.select("doc_id", "text", "toxic").orderBy("doc_id", "text").collect()}.values())
-    return fit([t for _, t, _ in sample], [int(x) for _, _, x in sample], counts.get(0), toxic_rows=counts.get(1))
+    return fit([t for _, t, _ in sample], [int(x) for _, _, x in sample], counts.get(0), toxic_rows=counts.get(1), passage=passage)
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -247,5 +259,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those that score threshold or more; all columns stay."""
+    """docs without those that score threshold or more; all columns stay, also ones named as those that are added here.
+
+    Null and empty texts score 0 and stay; rows that repeat are each kept or not; empty tables give no rows.
+    """
     return with_scores(packed(docs, "text"), fit_on(docs, labels)).where(F.col("score") < threshold).select("row.*")

@@ -1,6 +1,8 @@
 """The toxicity classifier: held-out accuracy, unseen misspellings, odd rows."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -82,3 +84,38 @@ def test_threshold_is_the_same_at_every_size(spark):
     assert min(bad, len(data) - bad) > 150 and np.array_equal(models[0].weights, models[1].weights)
     assert models[0].shift == models[1].shift
     assert toxicity.fit(["grobnix ta", "ta no"] * 40, [1, 0] * 40, 40, toxic_rows=40).shift == toxicity.fit(["grobnix ta", "ta no"] * 40, [1, 0] * 40).shift
+
+
+def plain_score(model, text, passage=toxicity.PASSAGE):
+    """Word by word and passage by passage, with the fitted weights."""
+    said = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))]
+    if not said:
+        return 0.0
+    scores = []
+    for w in said:
+        buckets, _ = toxicity.gram_buckets([w])
+        scores.append(float(np.mean(model.weights[buckets].astype(np.float64))))
+    width = min(passage, len(said))
+    best = max(sum(scores[i : i + width]) / width for i in range(len(said) - width + 1))
+    return 1 / (1 + math.exp(-(best + model.shift)))
+
+
+@pytest.mark.parametrize("passage", [toxicity.PASSAGE, 3, toxicity.WHOLE])
+def test_scores_against_a_plain_scorer(passage):
+    data = rows(400)
+    model = toxicity.fit([t for _, t, _ in data], [y for *_, y in data], passage=passage)
+    texts = [None, "", " .,", "Ta", "GROBNIX ta", "é grobnix É mo", *(t for _, t, _ in data[:60]), "mo " * 3000 + "grobnix", "a" * 5000]
+    got = model.scores(pa.array(texts)).to_pylist()
+    assert got == pytest.approx([plain_score(model, t, passage) for t in texts], abs=1e-4)
+
+
+def test_long_texts_are_learned_from_by_slices(spark):
+    long = "".join(chr(97 + i // 1000 % 26) for i in range(100_000))
+    frame = spark.createDataFrame([(long,), ("é" * 400,), ("",)], "text string")
+    got = [r.t for r in frame.select(toxicity.sampled(F.col("text"), 400).alias("t")).collect()]
+    assert len(got[0]) == 400 + toxicity.SLICES - 1 and got[0].startswith(long[:10]) and got[0].endswith(long[-10:])
+    assert len(set(got[0])) > 20 and got[1:] == ["é" * 400, ""]
+    data = [(d, t + " mo ta no" * 3000, y) for d, t, y in rows(60)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in data], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in data], "doc_id bigint, toxic int")
+    assert toxicity.fit_on(docs, labels).weights.any()
