@@ -15,6 +15,15 @@ REMEMBERED, REMEMBERED_BYTES = 5 << 17, 32 << 20
 LONG = 256
 
 
+#: Masks of a little-endian word's first bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    return np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+
+
 _kept: dict = {}
 
 
@@ -94,14 +103,17 @@ class SpanTable:
         self._put(hashes, np.arange(n, self.n))
 
     def _differ(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The spans whose bytes are not those of their rows."""
+        """The spans whose bytes are not those of their rows: their first eight and last eight, and the others of longer ones."""
         low, size = self.text_cuts[rows], ends - starts
         other = self.text_cuts[rows + 1] - low != size
-        same = np.flatnonzero(~other)
-        unlike = data[flat.ranges(starts[same], size[same])] != self.text[flat.ranges(low[same], size[same])]
+        mine, theirs = _eights(np.concatenate((data, np.zeros(8, np.uint8)))), _eights(self.text)
+        other |= (mine[starts] ^ theirs[low]) & _FIRST[np.minimum(size, 8)] != 0
+        more = np.flatnonzero((size > 8) & ~other)
+        other[more] = mine[ends[more] - 8] != theirs[low[more] + size[more] - 8]
+        long = more[size[more] > 16]
+        unlike = data[flat.ranges(starts[long], size[long])] != self.text[flat.ranges(low[long], size[long])]
         if unlike.any():
-            owner = np.repeat(same, size[same])
-            other[owner[unlike]] = True
+            other[np.repeat(long, size[long])[unlike]] = True
         return np.flatnonzero(other)
 
     def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -136,8 +148,8 @@ class SpanTable:
 def _grown(values: np.ndarray, cuts: np.ndarray, n: int, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values and cuts of n rows with more rows after them."""
     used = int(cuts[n])
-    if used + len(more) > len(values):
-        values = np.concatenate((values, np.zeros(used + len(more), values.dtype)))
+    if used + len(more) + 8 > len(values):
+        values = np.concatenate((values, np.zeros(used + len(more) + 8, values.dtype)))
     values[used : used + len(more)] = more
     if n + len(counts) + 1 > len(cuts):
         cuts = np.concatenate((cuts, np.zeros(n + len(counts) + 1, np.int64)))
