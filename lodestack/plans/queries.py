@@ -477,9 +477,9 @@ def slugs(spark, sf_dir):
 _brief = sql.squeeze("regexp_replace(text, '#+\\s*', '', 'g')")
 
 
-@query(f"WITH b AS (SELECT doc_id, {_brief} AS s FROM documents), f AS (SELECT doc_id, s, length(list_filter(range(1, 397), lambda n: length(left(s, n)) = n AND n + 3 * length(regexp_replace(left(s, n), '[\\x00-\\x7F]', '', 'g')) <= 396)) AS n FROM b) SELECT doc_id, CASE WHEN {sql.tokens('s')} <= 100 THEN s ELSE regexp_replace(left(s, n), '{sql.WHITE}+$', '') || '...' END AS brief FROM f")
+@query(f"WITH b AS (SELECT doc_id, {_brief} AS s FROM documents), f AS (SELECT doc_id, s, length(list_filter(range(1, 157), lambda n: length(left(s, n)) = n AND n + 3 * length(regexp_replace(left(s, n), '[\\x00-\\x7F]', '', 'g')) <= 156)) AS n FROM b) SELECT doc_id, CASE WHEN {sql.tokens('s')} <= 40 THEN s ELSE regexp_replace(left(s, n), '{sql.WHITE}+$', '') || '...' END AS brief FROM f")
 def briefs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.brief("text", 100).alias("brief"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.brief("text", 40).alias("brief"))
 
 
 _symbols = (
