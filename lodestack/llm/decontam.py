@@ -195,14 +195,16 @@ def _tiles_in(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float, k
     grams.bounded_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text").where("text is not null").distinct().withColumn("__item", F.xxhash64("text"))
     index = saved(_index(items, k, threshold), "tiling-index")
-    if index.count() <= grams.BROADCAST_ROWS:
-        index = F.broadcast(index)
-    met = docs.select(*keys, F.explode(grams.distinct_grams(F.col("text"), k)).alias("h")).join(index, "h")
+    few = index.count() <= grams.BROADCAST_ROWS
+    met = docs.select(*keys, F.explode(grams.distinct_grams(F.col("text"), k)).alias("h")).join(F.broadcast(index) if few else index.hint("merge"), "h")
     pairs = met.groupBy(*keys, "item_id", "__item").agg(F.sum("places").alias("_seen"), F.max("need").alias("_need"), F.max("n_words").alias("n_words")).where("_seen >= _need")
-    texts = items.select(F.col("item_id").alias("_id"), F.col("__item").alias("_of"), F.col("text").alias("__said"))
-    pairs = pairs.join(texts, _same(["item_id", "__item"], ["_id", "_of"]))
-    pairs = saved(pairs.select(*(F.col(c).alias(f"__of_{c}") for c in keys), "item_id", "__item", "n_words", "__said"), "tiling-pairs")  # its size is known from here on
-    tiled = docs.join(pairs, _same(keys, [f"__of_{c}" for c in keys]))
+    pairs = saved(pairs.select(*(F.col(c).alias(f"__of_{c}") for c in keys), "item_id", "__item", "n_words"), "tiling-pairs")
+    texts = items.select(F.col("item_id").alias("__id"), F.col("__item").alias("__as"), F.col("text").alias("__said"))
+    here, said = _same(keys, [f"__of_{c}" for c in keys]), _same(["item_id", "__item"], ["__id", "__as"])
+    if few and (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= grams.BROADCAST_BYTES:
+        tiled = docs.join(F.broadcast(pairs) if pairs.count() <= grams.BROADCAST_ROWS else pairs.hint("merge"), here).join(F.broadcast(texts), said)
+    else:
+        tiled = docs.join(pairs.join(texts.hint("merge"), said).hint("merge"), here)
     tiled = tiled.select(*keys, "item_id", "__item", "n_words", _tiles(k)("text", "__said").alias("tiles"))
     covered = F.aggregate("tiles", F.lit(0), lambda n, t: n + t["n_words"])
     tiled = tiled.select(*keys, "item_id", "__item", "n_words", covered.alias("covered"), "tiles").withColumn("coverage", F.col("covered") / F.col("n_words"))

@@ -22,8 +22,8 @@ MARK = -(1 << 63)
 
 GRAMS = "struct<n_words:int,h:array<bigint>,at:array<int>,until:array<int>>"
 
-#: Reference grams up to this many rows are broadcast (about 100 bytes each); beyond it they are shuffled.
-BROADCAST_ROWS = 500_000
+#: Reference grams, and other rows of numbers, are broadcast up to this many (about 100 bytes each), texts up to so many bytes; beyond it they are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 #: Bytes of an Arrow batch.
