@@ -27,7 +27,7 @@ MIN_VOTES, MIN_OVERLAP, MAX_BIT_ERRORS = 1, 16, 0.15
 #: Steps of a pitch class's energy from silence to all.
 WHOLE = 1 << 16
 #: Frames transformed at once, and bytes of recordings decoded at once.
-BLOCK_FRAMES, BLOCK_BYTES = 4096, 8 << 20
+BLOCK_FRAMES, BLOCK_BYTES = 1024, 8 << 20
 #: Codes of the queries that a worker holds at once, and votes (or codes compared) that it holds at once.
 BLOCK_CODES, PAIRS = 4 << 20, 1 << 20
 
@@ -62,8 +62,12 @@ def chroma(recordings: list[np.ndarray], rate: int) -> np.ndarray:
     def flush() -> None:
         nonlocal held, done, n
         if n:
-            found = np.fft.rfft(np.concatenate(held) * window, axis=1)[:, used]
-            out[done : done + n, classes] = np.add.reduceat(found.real**2 + found.imag**2, first, axis=1)
+            frames = np.concatenate(held)
+            frames *= window
+            found = np.fft.rfft(frames, axis=1)
+            power = found.real**2
+            power += found.imag**2
+            out[done : done + n, classes] = np.add.reduceat(power.take(used, axis=1), first, axis=1)
         held, done, n = [], done + n, 0
 
     for x, count in zip(recordings, counts):
