@@ -15,7 +15,7 @@ from lodestack.llm.shared import packed
 from lodestack.llm.spantable import SpanTable, kept
 
 #: Labelled rows that a model is fitted on, of each label; characters that are taken of a text, and slices of a longer one.
-SAMPLE_PER_LABEL, SAMPLE_CHARS, SLICES = 4000, 20_000, 40
+SAMPLE_PER_LABEL, SAMPLE_CHARS, SLICES = 4000, 8000, 32
 #: Words of a passage; a text is as toxic as its most toxic passage.
 PASSAGE = 8
 #: A passage that is always the whole text.
