@@ -114,7 +114,7 @@ def test_long_texts_are_learned_from_by_slices(spark):
     frame = spark.createDataFrame([(long,), ("é" * 400,), ("",)], "text string")
     got = [r.t for r in frame.select(toxicity.sampled(F.col("text"), 640).alias("t")).collect()]
     assert len(got[0]) == 640 + toxicity.SLICES - 1 and got[0].startswith(long[:10]) and got[0].endswith(long[-10:])
-    assert len(set(got[0])) > 20 and got[1:] == ["é" * 400, ""]
+    assert len(set(got[0])) > 12 and got[1:] == ["é" * 400, ""]
     data = [(d, t + " mo ta no" * 3000, y) for d, t, y in rows(60)]
     docs = spark.createDataFrame([(d, t) for d, t, _ in data], "doc_id bigint, text string")
     labels = spark.createDataFrame([(d, y) for d, _, y in data], "doc_id bigint, toxic int")
