@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bytebpe, chat, chroma, decontam, grams, licenses, linededup, piecebpe, simhash, toxicity, warc
+from lodestack.llm import bytebpe, chat, chroma, decontam, divergence, filteraudit, grams, licenses, linededup, piecebpe, relativelz, simhash, toxicity, warc
 from lodestack.llm.shared import new_path, table
 
 QUERIES: dict = {}
@@ -123,3 +123,69 @@ def op10_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = members.select(F.lit("member").alias("kind"), F.col("id").alias("vec_id"), "class_id")
     matches = matches.select(F.lit("match").alias("kind"), F.col("class_id").alias("vec_id"), F.col("query_class").alias("class_id"), "offset", "overlap", "bit_errors")
     return members.unionByName(matches, allowMissingColumns=True)
+
+
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY t.lang, t.source, t.term),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 2) // (coalesce(n.n, 0) + 2 * v.v) AS BIGINT) AS p
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT x.lang, x.term, CAST(1 + CAST(1000000000 AS HUGEINT) * (x.c + 2) // (y.n + 2 * v.v) AS BIGINT) AS q
+  FROM (SELECT lang, term, sum(c) AS c FROM c GROUP BY lang, term) x JOIN (SELECT lang, sum(c) AS n FROM c GROUP BY lang) y USING (lang) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST((p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS BIGINT) AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+""")
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, start, array_to_string(words[start : start + 12], ' ') AS said
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS start FROM d WHERE len(words) >= 13)),
+m AS (SELECT said, min(doc_id) AS least FROM w GROUP BY said HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT DISTINCT w.doc_id, unnest(generate_series(w.start, w.start + 12)) AS place FROM w JOIN m ON w.said = m.said AND m.least < w.doc_id),
+p AS (SELECT doc_id, generate_subscripts(words, 1) AS place, unnest(words) AS word FROM d),
+k AS (SELECT p.doc_id, count(*) AS n_words, count(x.place) AS n_removed, string_agg(p.word, ' ' ORDER BY p.place) FILTER (WHERE x.place IS NULL) AS kept
+  FROM p LEFT JOIN x ON p.doc_id = x.doc_id AND p.place = x.place GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+""")
+def op12_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relativelz.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT t.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), t.doc_id > min(t.doc_id) OVER (PARTITION BY text)] AS fails
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+a AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS ord FROM a, a b, a c, a d, a e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT ord, i AS step, ord[i] AS filter, ord[1 : i - 1] AS before FROM o, a),
+x AS (SELECT m.part, s.ord, s.step, s.filter, m.n, m.good, m.toxic, m.fails[s.filter] AS fail, len(list_filter(s.before, lambda b: m.fails[b])) = 0 AS here, len(list_filter(m.fails, lambda b: b)) AS n_fails FROM m, s),
+r AS (SELECT part, list_aggregate(list_transform(ord, lambda b: substr('ABCDE', b, 1)), 'string_agg', '') AS filter_order, CAST(step AS INTEGER) AS step, filter,
+    coalesce(sum(n) FILTER (WHERE here AND NOT fail), 0) AS kept, coalesce(sum(n) FILTER (WHERE here AND fail), 0) AS removed, coalesce(sum(n) FILTER (WHERE NOT here AND fail), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE fail AND n_fails = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE here AND fail), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE here AND fail), 0) AS toxic_lost
+  FROM x GROUP BY part, ord, step, filter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
