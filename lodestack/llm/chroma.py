@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,13 @@ SPAN, STEPS = 8, (-0.25, 0.0, 0.25)
 FILTERS = [(kind, low, height) for low, height in ((0, 12), (0, 6), (6, 6), (3, 6)) for kind in ("pitch", "time", "both", "middle")]
 #: Equal codes at one offset, codes that overlap, and the part of their bits that may differ.
 MIN_VOTES, MIN_OVERLAP, MAX_BIT_ERRORS = 1, 16, 0.15
+#: Filters of a query's code whose values are nearest to a change, and how many of them may have changed at once.
+WEAK, CHANGED = 8, 3
 #: Steps of a pitch class's energy from silence to all.
 WHOLE = 1 << 16
 #: Frames transformed at once, and bytes of recordings decoded at once.
 BLOCK_FRAMES, BLOCK_BYTES = 1024, 8 << 20
-#: Codes of the queries that a worker holds at once, and votes (or codes compared) that it holds at once.
+#: Seeds of the queries that a worker holds at once, and votes (or codes compared) that it holds at once.
 BLOCK_CODES, PAIRS = 4 << 20, 1 << 20
 
 
@@ -38,9 +42,11 @@ def samples_of(media: bytes | None) -> tuple[np.ndarray, int]:
         with wave.open(io.BytesIO(media or b"")) as w:
             raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
         kind = {1: np.uint8, 2: np.dtype("<i2")}[width]
+        if rate < 1 or channels < 1:
+            raise wave.Error("no rate or no channel")
         x = np.frombuffer(raw[: len(raw) // (width * channels) * width * channels], kind).astype(np.float32).reshape(-1, channels).mean(1)
         return ((x - 128) / 128 if width == 1 else x / 32768), rate
-    except (wave.Error, EOFError, KeyError):
+    except (wave.Error, EOFError, KeyError, RuntimeError, ArithmeticError, ValueError):  # what damaged headers lead to
         return np.zeros(0, np.float32), 1
 
 
@@ -82,14 +88,15 @@ def chroma(recordings: list[np.ndarray], rate: int) -> np.ndarray:
     return np.where(size > 1e-3, out / np.maximum(size, 1e-3), 0)
 
 
-def codes_of(image: np.ndarray) -> np.ndarray:
+def coded(image: np.ndarray, weak: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """A packed 32-bit code for every SPAN frames: two Gray-coded bits a filter, from sums over the integral image.
 
-    The image is rounded to whole steps first, so that sums are exact whatever stands before a frame.
+    The image is rounded to whole steps first, so that sums are exact whatever stands before a frame. With weak
+    also, for each code, the bits that the WEAK filters nearest to a change would flip, the nearest first.
     """
     n = len(image) - SPAN + 1
     if n <= 0:
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int32), np.zeros((0, WEAK), np.int32)
     sums = np.zeros((len(image) + 1, 13), np.int64)
     sums[1:, 1:] = np.rint(image * WHOLE).astype(np.int64).cumsum(0).cumsum(1)
     sums = np.ascontiguousarray(sums.T)
@@ -99,8 +106,8 @@ def codes_of(image: np.ndarray) -> np.ndarray:
         return band[t1 : t1 + n] - band[t0 : t0 + n]
 
     half, quarter = SPAN // 2, SPAN // 4
-    out = np.zeros(n, np.uint32)
-    for kind, low, height in FILTERS:
+    out, near, flips = np.zeros(n, np.uint32), [], []
+    for i, (kind, low, height) in enumerate(FILTERS):
         mid, top = low + height // 2, low + height
         if kind == "pitch":
             a = area(0, SPAN, low, mid)
@@ -115,50 +122,85 @@ def codes_of(image: np.ndarray) -> np.ndarray:
         for step in STEPS:
             level += WHOLE + a >= rest * np.exp(step)
         out = out << np.uint32(2) | (level ^ level >> np.uint32(1))
-    return out.view(np.int32)
+        if weak:
+            far = np.abs(np.log((WHOLE + a) / rest) - np.array(STEPS)[:, None])
+            step = far.argmin(0)
+            near.append(far[step, np.arange(n)])
+            flips.append(np.where(step == 1, 2, 1).astype(np.uint32) << np.uint32(2 * (len(FILTERS) - 1 - i)))  # the Gray bit that changes there
+    if not weak:
+        return out.view(np.int32), None
+    nearest = np.argsort(np.array(near), axis=0, kind="stable")[:WEAK]
+    return out.view(np.int32), np.take_along_axis(np.array(flips), nearest, axis=0).T.copy().view(np.int32)
 
 
-def codes_of_many(media: list[bytes | None]) -> list[np.ndarray]:
-    """Codes of each WAV recording; all of one rate are worked on together."""
+def codes_of(image: np.ndarray) -> np.ndarray:
+    return coded(image)[0]
+
+
+def variants(flips: np.ndarray) -> np.ndarray:
+    """What a code may differ by where up to CHANGED of its weak filters changed, nothing included; a row for each row of flips."""
+    chosen = [c for k in range(CHANGED + 1) for c in combinations(range(flips.shape[1]), k)]
+    return np.stack([np.bitwise_xor.reduce(flips[:, list(c)], axis=1) if c else np.zeros(len(flips), np.int32) for c in chosen], axis=1)
+
+
+def coded_many(media: list[bytes | None], asked: list[bool] | None = None) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """Codes of each WAV recording, and their weak bits where asked; all of one rate are worked on together."""
     read = [samples_of(m) for m in media]
-    out = [np.zeros(0, np.int32)] * len(read)
+    asked = asked or [False] * len(read)
+    out: list[tuple] = [(np.zeros(0, np.int32), None)] * len(read)
     for rate in {r for _, r in read}:
         own = [i for i, (_, r) in enumerate(read) if r == rate]
-        codes = codes_of(chroma([read[i][0] for i in own], rate))
-        at = 0
+        image = chroma([read[i][0] for i in own], rate)
+        plain, at = codes_of(image), 0
         for i in own:
             n = max(0, (len(read[i][0]) - FRAME) // HOP + 1)
-            out[i] = codes[at : at + max(0, n - SPAN + 1)]
+            out[i] = coded(image[at : at + n], True) if asked[i] else (plain[at : at + max(0, n - SPAN + 1)], None)
             at += n
     return out
 
 
-def _codes(media: pa.Array) -> pa.Array:
-    found, held, size = [], [], 0
-    for m in media:
+def codes_of_many(media: list[bytes | None]) -> list[np.ndarray]:
+    return [codes for codes, _ in coded_many(media)]
+
+
+_CODED = pa.struct([("codes", pa.list_(pa.int32())), ("flips", pa.list_(pa.int32()))])
+
+
+def _codes(media: pa.Array, asked: pa.Array) -> pa.Array:
+    found, held, want, size = [], [], [], 0
+    for m, q in zip(media, asked.to_pylist()):
         held.append(m.as_py())
+        want.append(bool(q))
         size += len(held[-1] or b"")
         if size >= BLOCK_BYTES:
-            found += codes_of_many(held)
-            held, size = [], 0
-    return pa.array(found + codes_of_many(held), pa.list_(pa.int32()))
+            found += coded_many(held, want)
+            held, want, size = [], [], 0
+    return pa.array([{"codes": c, "flips": None if f is None else f.reshape(-1)} for c, f in found + coded_many(held, want)], _CODED)
+
 
+def fingerprint(media: Column, asked: Column | None = None) -> Column:
+    """codes of each WAV recording, and flips where asked: WEAK of them for each code, see coded().
 
-def fingerprint(media: Column) -> Column:
-    """Codes of each WAV recording; none for null, unreadable and too short ones. Recordings of any length are read whole."""
-    return F.arrow_udf(_codes, "array<int>")(media)
+    None for null, unreadable and too short ones. Recordings of any length are read whole.
+    """
+    return F.arrow_udf(_codes, "struct<codes:array<int>,flips:array<int>>")(media, F.lit(False) if asked is None else F.coalesce(asked, F.lit(False)))
 
 
 class _Block:
-    """Some queries' codes, and the places where a code starts, sorted by code; codes that stay the same, as in silence, start once."""
+    """Some queries' codes, and the places where a code or a variant of it starts, sorted by code; codes that stay the same, as in silence, start once."""
 
-    def __init__(self, ids: pa.Array, codes: pa.Array):
+    def __init__(self, ids: pa.Array, codes: pa.Array, flips: pa.Array):
         self.ids, self.cuts, self.codes = ids, codes.offsets.to_numpy().astype(np.int64), codes.values.to_numpy()
         self.codes = self.codes[self.cuts[0] : self.cuts[-1]]
         self.cuts -= self.cuts[0]
-        at, self.row = _starts(self.codes, self.cuts)
-        order = np.argsort(self.codes[at], kind="stable")
-        self.seed, self.row = self.codes[at][order], self.row[order].astype(np.int32)
+        at, row = _starts(self.codes, self.cuts)
+        weak, known = np.zeros((len(self.codes), WEAK), np.int32), flips.is_valid().to_numpy(False)
+        weak[flat.ranges(self.cuts[:-1][known], np.diff(self.cuts)[known])] = flips.flatten().to_numpy().reshape(-1, WEAK)
+        seeds = self.codes[at][:, None] ^ variants(weak[at])
+        seed, row, at = seeds.reshape(-1), np.repeat(row, seeds.shape[1]), np.repeat(at, seeds.shape[1])
+        order = np.lexsort((at, seed))
+        order = order[np.append(True, (np.diff(seed[order]) != 0) | (np.diff(at[order]) != 0))[: len(order)]]  # one of a kind, where weak bits are not known
+        self.seed, self.row = seed[order], row[order].astype(np.int32)
         self.pos = (at[order] - self.cuts[self.row]).astype(np.int32)
 
 
@@ -254,29 +296,32 @@ def _search(sent, rules: tuple):
 def align(recordings: DataFrame, queries: Column, min_votes: int = MIN_VOTES, min_overlap: int = MIN_OVERLAP, max_bit_errors: float = MAX_BIT_ERRORS) -> tuple[DataFrame, DataFrame]:
     """Members (id, class_id) and matches (class_id, query_class, offset, overlap, bit_errors).
 
-    recordings: id and codes. Recordings with equal codes are one class, named by the smallest id; those
+    recordings: id, codes and, for queries, flips (see fingerprint()). Recordings with equal codes are one class, named by the smallest id; those
     without codes or without any id in their class have none. queries: a condition on id; classes with
     such a member are looked for among all. Equal codes, where they start, vote for the difference of
-    their places; every difference with min_votes is verified: of the codes that overlap, at least
+    their places; a query's code stands also for those that it would be if up to CHANGED of its WEAK filters
+    nearest to a change had changed, as noise makes them do. Every difference with min_votes is verified: of the codes that overlap, at least
     min_overlap, no more than max_bit_errors of the bits may differ. A pair's best place is that with the
     longest overlap less its errors (ties: the smallest offset: the place in class_id's recording less that
     in the query's). A class matches itself. Copies are never made into pairs. A place where no code starts
     in both recordings at once is not verified. An empty table, or one without queries, gives no matches.
 
-    The queries are dealt into blocks of about BLOCK_CODES codes, which is what is sent to the workers at
+    The queries are dealt into blocks of about BLOCK_CODES seeds, which is what is sent to the workers at
     once; all recordings are read once for each block and shuffled for none. Votes are counted and verified
     where they are found, about PAIRS at a time, and only matches are written.
     """
     spark = recordings.sparkSession
     grams.bounded_batches(spark)
     full = F.size("codes") > 0
-    keyed = recordings.select("id", "codes", F.when(full, F.xxhash64("codes")).alias("_k1"), F.when(full, F.xxhash64(F.lit(1), "codes")).alias("_k2"))
+    flips = F.col("flips") if "flips" in recordings.columns else F.lit(None).cast("array<int>").alias("flips")
+    keyed = recordings.select("id", "codes", flips, F.when(full, F.xxhash64("codes")).alias("_k1"), F.when(full, F.xxhash64(F.lit(1), "codes")).alias("_k2"))
     keyed = cut(keyed)
-    groups = keyed.where(full).groupBy("_k1", "_k2").agg(F.min("id").alias("class_id"), F.first("codes").alias("codes"), F.max(F.coalesce(queries, F.lit(False))).alias("asked"))
+    groups = keyed.where(full).groupBy("_k1", "_k2").agg(F.min("id").alias("class_id"), F.first("codes").alias("codes"), F.max("flips").alias("flips"), F.max(F.coalesce(queries, F.lit(False))).alias("asked"))
     groups = cut(groups.where("class_id is not null"))
     members = keyed.join(groups.select("_k1", "_k2", "class_id"), ["_k1", "_k2"], "left").select("id", "class_id")
-    asked = groups.where("asked").select("class_id", "codes")
-    blocks = -(-(asked.agg(F.sum(F.size("codes"))).first()[0] or 0) // BLOCK_CODES)
+    asked = groups.where("asked").select("class_id", "codes", "flips")
+    size = F.size("codes") * F.when(F.col("flips").isNull(), 1).otherwise(sum(comb(WEAK, k) for k in range(CHANGED + 1)))
+    blocks = -(-(asked.agg(F.sum(size)).first()[0] or 0) // BLOCK_CODES)
     kind = dict(groups.dtypes)["class_id"]
     schema = f"class_id {kind}, query_class {kind}, offset int, overlap int, bit_errors int"
     if not blocks:
@@ -286,7 +331,7 @@ def align(recordings: DataFrame, queries: Column, min_votes: int = MIN_VOTES, mi
         own = asked.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == b).toArrow()
         if not len(own):
             continue
-        sent = spark.sparkContext.broadcast((f"{out}-{b}", *(pa.concat_arrays(own.column(c).chunks) for c in range(2))))
+        sent = spark.sparkContext.broadcast((f"{out}-{b}", *(pa.concat_arrays(own.column(c).chunks) for c in range(3))))
         found = groups.select("class_id", "codes").mapInArrow(_search(sent, (min_votes, min_overlap, max_bit_errors)), schema)
         written.append(f"{out}/{b}")
         found.write.parquet(written[-1])
@@ -321,7 +366,7 @@ def play(values: Column) -> Column:
     return F.arrow_udf(_melodies, "binary")(values)
 
 
-def recordings_of(rows: DataFrame, key: str, media: Column) -> DataFrame:
-    """id and codes of every row."""
+def recordings_of(rows: DataFrame, key: str, media: Column, asked: Column | None = None) -> DataFrame:
+    """id and codes of every row, and flips of those that are asked for."""
     grams.bounded_batches(rows.sparkSession)
-    return rows.select(F.col(key).alias("id"), fingerprint(media).alias("codes"))
+    return rows.select(F.col(key).alias("id"), fingerprint(media, asked).alias("_f")).select("id", "_f.codes", "_f.flips")

@@ -119,7 +119,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows 'member': vec_id and its class_id; rows 'match': a class (vec_id) at an offset of a query's class (class_id)."""
     vectors = table(spark, sf_dir, "embeddings")
-    members, matches = chroma.align(chroma.recordings_of(vectors, "vec_id", chroma.play(F.col("embedding"))), F.col("id") % 100 == 0)
+    members, matches = chroma.align(chroma.recordings_of(vectors, "vec_id", chroma.play(F.col("embedding")), F.col("vec_id") % 100 == 0), F.col("id") % 100 == 0)
     members = members.select(F.lit("member").alias("kind"), F.col("id").alias("vec_id"), "class_id")
     matches = matches.select(F.lit("match").alias("kind"), F.col("class_id").alias("vec_id"), F.col("query_class").alias("class_id"), "offset", "overlap", "bit_errors")
     return members.unionByName(matches, allowMissingColumns=True)

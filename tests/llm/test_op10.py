@@ -138,3 +138,59 @@ def test_recall_against_all_offsets(spark):
     _, matches = chroma.align(frame, F.col("id") % 10 == 0)
     assert {(r.class_id, r.query_class): (r.offset, r.overlap, r.bit_errors) for r in matches.collect()} == {k: v[1:] for k, v in expect.items()}
     assert all((100 + i, 10 * i) in expect for i in range(4)) and (91, 90) in expect and (92, 90) in expect
+
+
+@pytest.mark.parametrize("sigma, notes", [(0.05, 30), (0.1, 60), (0.2, 30), (0.3, 30), (0.4, 30)])
+def test_recall_on_noisy_recordings(spark, sigma, notes):
+    """Recordings with noise, and of lower resolution: of the pairs that pass at some offset at least nine in ten are found."""
+    rng = np.random.default_rng(int(100 * sigma) + notes)
+    clean = [samples(1000 + i, notes) for i in range(60)]
+    noisy = [np.round((x + rng.normal(0, sigma, len(x))) * 40) / 40 for x in clean]  # noise, then steps of an 80th of the range
+    media = [(100 * i, wav(x)) for i, x in enumerate(clean)] + [(100 * i + 1, wav(x)) for i, x in enumerate(noisy)]
+    frame = spark.createDataFrame(media, "vec_id bigint, media binary")
+    found = chroma.recordings_of(frame, "vec_id", F.col("media"), F.col("vec_id") % 100 == 0)
+    codes = {r.id: np.array(r.codes, np.int32) for r in found.collect()}
+    passing = set()
+    for i in range(60):
+        a, b = codes[100 * i], codes[100 * i + 1]
+        for offset in range(-len(a) + chroma.MIN_OVERLAP, len(b) - chroma.MIN_OVERLAP + 1):
+            x, y = a[max(-offset, 0) :][: len(b) - max(offset, 0)], b[max(offset, 0) :]
+            n = min(len(x), len(y))
+            if np.bitwise_count((x[:n] ^ y[:n]).view(np.uint32)).sum() <= chroma.MAX_BIT_ERRORS * 32 * n:
+                passing.add(i)
+    _, matches = chroma.align(found, F.col("id") % 100 == 0)
+    got = {r.query_class // 100 for r in matches.collect() if r.class_id == r.query_class + 1}
+    assert got <= passing and len(got) >= 0.9 * len(passing)
+
+
+def test_weak_bits_are_those_of_the_nearest_changes(media):
+    """Each flip is the Gray bit that changes at the step next to the filter's value, the nearest filters first."""
+    image = np.random.default_rng(3).random((20, 12)).astype(np.float32)
+    codes, flips = chroma.coded(image, True)
+    assert codes.tolist() == chroma.codes_of(image).tolist() and flips.shape == (13, chroma.WEAK)
+    assert chroma.variants(flips).shape == (13, 93) and (chroma.variants(flips)[:, 0] == 0).all()
+    for t in (0, 7, 12):
+        near = []
+        for i, (kind, low, height) in enumerate(chroma.FILTERS):
+            part = image[t : t + 8, low : low + height].astype(float)
+            h = height // 2
+            a = {"pitch": part[:, :h].sum(), "time": part[:4].sum(), "both": part[:4, :h].sum() + part[4:, h:].sum(), "middle": part[2:6].sum()}[kind]
+            ratio = np.log((1 + a) / (1 + part.sum() - a))
+            far, step = min((abs(ratio - s), k) for k, s in enumerate(chroma.STEPS))
+            level = lambda x: int(np.digitize(x, chroma.STEPS)) ^ int(np.digitize(x, chroma.STEPS)) >> 1
+            change = level(chroma.STEPS[step] - 1e-9) ^ level(chroma.STEPS[step] + 1e-9)
+            near.append((far, change << 2 * (15 - i)))
+        assert [int(x) & 0xFFFFFFFF for x in flips[t]] == [c for _, c in sorted(near)[: chroma.WEAK]]
+
+
+def test_damaged_headers_are_unreadable_recordings(media):
+    rng = np.random.default_rng(8)
+    good = wav(samples(1, 16))
+    broken = [bytearray(good) for _ in range(4000)]
+    for raw in broken:
+        for _ in range(int(rng.integers(1, 4))):
+            raw[int(rng.integers(0, 44))] = int(rng.integers(0, 256))
+    none = bytearray(good)
+    none[24:28] = bytes(4)  # no frames a second
+    found = chroma.codes_of_many([bytes(x) for x in broken] + [bytes(none), good])
+    assert len(found) == 4002 and len(found[-2]) == 0 and len(found[-1]) > 0
