@@ -105,6 +105,11 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
+def _number(said: str | None) -> int | None:
+    """A length as a header states it: ASCII digits, at most 19; anything else is none."""
+    return int(said) if said and re.fullmatch(r"[0-9]{1,19}", said) else None
+
+
 def _hex(digest: str) -> str | None:
     kind, _, value = digest.partition(":")
     if kind.lower() != "sha1":
@@ -123,10 +128,11 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[dict | None, int, str]:
     if stop < 0:
         return None, at, "header does not end"
     fields = _fields(raw[at:stop])
-    if not fields.get("content-length", "").isdigit():
+    length = _number(fields.get("content-length"))
+    if length is None:
         return None, at, "no length"
     begin = stop + 4
-    end = begin + int(fields["content-length"])
+    end = begin + length
     if raw[end : end + 4] != b"\r\n\r\n":
         return None, at, "length does not meet the record's end"
     block = raw[begin:end]
@@ -137,8 +143,8 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[dict | None, int, str]:
         payload = block[cut + 4 :] if cut >= 0 else b""
         size = len(payload)
         if record["record_type"] == "revisit":
-            told = _fields(block[: max(cut, 0)]).get("content-length", "")
-            size = int(told) if told.isdigit() else size
+            told = _number(_fields(block[: max(cut, 0)]).get("content-length"))
+            size = size if told is None or told >= 1 << 63 else told
     named = _hex(fields.get("warc-payload-digest", ""))
     if record["record_type"] == "revisit":
         digest, payload = named, None

@@ -122,3 +122,28 @@ def test_odd_archives(spark):
     out = new_path(spark, "warc")
     warc.write_archives(warc.plan_records(none), out)
     assert warc.page_report(warc.read_archives(spark, out)).count() == 0
+
+
+def test_header_numbers_that_are_none():
+    """Lengths of other digits than ASCII's, of too many, of none or with a sign make a gap, and records around them are kept."""
+    plain = b"".join(gzip.decompress(p) if p[:2] == b"\x1f\x8b" else p for p in records(3))
+    one = records(1)[0]
+    one = gzip.decompress(one) if one[:2] == b"\x1f\x8b" else one
+    head = one[: one.index(b"Content-Length: ") + 16]
+    tail = one[one.index(b"\r\n", len(head)) :]
+    for number in ("²", "٣", "9" * 5000, "", "-1", "+5", "1_0", "0x10", "1e3", "9" * 19, "9" * 20, " "):
+        bad = head + number.encode() + tail
+        for raw in (bad + plain, gzip.compress(bad) + gzip.compress(plain), gzip.compress(bad + plain)):
+            got = list(warc.salvage(raw))
+            assert [r["record_id"] for r in got if r["kind"] == "record"][-3:] == ["<0>", "<1>", "<2>"]
+            assert any(r["kind"].endswith("gap") for r in got)
+
+
+def test_headers_of_random_bytes():
+    whole, rng = b"".join(gzip.decompress(p) if p[:2] == b"\x1f\x8b" else p for p in records(4)), random.Random(7)
+    for _ in range(2000):
+        raw = bytearray(whole)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(raw))
+            raw[at : at + rng.randint(0, 2)] = bytes(rng.randrange(256) for _ in range(rng.randint(1, 3)))
+        assert all(r["kind"] in ("record", "gap", "inner gap") for r in warc.salvage(bytes(raw)))
