@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import flat, grams
-from lodestack.llm.shared import packed
+from lodestack.llm.shared import packed, saved
 from lodestack.llm.spantable import SpanTable, kept
 
-#: Labelled rows that a model is fitted on, of each label; characters that are taken of a text, and slices of a longer one.
-SAMPLE_PER_LABEL, SAMPLE_CHARS, SLICES = 4000, 8000, 32
+#: Labelled rows that a model is fitted on, of each label.
+SAMPLE_PER_LABEL = 4000
+#: Passages of a row's whole text that are drawn at random, and times that its most toxic one is looked for while fitting.
+DRAWN, ROUNDS = 24, 6
 #: Words of a passage; a text is as toxic as its most toxic passage.
 PASSAGE = 8
 #: A passage that is always the whole text.
 WHOLE = 1 << 40
 SIZES, BUCKETS, WIDTH = (3, 4, 5, 6), 1 << 18, 8
-EPOCHS, BATCH, RATE = 12, 256, 0.3
+#: Epochs over drawn passages and after each search for the most toxic ones, rows of a step, and its length.
+EPOCHS, AFTER, BATCH, RATE = 4, 2, 256, 0.3
 #: Rows by whose labels the threshold is set, one in so many; they take no part in the descent.
 CALIBRATION = 4
 
@@ -74,6 +78,27 @@ def passage_means(scores: np.ndarray, upto: np.ndarray, passage: int = PASSAGE)
     return best, at
 
 
+def _spans(texts: pa.Array) -> Iterator[tuple]:
+    """(first row, bytes in lower case, starts and ends of words, words before each row) of whole texts, a piece at a time."""
+    for low, _, data, offsets in flat.pieces(texts):
+        data = flat.LOWER[data]
+        starts, ends = flat.bounds(flat.ALNUM[data], offsets)
+        yield low, data, starts, ends, np.searchsorted(starts, offsets)
+
+
+def drawn_passages(texts: pa.Array, seeds: pa.Array, passage: int = PASSAGE) -> pa.Array:
+    """Passages from anywhere in each whole text, its words joined by one space; a text of at most a passage is its only one."""
+    out: list[list[str]] = []
+    seeds = seeds.to_numpy(False)
+    for low, data, starts, ends, upto in _spans(texts):
+        raw, cuts = data.tobytes(), list(zip(starts.tolist(), ends.tolist()))
+        for i, n in enumerate(np.diff(upto).tolist()):
+            places = np.random.default_rng(int(seeds[low + i]) & 0xFFFFFFFF).integers(0, n - passage + 1, DRAWN) if n > passage else [0] * (n > 0)
+            said = [b" ".join(raw[a:b] for a, b in cuts[upto[i] + p : upto[i] + min(p + passage, n)]) for p in dict.fromkeys(map(int, places))]
+            out.append([x.decode() for x in said])
+    return pa.array(out, pa.list_(pa.string()))
+
+
 @dataclass(frozen=True)
 class Model:
     """Weight of every bucket (its vector times the difference of the softmax's two rows), and what is added."""
@@ -90,49 +115,66 @@ class Model:
             return np.zeros(0, np.float32), ones
         return (np.add.reduceat(self.weights[buckets], np.cumsum(counts) - counts) / counts).astype(np.float32), ones
 
+    def _best(self, texts: pa.Array) -> Iterator[tuple]:
+        table = kept(("toxicity", self.name), lambda: SpanTable(self.word_scores, np.float32))
+        for low, data, starts, ends, upto in _spans(texts):
+            said, _ = table.values(data, starts, ends)
+            yield low, data, starts, ends, upto, *passage_means(said, upto, self.passage)
+
     def scores(self, texts: pa.Array) -> pa.Array:
         """Probability of the toxic class, of each text's most toxic passage; a text without a word scores 0."""
-        table = kept(("toxicity", self.name), lambda: SpanTable(self.word_scores, np.float32))
         out = np.full(len(texts), -np.inf)
-        for low, high, data, offsets in flat.pieces(texts):
-            data = flat.LOWER[data]
-            starts, ends = flat.bounds(flat.ALNUM[data], offsets)
-            said, _ = table.values(data, starts, ends)
-            best, _ = passage_means(said, np.searchsorted(starts, offsets), self.passage)
-            out[low:high] = best
+        for low, *_, best, _ in self._best(texts):
+            out[low : low + len(best)] = best
         with np.errstate(over="ignore"):
             return pa.array(1 / (1 + np.exp(-(out + self.shift))))
 
-
-def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed: int = 11, toxic_rows: int | None = None, passage: int = PASSAGE) -> Model:
-    """A model of the texts' labels: bucket vectors and the softmax, trained jointly by gradient descent.
-
-    Passages are drawn at random first. Then each text gives its most toxic passage under the model so
-    far, and a random one if its label is 0. clean_rows, toxic_rows: how many rows the texts of label 0
-    and of label 1 stand for, when the threshold is set. passage: words of a passage, WHOLE for the mean
-    over a whole text. Without texts of both labels every text scores 0.1.
+    def worst(self, texts: pa.Array) -> pa.Array:
+        """Of each whole text its most toxic passage and that one's mean; null and minus infinity without a word."""
+        means, said = [], []
+        for _, data, starts, ends, upto, best, at in self._best(texts):
+            raw = data.tobytes()
+            for i, (mean, place) in enumerate(zip(best.tolist(), at.tolist())):
+                stop = min(place + self.passage, int(upto[i + 1]))
+                means.append(mean)
+                said.append(b" ".join(raw[a:b] for a, b in zip(starts[place:stop].tolist(), ends[place:stop].tolist())).decode() if place >= 0 else None)
+        return pa.StructArray.from_arrays([pa.array(means, pa.float64()), pa.array(said, pa.string())], ["mean", "said"])
+
+
+class _Vocabulary:
+    """Numbers of words, and the buckets of each."""
+
+    def __init__(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.buckets, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def passages(self, said: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of passages, one after the other, and how many each has."""
+        words = [x.encode().split(b" ") for x in said]
+        known = len(self.index)
+        ids = [self.index.setdefault(w, len(self.index)) for x in words for w in x]
+        new = list(self.index)[known:]
+        parts = [gram_buckets(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
+        self.buckets, self.counts = (np.concatenate([x, *(p[k] for p in parts)]) for k, x in enumerate((self.buckets, self.counts)))
+        return np.array(ids, np.int32), np.array([len(x) for x in words], np.int64)
+
+
+def fit_passages(drawn: list[list[str]], toxic: list[int], worst: Callable[[Model], tuple], clean_rows: int | None = None, toxic_rows: int | None = None, seed: int = 11, passage: int = PASSAGE) -> Model:
+    """A model of rows' labels: bucket vectors and the softmax, trained jointly by gradient descent.
+
+    drawn: passages of each row, none of a row without a word. worst: of each row the mean and the words of the
+    most toxic passage of its whole text under a model. Drawn passages are learned from first. Then each row
+    gives its most toxic passage under the model so far, and a drawn one if its label is 0, ROUNDS times.
+    clean_rows, toxic_rows: how many rows those of label 0 and of label 1 stand for, when the threshold is
+    set. Without rows of both labels every text scores 0.1.
     """
     y = np.array(toxic, np.int64)
     if len(set(toxic)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(0.1 / 0.9)), passage)
-    rng = np.random.default_rng(seed)
-    index: dict[bytes, int] = {}
-    seen, upto = [], [0]
-    for text in texts:
-        raw = flat.LOWER[np.frombuffer(text.encode(), np.uint8)]
-        starts, ends = flat.bounds(flat.ALNUM[raw], np.array([0, len(raw)]))
-        said = raw.tobytes()
-        seen.append(np.array([index.setdefault(said[a:b], len(index)) for a, b in zip(starts.tolist(), ends.tolist())], np.int32))
-        upto.append(upto[-1] + len(starts))
-    word, upto = np.concatenate(seen), np.array(upto)
-    words = list(index)
-    del index, seen
-    parts = [gram_buckets(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
-    buckets, counts = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int32)]) for k in (0, 1))
-    del words, parts
-    at = np.cumsum(counts) - counts
-    n = np.diff(upto)
-    del texts
+    rng, words = np.random.default_rng(seed), _Vocabulary()
+    n = np.array([len(x) for x in drawn])
+    word, size = words.passages([p for x in drawn for p in x])
+    first = np.cumsum(n) - n
     vectors = rng.uniform(-1e-3, 1e-3, (BUCKETS, WIDTH)).astype(np.float32)  # next to nothing for n-grams that are never met
     soft, bias = rng.normal(0, 0.5, (2, WIDTH)).astype(np.float32), np.zeros(2, np.float32)
     memory, memory_soft = np.full((BUCKETS, WIDTH), 1e-6, np.float32), np.full((2, WIDTH), 1e-6, np.float32)
@@ -140,21 +182,21 @@ def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed:
     held[rng.permutation(len(y))[:: CALIBRATION]] = True
     learn = np.flatnonzero(~held & (n > 0))
 
-    def step(start: np.ndarray, rows: np.ndarray) -> None:
-        size = np.minimum(n[rows], passage)
-        used, inverse = np.unique(word[flat.ranges(start, size)], return_inverse=True)
-        ids = buckets[flat.ranges(at[used], counts[used])]
-        first = np.cumsum(counts[used]) - counts[used]
-        of_word = np.add.reduceat(vectors[ids], first) / counts[used][:, None].astype(np.float32)
+    def step(said: np.ndarray, size: np.ndarray, y: np.ndarray) -> None:
+        used, inverse = np.unique(said, return_inverse=True)
+        at = np.cumsum(words.counts) - words.counts
+        counts = words.counts[used]
+        ids = words.buckets[flat.ranges(at[used], counts)]
+        of_word = np.add.reduceat(vectors[ids], np.cumsum(counts) - counts) / counts[:, None].astype(np.float32)
         mean = np.add.reduceat(of_word[inverse], np.cumsum(size) - size) / size[:, None].astype(np.float32)
         out = mean @ soft.T + bias
         p = np.exp(out - out.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        p[np.arange(len(rows)), y[rows]] -= 1
-        p /= len(rows)
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
         back = np.repeat(p @ soft / size[:, None], size, axis=0)
-        to_word = np.stack([np.bincount(inverse, back[:, k], len(used)) for k in range(WIDTH)], 1) / counts[used][:, None]
-        spread = np.repeat(to_word, counts[used], axis=0)
+        to_word = np.stack([np.bincount(inverse, back[:, k], len(used)) for k in range(WIDTH)], 1) / counts[:, None]
+        spread = np.repeat(to_word, counts, axis=0)
         slope = np.stack([np.bincount(ids, spread[:, k], BUCKETS) for k in range(WIDTH)], 1).astype(np.float32)
         turn = p.T @ mean
         memory[:] += slope**2
@@ -163,38 +205,51 @@ def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed:
         soft[:] -= 0.1 * turn / np.sqrt(memory_soft)
         bias[:] -= 0.1 * p.sum(0)
 
-    def best_passages() -> tuple[np.ndarray, np.ndarray]:
-        weights = vectors @ (soft[1] - soft[0])
-        scores = np.concatenate([np.add.reduceat(weights[buckets[at[i] : at[i] + counts[i : i + 50_000].sum()]], at[i : i + 50_000] - at[i]) for i in range(0, len(at), 50_000)]) / counts
-        best, start = np.full(len(n), -np.inf), np.full(len(n), -1)
-        for i in range(0, len(n), 250):  # some texts at a time: there is a mean for every place of a passage
-            k = min(i + 250, len(n))
-            best[i:k], start[i:k] = passage_means(scores[word[upto[i] : upto[k]]], upto[i : k + 1] - upto[i], passage)
-            start[i:k] += np.where(start[i:k] >= 0, upto[i], 0)
-        return best, start
-
-    anywhere = lambda rows: upto[rows] + rng.integers(0, np.maximum(1, n[rows] - passage + 1))
-    for epoch in range(EPOCHS):
-        if epoch < 4:
-            rows = np.tile(learn, 6)
-            starts = anywhere(rows)
-        else:
-            best, start = best_passages()
-            bad, good = learn[y[learn] == 1], learn[y[learn] == 0]
-            rows = np.concatenate((bad, bad, good, good))
-            starts = np.concatenate((start[bad], start[bad], start[good], anywhere(good)))
-        # as many steps on either label
+    def epoch(word: np.ndarray, size: np.ndarray, passages: np.ndarray, rows: np.ndarray) -> None:
+        """Steps over passages of rows, as many on either label."""
+        cuts = np.cumsum(size) - size
         share = np.where(y[rows] == 1, 0.5 / max(1, (y[rows] == 1).sum()), 0.5 / max(1, (y[rows] == 0).sum()))
-        drawn = rng.choice(len(rows), len(rows), p=share / share.sum())
-        for low in range(0, len(drawn), BATCH):
-            pick = drawn[low : low + BATCH]
-            step(starts[pick], rows[pick])
-    weights = (vectors @ (soft[1] - soft[0])).astype(np.float32)
-    best, _ = best_passages()
+        order = rng.choice(len(rows), len(rows), p=share / share.sum())
+        for low in range(0, len(order), BATCH):
+            pick = order[low : low + BATCH]
+            some = passages[pick]
+            step(word[flat.ranges(cuts[some], size[some])], size[some], y[rows[pick]])
+
+    def model(shift: float = 0.0) -> Model:
+        return Model((vectors @ (soft[1] - soft[0])).astype(np.float32), shift, passage)
+
+    any_of = lambda rows: first[rows] + rng.integers(0, n[rows])
+    for _ in range(EPOCHS):
+        rows = np.tile(learn, 6)
+        epoch(word, size, any_of(rows), rows)
+    bad, good = learn[y[learn] == 1], learn[y[learn] == 0]
+    for _ in range(ROUNDS):
+        _, said = worst(model())
+        found, more = words.passages([said[i] for i in learn])
+        own = np.full(len(y), -1)
+        own[learn] = len(size) + np.arange(len(learn))
+        all_words, all_sizes = np.concatenate((word, found)), np.concatenate((size, more))
+        for _ in range(AFTER):
+            rows = np.concatenate((bad, bad, good, good))
+            epoch(all_words, all_sizes, np.concatenate((own[bad], own[bad], own[good], any_of(good))), rows)
+    last = model()
+    best = np.array(worst(last)[0], np.float64)
     held &= n > 0
     stand_for = [rows / max(1, (y == label).sum()) if rows else 1.0 for label, rows in enumerate((clean_rows, toxic_rows))]
     weight = np.where(y == 1, stand_for[1], stand_for[0])
-    return Model(weights, -_threshold(best[held], y[held], weight[held]), passage)
+    return Model(last.weights, -_threshold(best[held], y[held], weight[held]), passage)
+
+
+def fit(texts: list[str], toxic: list[int], clean_rows: int | None = None, seed: int = 11, toxic_rows: int | None = None, passage: int = PASSAGE) -> Model:
+    """fit_passages() of texts at hand."""
+    column = pa.array(texts, pa.string())
+
+    def worst(model: Model) -> tuple:
+        found = model.worst(column)
+        return found.field("mean").to_pylist(), found.field("said").to_pylist()
+
+    drawn = drawn_passages(column, pa.array(range(len(texts)), pa.int64()), passage).to_pylist()
+    return fit_passages(drawn, toxic, worst, clean_rows, toxic_rows, seed, passage)
 
 
 def _threshold(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -216,29 +271,37 @@ def learned_from(doc_id, modulus: int = 5):
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus != 0
 
 
-def sampled(text: Column, most: int = SAMPLE_CHARS) -> Column:
-    """A text of up to most characters, of a longer one SLICES slices of it at even steps from its start to its end."""
-    size = most // SLICES
-    step = (F.char_length(text) - size) / (SLICES - 1)
-    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(text, (1 + F.floor(i * step)).cast("int"), F.lit(size)))
-    return F.when(F.char_length(text) <= most, text).otherwise(F.array_join(slices, " "))
-
-
-def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, most: int = SAMPLE_CHARS, passage: int = PASSAGE) -> Model:
-    """A model fitted on the driver to a bounded sample: per_label rows of each label at most, in the order of a hash of doc_id.
+def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, passage: int = PASSAGE) -> Model:
+    """A model fitted to a bounded sample: the whole texts of per_label rows of each label at most, in the order of a hash of doc_id.
 
-    docs: doc_id, text; labels: doc_id, toxic. Repeated labels of a doc_id count as toxic if one does;
-    of rows that repeat a doc_id one text is taken. Null labels, ids and texts are not learned from, texts
-    over most characters by slices (see sampled). For the threshold each row of the sample stands for as many
-    labels as there are of its kind, so that it follows the labels' shares and not the sample's.
+    docs: doc_id, text; labels: doc_id, toxic. Repeated labels of a doc_id count as toxic if one does; of rows
+    that repeat a doc_id the first text in the order of texts is taken, where the rows are. Null labels, ids and
+    texts are not learned from. The tasks draw passages from the whole texts, and look through all of them for
+    the most toxic passages whenever the model got better; only passages come to the driver, DRAWN of a
+    few words and then one of each row. For the threshold each row of the sample stands for as many labels
+    as there are of its kind, so that it follows the labels' shares and not the sample's.
     """
+    spark = docs.sparkSession
+    grams.bounded_batches(spark)
     known = labels.where("doc_id is not null and toxic is not null").where(learned_from(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("_order", F.xxhash64("doc_id"))
     counts = {r.toxic: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     rows = known.where("toxic = 1").orderBy("_order").limit(per_label).union(known.where("toxic = 0").orderBy("_order").limit(per_label))
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id").withColumn("text", sampled(F.col("text"), most))
-    sample = sorted({r.doc_id: (r.doc_id, r.text, r.toxic) for r in texts.select("doc_id", "text", "toxic").orderBy("doc_id", "text").collect()}.values())
-    return fit([t for _, t, _ in sample], [int(x) for _, _, x in sample], counts.get(0), toxic_rows=counts.get(1), passage=passage)
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    texts = saved(texts, "labelled-texts")
+    draw = F.arrow_udf(lambda t, s: drawn_passages(t, s, passage), "array<string>")
+    sample = sorted(texts.select("doc_id", "toxic", draw("text", F.xxhash64("doc_id")).alias("drawn")).collect())
+    place = {r.doc_id: i for i, r in enumerate(sample)}
+
+    def worst(model: Model) -> tuple:
+        sent = spark.sparkContext.broadcast(model)
+        look = F.arrow_udf(lambda t: sent.value.worst(t), "struct<mean:double,said:string>")
+        means, said = [-np.inf] * len(sample), [None] * len(sample)
+        for r in texts.select("doc_id", look("text").alias("w")).collect():
+            means[place[r.doc_id]], said[place[r.doc_id]] = r.w.mean, r.w.said
+        return means, said
+
+    return fit_passages([r.drawn for r in sample], [int(r.toxic) for r in sample], worst, counts.get(0), counts.get(1), passage=passage)
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:

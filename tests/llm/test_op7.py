@@ -109,13 +109,34 @@ def test_scores_against_a_plain_scorer(passage):
     assert got == pytest.approx([plain_score(model, t, passage) for t in texts], abs=1e-4)
 
 
-def test_long_texts_are_learned_from_by_slices(spark):
-    long = "".join(chr(97 + i // 1000 % 26) for i in range(100_000))
-    frame = spark.createDataFrame([(long,), ("é" * 400,), ("",)], "text string")
-    got = [r.t for r in frame.select(toxicity.sampled(F.col("text"), 640).alias("t")).collect()]
-    assert len(got[0]) == 640 + toxicity.SLICES - 1 and got[0].startswith(long[:10]) and got[0].endswith(long[-10:])
-    assert len(set(got[0])) > 12 and got[1:] == ["é" * 400, ""]
-    data = [(d, t + " mo ta no" * 3000, y) for d, t, y in rows(60)]
+def test_passages_come_from_whole_texts():
+    long = " ".join(f"w{i}" for i in range(50_000)) + " Grobnix"
+    got = toxicity.drawn_passages(pa.array([long, "Ta, no.", None, " .", " ".join("abcdefgh")]), pa.array([5, 6, 7, 8, 9])).to_pylist()
+    assert got[1:] == [["ta no"], [], [], ["a b c d e f g h"]]
+    places = [int(p.split()[0][1:]) for p in got[0]]
+    assert len(places) == toxicity.DRAWN and min(places) < 10_000 and max(places) > 40_000
+    assert all(p == " ".join(f"w{i}" for i in range(a, a + 8)) for p, a in zip(got[0], places))
+    model = toxicity.fit([t for _, t, _ in rows(300)], [y for *_, y in rows(300)])
+    worst = model.worst(pa.array([long, "", "ta"])).to_pylist()
+    assert "grobnix" in worst[0]["said"] and worst[1] == {"mean": -math.inf, "said": None} and worst[2]["said"] == "ta"
+
+
+def test_what_is_learned_may_stand_anywhere_in_a_long_text(spark):
+    """The few words that make a text toxic stand between hundreds of others."""
+    rng = random.Random(6)
+    data = [(d, " ".join(["mo ta no"] * rng.randint(0, 80) + [t] + ["el su ri"] * rng.randint(0, 80)), y) for d, t, y in rows(900)]
     docs = spark.createDataFrame([(d, t) for d, t, _ in data], "doc_id bigint, text string")
     labels = spark.createDataFrame([(d, y) for d, _, y in data], "doc_id bigint, toxic int")
-    assert toxicity.fit_on(docs, labels).weights.any()
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = [(got[d].predicted, y) for d, _, y in data if got[d].held_out]
+    assert sum(p == y for p, y in held) / len(held) > 0.9
+
+
+def test_a_doc_id_that_many_rows_repeat_is_one_row(spark):
+    data = rows(200)
+    docs = spark.createDataFrame([(d, t) for d, t, _ in data], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in data], "doc_id bigint, toxic int")
+    one = next(d for d, *_ in data if zlib.crc32(str(d).encode()) % 5)
+    more = spark.range(10_000).select(F.lit(one).cast("bigint").alias("doc_id"), F.concat(F.lit("~"), F.col("id").cast("string")).alias("text"))
+    plain, again = toxicity.fit_on(docs, labels), toxicity.fit_on(docs.union(more), labels)
+    assert np.array_equal(plain.weights, again.weights) and plain.shift == again.shift
