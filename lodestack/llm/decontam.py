@@ -196,7 +196,8 @@ def _tiles_in(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float, k
     items = benchmark.select("item_id", "text").where("text is not null").distinct().withColumn("__item", F.xxhash64("text"))
     index = saved(_index(items, k, threshold), "tiling-index")
     few = index.count() <= grams.BROADCAST_ROWS
-    met = docs.select(*keys, F.explode(grams.distinct_grams(F.col("text"), k)).alias("h")).join(F.broadcast(index) if few else index.hint("merge"), "h")
+    passes = None if few else grams.hash_filter(index.select("h"))  # of the documents' grams only those that pass are shuffled
+    met = docs.select(*keys, F.explode(grams.distinct_grams(F.col("text"), k, passes)).alias("h")).join(F.broadcast(index) if few else index.hint("merge"), "h")
     pairs = met.groupBy(*keys, "item_id", "__item").agg(F.sum("places").alias("_seen"), F.max("need").alias("_need"), F.max("n_words").alias("n_words")).where("_seen >= _need")
     pairs = saved(pairs.select(*(F.col(c).alias(f"__of_{c}") for c in keys), "item_id", "__item", "n_words"), "tiling-pairs")
     texts = items.select(F.col("item_id").alias("__id"), F.col("__item").alias("__as"), F.col("text").alias("__said"))

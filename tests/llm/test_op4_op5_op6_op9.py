@@ -8,6 +8,7 @@ import time
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestack.llm import components, decontam, licenses, linededup, simhash
 
@@ -343,3 +344,30 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, i) for i in range(201, 300)] + [(500, 400), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x bigint, y bigint"), "x", "y").collect()}
     assert got == {**{i: 0 for i in range(101)}, **{i: 200 for i in range(200, 300)}, 400: 400, 500: 400}
+
+
+def test_filter_of_hashes(spark):
+    """All hashes that a filter was made of pass it, and few others; MARK and none at all included."""
+    import numpy as np
+
+    from lodestack.llm import grams
+
+    rng = np.random.default_rng(5)
+    own, other = rng.integers(-(2**63), 2**63 - 1, (2, 20_000))
+    passes = grams.hash_filter(spark.createDataFrame([(int(h),) for h in [*own, grams.MARK]], "h bigint"))
+    assert passes(own).all() and passes(np.array([grams.MARK])).all() and passes(other).mean() < 0.01 and len(passes(own[:0])) == 0
+    none = grams.hash_filter(spark.createDataFrame([], "h bigint"))
+    assert not none(own).any()
+
+
+def test_little_is_shuffled_beyond_the_broadcast_bound(spark, monkeypatch, docs, rows):
+    """Grams that no template has stay where they are: the rows that reach the join are those that pass the filter."""
+    from lodestack.llm import grams
+
+    reference = spark.createDataFrame([("redistribution and use in source and binary forms with or without",)], "text string")
+    reference = reference.select(F.inline(grams.small_grams(F.col("text"), 4))).select("h", F.lit(1).alias("tid"), "tpos", "words")
+    few, many = (grams.join_grams(docs, ["doc_id"], "text", 4, reference, n).collect() for n in (8, grams.BROADCAST_ROWS + 1))
+    assert sorted(few, key=str) == sorted(many, key=str) and len(many) >= len(rows)
+    text = spark.createDataFrame([(1, "a redistribution and use in source and binary forms b redistribution and use in x")], "doc_id bigint, text string")
+    one = [sorted((r.tpos, r.pos) for r in grams.join_grams(text, ["doc_id"], "text", 4, reference, n).collect() if r.tid) for n in (8, grams.BROADCAST_ROWS + 1)]
+    assert one[0] == one[1] == [(0, 1), (0, 10), (1, 2), (2, 3), (3, 4), (4, 5)]
