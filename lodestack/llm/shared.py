@@ -27,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path in the folder of this application's intermediate data, which lodestack.frames.clean_up() removes."""
+    return f"{shared_dir(spark)}/lodestack-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
