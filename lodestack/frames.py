@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; clean_up() removes it."""
+    return f"{shared_dir(spark)}/lodestack-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes what saved() and its like have written in this application; results that still read it must be written first."""
+    store, found = _store(spark, run_dir(spark))
+    store.delete(found, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once, kept where lost executors don't matter; loops call it each round."""
     shared_dir(df.sparkSession)
@@ -32,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def saved(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again; its size is then known to joins."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -50,8 +62,29 @@ def make_folder(spark: SparkSession, path: str) -> None:
     store.mkdirs(found)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a small folder."""
+    store, found = _store(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(found) if f.isFile())
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file; FileExistsError if there is one, whoever made it."""
+    store, found = _store(spark, path)
+    try:
+        out = store.create(found, False)
+    except Py4JJavaError as e:
+        if store.exists(found):
+            raise FileExistsError(path) from e
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, replaced as a whole."""
+    """One small file, replaced as a whole; a crash in between may leave none, so it is for copies of what is kept elsewhere."""
     store, found = _store(spark, path)
     _, draft = _store(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = store.create(draft, True)
@@ -63,7 +96,3 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         store.delete(found, False)
     if not store.rename(draft, found):
         raise OSError(f"{draft} could not be renamed to {path}")
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]

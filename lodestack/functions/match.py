@@ -2,46 +2,100 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.frames import saved
 
+#: Characters of all terms together up to which one automaton holds them (about 100 bytes each in a worker).
+AUTOMATON_CHARS = 500_000
+#: Characters of a part of a word; longer words are cut into parts that overlap by the longest term.
+PART = 256
 #: Between the words of a text.
 _WHITE = r"\s+"
 
+_built: dict = {}
+
+
+def _automaton(name: str, terms: list[str]):
+    """The automaton of the terms, built once in each worker; its transitions are followed a character at a time, whatever the number of terms."""
+    if name not in _built:
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            made.add_word(term, i)
+        made.make_automaton()
+        _built.clear()
+        _built[name] = made
+    return _built[name]
+
+
+def _found(texts: DataFrame, content: str, terms: list[str]) -> Column:
+    """The different terms that each text holds, from one pass over it."""
+    name, sent = uuid.uuid4().hex, texts.sparkSession.sparkContext.broadcast(terms)
+
+    def find(column: pa.Array) -> pa.Array:
+        known = sent.value
+        automaton = _automaton(name, known)
+        rows = ({i for _, i in automaton.iter(t)} if t else () for t in column.to_pylist())
+        return pa.array([[known[i] for i in sorted(r)] for r in rows], pa.list_(pa.string()))
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.split(text, _WHITE))
+    return F.arrow_udf(find, "array<string>")(content)
 
 
-def contained(texts: DataFrame, content: str, terms: DataFrame) -> DataFrame:
+def contained(texts: DataFrame, content: str, terms: DataFrame, limit: int | None = None) -> DataFrame:
     """texts' columns but content, and term: each term (column term) once for each different row whose content contains it anywhere.
 
-    A term lies within one word of a text (what stands between white space), or its longest piece
-    without white space does. So the different words of all texts meet the different terms by equality,
-    as their parts of the lengths that terms have; texts meet only the words that were found so, and are
-    read once however many terms there are. Of the terms only their lengths come to the driver, no
-    more than the longest has characters. Terms with white space are looked for in the texts that hold
-    their longest piece. Null texts and empty terms meet nothing; no text meets a term that it does not hold.
+    Terms of up to `limit` characters together (AUTOMATON_CHARS) go into one automaton that is sent to the
+    tasks; each text is read once, in time proportional to its length and its matches, and none is shuffled.
+    More terms than that stay where they are and meet the texts by equality, see _met_by_parts(). Null texts
+    and empty terms meet nothing, and terms of white space alone are left out; no text meets a term that it
+    does not hold. limit changes no row.
+    """
+    keep = [c for c in texts.columns if c != content]
+    terms = saved(terms.select("term").where(F.length(F.regexp_replace("term", _WHITE, "")) > 0).distinct(), "terms")
+    chars = terms.agg(F.sum(F.length("term"))).first()[0] or 0
+    if not chars:
+        return texts.select(*keep, F.lit("").alias("term")).limit(0)
+    if chars <= (AUTOMATON_CHARS if limit is None else limit):
+        known = sorted(r.term for r in terms.collect())
+        return texts.select(*keep, F.explode(_found(texts, content, known)).alias("term")).distinct()
+    return _met_by_parts(texts, content, terms)
+
+
+def _parts(word: Column, longest: int) -> Column:
+    """A word as parts of PART characters and what a term that starts there may still need."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1)), F.lit(PART))
+    return F.when(F.length(word) <= PART + longest, F.array(word)).otherwise(F.transform(starts, lambda i: F.substring(word, i, F.lit(PART + longest))))
+
+
+def _met_by_parts(texts: DataFrame, content: str, terms: DataFrame) -> DataFrame:
+    """contained() for terms that no task could hold.
+
+    A term lies within one word of a text (what stands between white space), or its longest piece without
+    white space does. So the different parts of words of all texts meet the different terms by equality, cut
+    to the lengths that terms have; texts meet only the parts that were found so. Of the terms only their
+    lengths come to the driver, no more than the longest has characters. Terms with white space are looked
+    for in the texts that hold their longest piece.
     """
     keep = [c for c in texts.columns if c != content]
-    terms = terms.select("term").where("term <> ''").distinct()
     piece = F.array_max(F.transform(F.split("term", _WHITE), lambda p: F.struct(F.length(p).alias("n"), p.alias("piece"))))
-    terms = saved(terms.select("term", piece["piece"].alias("_part"), piece["n"].alias("_n")).where("_n > 0"), "terms")
+    terms = saved(terms.select("term", piece["piece"].alias("_part"), piece["n"].alias("_n")), "term-pieces")
     lengths = sorted(r[0] for r in terms.select("_n").distinct().collect())
-    none = texts.select(*keep, F.lit("").alias("term")).limit(0)
-    if not lengths:
-        return none
-    words = texts.select(F.explode(_words(F.col(content))).alias("_word")).where(F.length("_word") >= lengths[0]).distinct()
+    in_words = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.split(content, _WHITE)), lambda w: _parts(w, lengths[-1]))))
+    words = texts.select(F.explode(in_words).alias("_word")).where(F.length("_word") >= lengths[0]).distinct()
     start = lambda n: F.sequence(F.lit(1), F.length("_word") - n + 1)
     at_length = lambda n: F.when(F.length("_word") >= n, F.transform(start(n), lambda i: F.substring(F.col("_word"), i, n))).otherwise(F.array().cast("array<string>"))
-    parts = words.select("_word", F.explode(F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, lengths)), at_length)))).alias("_part"))
-    met = saved(parts.join(terms, "_part").select("_word", "term", (F.col("term") != F.col("_part")).alias("_spaced")), "words-with-terms")
-    plain = texts.select(*keep, F.explode(_words(F.col(content))).alias("_word")).join(met.where("not _spaced").select("_word", "term"), "_word")
-    out = plain.select(*keep, "term")
+    cut = words.select("_word", F.explode(F.array(*map(F.lit, lengths))).alias("_length")).select("_word", F.explode(F.array_distinct(at_length(F.col("_length")))).alias("_part"))
+    met = saved(cut.join(terms, "_part").select("_word", "term", (F.col("term") != F.col("_part")).alias("_spaced")), "words-with-terms")
+    held = texts.select(*keep, content, F.explode(in_words).alias("_word"))
+    out = held.select(*keep, "_word").join(met.where("not _spaced").select("_word", "term"), "_word").select(*keep, "term")
     spaced = met.where("_spaced").select("_word", "term")
     if not spaced.isEmpty():
-        whole = texts.select(*keep, content, F.explode(_words(F.col(content))).alias("_word")).join(spaced, "_word")
-        out = out.unionByName(whole.where(F.contains(F.col(content), F.col("term"))).select(*keep, "term"))
+        whole = held.join(spaced, "_word").where(F.contains(F.col(content), F.col("term")))
+        out = out.unionByName(whole.select(*keep, "term"))
     return out.distinct()

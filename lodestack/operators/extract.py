@@ -1,16 +1,17 @@
 """Structure of texts as rows: sections, blocks, keys, symbols.
 
-Sections and blocks are cut with Spark's own functions. Python sources and JSON objects need their
-parsers; an Arrow function gives what a parser finds, and everything after that is Spark's again.
+Texts are read by an Arrow function, each by the small reader of its suffix, in one pass over all items; what is
+said of the segments, their scores and all that follows are Spark's.
 """
 
 from __future__ import annotations
 
 import ast
 import json
+import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import paths
@@ -26,7 +27,7 @@ DEEPER = "properties paths selection_summary inputs notes".split()
 STRATEGIES = {"symbol_extract": [".py"], "section_extract": [".md", ".rst"], "key_block_extract": [".json", ".yaml", ".yml", ".toml"]}
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-PARSED = "array<struct<anchor:string,text:string,hint:string,scored:string,snippet:string,fixed:string>>"
+SEGMENTS = "array<struct<seg:int,anchor:string,text:string,hint:string,scored:string,weighed:string,snippet:string,summary:string,bonus:int,most:int>>"
 SEGMENT = ["path", "seg", "anchor", "text", "summary", "priority", "snippet"]
 
 
@@ -37,56 +38,61 @@ def strategy(path: Column | str) -> Column:
     return F.coalesce(out, F.lit("full_text"))
 
 
-def _blocks(items: DataFrame, starts: Column) -> DataFrame:
-    """Lines of items (path, artifact_type, content) grouped into blocks, each from a line where starts holds (of column line) to the next; block 0 is what stands before."""
-    lines = items.select("path", "artifact_type", F.posexplode(F.split(strip("content"), LINE_END)).alias("pos", "line"))
-    block = F.sum(starts.cast("int")).over(Window.partitionBy("path").orderBy("pos"))
-    held = F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
-    return lines.withColumn("seg", block).groupBy("path", "artifact_type", "seg").agg(held.alias("lines"))
+HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*$")
 
 
-def _joined(lines: Column) -> Column:
-    return strip(F.array_join(lines, "\n"))
+def _segment(seg: int, anchor: str, text: str, snippet: str, hint: str | None = None, weighed: str | None = None, scored: str | None = None, summary: str | None = None, bonus: int = 0, most: int = 160) -> dict:
+    """hint: what a summary says after the anchor; weighed: what the priority is scored by besides the anchor."""
+    hint = text if hint is None else hint
+    return {
+        "seg": seg, "anchor": anchor, "text": text, "hint": hint, "scored": scored or anchor, "weighed": (text if weighed is None else weighed)[:160], "snippet": snippet, "summary": summary, "bonus": bonus, "most": most,
+    }
 
 
-def _first(lines: Column) -> Column:
-    return strip(F.get(lines, F.lit(0)))
+def _blocks(text: str, starts) -> list[tuple[int, list[str]]]:
+    """Lines of a text in numbered blocks, each from a line where starts holds to the next; block 0 is what stands before, if anything does."""
+    out: list[tuple[int, list[str]]] = [(0, [])]
+    for line in re.split(LINE_END, text.strip()):
+        if starts(line):
+            out.append((out[-1][0] + 1, []))
+        out[-1][1].append(line)
+    return out if out[0][1] else out[1:]
 
 
-def sections(items: DataFrame, terms: Column) -> DataFrame:
-    """Segments of Markdown texts: one for each heading of # to ######; a text without any is one called document.
+def markdown_segments(text: str) -> list[dict]:
+    """Segments of a Markdown text: one for each heading of # to ######; a text without any is one called document.
 
     What stands before the first heading is in no segment.
     """
-    heading = r"(?U)^(#{1,6})\s+(.*\S)\s*$"
-    blocks = _blocks(items, F.col("line").rlike(heading)).withColumn("_n", F.max("seg").over(Window.partitionBy("path")))
-    blocks = blocks.where("seg > 0 or _n = 0").withColumns({"text": _joined(F.col("lines")), "_top": F.get("lines", F.lit(0))}).where("text <> ''")
-    title = strip(F.regexp_extract("_top", heading, 2))
-    whole = F.col("seg") == 0
-    body = F.when(whole, F.col("text")).otherwise(_joined(F.slice("lines", F.lit(2), F.size("lines"))))
-    anchor = F.when(whole, "document").otherwise(title)
-    summary = F.when(whole, first_sentence("text")).otherwise(F.concat(title, F.lit(": "), first_sentence(F.when(body != "", body).otherwise(title))))
-    out = blocks.withColumns({"anchor": anchor, "summary": summary, "priority": anchor_score(anchor, "artifact_type", terms, F.left(body, F.lit(160))), "snippet": _first(F.col("lines"))})
-    return out.select(*SEGMENT)
-
-
-def yaml_blocks(items: DataFrame, terms: Column) -> DataFrame:
-    """Segments of YAML texts: from each line with a colon that is not indented to the next."""
-    blocks = _blocks(items, F.col("line").rlike(r"^[^ \t]") & F.contains("line", F.lit(":"))).where("seg > 0")
-    key = F.regexp_replace(strip(F.substring_index(_first(F.col("lines")), ":", 1)), "^['\"]+|['\"]+$", "")
-    blocks = blocks.withColumns({"anchor": key, "text": _joined(F.col("lines"))})
-    priority = anchor_score("anchor", "artifact_type", terms, F.left("text", F.lit(160))) + F.when(F.col("anchor").isin(CONFIG_KEYS), CONFIG_BONUS).otherwise(0)
-    out = blocks.withColumns({"summary": F.concat("anchor", F.lit(": "), first_sentence("text")), "priority": priority, "snippet": _first(F.col("lines"))})
-    return out.select(*SEGMENT)
-
-
-def toml_blocks(items: DataFrame, terms: Column) -> DataFrame:
-    """Segments of TOML texts: the root, and from each [table] line to the next."""
-    line = strip("line")
-    blocks = _blocks(items, F.startswith(line, F.lit("[")) & F.endswith(line, F.lit("]"))).withColumn("text", _joined(F.col("lines"))).where("text <> ''")
-    blocks = blocks.withColumn("anchor", F.when(F.col("seg") == 0, "<root>").otherwise(F.regexp_replace(_first(F.col("lines")), r"^[\[\]]+|[\[\]]+$", "")))
-    out = blocks.withColumns({"summary": F.concat("anchor", F.lit(": "), first_sentence("text")), "priority": anchor_score("anchor", "artifact_type", terms, F.left("text", F.lit(160))), "snippet": _first(F.split("text", LINE_END))})
-    return out.select(*SEGMENT)
+    out, blocks = [], _blocks(text, HEADING.match)
+    for seg, lines in blocks:
+        whole = "\n".join(lines).strip()
+        if seg:
+            title, body = HEADING.match(lines[0])[2].strip(), "\n".join(lines[1:]).strip()
+            out.append(_segment(seg, title, whole, lines[0].strip(), body or title, body))
+        elif len(blocks) == 1 and whole:
+            out.append(_segment(0, "document", whole, lines[0].strip()) | {"summary": ""})
+    return out
+
+
+def yaml_segments(text: str) -> list[dict]:
+    """Segments of a YAML text: from each line with a colon that is not indented to the next."""
+    out = []
+    for seg, lines in _blocks(text, lambda line: line[:1] not in ("", " ", "\t") and ":" in line):
+        if seg:
+            key = re.sub("^['\"]+|['\"]+$", "", lines[0].strip().partition(":")[0].strip())
+            out.append(_segment(seg, key, "\n".join(lines).strip(), lines[0].strip(), bonus=CONFIG_BONUS * (key in CONFIG_KEYS)))
+    return out
+
+
+def toml_segments(text: str) -> list[dict]:
+    """Segments of a TOML text: the root, and from each [table] line to the next."""
+    out = []
+    for seg, lines in _blocks(text, lambda line: line.strip()[:1] == "[" and line.strip()[-1:] == "]"):
+        whole = "\n".join(lines).strip()
+        if whole:
+            out.append(_segment(seg, re.sub(r"^[\[\]]+|[\[\]]+$", "", lines[0].strip()) if seg else "<root>", whole, re.split(LINE_END, whole)[0]))
+    return out
 
 
 #: What the parser raises for texts that are no source, among them ones nested too deeply.
@@ -196,7 +202,7 @@ def _each(parse, kind: str):
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_type(_parse_datatype_string(kind))
-    return F.arrow_udf(lambda x: pa.array([parse(t or "") for t in x.to_pylist()], arrow), kind)
+    return F.arrow_udf(lambda *columns: pa.array([parse(*(t or "" for t in row)) for row in zip(*(x.to_pylist() for x in columns))], arrow), kind)
 
 
 def facts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,20 +212,49 @@ def facts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("path", F.posexplode("f.symbols").alias("ord", "symbol")), rows.select("path", F.explode("f.imports").alias("wanted"))
 
 
-def _parsed(items: DataFrame, parse, terms: Column, most: int, config: bool) -> DataFrame:
-    rows = items.select("path", "artifact_type", F.posexplode(_each(parse, PARSED)(strip("content"))).alias("seg", "s")).select("path", "artifact_type", "seg", "s.*")
-    bonus = F.when(F.col("fixed").isin(CONFIG_KEYS), CONFIG_BONUS).otherwise(0) if config else F.lit(0)
-    said = F.concat("anchor", F.lit(": "), first_sentence("hint", most))
-    summary = said if config else F.coalesce("fixed", said)
-    hint = F.left("hint", F.lit(160)) if config else F.col("hint")
-    out = rows.withColumns({"summary": summary, "priority": anchor_score("scored", "artifact_type", terms, hint) + bonus})
-    return out.select(*SEGMENT)
+def _numbered(found: list[dict], config: bool) -> list[dict]:
+    """What a parser found as segments."""
+    out = []
+    for seg, f in enumerate(found):
+        if config:
+            out.append(_segment(seg, f["anchor"], f["text"], f["snippet"], f["hint"], bonus=CONFIG_BONUS * (f["fixed"] in CONFIG_KEYS)))
+        else:
+            out.append(_segment(seg, f["anchor"], f["text"], f["snippet"], f["hint"], scored=f["scored"], summary=f["fixed"], most=120) | {"weighed": f["hint"]})
+    return out
+
+
+# How texts are read, by suffix.
+READERS = {
+    **dict.fromkeys(STRATEGIES["section_extract"], markdown_segments), ".yaml": yaml_segments, ".yml": yaml_segments, ".toml": toml_segments,
+    ".json": lambda text: _numbered(key_blocks(text), True), ".py": lambda text: _numbered(python_symbols(text), False),
+}
+
+
+def _segments(items: DataFrame, terms: Column, read) -> DataFrame:
+    """Segments of items (path, artifact_type, content) by read(suffix, text); what is said of a segment is put together by Spark."""
+    rows = items.select("path", "artifact_type", F.inline(_each(read, SEGMENTS)(F.lower(paths.suffix("path")), strip("content"))))
+    said = F.when(F.col("most") == 120, first_sentence("hint", 120)).otherwise(first_sentence("hint"))
+    summary = F.when(F.col("summary") == "", said).otherwise(F.coalesce("summary", F.concat("anchor", F.lit(": "), said)))
+    priority = anchor_score("scored", "artifact_type", terms, F.col("weighed")) + F.col("bonus")
+    return rows.withColumns({"summary": summary, "priority": priority}).select(*SEGMENT)
+
+
+def sections(items: DataFrame, terms: Column) -> DataFrame:
+    return _segments(items, terms, lambda _, text: markdown_segments(text))
+
+
+def yaml_blocks(items: DataFrame, terms: Column) -> DataFrame:
+    return _segments(items, terms, lambda _, text: yaml_segments(text))
+
+
+def toml_blocks(items: DataFrame, terms: Column) -> DataFrame:
+    return _segments(items, terms, lambda _, text: toml_segments(text))
 
 
 def segments(items: DataFrame, terms: Column) -> DataFrame:
-    """Segments (path, seg, anchor, text, summary, priority, snippet) of items (path, artifact_type, content), each read as its suffix asks for; others have none."""
-    end = F.lower(paths.suffix("path"))
-    out = sections(items.where(end.isin(STRATEGIES["section_extract"])), terms)
-    out = out.unionByName(yaml_blocks(items.where(end.isin(".yaml", ".yml")), terms)).unionByName(toml_blocks(items.where(end == ".toml"), terms))
-    out = out.unionByName(_parsed(items.where(end == ".json"), key_blocks, terms, 160, True))
-    return out.unionByName(_parsed(items.where(end == ".py"), python_symbols, terms, 120, False))
+    """Segments (path, seg, anchor, text, summary, priority, snippet) of items (path, artifact_type, content), each read as its suffix asks for; others have none.
+
+    One pass over the items: each text is read once, by the reader of its suffix.
+    """
+    known = F.lower(paths.suffix("path")).isin(list(READERS))
+    return _segments(items.where(known), terms, lambda end, text: READERS[end](text))

@@ -9,7 +9,7 @@ from lodestack.frames import cut
 from lodestack.functions import paths
 from lodestack.functions.match import contained
 from lodestack.operators.catalog import graph_terms, node_type
-from lodestack.operators.score import path_cost, path_types
+from lodestack.operators.score import path_types
 from lodestack.operators.select import consumes_contract
 
 # The kinds of nodes and edges, and hops that a search may take.
@@ -21,8 +21,9 @@ SEED_BONUS = {"direct_path": 160, "contract_anchor": 140, "workflow_anchor": 130
 PATH_BONUS = {"constrains": 55, "consumes": 50, "depends_on": 35, "imports": 20}
 #: Nodes and edges of a path that a report shows.
 SHOWN_NODES, SHOWN_EDGES = 5, 4
-#: A node that stands for all contracts: what reads them as a whole consumes it, and each contract is a member.
-ALL_CONTRACTS, MEMBER = "group:contracts", "member"
+#: Nodes that stand for several targets: what refers to them has an edge to the group, and each target is a member. One is of all contracts.
+GROUP, MEMBER = "group:", "member"
+ALL_CONTRACTS = GROUP + "contracts"
 
 
 def _id(kind: str, c: Column | str) -> Column:
@@ -63,32 +64,60 @@ def contains_edges(items: DataFrame, symbols: DataFrame) -> DataFrame:
     return dirs.unionByName(files).unionByName(kinds).unionByName(named).withColumn("edge_type", F.lit("contains"))
 
 
+def target_groups(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, unit, dst) of what a text that holds the term refers to, and (group, dst) of the groups' members.
+
+    targets: dst, kind and term. Terms that several targets of a kind have are shared (a file's name, the
+    words of special names); targets of a kind with the same shared terms are a group. Such a term leads to
+    the group, and a term of one target alone to that target, whose unit is its group, if it has one. So
+    edges are as many as texts' terms and targets, not as their pairs.
+    """
+    targets = targets.distinct()
+    shared = targets.groupBy("kind", "term").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    marks = targets.join(shared, ["kind", "term"]).groupBy("kind", "dst").agg(F.array_join(F.sort_array(F.collect_list("term")), "\n").alias("_mark"))
+    known = marks.groupBy("kind", "_mark").agg(F.count("*").alias("n")).where("n > 1")
+    named = F.concat(F.lit(GROUP), "kind", F.lit(":"), F.sha2("_mark", 256))
+    members = cut(marks.join(known, ["kind", "_mark"]).select("kind", "dst", named.alias("group")))
+    rows = targets.join(shared.withColumn("_shared", F.lit(True)), ["kind", "term"], "left").join(members, ["kind", "dst"], "left")
+    grouped = F.col("_shared") & F.col("group").isNotNull()
+    refers = rows.select("term", F.coalesce("group", "dst").alias("unit"), F.when(grouped, F.col("group")).otherwise(F.col("dst")).alias("dst"), "kind").distinct()
+    return refers, members.select("group", "dst")
+
+
 def reference_edges(items: DataFrame) -> DataFrame:
     """Contracts that constrain schemas and templates, workflows that consume them, other items that depend on them.
 
-    An edge stands where a text holds a term of the target. Workflows that read what contracts define
-    consume all of them: such a workflow has one edge to ALL_CONTRACTS, and each contract one (of type
-    MEMBER) from it, as pairs of all would grow with the square of the items. Texts meet only the terms
-    that they hold, and those meet their targets by equality.
+    An edge stands where a text holds a term of the target. Targets that texts refer to by the same terms are
+    reached through a group: an edge to it, and one (of type MEMBER) from it to each of them. So are all
+    contracts by workflows that read what contracts define. Each pair of an item and a target is linked in
+    one way: an item that refers to a group has no edge of its own to its members.
     """
     rows = items.select("path", node_type("path", "artifact_type").alias("_n"), F.col("artifact_type").isin("contract", "workflow").alias("_own"), F.lower("content").alias("_low"))
-    targets = items.select(F.col("path").alias("_to"), node_type("path", "artifact_type").alias("_kind"), F.explode(graph_terms("path")).alias("term")).where("_kind in ('artifact_schema_template', 'artifact_contract')")
+    targets = items.select("path", node_type("path", "artifact_type").alias("kind"), F.explode(graph_terms("path")).alias("term")).where("kind in ('artifact_schema_template', 'artifact_contract')")
+    targets = cut(targets.select("kind", F.concat_ws(":", "kind", "path").alias("dst"), "term"))
+    refers, members = target_groups(targets)
     reads = (F.col("_n") == "artifact_workflow") & consumes_contract("_low")
     some = rows.where("_n is null or _n <> 'artifact_schema_template'").where(~F.coalesce(reads, F.lit(False)))
-    met = contained(some, "_low", targets).join(targets, "term").drop("term").where("path <> _to")
-    template = F.col("_kind") == "artifact_schema_template"
+    template = F.col("kind") == "artifact_schema_template"
     case = F.when((F.col("_n") == "artifact_contract") & template, "constrains").when(F.col("_n") == "artifact_workflow", "consumes").when(~F.col("_own") & template, "depends_on")
     own = F.when(F.col("_n").isNotNull(), F.concat_ws(":", "_n", "path")).otherwise(_id("file", "path"))
-    direct = met.withColumn("edge_type", case).where("edge_type is not null").select(own.alias("src"), F.concat_ws(":", "_kind", "_to").alias("dst"), "edge_type").distinct()
+    met = contained(some, "_low", refers).join(refers, "term").withColumn("edge_type", case).where("edge_type is not null")
+    met = cut(met.select(own.alias("src"), "dst", "unit", "edge_type").where("src <> dst").distinct())
+    whole = met.where(F.startswith("dst", F.lit(GROUP)))
+    single = met.where(~F.startswith("dst", F.lit(GROUP))).join(whole.select("src", "unit"), ["src", "unit"], "left_anti")
+    direct = whole.unionByName(single).select("src", "dst", "edge_type").distinct()
     readers = rows.where(reads).select(F.concat_ws(":", "_n", "path").alias("src"), F.lit(ALL_CONTRACTS).alias("dst"), F.lit("consumes").alias("edge_type"))
-    members = targets.select(F.lit(ALL_CONTRACTS).alias("src"), F.concat_ws(":", "_kind", "_to").alias("dst"), F.lit(MEMBER).alias("edge_type")).distinct()
-    return direct.unionByName(readers).unionByName(members)
+    parts = members.unionByName(targets.select(F.lit(ALL_CONTRACTS).alias("group"), "dst").distinct())
+    return direct.unionByName(readers).unionByName(parts.select(F.col("group").alias("src"), "dst", F.lit(MEMBER).alias("edge_type")))
+
+
+def _grouped() -> Column:
+    return F.startswith("src", F.lit(GROUP)) | F.startswith("dst", F.lit(GROUP))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Each pair and type once: src <= dst. Edges of a group go into it from who consumes it, and out of it to its members."""
-    group = (F.col("src") == ALL_CONTRACTS) | (F.col("dst") == ALL_CONTRACTS)
-    low, high = F.when(group, F.col("src")).otherwise(F.least("src", "dst")), F.when(group, F.col("dst")).otherwise(F.greatest("src", "dst"))
+    """Each pair and type once: src <= dst. Edges of a group go into it from who refers to it, and out of it to its members."""
+    low, high = F.when(_grouped(), F.col("src")).otherwise(F.least("src", "dst")), F.when(_grouped(), F.col("dst")).otherwise(F.greatest("src", "dst"))
     return edges.where("src <> dst").select(low.alias("src"), high.alias("dst"), "edge_type").distinct()
 
 
@@ -107,10 +136,11 @@ def type_counts(rows: DataFrame, column: str, kinds: list[str]) -> DataFrame:
 
 def edge_counts(edges: DataFrame) -> DataFrame:
     """Edges of every type, zero included; an edge to a group counts once for each of its members."""
-    into, out = F.col("dst") == ALL_CONTRACTS, F.col("edge_type") == MEMBER
-    sums = edges.agg(F.count_if(into).alias("readers"), F.count_if(out).alias("members")).select(F.lit("consumes").alias("edge_type"), (F.col("readers") * F.col("members")).alias("more"))
-    plain = type_counts(edges.where(~into & ~out), "edge_type", EDGE_TYPES)
-    return plain.join(sums, "edge_type", "left").select("edge_type", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "ord")
+    sizes = edges.where(F.col("edge_type") == MEMBER).groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("size"))
+    more = edges.where(F.startswith("dst", F.lit(GROUP))).groupBy("dst", "edge_type").count().join(sizes, "dst")
+    more = more.groupBy("edge_type").agg(F.sum(F.col("count") * F.col("size")).alias("more"))
+    plain = type_counts(edges.where(~_grouped()), "edge_type", EDGE_TYPES)
+    return plain.join(more, "edge_type", "left").select("edge_type", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "ord")
 
 
 def seeds(scored: DataFrame, explicit: list[str], symbols: DataFrame, task_text: str) -> DataFrame:
@@ -133,45 +163,120 @@ def seeds(scored: DataFrame, explicit: list[str], symbols: DataFrame, task_text:
     return items.unionByName(first.select(F.concat_ws(":", F.lit("symbol"), "path", "symbol").alias("node"), F.lit("symbol_anchor").alias("reason")))
 
 
-def _steps(edges: DataFrame) -> DataFrame:
-    """(src, dst, edge_type) in both directions. A group is passed from a consumer to a member or the other way round, through a node for either way."""
-    back, forth = F.lit(f"{ALL_CONTRACTS}<"), F.lit(f"{ALL_CONTRACTS}>")
-    group = (F.col("src") == ALL_CONTRACTS) | (F.col("dst") == ALL_CONTRACTS)
-    plain, groups = edges.where(~group), edges.where(group)
-    into, out = groups.where(F.col("dst") == ALL_CONTRACTS), groups.where(F.col("src") == ALL_CONTRACTS)
-    both = plain.select("src", "dst", "edge_type").union(plain.select("dst", "src", "edge_type"))
-    both = both.union(into.select("src", forth, "edge_type")).union(out.select(forth, "dst", "edge_type"))
-    return both.union(out.select("dst", back, "edge_type")).union(into.select(back, "src", "edge_type"))
+_NEXT = "prev prev_hops edge_type n imported reason".split()
 
 
-def search(edges: DataFrame, seeds: DataFrame, hops: int = MAX_HOPS, traverse_dirs: bool = True) -> DataFrame:
-    """Best path to every node within so many hops: node, reason, distance, cost, path, edge_types.
+class Search:
+    """Best paths from seeds (node, reason) over edges (undirected(), with groups) to all nodes, by cost and then by hops.
 
-    contains edges are no hops. traverse_dirs=False leaves out folders, which otherwise bring every item
-    within reach of any anchor. A round joins the frontier to the edges by equality and keeps the best path
-    (cost, nodes, path) of each node and number of hops; it ends when no path gets better, however many
-    rounds that takes. A group is no node of a path: its consumer and its member follow each other.
+    contains edges are no hops. A path's cost depends on its hops and on whether one of them is an import, so
+    states (node, hops) are settled cost by cost and never change again: first those without an import, then the
+    others. Within a cost each round goes one edge on; of equally good ways the one of the fewest rounds is
+    kept, then that from the first node. A round writes what it reaches and a pointer to where it came from,
+    nothing else; paths are put together when they are asked for. traverse_dirs=False leaves out folders,
+    which otherwise bring every item within reach of any anchor. A group is no node of a path: its reader and
+    its member follow each other, and of all who lead to a group only the best goes on to its members; no
+    reader of a group is one of them.
     """
-    if not traverse_dirs:
-        edges = edges.where("not (src like 'dir:%' or dst like 'dir:%')")
-    both = cut(_steps(edges))
-    none = F.array().cast("array<string>")
-    start = seeds.groupBy("node").agg(F.min("reason").alias("reason"))
-    best = start.select("node", F.lit(0).alias("hops"), F.struct(F.lit(0).alias("cost"), F.lit(1).alias("n"), F.array("node").alias("path"), none.alias("types"), "reason").alias("best"))
-    frontier = best = cut(best)
-    free, passing = F.col("edge_type").isin("contains", MEMBER), F.startswith("dst", F.lit(ALL_CONTRACTS))
-    while not frontier.isEmpty():
-        hop = F.col("hops") + F.when(free, 0).otherwise(1)
-        ahead = frontier.join(both, F.col("node") == F.col("src")).where(hop <= hops)
-        types = F.when(F.col("edge_type") == MEMBER, F.col("best.types")).otherwise(F.concat("best.types", F.array("edge_type")))
-        path = F.when(passing, F.col("best.path")).otherwise(F.concat("best.path", F.array("dst")))
-        ahead = ahead.select(F.col("dst").alias("node"), hop.alias("hops"), F.struct(path_cost(types).alias("cost"), (F.col("best.n") + F.when(passing, 0).otherwise(1)).alias("n"), path.alias("path"), types.alias("types"), "best.reason").alias("best"))
-        ahead = ahead.groupBy("node", "hops").agg(F.min("best").alias("best"))
-        known = best.select("node", "hops", F.col("best.cost").alias("_known"))
-        frontier = cut(ahead.join(known, ["node", "hops"], "left").where("_known is null or best.cost < _known").drop("_known"))
-        best = cut(best.unionByName(frontier).groupBy("node", "hops").agg(F.min("best").alias("best")))
-    one = best.where(~F.startswith("node", F.lit(ALL_CONTRACTS))).groupBy("node").agg(F.min(F.struct("best.cost", F.col("hops").alias("distance"), "best.n", "best.path", "best.types", "best.reason")).alias("b"))
-    return one.select("node", "b.reason", "b.distance", "b.cost", "b.path", F.col("b.types").alias("edge_types"))
+
+    def __init__(self, edges: DataFrame, seeds: DataFrame, traverse_dirs: bool = True):
+        if not traverse_dirs:
+            edges = edges.where("not (src like 'dir:%' or dst like 'dir:%')")
+        plain = edges.where(~_grouped())
+        both = cut(plain.select("src", "dst", "edge_type").union(plain.select("dst", "src", "edge_type")))
+        self.free, self.real = both.where("edge_type = 'contains'").drop("edge_type"), both.where("edge_type <> 'contains'")
+        groups = cut(edges.where(_grouped()))
+        self.readers = groups.where(F.startswith("dst", F.lit(GROUP))).select("src", F.col("dst").alias("group"), "edge_type")
+        self.members = groups.where(F.col("edge_type") == MEMBER).select(F.col("src").alias("group"), "dst")
+        start = seeds.groupBy("node").agg(F.min("reason").alias("reason"))
+        start = start.select("node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("int").alias("prev_hops"), F.lit(None).cast("string").alias("edge_type"), F.lit(1).alias("n"), F.lit(False).alias("imported"), "reason")
+        #: Of each number of hops, what its rounds reached.
+        self.levels = [self._closed(start, 0, [])]
+
+    @staticmethod
+    def _best(ahead: DataFrame, hops: int) -> DataFrame:
+        """Of each node the way from the first node before it."""
+        best = ahead.groupBy("node").agg(F.min(F.struct(*_NEXT)).alias("b"))
+        return best.select("node", F.lit(hops).alias("hops"), "b.*")
+
+    @staticmethod
+    def _new(rows: DataFrame, settled: list[DataFrame]) -> DataFrame:
+        for frame in settled:
+            rows = rows.join(frame.select("node"), "node", "left_anti")
+        return cut(rows)
+
+    def _closed(self, start: DataFrame, hops: int, settled: list[DataFrame]) -> list[DataFrame]:
+        """start and what contains edges reach from it, a frame a round, without what is settled, to which no such edge leads from elsewhere.
+
+        Edges run both ways, so those from a round lead to it, to the round before and to the next, and only
+        these two are looked at.
+        """
+        frontier, out = self._new(start, [self._all(settled)] if settled else []), []
+        while not frontier.isEmpty():
+            out.append(frontier)
+            ahead = frontier.join(self.free, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.col("node").alias("prev"), F.col("hops").alias("prev_hops"), F.lit("contains").alias("edge_type"), (F.col("n") + 1).alias("n"), "imported", "reason")
+            frontier = self._new(self._best(ahead, hops), out[-2:])
+        return out
+
+    @staticmethod
+    def _all(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    def _hop(self) -> None:
+        """Settles the states of one more hop."""
+        hops, last = len(self.levels), self.levels[-1]
+        if not last:
+            self.levels.append([])
+            return
+        came = self._all(last).select("node", F.col("hops").alias("prev_hops"), (F.col("n") + 1).alias("n"), "imported", "reason")
+        ways = came.join(self.real, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.col("node").alias("prev"), "prev_hops", "edge_type", "n", "imported", "reason")
+        # what leads to a group is reduced to the best before it goes on: by readers to members, and back
+        before = F.min(F.struct(F.col("node").alias("prev"), "prev_hops", "n", "imported", "reason")).alias("b")
+        to = came.join(self.readers, F.col("node") == F.col("src")).groupBy("group", "edge_type", "imported").agg(before).select("group", "edge_type", "b.*")
+        ways = ways.unionByName(to.join(self.members, "group").select(F.col("dst").alias("node"), "prev", "prev_hops", "edge_type", "n", "imported", "reason"))
+        back = came.join(self.members, F.col("node") == F.col("dst")).groupBy("group", "imported").agg(before).select("group", "b.*")
+        ways = ways.unionByName(back.join(self.readers, "group").select(F.col("src").alias("node"), "prev", "prev_hops", "edge_type", "n", "imported", "reason"))
+        ways = cut(ways.where("node <> prev").withColumn("imported", F.col("imported") | (F.col("edge_type") == "imports")))
+        own = self._closed(self._best(ways.where("not imported"), hops), hops, [])
+        self.levels.append(own + self._closed(self._best(ways.where("imported"), hops), hops, own))
+
+    def to(self, hops: int) -> Search:
+        while len(self.levels) <= hops:
+            self._hop()
+        return self
+
+    def states(self, hops: int) -> DataFrame | None:
+        """All settled states of so many hops at most, None if there are none."""
+        frames = [f for level in self.to(hops).levels[: hops + 1] for f in level]
+        return self._all(frames) if frames else None
+
+    def paths(self, hops: int) -> DataFrame:
+        """Best path to every node within so many hops: node, reason, distance, cost, path, edge_types.
+
+        Paths are put together by doubling: each state's part grows by the part of the state that it points to,
+        so the rounds are the logarithm of the longest path.
+        """
+        states = self.states(hops)
+        if states is None:
+            return self.free.sparkSession.createDataFrame([], "node string, reason string, distance int, cost int, path array<string>, edge_types array<string>")
+        cost = F.when(F.col("hops") == 0, 0).when(F.col("hops") == 1, F.when(F.col("imported"), 2).otherwise(1)).otherwise(F.when(F.col("imported"), 4).otherwise(3))
+        none = F.array().cast("array<string>")
+        parts = states.select("node", "hops", F.col("prev").alias("up"), F.col("prev_hops").alias("up_hops"), F.array("node").alias("path"), F.when(F.col("edge_type").isNull(), none).otherwise(F.array("edge_type")).alias("types"))
+        longest, reach = states.agg(F.max("n")).first()[0], 1
+        while reach < longest:
+            upper = parts.select(F.col("node").alias("up"), F.col("hops").alias("up_hops"), F.col("up").alias("_up"), F.col("up_hops").alias("_hops"), F.col("path").alias("_path"), F.col("types").alias("_types"))
+            parts = parts.join(upper, ["up", "up_hops"], "left").select("node", "hops", F.col("_up").alias("up"), F.col("_hops").alias("up_hops"), F.concat(F.coalesce("_path", none), "path").alias("path"), F.concat(F.coalesce("_types", none), "types").alias("types"))
+            parts, reach = cut(parts), 2 * reach
+        one = states.groupBy("node").agg(F.min(F.struct(cost.alias("cost"), "hops", "reason")).alias("b")).select("node", "b.*")
+        return one.join(parts, ["node", "hops"]).select("node", "reason", F.col("hops").alias("distance"), "cost", "path", F.col("types").alias("edge_types"))
+
+
+def search(edges: DataFrame, seeds: DataFrame, hops: int = MAX_HOPS, traverse_dirs: bool = True) -> DataFrame:
+    """Best path to every node within so many hops; see Search."""
+    return Search(edges, seeds, traverse_dirs).paths(hops)
 
 
 def file_paths(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -183,6 +288,11 @@ def file_paths(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("path_types", path_types("edge_types"))
 
 
+def neighbour_count(found: DataFrame, items: DataFrame) -> int:
+    """Contracts and workflows (of items: path, artifact_type) that file_paths() reached in a hop or more."""
+    return found.where("distance > 0").join(items.where("artifact_type in ('contract', 'workflow')").select("path"), "path", "left_semi").count()
+
+
 def explanations(found: DataFrame) -> DataFrame:
     """file_paths() as reported: cut to a few nodes and edges, with the parts of a score."""
     seed, gained = F.lit(60), F.lit(0)

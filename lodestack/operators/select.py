@@ -41,6 +41,11 @@ def resolve_patterns(items: DataFrame, patterns: list[str]) -> DataFrame:
     return known.join(hits, "ord", "left").select("pattern", "ord", "path")
 
 
+def without(rows: DataFrame, banned: DataFrame, key: str = "path") -> DataFrame:
+    """The different keys of rows that are not among those of banned; null keys are none."""
+    return rows.where(F.col(key).isNotNull()).select(key).distinct().join(banned.select(key), key, "left_anti")
+
+
 def include_minus_exclude(items: DataFrame, include: list[str], exclude: list[str]) -> tuple[DataFrame, DataFrame]:
     """Included paths (path, ord: place in the order of patterns, then paths) and warnings (kind, what)."""
     wanted, banned = resolve_patterns(items, include), resolve_patterns(items, exclude)

@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.frames import cut, make_folder, read_text, write_text
+from lodestack.frames import create_text, cut, make_folder, names, write_text
 from lodestack.functions import paths
 from lodestack.functions.text import estimate_tokens, quarter_units, words
 from lodestack.functions.tokens import exact_tokens
@@ -20,7 +20,11 @@ from lodestack.request import Request
 
 #: Tokens of one item's excerpt at most.
 PER_ITEM = 1200
+#: How a manifest names what selected its items.
+ENGINE = {"name": "lodestack-graph", "version": 1, "graph_version": 1, "graph_assisted": True}
 STATUS = ("preview", "confirmed")
+#: The folder of a bundle that holds the versions of its manifest.
+VERSIONS = "versions"
 
 
 @dataclass(frozen=True)
@@ -79,13 +83,13 @@ def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclus
     plain = scored(items, lanes)
     text = " ".join([request.topic, request.goal, *request.focus_points, *request.questions, *request.blockers, *request.known_routes, *request.output_requirements])
     anchors = cut(graph.seeds(plain, [*request.must_include, *request.mentioned_paths], symbols, text))
-    near = cut(graph.file_paths(graph.search(edges, anchors, 1, traverse_dirs), nodes))
-    close = near.where("distance > 0").join(items.where("artifact_type in ('contract', 'workflow')"), "path", "left_semi").limit(2).count()
+    reached = graph.Search(edges, anchors, traverse_dirs)
+    near = cut(graph.file_paths(reached.paths(1), nodes))
+    close = graph.neighbour_count(near, items)
     found, two_hops = near, False
     if about.wants_two_hops or close < 2:
-        found = cut(graph.file_paths(graph.search(edges, anchors, 2, traverse_dirs), nodes))
-        reached, before = found.select("path"), near.select("path")
-        two_hops = not reached.exceptAll(before).union(before.exceptAll(reached)).isEmpty()
+        found = cut(graph.file_paths(reached.paths(2), nodes))
+        two_hops = not found.join(near, "path", "left_anti").isEmpty()
 
     included, notes = select.include_minus_exclude(everything.select("path"), list(request.must_include), list(request.must_exclude))
     banned = select.resolve_patterns(everything.select("path"), list(request.must_exclude)).where("path is not null").select("path").distinct()
@@ -138,22 +142,25 @@ def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclus
 def bundle(chosen: Selection, request: Request, per_item: int = PER_ITEM, vocabulary: Vocabulary | None = None) -> tuple[DataFrame, DataFrame]:
     """(items with excerpt, included, bundle_group and place; the bundle's text and its tokens in one row), within the request's tokens.
 
-    Excerpts are cut by the estimate; blocks and the whole are counted as the request asks. Raises if
-    what must stay does not fit.
+    Excerpts, blocks and the whole are counted as the request asks, by the estimate or by a vocabulary.
+    Items that are dropped are settled() as attachments. Raises if what must stay does not fit.
     """
     request = request.normalized()
     count, _ = token_count(request, vocabulary)
+    exact = None if count is estimate_tokens else pack.Exact(vocabulary.ranks, vocabulary.pattern)
     frame = 4 * 220 + 4 * len(" ".join([request.topic, request.goal[:280], *request.focus_points])) + 4 * sum(len(b) + 4 for b in request.blockers)
     rows = chosen.items.withColumns({"n_included": F.lit(0), "reason": F.coalesce("reason", F.lit(""))})
-    units = quarter_units if count is estimate_tokens else lambda c: 4 * count(c)
-    made, _ = pack.fit(rows, words(chosen.all_terms), request.max_bundle_tokens, per_item, units(report.item_text()), frame, quarter_units(report.left_out()) + 12)
-    made = made.withColumn("included", ~F.col("dropped")).withColumn("n_included", F.when(F.col("included"), count(F.col("excerpt.text"))).otherwise(0))
-    made = cut(report.grouped(made))
-    text = report.bundle_text(made, request.mode, request.topic, request.goal, list(request.focus_points), list(request.blockers))
-    text = cut(text.withColumn("tokens", count(F.col("bundle"))))
-    if text.first().tokens > request.max_bundle_tokens:
-        raise ValueError(f"The bundle does not fit {request.max_bundle_tokens} tokens")
-    return made, text
+    units = (lambda c: 4 * count(c)) if exact else quarter_units
+    fitted, room = pack.Fitted(rows, words(chosen.all_terms), per_item, units(report.item_text()), frame, quarter_units(report.left_out()) + 12, exact), request.max_bundle_tokens
+    while True:
+        made = pack.settled(fitted.choose(room)[0])
+        made = cut(report.grouped(made.withColumn("n_included", F.when(F.col("included"), count(F.col("excerpt.text"))).otherwise(0))))
+        text = report.bundle_text(made, request.mode, request.topic, request.goal, list(request.focus_points), list(request.blockers))
+        text = cut(text.withColumn("tokens", count(F.col("bundle"))))
+        over = text.first().tokens - request.max_bundle_tokens
+        if over <= 0:
+            return made, text
+        room -= over  # exact tokens of blocks don't quite add up to those of the whole
 
 
 def manifest(chosen: Selection, made: DataFrame, request: Request, bundle_id: str, created_at: str, tokens: int, counted: str = "estimate", attachments: str = "") -> dict:
@@ -166,11 +173,11 @@ def manifest(chosen: Selection, made: DataFrame, request: Request, bundle_id: st
     linked = {name: {r[0]: r.n for r in rows.orderBy("ord").collect()} for name, rows in (("nodes", chosen.nodes), ("edges", chosen.edges))}
     summary |= {
         "retrieval_gate": chosen.gate, "total_bundle_tokens": tokens, "tokens_counted_by": counted, "max_files_requested": request.max_files, "max_bundle_tokens_requested": request.max_bundle_tokens,
-        "two_hop_triggered": chosen.two_hops, "graph": linked, "bundle_layer_counts": layers, "quality_metrics": measures,
+        "selector_engine": ENGINE, "two_hop_triggered": chosen.two_hops, "graph": linked | {"version": ENGINE["graph_version"], "two_hop_enabled": graph.MAX_HOPS >= 2, "two_hop_triggered": chosen.two_hops}, "bundle_layer_counts": layers, "quality_metrics": measures,
     }
     return {
         "bundle_id": bundle_id, "created_at": created_at, "status": STATUS[0], "mode": request.mode, "topic": request.topic, "goal": request.goal,
-        "inputs": asdict(request), "files": [json.loads(f) for f in files], "selection_summary": summary,
+        "inputs": asdict(request), "task_state": request.task_state(), "files": [json.loads(f) for f in files], "selection_summary": summary,
         "explanation": {"per_artifact_paths": [json.loads(x) for x in chosen.explanations.toJSON().collect()], "dropped_candidates": [json.loads(x) for x in chosen.dropped.select("path", "score", "reason").toJSON().collect()]},
         "warnings": [r.asDict() for r in chosen.warnings.collect()],
     }
@@ -179,7 +186,7 @@ def manifest(chosen: Selection, made: DataFrame, request: Request, bundle_id: st
 def write_bundle(
     corpus: DataFrame, request: Request, folder: str, bundle_id: str, created_at: str, rules: Exclusions = Exclusions(), per_item: int = PER_ITEM, vocabulary: Vocabulary | None = None
 ) -> dict:
-    """Selects, packs and writes bundle.md, manifest.json and the chosen items' texts (attachments, as Parquet) into folder/bundle_id, in any store that Spark knows."""
+    """Selects, packs and writes bundle.md, the manifest's first version and the chosen items' texts (attachments, as Parquet) into folder/bundle_id, in any store that Spark knows."""
     spark, out = corpus.sparkSession, f"{folder.rstrip('/')}/{bundle_id}"
     chosen = select_items(corpus, request, rules)
     made, text = bundle(chosen, request, per_item, vocabulary)
@@ -188,20 +195,48 @@ def write_bundle(
     made.select("path", "content").write.parquet(f"{out}/attachments")
     told = manifest(chosen, made, request.normalized(), bundle_id, created_at, said.tokens, token_count(request, vocabulary)[1], "attachments")
     write_text(spark, f"{out}/bundle.md", said.bundle)
-    write_text(spark, f"{out}/manifest.json", json.dumps(told, ensure_ascii=False, indent=2) + "\n")
-    return told
+    make_folder(spark, f"{out}/{VERSIONS}")
+    return _put(spark, out, told)
+
+
+#: What is read of every version of a manifest.
+STATE = "version int, bundle_id string, status string"
 
 
 def preview(spark: SparkSession, folder: str, bundle_id: str) -> dict:
-    """The manifest of a written bundle, checked against its folder."""
-    told = json.loads(read_text(spark, f"{folder.rstrip('/')}/{bundle_id}/manifest.json"))
+    """The latest whole version of a written bundle's manifest, checked against its folder.
+
+    Versions that a crash left half-written do not parse and are passed over.
+    """
+    text = spark.read.text(f"{folder.rstrip('/')}/{bundle_id}/{VERSIONS}", wholetext=True)
+    known = text.select("value", F.from_json("value", STATE).alias("s")).where("s.version is not null and s.status is not null")
+    last = known.agg(F.max_by("value", "s.version")).first()[0]
+    if last is None:
+        raise FileNotFoundError(f"{bundle_id} has no manifest")
+    told = json.loads(last)
     if told["bundle_id"] != bundle_id:
         raise ValueError(f"The manifest in {bundle_id} is that of {told['bundle_id']}")
     return told
 
 
-def confirm(spark: SparkSession, folder: str, bundle_id: str, at: str) -> dict:
-    """Marks a bundle as confirmed; again is no change but of the time."""
-    told = preview(spark, folder, bundle_id) | {"status": STATUS[1], "confirmed_at": at}
-    write_text(spark, f"{folder.rstrip('/')}/{bundle_id}/manifest.json", json.dumps(told, ensure_ascii=False, indent=2) + "\n")
+def _put(spark: SparkSession, out: str, told: dict) -> dict:
+    """Writes told as the next version of its manifest, and manifest.json as a copy for readers; FileExistsError if someone else wrote that version."""
+    told = told | {"version": 1 + max((int(n.partition(".")[0]) for n in names(spark, f"{out}/{VERSIONS}")), default=0)}
+    text = json.dumps(told, ensure_ascii=False, indent=2) + "\n"
+    create_text(spark, f"{out}/{VERSIONS}/{told['version']:06d}.json", text)
+    write_text(spark, f"{out}/manifest.json", text)
     return told
+
+
+def confirm(spark: SparkSession, folder: str, bundle_id: str, at: str) -> dict:
+    """Marks a bundle as confirmed, in a new version of its manifest; again is no change but of the time.
+
+    The version before stays, so a crash at any point loses nothing. Of two who confirm at once one creates the
+    version and the other goes on from it.
+    """
+    while True:
+        told = preview(spark, folder, bundle_id) | {"status": STATUS[1], "confirmed_at": at}
+        try:
+            return _put(spark, f"{folder.rstrip('/')}/{bundle_id}", told)
+        except FileExistsError:
+            continue

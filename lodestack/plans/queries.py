@@ -210,7 +210,7 @@ def include_minus_exclude(spark, sf_dir):
 @query("SELECT doc_id FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id")
 def labels_minus_toxic(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    return labels.where("quality = 1").select("doc_id").distinct().join(labels.where("toxic = 1"), "doc_id", "left_anti")
+    return select.without(labels.where("quality = 1"), labels.where("toxic = 1"), "doc_id")
 
 
 @query(f"WITH {sql.CATALOG} SELECT path, {sql.anchor_score('path', 'left(content, 160)', TERMS)} AS priority FROM items")
@@ -332,20 +332,41 @@ def import_prefix_join(spark, sf_dir):
     return graph.resolve_imports(wanted, modules)
 
 
-_schema_terms = "[lower(path), lower({0}), replace(lower({1}), '.', '_'), replace(lower({1}), '.', '')]".format(sql.NAME, sql.STEM)
+# Paths and texts of the corpus view with shared names (SKILL.md, manifest.schema.json) and texts that name them.
+_renamed = {"ord % 30 = 1": "concat('templates/', lang, '/d', ord, '/manifest.schema.json')", "ord % 20 = 9": "concat(source, '/k', ord, '/SKILL.md')"}
+_named = {"ord % 7 = 2": "concat(' schemas/', source, '_', ord - 2, '.json')", "ord % 7 = 3 AND ord % 10 <> 2": "' the manifest'", "ord % 7 = 4": "' see skill.md'", "ord % 21 = 5": "concat('templates/', lang, '/d', ord + 5, '/manifest.schema.json')"}
+
+
+def _cases(cases: dict[str, str], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + f" ELSE {other} END"
+
+
+_view = sql.CATALOG.replace("corpus AS (", "plain AS (", 1).replace(", items AS (", f", corpus AS (SELECT ord, {_cases(_renamed, 'path')} AS path, content || {_cases(_named, chr(39) * 2)} AS content, lang, source FROM plain), items AS (", 1)
+_words = "list_distinct(list_filter(list_concat([lower(path), lower({0}), replace(lower({1}), '.', '_'), replace(lower({1}), '.', '')], CASE WHEN contains(lower(path), 'manifest.schema') THEN {2} ELSE [] END, CASE WHEN lower({0}) = 'skill.md' THEN {3} ELSE [] END), lambda x: length(x) >= 3))".format(
+    sql.NAME, sql.STEM, sql.array("manifest schema status paths artifacts".split()), sql.array("skill handoff preview confirm".split())
+)
 
 
 @query(f"""
-WITH {sql.CATALOG}, w AS (SELECT *, lower(content || CASE WHEN ord % 7 = 2 THEN ' schemas/' || source || '_' || (ord - 2) || '.json' ELSE '' END) AS low FROM items),
-r AS (SELECT *, CASE artifact_type WHEN 'workflow' THEN 'artifact_workflow:' ELSE 'file:' END || path AS node, artifact_type = 'workflow' AND {sql.any_of('low', select.CONSUMES)} AS reads FROM w WHERE artifact_type <> 'contract'),
-t AS (SELECT path AS target, 'artifact_schema_template:' || path AS dst, {_schema_terms} AS terms FROM items WHERE artifact_type = 'contract')
-SELECT least(node, dst) AS src, greatest(node, dst) AS dst, CASE artifact_type WHEN 'workflow' THEN 'consumes' ELSE 'depends_on' END AS edge_type
-FROM r JOIN t ON NOT reads AND path <> target AND len(list_filter(terms, lambda x: length(x) >= 3 AND contains(low, x))) > 0
-UNION ALL SELECT node, '{graph.ALL_CONTRACTS}', 'consumes' FROM r WHERE reads UNION ALL SELECT '{graph.ALL_CONTRACTS}', dst, '{graph.MEMBER}' FROM t
+WITH {_view}, w AS (SELECT *, lower(content) AS low, CASE WHEN artifact_type <> 'contract' THEN NULL WHEN lower({sql.NAME}) = 'skill.md' THEN 'artifact_contract' ELSE 'artifact_schema_template' END AS kind FROM items),
+r AS (SELECT *, coalesce(CASE artifact_type WHEN 'workflow' THEN 'artifact_workflow' END, kind, 'file') || ':' || path AS node, artifact_type = 'workflow' AND {sql.any_of('low', select.CONSUMES)} AS reads FROM w WHERE kind IS DISTINCT FROM 'artifact_schema_template'),
+t AS (SELECT kind AS to_kind, kind || ':' || path AS dst, unnest({_words}) AS term FROM w WHERE kind IS NOT NULL),
+n AS (SELECT to_kind, term FROM t GROUP BY to_kind, term HAVING count(*) > 1),
+m AS (SELECT to_kind, dst, string_agg(term, chr(10) ORDER BY term) AS mark FROM t JOIN n USING (to_kind, term) GROUP BY to_kind, dst),
+g AS (SELECT dst, 'group:' || to_kind || ':' || sha256(mark) AS unit FROM m WHERE (to_kind, mark) IN (SELECT (to_kind, mark) FROM m GROUP BY to_kind, mark HAVING count(*) > 1)),
+p AS (SELECT r.node, r.artifact_type, r.kind, t.to_kind, t.dst, any_value(g.unit) AS unit, bool_or(n.term IS NOT NULL) AS shared
+  FROM r JOIN t ON NOT reads AND r.node <> t.dst AND contains(r.low, t.term) LEFT JOIN n ON n.to_kind = t.to_kind AND n.term = t.term LEFT JOIN g ON g.dst = t.dst GROUP BY r.node, r.artifact_type, r.kind, t.to_kind, t.dst),
+e AS (SELECT DISTINCT node, CASE WHEN shared AND unit IS NOT NULL THEN unit ELSE dst END AS dst, CASE WHEN kind = 'artifact_contract' THEN CASE WHEN to_kind <> kind THEN 'constrains' END
+  WHEN artifact_type = 'workflow' THEN 'consumes' WHEN to_kind = 'artifact_schema_template' THEN 'depends_on' END AS edge_type FROM p)
+SELECT CASE WHEN dst LIKE 'group:%' THEN node ELSE least(node, dst) END AS src, CASE WHEN dst LIKE 'group:%' THEN dst ELSE greatest(node, dst) END AS dst, edge_type FROM e WHERE edge_type IS NOT NULL
+UNION ALL SELECT node, '{graph.ALL_CONTRACTS}', 'consumes' FROM r WHERE reads
+UNION ALL SELECT unit, dst, '{graph.MEMBER}' FROM g UNION ALL SELECT DISTINCT '{graph.ALL_CONTRACTS}', dst, '{graph.MEMBER}' FROM t
 """)
 def reference_edges(spark, sf_dir):
-    more = F.when(F.col("ord") % 7 == 2, F.concat(F.lit(" schemas/"), "source", F.lit("_"), F.col("ord") - 2, F.lit(".json"))).otherwise("")
-    return graph.undirected(graph.reference_edges(items(spark, sf_dir).withColumn("content", F.concat("content", more))))
+    """References between items, some of which share names; with groups, members and edges of all types but imports and contains."""
+    rows = corpus(spark, sf_dir)
+    rows = rows.withColumns({"path": F.expr(_cases(_renamed, "path")), "content": F.concat("content", F.expr(_cases(_named, "''")))})
+    return graph.undirected(graph.reference_edges(catalog.catalog(rows)))
 
 
 _stripped = sql.strip("line")
@@ -555,15 +576,15 @@ def graph_bonuses(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT 'w' || c_custkey AS src, 'c' || n_nationkey AS dst FROM customer, nation WHERE c_custkey % 50 = 0)
+WITH e AS (SELECT 'w' || c_custkey AS src, 'c' || n_nationkey AS dst FROM customer, nation)
 SELECT 'consumes' AS edge_type, count(*) + (SELECT count(*) FROM orders) AS n FROM e UNION ALL SELECT 'imports', count(*) FROM nation UNION ALL SELECT unnest(['contains', 'constrains', 'depends_on']), 0
 """)
 def edge_type_counts(spark, sf_dir):
-    """Edges by type, where some customers consume all nations as a group."""
+    """Edges by type, where each customer consumes all nations as a group."""
     edge = lambda rows, a, b, kind: rows.select(F.concat_ws("", *a).alias("src"), F.concat_ws("", *b).alias("dst"), F.lit(kind).alias("edge_type"))
     nation, group = table(spark, sf_dir, "nation"), [F.lit(graph.ALL_CONTRACTS)]
     edges = edge(nation, [F.lit("r"), "n_regionkey"], [F.lit("n"), "n_nationkey"], "imports").union(edge(nation, group, [F.lit("c"), "n_nationkey"], graph.MEMBER))
-    edges = edges.union(edge(table(spark, sf_dir, "customer").where("c_custkey % 50 = 0"), [F.lit("w"), "c_custkey"], group, "consumes"))
+    edges = edges.union(edge(table(spark, sf_dir, "customer"), [F.lit("w"), "c_custkey"], group, "consumes"))
     edges = edges.union(edge(table(spark, sf_dir, "orders"), [F.lit("c"), "o_custkey"], [F.lit("o"), "o_orderkey"], "consumes"))
     return graph.edge_counts(edges).select("edge_type", "n")
 

@@ -13,6 +13,9 @@ SCHEMA = (
     "max_files int, max_bundle_tokens int, background string, require_exact_tokens boolean"
 )
 
+#: Fields of a request that make up its task state.
+TASK_STATE = "topic goal focus_points questions blockers known_routes must_include must_exclude mentioned_paths output_requirements".split()
+
 
 @dataclass(frozen=True)
 class Request:
@@ -57,3 +60,7 @@ class Request:
     def frame(self, spark: SparkSession) -> DataFrame:
         """The request as a table of one row, as the operators on tables of requests take it."""
         return spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in asdict(self).values())], SCHEMA)
+
+    def task_state(self) -> dict:
+        """What the graph's anchors are found by, as a manifest records it."""
+        return {name: getattr(self, name) for name in TASK_STATE}
