@@ -98,7 +98,7 @@ def copies(docs: DataFrame, measured: DataFrame) -> DataFrame:
     for i in range(depth):
         rows = _refined(rows.withColumn("class", F.xxhash64("class", F.get("blocks", F.lit(i)))))
     left = saved(rows.select("doc_id", "copy"), "like-texts")
-    texts = docs.where("doc_id is not null").join(left, ["doc_id", "copy"], "left_semi")
+    texts = docs.where("doc_id is not null").join(left.hint("merge"), ["doc_id", "copy"], "left_semi")  # alike at every size
     least = texts.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("doc_id").alias("doc_id"), F.min_by("copy", "doc_id").alias("copy"))
     return left.join(saved(least.select("doc_id", "copy"), "first-texts"), ["doc_id", "copy"], "left_anti")
 
