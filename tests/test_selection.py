@@ -150,26 +150,24 @@ def items_frame(spark, n, seed):
 
 
 def test_fit_against_the_loop_over_budgets(spark):
-    for seed in (1,):
-        items, terms = items_frame(spark, 8, seed).cache(), words(["alpha"])
-        units = pack.quarter_units(report.item_text())
-        fitted = pack.Fitted(items, terms, 400, units, 500, pack.quarter_units(report.left_out()))
-        for limit in (100_000, 1100, 900):
-            made = None
-            for step in pack.budget_steps(400):
-                made = pack.excerpts(items, terms, step).withColumn("units", units)
-                if -(-(made.agg(F.sum("units")).first()[0] + 500) // 4) <= limit:
-                    break
-            else:
-                made = pack.drop_until_fit(made, [], limit, 500, pack.quarter_units(report.left_out()))
-            want = {r.path: (r.excerpt, r.asDict().get("dropped", False)) for r in made.collect()}
-            try:
-                rows, found = fitted.choose(limit)
-            except ValueError:
-                left = sum(len(r.path) + len(": attached only") if r.dropped else r.units for r in made.collect())
-                assert -(-(left + 500) // 4) > limit
-                continue
-            assert found == step and {r.path: (r.excerpt, r.dropped) for r in rows.collect()} == want
+    items, terms, note = items_frame(spark, 6, 1), words(["alpha"]), pack.quarter_units(report.left_out())
+    units = pack.quarter_units(report.item_text())
+    fitted = pack.Fitted(items, terms, 200, units, 500, note)
+    steps = pack.budget_steps(200)
+    loop = {step: pack.excerpts(items, terms, step).withColumn("units", units).collect() for step in steps}
+    tokens = {step: -(-(sum(r.units for r in rows) + 500) // 4) for step, rows in loop.items()}
+    assert fitted.used == list(tokens.items()) and len(set(tokens.values())) > 1
+    for limit in (tokens[steps[0]], tokens[steps[0]] - 1, tokens[steps[-1]]):
+        step = next(s for s in steps if tokens[s] <= limit)
+        rows, found = fitted.choose(limit)
+        assert found == step and {r.path: (r.excerpt, r.dropped) for r in rows.collect()} == {r.path: (r.excerpt, False) for r in loop[step]}
+    limit = tokens[steps[-1]] - 20
+    rows, found = fitted.choose(limit)
+    made = pack.excerpts(items, terms, steps[-1]).withColumn("units", units)
+    want = {r.path: (r.excerpt, r.dropped) for r in pack.drop_until_fit(made, [], limit, 500, note).collect()}
+    assert found == steps[-1] and {r.path: (r.excerpt, r.dropped) for r in rows.collect()} == want and any(d for _, d in want.values())
+    with pytest.raises(ValueError):
+        fitted.choose(50)
 
 
 def test_jobs_of_a_fit_do_not_grow_with_its_steps(spark):
