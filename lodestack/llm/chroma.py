@@ -33,7 +33,7 @@ WHOLE = 1 << 16
 #: Frames transformed at once, and bytes of recordings decoded at once.
 BLOCK_FRAMES, BLOCK_BYTES = 1024, 8 << 20
 #: Seeds of the queries that a worker holds at once, and votes (or codes compared) that it holds at once.
-BLOCK_CODES, PAIRS = 4 << 20, 1 << 20
+BLOCK_CODES, PAIRS = 4 << 20, 1 << 18
 
 
 def samples_of(media: bytes | None) -> tuple[np.ndarray, int]:

@@ -2,7 +2,6 @@
 
 import zlib
 from collections import defaultdict
-from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -59,13 +58,13 @@ def test_toxicity_scores(spark, documents):
 
 
 def test_alignments(spark):
-    """Classes of equal codes, and the best place of every class in every query, seeds and weak bits included."""
+    """Classes of equal codes, and the best place of every class in every query where a code starts in both at once."""
     vectors = duckdb.sql(f"select vec_id, embedding from read_parquet('{SF}/embeddings.parquet')").fetchall()
     media = [chroma.melody(v) for _, v in vectors]
-    found = chroma.coded_many(media, [i % 100 == 0 for i, _ in vectors])
+    found = chroma.coded_many(media)
     classes = defaultdict(list)
-    for (i, _), (codes, flips) in zip(vectors, found):
-        classes[codes.tobytes()].append((i, codes, flips))
+    for (i, _), (codes, _) in zip(vectors, found):
+        classes[codes.tobytes()].append((i, codes))
     rows = queries.QUERIES["op10_chroma_fingerprints"](spark, SF).collect()
     members = {r.vec_id: r.class_id for r in rows if r.kind == "member"}
     named = {min(i for i, *_ in own): own for own in classes.values() if len(own[0][1])}
@@ -79,15 +78,9 @@ def test_alignments(spark):
         asked = [x for x in own if x[0] % 100 == 0]
         if not asked:
             continue
-        _, cq, flips = max(asked, key=lambda x: x[2].reshape(-1).tolist())
-        seeds = defaultdict(set)
+        cq, seeds = asked[0][1], defaultdict(set)
         for at in starts(cq):
-            for k in range(chroma.CHANGED + 1):
-                for some in combinations(flips[at].tolist(), k):
-                    code = int(cq[at])
-                    for f in some:
-                        code ^= f
-                    seeds[code].add(int(at))
+            seeds[int(cq[at])].add(int(at))
         for name, (first, *_) in named.items():
             c = first[1]
             for offset in {int(j) - i for j in starts(c) for i in seeds.get(int(c[j]), ())}:
