@@ -12,37 +12,48 @@ from lodestack.frames import saved
 
 #: Characters of all terms together up to which one automaton holds them (about 100 bytes each in a worker).
 AUTOMATON_CHARS = 500_000
-#: Characters of a part of a word; longer words are cut into parts that overlap by the longest term.
-PART = 256
-#: Between the words of a text.
+#: Characters that the starts of terms may have together, and how long starts may be, the best first.
+START_CHARS, STARTS = 100_000, (32, 24, 16, 12, 8, 6, 4, 3, 2, 1)
+#: White space in a term.
 _WHITE = r"\s+"
 
 _built: dict = {}
 
 
-def _automaton(name: str, terms: list[str]):
-    """The automaton of the terms, built once in each worker; its transitions are followed a character at a time, whatever the number of terms."""
+def _automaton(name: str, known: list[tuple]):
+    """The automaton of known (term, value), built once in each worker; its transitions are followed a character at a time, whatever the number of terms."""
     if name not in _built:
         import ahocorasick
 
         made = ahocorasick.Automaton()
-        for i, term in enumerate(terms):
-            made.add_word(term, i)
+        for term, value in known:
+            made.add_word(term, value)
         made.make_automaton()
         _built.clear()
         _built[name] = made
     return _built[name]
 
 
-def _found(texts: DataFrame, content: str, terms: list[str]) -> Column:
-    """The different terms that each text holds, from one pass over it."""
-    name, sent = uuid.uuid4().hex, texts.sparkSession.sparkContext.broadcast(terms)
+def _found(texts: DataFrame, content: str, known: list[tuple[str, tuple[int, tuple[int, ...]]]]) -> Column:
+    """The different parts of each text that begin with one of known and have one of its lengths, from one pass over it.
+
+    known: (start, (its length, sorted lengths of what begins with it)); of a whole term the only length is its own.
+    """
+    name, sent = uuid.uuid4().hex, texts.sparkSession.sparkContext.broadcast(known)
+
+    def parts(text: str, automaton) -> set[str]:
+        out = set()
+        for end, (own, lengths) in automaton.iter(text):
+            at = end - own + 1
+            for n in lengths:
+                if at + n > len(text):
+                    break
+                out.add(text[at : at + n])
+        return out
 
     def find(column: pa.Array) -> pa.Array:
-        known = sent.value
-        automaton = _automaton(name, known)
-        rows = ({i for _, i in automaton.iter(t)} if t else () for t in column.to_pylist())
-        return pa.array([[known[i] for i in sorted(r)] for r in rows], pa.list_(pa.string()))
+        automaton = _automaton(name, sent.value)
+        return pa.array([sorted(parts(t, automaton)) if t else [] for t in column.to_pylist()], pa.list_(pa.string()))
 
     return F.arrow_udf(find, "array<string>")(content)
 
@@ -52,7 +63,7 @@ def contained(texts: DataFrame, content: str, terms: DataFrame, limit: int | Non
 
     Terms of up to `limit` characters together (AUTOMATON_CHARS) go into one automaton that is sent to the
     tasks; each text is read once, in time proportional to its length and its matches, and none is shuffled.
-    More terms than that stay where they are and meet the texts by equality, see _met_by_parts(). Null texts
+    More terms than that stay where they are and meet the texts by equality, see _met_by_starts(). Null texts
     and empty terms meet nothing, and terms of white space alone are left out; no text meets a term that it
     does not hold. limit changes no row.
     """
@@ -63,39 +74,22 @@ def contained(texts: DataFrame, content: str, terms: DataFrame, limit: int | Non
         return texts.select(*keep, F.lit("").alias("term")).limit(0)
     if chars <= (AUTOMATON_CHARS if limit is None else limit):
         known = sorted(r.term for r in terms.collect())
-        return texts.select(*keep, F.explode(_found(texts, content, known)).alias("term")).distinct()
-    return _met_by_parts(texts, content, terms)
-
-
-def _parts(word: Column, longest: int) -> Column:
-    """A word as parts of PART characters and what a term that starts there may still need."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1)), F.lit(PART))
-    return F.when(F.length(word) <= PART + longest, F.array(word)).otherwise(F.transform(starts, lambda i: F.substring(word, i, F.lit(PART + longest))))
+        return texts.select(*keep, F.explode(_found(texts, content, [(t, (len(t), (len(t),))) for t in known])).alias("term")).distinct()
+    return _met_by_starts(texts, content, terms)
 
 
-def _met_by_parts(texts: DataFrame, content: str, terms: DataFrame) -> DataFrame:
+def _met_by_starts(texts: DataFrame, content: str, terms: DataFrame) -> DataFrame:
     """contained() for terms that no task could hold.
 
-    A term lies within one word of a text (what stands between white space), or its longest piece without
-    white space does. So the different parts of words of all texts meet the different terms by equality, cut
-    to the lengths that terms have; texts meet only the parts that were found so. Of the terms only their
-    lengths come to the driver, no more than the longest has characters. Terms with white space are looked
-    for in the texts that hold their longest piece.
+    The automaton has the starts of the terms, as long as START_CHARS allows (they are the shorter, the more
+    terms begin differently; single characters always fit). Where a text has a start, its parts of the lengths
+    that terms with this start have are looked up among the terms by equality. So each text is read once as
+    well, and only these parts are shuffled.
     """
     keep = [c for c in texts.columns if c != content]
-    piece = F.array_max(F.transform(F.split("term", _WHITE), lambda p: F.struct(F.length(p).alias("n"), p.alias("piece"))))
-    terms = saved(terms.select("term", piece["piece"].alias("_part"), piece["n"].alias("_n")), "term-pieces")
-    lengths = sorted(r[0] for r in terms.select("_n").distinct().collect())
-    in_words = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.split(content, _WHITE)), lambda w: _parts(w, lengths[-1]))))
-    words = texts.select(F.explode(in_words).alias("_word")).where(F.length("_word") >= lengths[0]).distinct()
-    start = lambda n: F.sequence(F.lit(1), F.length("_word") - n + 1)
-    at_length = lambda n: F.when(F.length("_word") >= n, F.transform(start(n), lambda i: F.substring(F.col("_word"), i, n))).otherwise(F.array().cast("array<string>"))
-    cut = words.select("_word", F.explode(F.array(*map(F.lit, lengths))).alias("_length")).select("_word", F.explode(F.array_distinct(at_length(F.col("_length")))).alias("_part"))
-    met = saved(cut.join(terms, "_part").select("_word", "term", (F.col("term") != F.col("_part")).alias("_spaced")), "words-with-terms")
-    held = texts.select(*keep, content, F.explode(in_words).alias("_word"))
-    out = held.select(*keep, "_word").join(met.where("not _spaced").select("_word", "term"), "_word").select(*keep, "term")
-    spaced = met.where("_spaced").select("_word", "term")
-    if not spaced.isEmpty():
-        whole = held.join(spaced, "_word").where(F.contains(F.col(content), F.col("term")))
-        out = out.unionByName(whole.select(*keep, "term"))
-    return out.distinct()
+    differ = terms.agg(*(F.approx_count_distinct(F.left("term", F.lit(n))).alias(str(n)) for n in STARTS)).first()
+    most = next((n for n in STARTS if n * differ[str(n)] <= START_CHARS), STARTS[-1])
+    starts = terms.groupBy(F.left("term", F.lit(most)).alias("start")).agg(F.sort_array(F.collect_set(F.length("term"))).alias("lengths")).collect()
+    known = [(r.start, (len(r.start), tuple(r.lengths))) for r in starts]
+    parts = texts.select(*keep, F.explode(_found(texts, content, known)).alias("term"))
+    return parts.join(terms, "term").select(*keep, "term").distinct()

@@ -10,7 +10,7 @@ from lodestack.functions import paths
 from lodestack.functions.match import contained
 from lodestack.operators.catalog import graph_terms, node_type
 from lodestack.operators.score import path_types
-from lodestack.operators.select import consumes_contract
+from lodestack.operators.select import reads_contract
 
 # The kinds of nodes and edges, and hops that a search may take.
 NODE_TYPES = "dir file artifact_contract artifact_workflow artifact_schema_template symbol task_state_anchor".split()
@@ -96,7 +96,7 @@ def reference_edges(items: DataFrame) -> DataFrame:
     targets = items.select("path", node_type("path", "artifact_type").alias("kind"), F.explode(graph_terms("path")).alias("term")).where("kind in ('artifact_schema_template', 'artifact_contract')")
     targets = cut(targets.select("kind", F.concat_ws(":", "kind", "path").alias("dst"), "term"))
     refers, members = target_groups(targets)
-    reads = (F.col("_n") == "artifact_workflow") & consumes_contract("_low")
+    reads = (F.col("_n") == "artifact_workflow") & reads_contract("_low")
     some = rows.where("_n is null or _n <> 'artifact_schema_template'").where(~F.coalesce(reads, F.lit(False)))
     template = F.col("kind") == "artifact_schema_template"
     case = F.when((F.col("_n") == "artifact_contract") & template, "constrains").when(F.col("_n") == "artifact_workflow", "consumes").when(~F.col("_own") & template, "depends_on")
@@ -125,7 +125,7 @@ def build(items: DataFrame, symbols: DataFrame, imports: DataFrame) -> tuple[Dat
     """Nodes and undirected edges of a catalog; symbols: path, symbol; imports: src, dst paths."""
     linked = imports.select(_id("file", "src").alias("src"), _id("file", "dst").alias("dst"), F.lit("imports").alias("edge_type"))
     edges = contains_edges(items, symbols).unionByName(linked).unionByName(reference_edges(items))
-    return nodes(items, symbols), undirected(edges)
+    return nodes(items, symbols), cut(undirected(edges))
 
 
 def type_counts(rows: DataFrame, column: str, kinds: list[str]) -> DataFrame:

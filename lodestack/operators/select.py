@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,8 +77,13 @@ def mentioned_paths(texts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def consumes_contract(content: Column | str) -> Column:
-    low = F.lower(content)
-    return low.rlike("|".join(CONSUMES))
+    return reads_contract(F.lower(content))
+
+
+def reads_contract(low: Column | str) -> Column:
+    """consumes_contract() of a text in lower case."""
+    low = F.col(low) if isinstance(low, str) else low
+    return functools.reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in CONSUMES))
 
 
 def promotions(preliminary: DataFrame, items: DataFrame, imports: DataFrame) -> DataFrame:
