@@ -42,6 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt over all cores by a key that few of them share, for what costs more by the row than by the byte: a small file is one task, however many rows it has."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again; its size is then known to joins."""
     path = f"{run_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
