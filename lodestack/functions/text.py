@@ -17,6 +17,10 @@ STOP_WORDS = (
     "the and for with this that from into your their have need keep make mode topic goal focus task handoff package "
     "current should would will then when where what which"
 ).split()
+#: White space as Unicode has it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: What a slug keeps, and what becomes such a character in lower case.
+KEPT, LOWERED = "A-Za-z0-9一-鿿", "\u0130\u212a"
 # What counts as a term and as a mentioned path.
 TERM_PATTERN = r"[A-Za-z][A-Za-z0-9_]{2,}|[一-鿿]{2,}"
 PATH_PATTERN = r"[A-Za-z0-9_./\\-]+\.[A-Za-z0-9_]+"
@@ -41,7 +45,7 @@ def words(values) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -72,7 +76,7 @@ def query_terms(c: Column | str) -> Column:
 def quarter_units(c: Column | str) -> Column:
     """Token estimate in quarters: 1 an ASCII character, 4 any other. Adds up over pieces."""
     c = col(c)
-    return (F.length(c) + 3 * F.length(F.regexp_replace(c, r"[\x00-\x7F]", ""))).cast("bigint")
+    return (F.length(c) + 3 * F.length(F.regexp_replace(c, r"[\x00-\x7F]+", ""))).cast("bigint")
 
 
 def estimate_tokens(c: Column | str) -> Column:
@@ -83,14 +87,14 @@ def slice_head(c: Column | str, tokens: int) -> Column:
     """The longest start that is estimated at no more than so many tokens; it ends before the first character that does not fit."""
     c, units = col(c), 4 * max(tokens, 0)
     ahead = F.left(c, F.lit(units))
-    return F.when(F.length(F.regexp_replace(ahead, r"[\x00-\x7F]", "")) == 0, ahead).otherwise(F.left(ahead, _fitting(ahead, units)))
+    return F.when(F.length(F.regexp_replace(ahead, r"[\x00-\x7F]+", "")) == 0, ahead).otherwise(F.left(ahead, _fitting(ahead, units)))
 
 
 def slice_tail(c: Column | str, tokens: int) -> Column:
     """The longest end that is estimated at no more than so many tokens."""
     c, units = col(c), 4 * max(tokens, 0)
     behind = F.right(c, F.lit(units))
-    return F.when(F.length(F.regexp_replace(behind, r"[\x00-\x7F]", "")) == 0, behind).otherwise(F.right(behind, _fitting(F.reverse(behind), units)))
+    return F.when(F.length(F.regexp_replace(behind, r"[\x00-\x7F]+", "")) == 0, behind).otherwise(F.right(behind, _fitting(F.reverse(behind), units)))
 
 
 def _fitting(c: Column, units: int) -> Column:
@@ -141,8 +145,13 @@ def bullets(values: Column | str, fallback: str) -> Column:
 
 
 def slug(c: Column | str, most: int = 40, fallback: str = "bundle") -> Column:
-    """ASCII letters and digits and Han characters in lower case, with _ between."""
-    s = F.regexp_replace(F.lower(strip(c)), r"[^A-Za-z0-9一-鿿]+", "_")
+    """ASCII letters and digits and Han characters in lower case, with _ between.
+
+    Of the text only what the slug needs is worked on: up to the first most + 1 characters that it keeps.
+    """
+    known = KEPT + LOWERED
+    start = F.regexp_extract(col(c), f"^[^{known}]*+((?:[{known}][^{known}]*+){{0,{most + 1}}}+)", 1)
+    s = F.regexp_replace(F.lower(start), f"[^{KEPT}]+", "_")
     s = F.regexp_replace(F.left(F.regexp_replace(s, "^_+|_+$", ""), F.lit(most)), "_+$", "")
     return F.when(F.length(s) > 0, s).otherwise(fallback)
 
