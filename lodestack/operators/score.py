@@ -15,6 +15,8 @@ NAMED = {
     "workflow": (30, "workflow prepare preview confirm".split()),
     "selection_logic": (30, "select selector token budget excerpt".split()),
 }
+# What a promotion adds.
+PROMOTED = 180
 # Hits of a lane that count, by kind (3 where none is named).
 LANE_LIMITS = {
     "task": {"workflow": 1},
@@ -32,17 +34,20 @@ EDGE_BONUS = {
 
 def path_hits(path: Column | str, terms: Column) -> Column:
     """The first three of the sorted terms that the path contains."""
-    hay = F.lower(normal_pattern(path))
+    return _hits(F.lower(normal_pattern(path)), terms)
+
+
+def _hits(hay: Column, terms: Column) -> Column:
     return F.slice(F.filter(terms, lambda t: F.contains(hay, t)), 1, 3)
 
 
-def lane_hits(lane: str, path: Column | str, kind: Column | str, terms: Column) -> Column:
-    """path_hits() as far as they count for the kind."""
-    kind = F.col(kind) if isinstance(kind, str) else kind
+def lane_hits(lane: str, hay: Column | str, kind: Column | str, terms: Column) -> Column:
+    """path_hits() of a path in lower case as far as they count for the kind."""
+    hay, kind = (F.col(c) if isinstance(c, str) else c for c in (hay, kind))
     most = F.lit(3)
     for name, limit in LANE_LIMITS[lane].items():
         most = F.when(kind == name, limit).otherwise(most)
-    return F.slice(path_hits(path, terms), F.lit(1), most)
+    return F.slice(_hits(hay, terms), F.lit(1), most)
 
 
 def scored(items: DataFrame, lanes: dict[str, list[str]], mentioned: Column | None = None, reason: str | None = None) -> DataFrame:
@@ -52,13 +57,13 @@ def scored(items: DataFrame, lanes: dict[str, list[str]], mentioned: Column | No
     request names the item; reason: a column with why it was promoted, null if it was not.
     """
     kind = F.col("artifact_type")
-    out = items.withColumns({f"{lane}_hits": lane_hits(lane, "path", "artifact_type", words(sorted(lanes[lane]))) for lane in ("task", "contract", "code")})
+    out = items.withColumn("_hay", F.lower(normal_pattern("path")))  # once a row, not once a term
+    out = out.withColumns({f"{lane}_hits": lane_hits(lane, "_hay", "artifact_type", words(sorted(lanes[lane]))) for lane in ("task", "contract", "code")}).drop("_hay")
     out = out.withColumn("hits", F.slice(F.array_distinct(F.concat("task_hits", "contract_hits", "code_hits")), 1, 4))
     has = {lane: F.size(f"{lane}_hits") > 0 for lane in ("task", "contract", "code")}
     support = kind == "supporting_context"
     named = F.lit(mentioned) if isinstance(mentioned, bool) else mentioned if mentioned is not None else F.lit(False)
     why = F.col(reason) if reason else F.lit(None).cast("string")
-    top = support & paths.name("path").isin("README.md", "AGENTS.md")
     points = of_kind(kind, 1)
     for test, gain in (
         (named, 140),
@@ -66,18 +71,33 @@ def scored(items: DataFrame, lanes: dict[str, list[str]], mentioned: Column | No
         (has["code"] & kind.isin("workflow", "selection_logic", "code_snippet"), 35),
         (has["task"] & support, 20),
         (~has["task"] & support, -120),
-        (why.isNotNull(), 180),
-        (top, 30),
+        (why.isNotNull(), PROMOTED),
+        (_top(), 30),
         (F.get(paths.parts("path"), F.lit(0)) == "docs", 25),
         *((((kind == k) & F.exists(words(tokens), lambda t: F.contains(F.lower("path"), t))), gain) for k, (gain, tokens) in NAMED.items()),
     ):
         points = points + F.when(test, gain).otherwise(0)
     points = points + F.least(F.lit(150), 30 * F.size("hits"))
-    text = F.concat_ws(
+    return out.withColumns({"score": points.cast("int"), "reason": _reason(why, named)})
+
+
+def _top() -> Column:
+    return (F.col("artifact_type") == "supporting_context") & paths.name("path").isin("README.md", "AGENTS.md")
+
+
+def _reason(why: Column, named: Column) -> Column:
+    """What scored() says of an item."""
+    alone = (F.col("artifact_type") == "supporting_context") & (F.size("task_hits") == 0)
+    return F.concat_ws(
         " ", "base_reason", F.when(named, "The request names it."), F.when(F.size("hits") > 0, F.concat(F.lit("Its path has query terms: "), F.array_join("hits", ", "), F.lit("."))),
-        F.when(support & ~has["task"], "It is background only."), why, F.when(top, "It frames the whole repository."),
+        F.when(alone, "It is background only."), why, F.when(_top(), "It frames the whole repository."),
     )
-    return out.withColumns({"score": points.cast("int"), "reason": text})
+
+
+def promoted(rows: DataFrame, why: str) -> DataFrame:
+    """rows as scored() makes them without a reason, with what it would say and add with the column why as one."""
+    rows = rows.withColumn("score", F.col("score") + F.when(F.col(why).isNotNull(), PROMOTED).otherwise(0))
+    return rows.withColumn("reason", F.when(F.col(why).isNull(), F.col("reason")).otherwise(_reason(F.col(why), F.lit(False))))
 
 
 def path_types(edge_types: Column | str) -> Column:

@@ -9,13 +9,14 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.frames import create_text, cut, make_folder, names, write_text
+from lodestack.frames import create_text, cut, make_folder, names, saved, write_text
 from lodestack.functions import paths
 from lodestack.functions.text import estimate_tokens, quarter_units, words
 from lodestack.functions.tokens import exact_tokens
 from lodestack.operators import extract, graph, pack, report, select, terms
 from lodestack.operators.catalog import GATES, Exclusions, catalog, excluded
 from lodestack.operators.score import graph_bonus, scored
+from lodestack.operators.score import promoted as promote
 from lodestack.request import Request
 
 #: Tokens of one item's excerpt at most.
@@ -73,14 +74,14 @@ def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclus
     spark, request = corpus.sparkSession, request.normalized().validate()
     about = terms.cross_file(terms.gate(request.frame(spark))).first()
     allowed = GATES[about.retrieval_gate]
-    everything = cut(catalog(corpus))
-    items = everything.where(~excluded("path", rules))
-    symbols, raw = (cut(x) for x in extract.facts(items))
+    known = saved(catalog(corpus).withColumn("_out", excluded("path", rules)), "catalog")  # read by columns: most of what follows needs no texts
+    everything, items = known.drop("_out"), known.where(~F.col("_out")).drop("_out")
+    symbols, raw = extract.facts(items)
     modules = items.select("path", paths.module("path").alias("module")).where("module is not null")
     imports = cut(graph.resolve_imports(raw, modules))
     nodes, edges = graph.build(items, symbols, imports)
     lanes = {lane: list(about[lane]) for lane in ("task", "contract", "code")}
-    plain = scored(items, lanes)
+    plain = saved(scored(items.drop("content"), lanes), "scored")
     text = " ".join([request.topic, request.goal, *request.focus_points, *request.questions, *request.blockers, *request.known_routes, *request.output_requirements])
     anchors = cut(graph.seeds(plain, [*request.must_include, *request.mentioned_paths], symbols, text))
     reached = graph.Search(edges, anchors, traverse_dirs)
@@ -107,13 +108,13 @@ def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclus
     left = max(room - mentioned.count(), 0)
 
     def ranked(promoted: DataFrame | None) -> DataFrame:
-        rows = items.drop("content").join(banned, "path", "left_anti").join(included, "path", "left_anti").join(named, "path", "left_anti")
+        rows = plain.join(banned, "path", "left_anti").join(included, "path", "left_anti").join(named, "path", "left_anti")
         if promoted is not None:
             rows = rows.join(promoted.withColumnRenamed("reason", "_why"), "path", "left")
         else:
             rows = rows.withColumn("_why", F.lit(None).cast("string"))
         rows = rows.where(F.col("_why").isNotNull() | F.col("artifact_type").isin(allowed) if allowed else F.col("_why").isNotNull())
-        rows = scored(rows, lanes, reason="_why").join(found.select("path", "path_types", "distance"), "path", "left")
+        rows = promote(rows, "_why").join(found.select("path", "path_types", "distance"), "path", "left")
         return rows.withColumn("score", F.col("score") + graph_bonus(F.coalesce("path_types", F.array().cast("array<string>")), F.col("artifact_type")))
 
     first = select.best(ranked(None), left).select("path", F.lit(2).alias("_o"), F.monotonically_increasing_id().alias("ord"))
@@ -125,7 +126,8 @@ def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclus
     auto = auto.select("path", "origin", F.struct(F.col("_k.col1").cast("bigint").alias("a"), F.col("path").alias("b")).alias("_k"), "score", "reason")
     fixed = included.select("path", F.lit("must_include").alias("origin"), "ord").unionByName(mentioned.select("path", F.lit("mentioned").alias("origin"), "ord"))
     fixed = fixed.select("path", "origin", F.struct(F.col("ord").cast("bigint").alias("a"), F.col("path").alias("b")).alias("_k"), F.lit(None).cast("int").alias("score"), F.lit(None).cast("string").alias("reason"))
-    rows = everything.join(fixed.unionByName(auto), "path").join(promoted.select("path", F.lit(True).alias("promoted")), "path", "left").join(found.select("path", "path_types", "distance"), "path", "left")
+    picked = saved(fixed.unionByName(auto), "picked")  # its size is known, so few items don't make Spark shuffle all texts
+    rows = everything.join(picked, "path").join(promoted.select("path", F.lit(True).alias("promoted")), "path", "left").join(found.select("path", "path_types", "distance"), "path", "left")
     why = F.when(F.col("origin") == "must_include", F.concat(F.lit("The request includes it. "), "base_reason")).when(F.col("origin") == "mentioned", F.concat(F.lit("The request names it. "), "base_reason")).otherwise(F.col("reason"))
     priority = F.when(F.col("origin") == "must_include", 1).when(F.col("origin") == "mentioned", F.least("base_priority", F.lit(2))).otherwise(F.col("base_priority"))
     rank = F.when(F.col("origin") == "must_include", 0).when(F.col("origin") == "mentioned", 1).otherwise(2)
@@ -135,7 +137,7 @@ def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclus
     missed = select.dropped(last.where("path_types is not null"), 0, left + select.DROPPED).join(rows, "path", "left_anti").orderBy(F.desc("score"), "base_priority", "path").limit(select.DROPPED)
     shown = graph.explanations(found.join(rows, "path", "left_semi"))
     kinds = graph.type_counts(nodes.select("node_type").union(anchors.select(F.lit("task_state_anchor"))), "node_type", graph.NODE_TYPES)
-    counts = everything.agg(F.count("*").alias("n_items"), F.count_if(excluded("path", rules)).alias("n_excluded"))
+    counts = known.agg(F.count("*").alias("n_items"), F.count_if("_out").alias("n_excluded"))
     return Selection(rows, missed, notes, shown, about.retrieval_gate, list(about.all_terms), two_hops, kinds, graph.edge_counts(edges), counts)
 
 

@@ -4,7 +4,12 @@ import random
 import re
 import time
 
-from lodestack.functions import match
+from pyspark.sql import functions as F
+
+from lodestack.functions import match, text
+from lodestack.operators import catalog, extract, score
+from lodestack.plans import pipeline
+from lodestack.request import Request
 
 
 def test_many_terms_meet_only_what_begins_like_one(spark):
@@ -18,3 +23,44 @@ def test_many_terms_meet_only_what_begins_like_one(spark):
     got = {tuple(r) for r in match.contained(texts, "content", terms, limit=0).collect()}
     assert time.time() - began < 30
     assert got == {(i, t) for i, c in rows for t in set(said) if t in c[-80:]}
+
+
+def test_texts_of_a_small_file_are_read_by_all_cores(spark):
+    """Parsing costs by the row: rows that come as one partition don't stay one task."""
+    rows = spark.createDataFrame([(f"{i}.py", "contract", f"def f{i}():\n    pass") for i in range(2000)], "path string, artifact_type string, content string").coalesce(1)
+    found = extract.segments(rows, text.words(["f1"]))
+    sizes = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 2000 and len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 500
+
+
+def test_slugs_take_no_more_than_the_text_they_need(spark):
+    """Equal to whole texts worked on in plain Python, and quick where blanks fill long texts."""
+    rng = random.Random(5)
+    rows = ["".join(rng.choice("aB9_ -.漢é\u0130\u212a\n\u3000") for _ in range(rng.randint(0, 150))) for _ in range(300)]
+    rows += ["", " ", "--", "_a_", "a" * 50, "a" * 39 + "--b", "a" * 40 + "--b", "." * 500 + "x", None]
+    blank = "a" + " " * 400_000
+    df = spark.createDataFrame([(i, r) for i, r in enumerate([*rows, blank + "b", blank])], "i int, v string")
+    began = time.time()
+    got = dict(df.select("i", text.slug("v")).collect())
+    assert [r[0] for r in df.select(text.strip("v")).where("i >= %d" % len(rows)).orderBy("i").collect()] == [blank + "b", "a"]
+    assert time.time() - began < 20
+    plain = lambda v: re.sub("_+$", "", re.sub("[^A-Za-z0-9一-鿿]+", "_", (v or "").lower()).strip("_")[:40]) or "bundle"
+    assert got == {i: plain(v) for i, v in enumerate([*rows, blank + "b", blank])}
+
+
+def test_facts_are_parsed_once_and_the_catalog_is_read_by_columns(spark):
+    rows = spark.createDataFrame([("a.py", "import b\ndef f(): pass"), ("b.py", "x = 1"), ("docs/c.md", "# C")], "path string, content string")
+    symbols, imports = extract.facts(rows)
+    assert [tuple(r) for r in symbols.collect()] == [("a.py", 0, "f")] and imports.first().wanted == ["b"]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert not any("ArrowEvalPython" in plan(x) for x in (symbols, imports))
+    counts = pipeline.select_items(rows, Request("review", "b", "f?")).counts
+    assert tuple(counts.first()) == (3, 0) and "content" not in plan(counts)
+
+
+def test_a_promotion_of_a_scored_item_is_its_score_with_a_reason(spark):
+    paths = ["README.md", "docs/a.md", "schemas/x.json", "p/workflow.py", "p/selector.py", "q.py", "docs/overview.md"]
+    rows = catalog.catalog(spark.createDataFrame([(p, "", why) for p in paths for why in (None, "It is so.")], "path string, content string, why string"))
+    lanes = {"task": ["docs", "overview"], "contract": ["schema"], "code": ["workflow", "selector"]}
+    some = lambda df: sorted((r.path, r.why or "", r.score, r.reason) for r in df.collect())
+    assert some(score.promoted(score.scored(rows, lanes), "why")) == some(score.scored(rows, lanes, reason="why"))
