@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.frames import saved
@@ -34,12 +34,12 @@ def _automaton(name: str, known: list[tuple]):
     return _built[name]
 
 
-def _found(texts: DataFrame, content: str, known: list[tuple[str, tuple[int, tuple[int, ...]]]]) -> Column:
+def _found(spark: SparkSession, content: Column | str, known: list[tuple[str, tuple[int, tuple[int, ...]]]]) -> Column:
     """The different parts of each text that begin with one of known and have one of its lengths, from one pass over it.
 
     known: (start, (its length, sorted lengths of what begins with it)); of a whole term the only length is its own.
     """
-    name, sent = uuid.uuid4().hex, texts.sparkSession.sparkContext.broadcast(known)
+    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(known)
 
     def parts(text: str, automaton) -> set[str]:
         out = set()
@@ -52,44 +52,55 @@ def _found(texts: DataFrame, content: str, known: list[tuple[str, tuple[int, tup
         return out
 
     def find(column: pa.Array) -> pa.Array:
+        if not sent.value:
+            return pa.array([[]] * len(column), pa.list_(pa.string()))
         automaton = _automaton(name, sent.value)
         return pa.array([sorted(parts(t, automaton)) if t else [] for t in column.to_pylist()], pa.list_(pa.string()))
 
     return F.arrow_udf(find, "array<string>")(content)
 
 
-def contained(texts: DataFrame, content: str, terms: DataFrame, limit: int | None = None) -> DataFrame:
-    """texts' columns but content, and term: each term (column term) once for each different row whose content contains it anywhere.
+class Terms:
+    """Different terms (column term) made ready to be looked for in texts, by parts() in the pass that reads them and met() after it.
 
     Terms of up to `limit` characters together (AUTOMATON_CHARS) go into one automaton that is sent to the
     tasks; each text is read once, in time proportional to its length and its matches, and none is shuffled.
-    More terms than that stay where they are and meet the texts by equality, see _met_by_starts(). Null texts
-    and empty terms meet nothing, and terms of white space alone are left out; no text meets a term that it
-    does not hold. limit changes no row.
+    Of more terms than that, which no task could hold, the automaton has only the starts, as long as START_CHARS
+    allows (they are the shorter, the more terms begin differently; single characters always fit). Where a text
+    has a start, its parts of the lengths that terms with this start have are looked up among the terms by
+    equality, so only these parts are shuffled. limit changes no row. Terms of white space alone are left out.
     """
-    keep = [c for c in texts.columns if c != content]
-    terms = saved(terms.select("term").where(F.length(F.regexp_replace("term", _WHITE, "")) > 0).distinct(), "terms")
-    chars = terms.agg(F.sum(F.length("term"))).first()[0] or 0
-    if not chars:
-        return texts.select(*keep, F.lit("").alias("term")).limit(0)
-    if chars <= (AUTOMATON_CHARS if limit is None else limit):
-        known = sorted(r.term for r in terms.collect())
-        return texts.select(*keep, F.explode(_found(texts, content, [(t, (len(t), (len(t),))) for t in known])).alias("term")).distinct()
-    return _met_by_starts(texts, content, terms)
 
+    def __init__(self, terms: DataFrame, limit: int | None = None):
+        self.terms = saved(terms.select("term").where(F.length(F.regexp_replace("term", _WHITE, "")) > 0).distinct(), "terms")
+        chars = self.terms.agg(F.sum(F.length("term"))).first()[0] or 0
+        self.whole = chars <= (AUTOMATON_CHARS if limit is None else limit)
+        self.known = [(t, (len(t), (len(t),))) for t in sorted(r.term for r in self.terms.collect())] if self.whole else self._starts()
+
+    def _starts(self) -> list[tuple]:
+        differ = self.terms.agg(*(F.approx_count_distinct(F.left("term", F.lit(n))).alias(str(n)) for n in STARTS)).first()
+        most = next((n for n in STARTS if n * differ[str(n)] <= START_CHARS), STARTS[-1])
+        starts = self.terms.groupBy(F.left("term", F.lit(most)).alias("start")).agg(F.sort_array(F.collect_set(F.length("term"))).alias("lengths")).collect()
+        return [(r.start, (len(r.start), tuple(r.lengths))) for r in starts]
+
+    def parts(self, content: Column | str) -> Column:
+        """What each text has of the terms, or of what begins like one, as an array; empty for a null one."""
+        return _found(self.terms.sparkSession, content, self.known)
 
-def _met_by_starts(texts: DataFrame, content: str, terms: DataFrame) -> DataFrame:
-    """contained() for terms that no task could hold.
+    def met(self, rows: DataFrame, parts: str) -> DataFrame:
+        """rows without the column parts, and term: each term of their parts once for each different row."""
+        out = rows.select(*(c for c in rows.columns if c != parts), F.explode(parts).alias("term"))
+        return (out if self.whole else out.join(self.terms, "term").select(*out.columns)).distinct()
 
-    The automaton has the starts of the terms, as long as START_CHARS allows (they are the shorter, the more
-    terms begin differently; single characters always fit). Where a text has a start, its parts of the lengths
-    that terms with this start have are looked up among the terms by equality. So each text is read once as
-    well, and only these parts are shuffled.
+
+def contained(texts: DataFrame, content: str, terms: DataFrame, limit: int | None = None) -> DataFrame:
+    """texts' columns but content, and term: each term (column term) once for each different row whose content contains it anywhere.
+
+    Null texts and empty terms meet nothing, and terms of white space alone are left out; no text meets a term
+    that it does not hold. See Terms.
     """
     keep = [c for c in texts.columns if c != content]
-    differ = terms.agg(*(F.approx_count_distinct(F.left("term", F.lit(n))).alias(str(n)) for n in STARTS)).first()
-    most = next((n for n in STARTS if n * differ[str(n)] <= START_CHARS), STARTS[-1])
-    starts = terms.groupBy(F.left("term", F.lit(most)).alias("start")).agg(F.sort_array(F.collect_set(F.length("term"))).alias("lengths")).collect()
-    known = [(r.start, (len(r.start), tuple(r.lengths))) for r in starts]
-    parts = texts.select(*keep, F.explode(_found(texts, content, known)).alias("term"))
-    return parts.join(terms, "term").select(*keep, "term").distinct()
+    known = Terms(terms, limit)
+    if not known.known:
+        return texts.select(*keep, F.lit("").alias("term")).limit(0)
+    return known.met(texts.select(*keep, known.parts(content).alias(content)), content)

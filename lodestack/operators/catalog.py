@@ -94,12 +94,17 @@ def excluded(path: Column | str, rules: Exclusions = Exclusions()) -> Column:
     return out
 
 
-def catalog(corpus: DataFrame) -> DataFrame:
-    """corpus (path, content, ...) with file_type, artifact_type, context_layer, base_reason, base_priority and n_tokens."""
-    out = corpus.withColumns({"file_type": file_type("path"), "artifact_type": artifact_type("path"), "n_tokens": estimate_tokens("content")})
+def classified(corpus: DataFrame) -> DataFrame:
+    """corpus (path, ...) with file_type, artifact_type, context_layer, base_reason and base_priority: what is said of items without their texts."""
+    out = corpus.withColumns({"file_type": file_type("path"), "artifact_type": artifact_type("path")})
     return out.withColumns({"context_layer": of_kind("artifact_type", 2), "base_reason": of_kind("artifact_type", 3), "base_priority": of_kind("artifact_type", 0)})
 
 
+def catalog(corpus: DataFrame) -> DataFrame:
+    """corpus (path, content, ...) as classified(), with n_tokens."""
+    return classified(corpus).withColumn("n_tokens", estimate_tokens("content"))
+
+
 def scan_summary(corpus: DataFrame, rules: Exclusions = Exclusions()) -> DataFrame:
     """Counts of binary, excluded and candidate items; corpus may have is_text."""
     text = F.col("is_text") if "is_text" in corpus.columns else F.lit(True)

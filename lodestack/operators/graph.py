@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.frames import cut
+from lodestack.frames import cut, saved
 from lodestack.functions import paths
-from lodestack.functions.match import contained
+from lodestack.functions.match import Terms
 from lodestack.operators.catalog import graph_terms, node_type
 from lodestack.operators.score import path_types
-from lodestack.operators.select import reads_contract
+from lodestack.operators.select import CODE_LIKE, reads_contract
 
 # The kinds of nodes and edges, and hops that a search may take.
 NODE_TYPES = "dir file artifact_contract artifact_workflow artifact_schema_template symbol task_state_anchor".split()
@@ -84,31 +84,52 @@ def target_groups(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return refers, members.select("group", "dst")
 
 
-def reference_edges(items: DataFrame) -> DataFrame:
-    """Contracts that constrain schemas and templates, workflows that consume them, other items that depend on them.
+class References:
+    """What the texts of a corpus refer to: contracts that constrain schemas and templates, workflows that consume them, other items that depend on them.
 
     An edge stands where a text holds a term of the target. Targets that texts refer to by the same terms are
     reached through a group: an edge to it, and one (of type MEMBER) from it to each of them. So are all
     contracts by workflows that read what contracts define. Each pair of an item and a target is linked in
-    one way: an item that refers to a group has no edge of its own to its members.
+    one way: an item that refers to a group has no edge of its own to its members. Terms are known from the
+    paths of items (path, artifact_type), so a single pass over texts finds them.
     """
-    rows = items.select("path", node_type("path", "artifact_type").alias("_n"), F.col("artifact_type").isin("contract", "workflow").alias("_own"), F.lower("content").alias("_low"))
-    targets = items.select("path", node_type("path", "artifact_type").alias("kind"), F.explode(graph_terms("path")).alias("term")).where("kind in ('artifact_schema_template', 'artifact_contract')")
-    targets = cut(targets.select("kind", F.concat_ws(":", "kind", "path").alias("dst"), "term"))
-    refers, members = target_groups(targets)
-    reads = (F.col("_n") == "artifact_workflow") & reads_contract("_low")
-    some = rows.where("_n is null or _n <> 'artifact_schema_template'").where(~F.coalesce(reads, F.lit(False)))
-    template = F.col("kind") == "artifact_schema_template"
-    case = F.when((F.col("_n") == "artifact_contract") & template, "constrains").when(F.col("_n") == "artifact_workflow", "consumes").when(~F.col("_own") & template, "depends_on")
-    own = F.when(F.col("_n").isNotNull(), F.concat_ws(":", "_n", "path")).otherwise(_id("file", "path"))
-    met = contained(some, "_low", refers).join(refers, "term").withColumn("edge_type", case).where("edge_type is not null")
-    met = cut(met.select(own.alias("src"), "dst", "unit", "edge_type").where("src <> dst").distinct())
-    whole = met.where(F.startswith("dst", F.lit(GROUP)))
-    single = met.where(~F.startswith("dst", F.lit(GROUP))).join(whole.select("src", "unit"), ["src", "unit"], "left_anti")
-    direct = whole.unionByName(single).select("src", "dst", "edge_type").distinct()
-    readers = rows.where(reads).select(F.concat_ws(":", "_n", "path").alias("src"), F.lit(ALL_CONTRACTS).alias("dst"), F.lit("consumes").alias("edge_type"))
-    parts = members.unionByName(targets.select(F.lit(ALL_CONTRACTS).alias("group"), "dst").distinct())
-    return direct.unionByName(readers).unionByName(parts.select(F.col("group").alias("src"), "dst", F.lit(MEMBER).alias("edge_type")))
+
+    def __init__(self, items: DataFrame):
+        targets = items.select("path", node_type("path", "artifact_type").alias("kind"), F.explode(graph_terms("path")).alias("term")).where("kind in ('artifact_schema_template', 'artifact_contract')")
+        self.targets = cut(targets.select("kind", F.concat_ws(":", "kind", "path").alias("dst"), "term"))
+        self.refers, self.members = target_groups(self.targets)
+        self.terms = Terms(self.refers)
+
+    def read(self, items: DataFrame, *more: Column) -> DataFrame:
+        """(path, artifact_type, _n, _reads, _parts) of items (path, artifact_type, content), and more columns: what edges() needs of their texts, each put into lower case once.
+
+        _n: the node's kind; _reads: whether code reads what contracts define.
+        """
+        rows = items.withColumn("_n", node_type("path", "artifact_type"))
+        rows = rows.withColumn("_low", F.when(F.col("_n").isNull() | (F.col("_n") != "artifact_schema_template"), F.lower("content")))
+        rows = rows.withColumn("_reads", F.when(F.col("artifact_type").isin(CODE_LIKE), F.coalesce(reads_contract("_low"), F.lit(False))).otherwise(False))
+        parts = self.terms.parts(F.when(~(F.col("_reads") & (F.col("artifact_type") == "workflow")), F.col("_low")))
+        return rows.select("path", "artifact_type", "_n", "_reads", parts.alias("_parts"), *more)
+
+    def edges(self, read: DataFrame) -> DataFrame:
+        """(src, dst, edge_type) of what read() gives."""
+        template, own_kind = F.col("kind") == "artifact_schema_template", F.col("artifact_type").isin("contract", "workflow")
+        case = F.when((F.col("_n") == "artifact_contract") & template, "constrains").when(F.col("_n") == "artifact_workflow", "consumes").when(~own_kind & template, "depends_on")
+        own = F.when(F.col("_n").isNotNull(), F.concat_ws(":", "_n", "path")).otherwise(_id("file", "path"))
+        met = self.terms.met(read.select("path", "artifact_type", "_n", "_parts"), "_parts").join(self.refers, "term").withColumn("edge_type", case).where("edge_type is not null")
+        met = cut(met.select(own.alias("src"), "dst", "unit", "edge_type").where("src <> dst").distinct())
+        whole = met.where(F.startswith("dst", F.lit(GROUP)))
+        single = met.where(~F.startswith("dst", F.lit(GROUP))).join(whole.select("src", "unit"), ["src", "unit"], "left_anti")
+        direct = whole.unionByName(single).select("src", "dst", "edge_type").distinct()
+        readers = read.where("_reads and artifact_type = 'workflow'").select(F.concat_ws(":", "_n", "path").alias("src"), F.lit(ALL_CONTRACTS).alias("dst"), F.lit("consumes").alias("edge_type"))
+        parts = self.members.unionByName(self.targets.select(F.lit(ALL_CONTRACTS).alias("group"), "dst").distinct())
+        return direct.unionByName(readers).unionByName(parts.select(F.col("group").alias("src"), "dst", F.lit(MEMBER).alias("edge_type")))
+
+
+def reference_edges(items: DataFrame) -> DataFrame:
+    """(src, dst, edge_type) of items (path, artifact_type, content) and what their texts refer to; see References."""
+    known = References(items)
+    return known.edges(saved(known.read(items), "read"))
 
 
 def _grouped() -> Column:
@@ -121,10 +142,10 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select(low.alias("src"), high.alias("dst"), "edge_type").distinct()
 
 
-def build(items: DataFrame, symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and undirected edges of a catalog; symbols: path, symbol; imports: src, dst paths."""
+def build(items: DataFrame, symbols: DataFrame, imports: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and undirected edges of a catalog; symbols: path, symbol; imports: src, dst paths; references: reference_edges()."""
     linked = imports.select(_id("file", "src").alias("src"), _id("file", "dst").alias("dst"), F.lit("imports").alias("edge_type"))
-    edges = contains_edges(items, symbols).unionByName(linked).unionByName(reference_edges(items))
+    edges = contains_edges(items, symbols).unionByName(linked).unionByName(references)
     return nodes(items, symbols), cut(undirected(edges))
 
 
@@ -163,7 +184,7 @@ def seeds(scored: DataFrame, explicit: list[str], symbols: DataFrame, task_text:
     return items.unionByName(first.select(F.concat_ws(":", F.lit("symbol"), "path", "symbol").alias("node"), F.lit("symbol_anchor").alias("reason")))
 
 
-_NEXT = "prev prev_hops edge_type n imported reason".split()
+_NEXT = "prev prev_hops edge_type n imported reason types".split()  # prev and prev_hops decide types
 
 
 class Search:
@@ -172,8 +193,8 @@ class Search:
     contains edges are no hops. A path's cost depends on its hops and on whether one of them is an import, so
     states (node, hops) are settled cost by cost and never change again: first those without an import, then the
     others. Within a cost each round goes one edge on; of equally good ways the one of the fewest rounds is
-    kept, then that from the first node. A round writes what it reaches and a pointer to where it came from,
-    nothing else; paths are put together when they are asked for. traverse_dirs=False leaves out folders,
+    kept, then that from the first node. A round writes what it reaches, the edges so far that are hops and a
+    pointer to where it came from, nothing else; paths are put together when they are asked for. traverse_dirs=False leaves out folders,
     which otherwise bring every item within reach of any anchor. A group is no node of a path: its reader and
     its member follow each other, and of all who lead to a group only the best goes on to its members; no
     reader of a group is one of them.
@@ -189,7 +210,7 @@ class Search:
         self.readers = groups.where(F.startswith("dst", F.lit(GROUP))).select("src", F.col("dst").alias("group"), "edge_type")
         self.members = groups.where(F.col("edge_type") == MEMBER).select(F.col("src").alias("group"), "dst")
         start = seeds.groupBy("node").agg(F.min("reason").alias("reason"))
-        start = start.select("node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("int").alias("prev_hops"), F.lit(None).cast("string").alias("edge_type"), F.lit(1).alias("n"), F.lit(False).alias("imported"), "reason")
+        start = start.select("node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("int").alias("prev_hops"), F.lit(None).cast("string").alias("edge_type"), F.lit(1).alias("n"), F.lit(False).alias("imported"), "reason", F.array().cast("array<string>").alias("types"))
         #: Of each number of hops, what its rounds reached.
         self.levels = [self._closed(start, 0, [])]
 
@@ -214,7 +235,7 @@ class Search:
         frontier, out = self._new(start, [self._all(settled)] if settled else []), []
         while not frontier.isEmpty():
             out.append(frontier)
-            ahead = frontier.join(self.free, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.col("node").alias("prev"), F.col("hops").alias("prev_hops"), F.lit("contains").alias("edge_type"), (F.col("n") + 1).alias("n"), "imported", "reason")
+            ahead = frontier.join(self.free, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.col("node").alias("prev"), F.col("hops").alias("prev_hops"), F.lit("contains").alias("edge_type"), (F.col("n") + 1).alias("n"), "imported", "reason", "types")
             frontier = self._new(self._best(ahead, hops), out[-2:])
         return out
 
@@ -231,15 +252,16 @@ class Search:
         if not last:
             self.levels.append([])
             return
-        came = self._all(last).select("node", F.col("hops").alias("prev_hops"), (F.col("n") + 1).alias("n"), "imported", "reason")
-        ways = came.join(self.real, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.col("node").alias("prev"), "prev_hops", "edge_type", "n", "imported", "reason")
+        came = self._all(last).select("node", F.col("hops").alias("prev_hops"), (F.col("n") + 1).alias("n"), "imported", "reason", "types")
+        ways = came.join(self.real, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.col("node").alias("prev"), "prev_hops", "edge_type", "n", "imported", "reason", "types")
         # what leads to a group is reduced to the best before it goes on: by readers to members, and back
-        before = F.min(F.struct(F.col("node").alias("prev"), "prev_hops", "n", "imported", "reason")).alias("b")
+        before = F.min(F.struct(F.col("node").alias("prev"), "prev_hops", "n", "imported", "reason", "types")).alias("b")
         to = came.join(self.readers, F.col("node") == F.col("src")).groupBy("group", "edge_type", "imported").agg(before).select("group", "edge_type", "b.*")
-        ways = ways.unionByName(to.join(self.members, "group").select(F.col("dst").alias("node"), "prev", "prev_hops", "edge_type", "n", "imported", "reason"))
+        ways = ways.unionByName(to.join(self.members, "group").select(F.col("dst").alias("node"), "prev", "prev_hops", "edge_type", "n", "imported", "reason", "types"))
         back = came.join(self.members, F.col("node") == F.col("dst")).groupBy("group", "imported").agg(before).select("group", "b.*")
-        ways = ways.unionByName(back.join(self.readers, "group").select(F.col("src").alias("node"), "prev", "prev_hops", "edge_type", "n", "imported", "reason"))
-        ways = cut(ways.where("node <> prev").withColumn("imported", F.col("imported") | (F.col("edge_type") == "imports")))
+        ways = ways.unionByName(back.join(self.readers, "group").select(F.col("src").alias("node"), "prev", "prev_hops", "edge_type", "n", "imported", "reason", "types"))
+        ways = ways.where("node <> prev").withColumns({"imported": F.col("imported") | (F.col("edge_type") == "imports"), "types": F.concat("types", F.array("edge_type"))})
+        ways = cut(ways)
         own = self._closed(self._best(ways.where("not imported"), hops), hops, [])
         self.levels.append(own + self._closed(self._best(ways.where("imported"), hops), hops, own))
 
@@ -262,7 +284,6 @@ class Search:
         states = self.states(hops)
         if states is None:
             return self.free.sparkSession.createDataFrame([], "node string, reason string, distance int, cost int, path array<string>, edge_types array<string>")
-        cost = F.when(F.col("hops") == 0, 0).when(F.col("hops") == 1, F.when(F.col("imported"), 2).otherwise(1)).otherwise(F.when(F.col("imported"), 4).otherwise(3))
         none = F.array().cast("array<string>")
         parts = states.select("node", "hops", F.col("prev").alias("up"), F.col("prev_hops").alias("up_hops"), F.array("node").alias("path"), F.when(F.col("edge_type").isNull(), none).otherwise(F.array("edge_type")).alias("types"))
         longest, reach = states.agg(F.max("n")).first()[0], 1
@@ -270,10 +291,53 @@ class Search:
             upper = parts.select(F.col("node").alias("up"), F.col("hops").alias("up_hops"), F.col("up").alias("_up"), F.col("up_hops").alias("_hops"), F.col("path").alias("_path"), F.col("types").alias("_types"))
             parts = parts.join(upper, ["up", "up_hops"], "left").select("node", "hops", F.col("_up").alias("up"), F.col("_hops").alias("up_hops"), F.concat(F.coalesce("_path", none), "path").alias("path"), F.concat(F.coalesce("_types", none), "types").alias("types"))
             parts, reach = cut(parts), 2 * reach
-        one = states.groupBy("node").agg(F.min(F.struct(cost.alias("cost"), "hops", "reason")).alias("b")).select("node", "b.*")
+        one = states.groupBy("node").agg(F.min(F.struct(_cost().alias("cost"), "hops", "reason")).alias("b")).select("node", "b.*")
         return one.join(parts, ["node", "hops"]).select("node", "reason", F.col("hops").alias("distance"), "cost", "path", F.col("types").alias("edge_types"))
 
 
+    def nearest(self, hops: int) -> DataFrame:
+        """Of each item the best path to it within so many hops, as file_paths() of paths() has it, without its nodes: path, target_node, distance, cost, reason, path_types, and least_hops of all paths to it.
+
+        A state knows how long its path is and which edges are its hops, so no path is put together.
+        """
+        states = self.states(hops)
+        if states is None:
+            return self.free.sparkSession.createDataFrame([], "path string, target_node string, distance int, cost int, reason string, path_types array<string>, least_hops int")
+        rows = states.where(~F.startswith("node", F.lit("dir:"))).select(_owner("node").alias("path"), _cost().alias("cost"), "hops", "n", "node", "reason", "types")
+        best = rows.groupBy("path").agg(F.min(F.struct("cost", "hops", "n", "node", "reason", "types")).alias("b"), F.min("hops").alias("least_hops"))
+        return best.select("path", F.col("b.node").alias("target_node"), F.col("b.hops").alias("distance"), "b.cost", "b.reason", path_types("b.types").alias("path_types"), "least_hops")
+
+    def traced(self, ends: DataFrame) -> DataFrame:
+        """Whole paths to a few settled states (target_node, distance): target_node, distance, nodes, edge_types.
+
+        Goes back a state a round from all of them at once, and writes nothing of the others.
+        """
+        states, none = self.states(len(self.levels) - 1), F.array().cast("array<string>")
+        if states is None:
+            return ends.select("target_node", "distance", none.alias("nodes"), none.alias("edge_types")).limit(0)
+        back = states.select(F.col("node").alias("up"), F.col("hops").alias("up_hops"), F.col("prev").alias("_up"), F.col("prev_hops").alias("_hops"), "edge_type")
+        types = F.col("edge_type").isNotNull()
+        live = cut(ends.select("target_node", "distance", F.col("target_node").alias("up"), F.col("distance").alias("up_hops"), none.alias("nodes"), none.alias("edge_types")).distinct())
+        done = []
+        while not live.isEmpty():
+            met = back.join(F.broadcast(live), ["up", "up_hops"])
+            met = cut(met.select("target_node", "distance", F.col("_up").alias("up"), F.col("_hops").alias("up_hops"), F.concat(F.array("up"), "nodes").alias("nodes"), F.when(types, F.concat(F.array("edge_type"), "edge_types")).otherwise(F.col("edge_types")).alias("edge_types")))
+            done.append(met.where("up is null").drop("up", "up_hops"))
+            live = met.where("up is not null")
+        return self._all(done) if done else live.drop("up", "up_hops")
+
+
+def _cost() -> Column:
+    """What a state's path costs: by its hops, more with an import."""
+    return F.when(F.col("hops") == 0, 0).when(F.col("hops") == 1, F.when(F.col("imported"), 2).otherwise(1)).otherwise(F.when(F.col("imported"), 4).otherwise(3))
+
+
+def _owner(node: str) -> Column:
+    """The path of a node's item: what follows the node's kind; of a symbol without its name, which has no colon."""
+    rest = F.expr(f"substring({node}, instr({node}, ':') + 1)")
+    return F.when(F.startswith(node, F.lit("symbol:")), F.left(rest, F.length(rest) - F.length(F.substring_index(node, ":", -1)) - 1)).otherwise(rest)
+
+
 def search(edges: DataFrame, seeds: DataFrame, hops: int = MAX_HOPS, traverse_dirs: bool = True) -> DataFrame:
     """Best path to every node within so many hops; see Search."""
     return Search(edges, seeds, traverse_dirs).paths(hops)

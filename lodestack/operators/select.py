@@ -86,18 +86,18 @@ def reads_contract(low: Column | str) -> Column:
     return functools.reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in CONSUMES))
 
 
-def promotions(preliminary: DataFrame, items: DataFrame, imports: DataFrame) -> DataFrame:
+def promotions(preliminary: DataFrame, items: DataFrame, imports: DataFrame, reads: Column | None = None) -> DataFrame:
     """(path, reason) of items that a first selection promotes.
 
     preliminary: path, artifact_type, ord; items: path, artifact_type, content; imports: src, dst. What a
     chosen workflow imports comes first (of several the earliest chosen names it); then, if a contract is
-    chosen, all code that reads what contracts define.
+    chosen, all code that reads what contracts define. reads: of items, whether they do, where that is known without content.
     """
     flows = preliminary.where("artifact_type = 'workflow'").select(F.col("path").alias("src"), "ord")
     direct = imports.join(F.broadcast(flows), "src").where("src <> dst").groupBy(F.col("dst").alias("path")).agg(F.min(F.struct("ord", "src")).alias("_by"))
     direct = direct.select("path", F.lit(0).alias("_rank"), F.concat(F.lit("A direct dependency of "), "_by.src", F.lit(".")).alias("reason"))
     contracts = preliminary.where("artifact_type = 'contract'").limit(1).select(F.lit(1).alias("_any"))
-    readers = items.where(F.col("artifact_type").isin(CODE_LIKE)).where(consumes_contract("content")).select("path").crossJoin(F.broadcast(contracts))
+    readers = items.where(F.col("artifact_type").isin(CODE_LIKE)).where(consumes_contract("content") if reads is None else reads).select("path").crossJoin(F.broadcast(contracts))
     readers = readers.select("path", F.lit(1).alias("_rank"), F.lit("It reads what contracts define.").alias("reason"))
     return direct.unionByName(readers).groupBy("path").agg(F.min_by("reason", "_rank").alias("reason"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from lodestack.functions import paths
 from lodestack.functions.text import estimate_tokens, quarter_units, words
 from lodestack.functions.tokens import exact_tokens
 from lodestack.operators import extract, graph, pack, report, select, terms
-from lodestack.operators.catalog import GATES, Exclusions, catalog, excluded
+from lodestack.operators.catalog import GATES, Exclusions, catalog, classified, excluded
 from lodestack.operators.score import graph_bonus, scored
 from lodestack.operators.score import promoted as promote
 from lodestack.request import Request
@@ -56,7 +57,7 @@ class Selection:
     items: DataFrame
     dropped: DataFrame
     warnings: DataFrame
-    explanations: DataFrame
+    explain: Callable[[], DataFrame]
     gate: str
     all_terms: list[str]
     two_hops: bool
@@ -64,33 +65,41 @@ class Selection:
     edges: DataFrame
     counts: DataFrame
 
+    @cached_property
+    def explanations(self) -> DataFrame:
+        """The paths to the items; put together when they are asked for."""
+        return self.explain()
+
 
 def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclusions(), traverse_dirs: bool = True) -> Selection:
     """The items of a corpus (path, content) for a request: what it includes, what it mentions, and the best of the rest.
 
     Scores, joins and rankings run over the whole corpus; only the request's lanes and the number of
-    included and mentioned items, which max_files bounds, come to the driver.
+    included and mentioned items, which max_files bounds, come to the driver. The corpus is read three times:
+    its paths; its texts, in one pass that keeps what was found and no text; and the texts of what is chosen.
     """
     spark, request = corpus.sparkSession, request.normalized().validate()
     about = terms.cross_file(terms.gate(request.frame(spark))).first()
     allowed = GATES[about.retrieval_gate]
-    known = saved(catalog(corpus).withColumn("_out", excluded("path", rules)), "catalog")  # read by columns: most of what follows needs no texts
+    known = saved(classified(corpus.drop("content")).withColumn("_out", excluded("path", rules)), "catalog")
     everything, items = known.drop("_out"), known.where(~F.col("_out")).drop("_out")
-    symbols, raw = extract.facts(items)
+    references = graph.References(items)
+    texts = classified(corpus.select("path", "content").where(~excluded("path", rules)))
+    read = saved(references.read(texts, extract.facts_of("path", "content").alias("facts")), "read")
+    symbols, raw = extract.told(read)
     modules = items.select("path", paths.module("path").alias("module")).where("module is not null")
     imports = cut(graph.resolve_imports(raw, modules))
-    nodes, edges = graph.build(items, symbols, imports)
+    nodes, edges = graph.build(items, symbols, imports, references.edges(read))
     lanes = {lane: list(about[lane]) for lane in ("task", "contract", "code")}
-    plain = saved(scored(items.drop("content"), lanes), "scored")
+    plain = saved(scored(items, lanes), "scored")
     text = " ".join([request.topic, request.goal, *request.focus_points, *request.questions, *request.blockers, *request.known_routes, *request.output_requirements])
     anchors = cut(graph.seeds(plain, [*request.must_include, *request.mentioned_paths], symbols, text))
     reached = graph.Search(edges, anchors, traverse_dirs)
-    near = cut(graph.file_paths(reached.paths(1), nodes))
-    close = graph.neighbour_count(near, items)
-    found, two_hops = near, False
-    if about.wants_two_hops or close < 2:
-        found = cut(graph.file_paths(reached.paths(2), nodes))
-        two_hops = not found.join(near, "path", "left_anti").isEmpty()
+    wide = about.wants_two_hops
+    found = cut(reached.nearest(2 if wide else 1))
+    if not wide and graph.neighbour_count(found, items) < 2:
+        wide, found = True, cut(reached.nearest(2))
+    two_hops = wide and not found.where("least_hops > 1").isEmpty()
 
     included, notes = select.include_minus_exclude(everything.select("path"), list(request.must_include), list(request.must_exclude))
     banned = select.resolve_patterns(everything.select("path"), list(request.must_exclude)).where("path is not null").select("path").distinct()
@@ -120,14 +129,14 @@ def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclus
     first = select.best(ranked(None), left).select("path", F.lit(2).alias("_o"), F.monotonically_increasing_id().alias("ord"))
     chosen = included.select("path", F.lit(0).alias("_o"), "ord").unionByName(mentioned.select("path", F.lit(1).alias("_o"), "ord")).unionByName(first)
     chosen = items.select("path", "artifact_type").join(chosen, "path").withColumn("ord", F.struct("_o", "ord"))
-    promoted = cut(select.promotions(chosen, items.select("path", "artifact_type", "content"), imports))
+    promoted = cut(select.promotions(chosen, read.select("path", "artifact_type", "_reads"), imports, F.col("_reads")))
     last = cut(ranked(promoted))
     auto = select.best(last, left).select("path", F.lit("auto").alias("origin"), F.struct(-F.col("score"), "base_priority", "path").alias("_k"), "score", "reason")
     auto = auto.select("path", "origin", F.struct(F.col("_k.col1").cast("bigint").alias("a"), F.col("path").alias("b")).alias("_k"), "score", "reason")
     fixed = included.select("path", F.lit("must_include").alias("origin"), "ord").unionByName(mentioned.select("path", F.lit("mentioned").alias("origin"), "ord"))
     fixed = fixed.select("path", "origin", F.struct(F.col("ord").cast("bigint").alias("a"), F.col("path").alias("b")).alias("_k"), F.lit(None).cast("int").alias("score"), F.lit(None).cast("string").alias("reason"))
     picked = saved(fixed.unionByName(auto), "picked")  # its size is known, so few items don't make Spark shuffle all texts
-    rows = everything.join(picked, "path").join(promoted.select("path", F.lit(True).alias("promoted")), "path", "left").join(found.select("path", "path_types", "distance"), "path", "left")
+    rows = catalog(corpus.join(picked, "path")).join(promoted.select("path", F.lit(True).alias("promoted")), "path", "left").join(found.select("path", "path_types", "distance"), "path", "left")
     why = F.when(F.col("origin") == "must_include", F.concat(F.lit("The request includes it. "), "base_reason")).when(F.col("origin") == "mentioned", F.concat(F.lit("The request names it. "), "base_reason")).otherwise(F.col("reason"))
     priority = F.when(F.col("origin") == "must_include", 1).when(F.col("origin") == "mentioned", F.least("base_priority", F.lit(2))).otherwise(F.col("base_priority"))
     rank = F.when(F.col("origin") == "must_include", 0).when(F.col("origin") == "mentioned", 1).otherwise(2)
@@ -135,10 +144,11 @@ def select_items(corpus: DataFrame, request: Request, rules: Exclusions = Exclus
     rows = rows.withColumn("explained", F.col("path_types").isNotNull()).withColumn("graph_selected", F.col("distance") > 0)
     rows = cut(rows)
     missed = select.dropped(last.where("path_types is not null"), 0, left + select.DROPPED).join(rows, "path", "left_anti").orderBy(F.desc("score"), "base_priority", "path").limit(select.DROPPED)
-    shown = graph.explanations(found.join(rows, "path", "left_semi"))
+    shown = found.join(rows, "path", "left_semi")
+    explain = lambda: graph.explanations(shown.join(reached.traced(shown), ["target_node", "distance"]))
     kinds = graph.type_counts(nodes.select("node_type").union(anchors.select(F.lit("task_state_anchor"))), "node_type", graph.NODE_TYPES)
     counts = known.agg(F.count("*").alias("n_items"), F.count_if("_out").alias("n_excluded"))
-    return Selection(rows, missed, notes, shown, about.retrieval_gate, list(about.all_terms), two_hops, kinds, graph.edge_counts(edges), counts)
+    return Selection(rows, missed, notes, explain, about.retrieval_gate, list(about.all_terms), two_hops, kinds, graph.edge_counts(edges), counts)
 
 
 def bundle(chosen: Selection, request: Request, per_item: int = PER_ITEM, vocabulary: Vocabulary | None = None) -> tuple[DataFrame, DataFrame]:
